@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import struct
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +73,6 @@ class Scratch:
         _made.pop(self.path, None)
 
 
-def closes_with(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """The saved tables go when the session's result does; until then they stay, as the result is lazy."""
-    weakref.finalize(df, lambda: None)
-    return df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -159,3 +154,23 @@ def groups_for(total: float, each: float) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+class _WordHashes(dict):
+    """Word -> 64-bit hash; starts anew when large, so that memory stays bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_word = re.compile(WORD)
+_word_hashes = _WordHashes()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a whole text, in order."""
+    words = _word.findall(text)
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
