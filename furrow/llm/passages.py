@@ -142,7 +142,7 @@ def _typed(f):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = f(left, right)
-        for c in ("_chunk", "_bucket", "n_words", "n_removed", "n_bytes", "n_spans"):
+        for c in ("_kind", "_chunk", "_bucket", "n_words", "n_removed", "n_bytes", "n_spans"):
             if c in out:
                 out[c] = out[c].astype("Int64")
         if "_id" in out and len(out) and pd.api.types.is_float_dtype(out["_id"]):
