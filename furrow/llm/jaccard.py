@@ -13,6 +13,7 @@ one task; a tile returns its texts' numbers of links and enough links to connect
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, mix64, window_hashes, word_hashes
+from furrow.llm.common import Scratch, mix64, partitions, window_hashes, word_hashes
 from furrow.llm.graph import components, forest
 
 
@@ -37,7 +38,7 @@ class Settings:
     threshold: float = 0.8
     tolerance: float = 1e-7
     step: int = 16
-    block: int = 128
+    block: int = 1024
     values: int = 128
     rows: int = 4
 
@@ -67,6 +68,7 @@ def signature(sh: np.ndarray, values: int) -> np.ndarray:
     return (least & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+@functools.cache
 def least_matches(s: Settings) -> list[tuple[int, int]]:
     """(compared, matches) for each step: with fewer matches a pair is dropped.
 
@@ -83,21 +85,24 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of a row of `left` and a row of `right`, those whose first shared band this is and that survive the pruning."""
+#: Pairs whose signatures are compared at once.
+AT_ONCE = 60_000
+
+
+def candidates(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, s: Settings) -> np.ndarray:
+    """Which of the pairs (i, j) share `band` as their first band and survive the pruning."""
     keys = np.ascontiguousarray(sig).view(np.uint64)
-    first = np.zeros((len(left), len(right)), bool)
-    for b in range(band):
-        first |= keys[left, b][:, None] == keys[right, b][None, :]
-    i, j = np.nonzero(~first & (keys[left, band][:, None] == keys[right, band][None, :]))
-    i, j = left[i], right[j]
-    same = np.zeros(len(i), np.int32)
-    at = 0
-    for n, k in least_matches(s):
-        same += (sig[i, at:n] == sig[j, at:n]).sum(axis=1, dtype=np.int32)
-        stay = same >= k
-        i, j, same, at = i[stay], j[stay], same[stay], n
-    return i, j
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), AT_ONCE):
+        x, y, z = (v[at : at + AT_ONCE] for v in (i, j, band))
+        k = np.flatnonzero((keys[x] == keys[y]).argmax(axis=1) == z)
+        same, done = np.zeros(len(k), np.int32), 0
+        for n, least in least_matches(s):
+            same += (sig[x[k], done:n] == sig[y[k], done:n]).sum(axis=1, dtype=np.int32)
+            stay = same >= least
+            k, same, done = k[stay], same[stay], n
+        out[at + k] = True
+    return out
 
 
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -106,8 +111,11 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     if len(i) <= 3 * len(sets):
         common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
     else:
-        names, where = np.unique(np.concatenate(sets), return_inverse=True)
+        names, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), size)
+        shared = times > 1  # what one text only has is in no intersection
+        own = shared[where]
+        owner, where, names = owner[own], (np.cumsum(shared) - 1)[where[own]], names[shared]
         total = np.zeros((len(sets), len(sets)), np.float32)
         for a in range(0, len(names), 4096):  # columns of the incidence matrix
             own = (where >= a) & (where < a + 4096)
@@ -120,6 +128,11 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return common * 1_000_000 >= t * (size[i] + size[j] - common)
 
 
+@functools.lru_cache(64)
+def _below(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_links (other documents linked directly), component_id (the smallest id reachable), kept (id = component_id).
 
@@ -158,44 +171,82 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
     members = dealt.join(shared, "_bucket").withColumn("_blocks", F.ceil(F.col("_m") / s.block).cast("int"))
     members = members.withColumn("_mine", F.pmod(F.xxhash64("_node"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = members.select("_bucket", "_band", "_node", "_mine", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y"))
-    tiles = scratch.save(tiles).join(classes.select("_node", "_sig", "_size"), "_node")
+    tiles = scratch.save(tiles)
+    parts = max(4 * partitions(spark), tiles.count() // 4000)  # many small tiles to a part, few large ones
+    part = F.pmod(F.xxhash64("_bucket", "_x", "_y"), F.lit(parts)).cast("int")
+    tiles = tiles.join(classes.select("_node", "_sig", "_size"), "_node")
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, x, y = int(pdf["_band"].iloc[0]), int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
+        """All tiles of a part: their surviving pairs."""
+        pdf = pdf.sort_values(["_bucket", "_x", "_y"], ignore_index=True)
         sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint16).reshape(len(pdf), s.values)
-        mine = pdf["_mine"].to_numpy()
-        if x == y:
-            every = np.arange(len(pdf))
-            i, j = candidates(sig, every, every, band, s)
-            i, j = i[i < j], j[i < j]
-        else:
-            i, j = candidates(sig, np.flatnonzero(mine == x), np.flatnonzero(mine == y), band, s)
-        if not len(i):
-            return pd.DataFrame({"_bucket": [], "_x": [], "_y": [], "_k": [], "_node": [], "_size": [], "_pairs": []})
-        own, ij = np.unique(np.concatenate([i, j]), return_inverse=True)
-        pairs = [ij.astype("<i4").tobytes()] + [None] * (len(own) - 1)
-        return pd.DataFrame({"_bucket": pdf["_bucket"].iloc[0], "_x": x, "_y": y, "_k": np.arange(len(own)), "_node": pdf["_node"].to_numpy()[own], "_size": pdf["_size"].to_numpy()[own], "_pairs": pairs})
-
-    found = scratch.save(tiles.groupBy("_bucket", "_x", "_y").applyInPandas(prune, "_bucket long, _x int, _y int, _k int, _node long, _size long, _pairs binary"))
+        tile = pdf[["_bucket", "_x", "_y"]].to_numpy()
+        mine, x, y, band = (pdf[c].to_numpy() for c in ("_mine", "_x", "_y", "_band"))
+        edges = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1), True])
+        rows: list[pd.DataFrame] = []
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        n = 0
+
+        def settle() -> None:
+            i, j = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            yes = candidates(sig, i, j, band[i], s)
+            at = 0
+            for a, _, _ in held:
+                own = slice(at, at + len(a))
+                at += len(a)
+                if not yes[own].any():
+                    continue
+                k, ij = np.unique(np.concatenate([i[own][yes[own]], j[own][yes[own]]]), return_inverse=True)
+                pairs = [ij.astype("<i4").tobytes()] + [None] * (len(k) - 1)
+                rows.append(pdf.loc[k, ["_bucket", "_x", "_y", "_node", "_size"]].assign(_k=np.arange(len(k)), _pairs=pairs))
+            held.clear()
+
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if x[a] == y[a]:
+                i, j = _below(z - a)
+                held.append((a + i, a + j, a))
+            else:
+                left, right = a + np.flatnonzero(mine[a:z] == x[a]), a + np.flatnonzero(mine[a:z] == y[a])
+                held.append((np.repeat(left, len(right)), np.tile(right, len(left)), a))
+            n += len(held[-1][0])
+            if n > 1_000_000:
+                settle()
+                n = 0
+        if held:
+            settle()
+        return pd.concat(rows) if rows else pd.DataFrame({"_bucket": [], "_x": [], "_y": [], "_node": [], "_size": [], "_k": [], "_pairs": []})
+
+    found = scratch.save(tiles.groupBy(part.alias("_part")).applyInPandas(prune, "_bucket long, _x int, _y int, _k int, _node long, _size long, _pairs binary"))
 
     texts = _texts(spark, scratch, base, classes, found, s, key)
     placed = found.join(texts, "_node")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("_k").sort_values("_k")
-        sets = [shingles(t, s.n) for t in pdf["_text"]]
-        i, j = np.frombuffer(pdf["_pairs"].iloc[0], "<i4").reshape(2, -1)
-        yes = verified(sets, i, j, s.threshold)
-        i, j = i[yes], j[yes]
-        size, node = pdf["_size"].to_numpy(), pdf["_node"].to_numpy()
-        links = np.zeros(len(pdf), np.int64)
-        np.add.at(links, i, size[j])
-        np.add.at(links, j, size[i])
-        tree = forest(len(pdf), zip(i.tolist(), j.tolist(), strict=True))
-        one = pd.DataFrame({"a": node, "b": node, "n": links})
-        return pd.concat([one[one["n"] > 0], pd.DataFrame({"a": [node[p] for p, _ in tree], "b": [node[q] for _, q in tree], "n": 0})], ignore_index=True).astype("int64")
-
-    results = scratch.save(placed.groupBy("_bucket", "_x", "_y").applyInPandas(verify, "a long, b long, n long"))
+        """All tiles of a part: each text's number of links, and enough links to connect them."""
+        known: dict[int, np.ndarray] = {}
+        out = []
+        for _, tile in pdf.groupby(["_bucket", "_x", "_y"], sort=False):
+            tile = tile.drop_duplicates("_k").sort_values("_k")
+            size, node = tile["_size"].to_numpy(), tile["_node"].to_numpy()
+            for q, t in zip(node.tolist(), tile["_text"], strict=True):
+                if q not in known:
+                    known[q] = shingles(t, s.n)
+            sets = [known[q] for q in node.tolist()]
+            i, j = np.frombuffer(tile["_pairs"].iloc[0], "<i4").reshape(2, -1)
+            yes = verified(sets, i, j, s.threshold)
+            i, j = i[yes], j[yes]
+            if not len(i):
+                continue
+            links = np.zeros(len(tile), np.int64)
+            np.add.at(links, i, size[j])
+            np.add.at(links, j, size[i])
+            tree = np.array(forest(len(tile), zip(i.tolist(), j.tolist(), strict=True)))
+            own = links > 0
+            out += [np.stack([node[own], node[own], links[own]]), np.stack([node[tree[:, 0]], node[tree[:, 1]], np.zeros(len(tree), np.int64)])]
+        a, b, n = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": b, "n": n})
+
+    results = scratch.save(placed.groupBy(part.alias("_part")).applyInPandas(verify, "a long, b long, n long"))
     roots = components(spark, scratch, results.where("a <> b").select("a", "b"))
     links = results.where("a = b").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_links"))
     named = classes.select("_node", "_digest", "_rep", "_size").join(links, "_node", "left").join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
