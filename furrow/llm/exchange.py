@@ -64,6 +64,13 @@ def bucket_bits(keys: float) -> int:
     return max(0, math.ceil(math.log2(max(1.0, keys / BUCKET))))
 
 
+def trimmed(hashes: np.ndarray, keys: float) -> np.ndarray:
+    """Hashes cut to their leading bits, for a search that an exact comparison follows: as many as make a chance
+    agreement of one key with any of `keys` others rarer than 1 in 16,000."""
+    bits = min(64, math.ceil(math.log2(max(2.0, keys))) + 14)
+    return hashes & np.uint64(~((1 << (64 - bits)) - 1) & 0xFFFFFFFFFFFFFFFF)
+
+
 class Keys:
     """A chunk's keys in sorted order, each once."""
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm.common import WORD, Scratch, window_hashes, word_hashes
-from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, replies_of
+from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, replies_of, trimmed
 
 _word = re.compile(WORD)
 
@@ -56,7 +56,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
 
     def probes(texts: list[str]) -> tuple[list[np.ndarray], Keys, np.ndarray]:
         words = [word_hashes(t) for t in texts]
-        rolling = [window_hashes(w, block) for w in words]
+        rolling = [trimmed(window_hashes(w, block), n_chunks * chunk / 6) for w in words]
         keys = Keys(np.concatenate([*rolling, np.zeros(0, np.uint64)]))
         grid = np.concatenate([*(np.arange(len(r)) % block == 0 for r in rolling), np.zeros(0, bool)])
         indexed = np.zeros(len(keys.keys), bool)
