@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import jaccard, neardup, packing, passages, pii, quality, substrings, token_counts, toxicity
+from furrow.llm import jaccard, neardup, packing, passages, pii, piece_scan, quality, substrings, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The key of the surrogates; a deployment passes its own secret to pii.pseudonymise.
 PII_KEY = b"furrow demonstration key"
@@ -53,11 +54,15 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_bytes(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_scan.encode_decode(spark, table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_surrogates, op3_embedding_near_dedup, op4_token_counts, op5_toxicity, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_surrogates, op3_embedding_near_dedup, op4_token_counts, op5_toxicity, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_piece_scan, op10_quality_rules)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
