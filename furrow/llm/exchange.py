@@ -71,6 +71,20 @@ def trimmed(hashes: np.ndarray, keys: float) -> np.ndarray:
     return hashes & np.uint64(~((1 << (64 - bits)) - 1) & 0xFFFFFFFFFFFFFFFF)
 
 
+def exact_bits(keys: float) -> int:
+    """Bits of hash with which two different of `keys` strings agree with a chance of about 1 in 8,000."""
+    return math.ceil(2 * math.log2(max(2.0, keys))) + 12
+
+
+def exact_keys(one: np.ndarray, two, keys: float) -> Keys:
+    """The keys of an exact comparison: as much of a first hash as the number of strings needs, and where its 64 bits don't do,
+    16 bits of a second one, which two() makes."""
+    bits = exact_bits(keys)
+    if bits > 64:
+        return Keys(one, (two() >> np.uint64(48)).astype(np.uint16))
+    return Keys(one & np.uint64(~((1 << (64 - bits)) - 1) & 0xFFFFFFFFFFFFFFFF))
+
+
 class Keys:
     """A chunk's keys in sorted order, each once."""
 

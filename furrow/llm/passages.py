@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm.common import WORD, Scratch, window_hashes, word_hashes
-from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, replies_of, trimmed
+from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
 
 _word = re.compile(WORD)
 
@@ -78,9 +78,10 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
         return i, len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
 
     def window_keys(words: list[np.ndarray], starts: list[np.ndarray]) -> Keys:
-        one = [window_hashes(w, window)[s] for w, s in zip(words, starts, strict=True)]
-        two = [window_hashes(w, window, 1)[s] for w, s in zip(words, starts, strict=True)]
-        return Keys(np.concatenate([*one, np.zeros(0, np.uint64)]), (np.concatenate([*two, np.zeros(0, np.uint64)]) >> np.uint64(48)).astype(np.uint16))
+        def hashes(which: int) -> np.ndarray:
+            return np.concatenate([*(window_hashes(w, window, which)[s] for w, s in zip(words, starts, strict=True)), np.zeros(0, np.uint64)])
+
+        return exact_keys(hashes(0), lambda: hashes(1), n_chunks * chunk / 6)
 
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Texts without a hit are done; the others go on, with their windows near hits."""

@@ -9,7 +9,7 @@ of `width` bytes that occurs twice holds such a run, and only strings that hold
 
 The bytes at the ends of phrases are settled exactly: stretches from phrase to phrase that are longer than `width` and
 occur twice are repeated throughout, and only one place sends their strings on; all other strings of `width`
-bytes near a repeated run are compared by their hashes (64 and 16 bits).
+bytes near a repeated run are compared by their hashes.
 """
 
 from __future__ import annotations
@@ -24,27 +24,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm.common import Scratch, _powers, mix64, squeeze, unsqueeze, window_hashes
-from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, replies_of
+from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
 from furrow.llm.passages import _typed, covered
 from furrow.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of a gram; grams of the window whose least ends a phrase; phrases in a row that a repeat holds at least;
 #: phrases on either side of a meeting point. A repeat of `width` bytes parses alike but for WINDOW - 1 grams at each
 #: end, so it holds RUN whole phrases of at most WINDOW grams if width - GRAM + 1 - 2 * (WINDOW - 1) >= (RUN + 1) * WINDOW.
-GRAM, WINDOW, RUN, AROUND = 8, 64, 3, 3
+GRAM, WINDOW, RUN, AROUND = 8, 64, 3, 2
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
-    """The least (or largest) of each `width` values in a row."""
-    n = len(x) - width + 1
-    if n <= 0:
-        return x[:0]
-    pad = np.resize(x[-1:], -(-len(x) // width) * width)
-    pad[: len(x)] = x
-    blocks = pad.reshape(-1, width)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    behind = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[:n], ahead[width - 1 : width - 1 + n])
+    """The least (or largest) of each `width` values in a row, a power of two: by doubling."""
+    k = 1
+    while k < width and len(x) > k:
+        x = op(x[:-k], x[k:])
+        k *= 2
+    return x if k == width else x[:0]
 
 
 @dataclass
@@ -54,18 +50,28 @@ class Parsed:
     grams: np.ndarray
     at: np.ndarray
     phrases: np.ndarray
+    total: np.ndarray  # of the hash polynomial, up to each gram
     stretches: np.ndarray  # from the start of phrase i to the end of a later one, past `width` bytes from the start of phrase i + 1
     n: int
 
+    def strings(self, starts: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+        """Hashes of the strings of `width` bytes from the starts."""
+        k = width - GRAM + 1
+        if which:
+            return window_hashes(self.grams, k, which)[starts]
+        down = _powers[0].upto(len(self.grams) + 1)[1]
+        return mix64((self.total[starts + k] - self.total[starts]) * down[starts])
+
 
 def parse(b: bytes, width: int) -> Parsed:
     none = np.zeros(0, np.uint64)
     if len(b) < width:
-        return Parsed(none, np.zeros(0, np.int64), none, none, len(b))
+        return Parsed(none, np.zeros(0, np.int64), none, none, none, len(b))
     g = mix64(np.ndarray((len(b) - GRAM + 1,), "<u8", b, strides=(1,)))
-    least = sliding(np.minimum, g, WINDOW)
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    chosen = sliding(np.maximum, np.concatenate([edge, least, edge]), WINDOW) == g
+    top = (g >> np.uint64(32)).astype(np.uint32)
+    least = np.zeros(len(g) + WINDOW - 1, np.uint32)
+    least[WINDOW - 1 : len(g)] = sliding(np.minimum, top, WINDOW)
+    chosen = sliding(np.maximum, least, WINDOW) == top
     chosen[0] = chosen[-1] = True
     at = np.flatnonzero(chosen)
     down = _powers[0].upto(len(g) + 1)[1]
@@ -78,7 +84,7 @@ def parse(b: bytes, width: int) -> Parsed:
 
     end = np.searchsorted(at, at[1:] + width - GRAM)
     whole = end < len(at)
-    return Parsed(g, at, between(at[:-1], at[1:]), between(at[:-1][whole], at[end[whole]]), len(b))
+    return Parsed(g, at, between(at[:-1], at[1:]), total, between(at[:-1][whole], at[end[whole]]), len(b))
 
 
 def runs(twice: np.ndarray, length: int = RUN) -> np.ndarray:
@@ -124,7 +130,7 @@ class Meetings:
         for b in range(1 << bits):
             i, j = at[b], at[b + 1]
             if i < j:
-                yield b, squeeze(zstandard.ZstdCompressor(level=1).compress(self.rows[i:j].tobytes()), np.packbits(self.times[i:j] > 1).tobytes())
+                yield b, squeeze(self.rows[i:j, AROUND].tobytes(), (np.delete(self.rows[i:j], AROUND, axis=1) >> np.uint64(32)).astype("<u4").tobytes(), np.packbits(self.times[i:j] > 1).tobytes())
 
     def repeated(self, bits: int, replies: list[tuple[int, bytes]]) -> np.ndarray:
         """For each phrase of the documents with gaps between them, whether it lies in a run that occurs twice."""
@@ -154,9 +160,9 @@ def meet(lists: list[bytes]) -> list[bytes]:
     """For each list of neighbourhoods, a byte for each: bit k says that its phrase k lies in a run of RUN phrases or more that
     another neighbourhood of the same point, or another place with the same one, has too."""
     parts = [unsqueeze(x) for x in lists]
-    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p[0]), np.uint64).reshape(-1, 2 * AROUND + 1) for p in parts]
+    rows = [np.insert(np.frombuffer(p[1], "<u4").reshape(-1, 2 * AROUND).astype(np.uint64), AROUND, np.frombuffer(p[0], np.uint64), axis=1) for p in parts]
     sizes = [len(r) for r in rows]
-    many = np.concatenate([np.unpackbits(np.frombuffer(p[1], np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)]).astype(np.int64)
+    many = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)]).astype(np.int64)
     rows = np.concatenate(rows)
     _, first, inverse = np.unique(row_hashes(rows), return_index=True, return_inverse=True)
     own, places = rows[first], np.bincount(inverse, weights=1 + many)
@@ -183,7 +189,7 @@ def meet(lists: list[bytes]) -> list[bytes]:
 
 def _mark_runs(own: np.ndarray, rows: np.ndarray, mark: np.ndarray) -> None:
     r = own[rows]
-    keyed = mix64(r ^ mix64(r[:, AROUND, None] + np.uint64(1)))  # a phrase counts only at its own meeting point
+    keyed = mix64(np.where(np.arange(2 * AROUND + 1) == AROUND, r >> np.uint64(32), r) ^ mix64(r[:, AROUND, None] + np.uint64(1)))  # a phrase counts only at its own meeting point
     text = np.concatenate([keyed, np.zeros((len(r), 1), np.uint64)], axis=1)
     real = np.concatenate([r != 0, np.zeros((len(r), 1), bool)], axis=1)
     drop = np.concatenate([r == 0, np.zeros((len(r), 1), bool)], axis=1)
@@ -220,7 +226,6 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
     store = scratch.save(chunks(docs, id_col, text_col, chunk))
     size = store.count() * chunk
     phrase_bits, meeting_bits, string_bits = bucket_bits(size / 24), bucket_bits(size / 8), bucket_bits(size / 8)
-    grams = width - GRAM + 1
     columns = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     result = f"_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     empty = [np.zeros(0, np.uint64)]
@@ -236,10 +241,19 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         raw = [t.encode("utf-8", "surrogatepass") for t in said]
         return ids, raw, [parse(b, width) for b in raw]
 
+    def string_keys(parsed: list[Parsed], picks: list[np.ndarray]) -> Keys:
+        def hashes(which: int) -> np.ndarray:
+            return np.concatenate([p.strings(k, width, which) for p, k in zip(parsed, picks, strict=True)] + empty)
+
+        return exact_keys(hashes(0), lambda: hashes(1), size / 4)
+
+    def phrase_keys(parsed: list[Parsed]) -> Keys:
+        return Keys(trimmed(np.concatenate([p.phrases for p in parsed] + empty), size / 24))
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, body in zip(b["_chunk"], b["_body"], strict=True):
-                rows = list(Keys(np.concatenate([p.phrases for p in read(body)[2]] + empty)).lists(phrase_bits))
+                rows = list(phrase_keys(read(body)[2]).lists(phrase_bits))
                 yield pd.DataFrame({"_chunk": c, "_bucket": [r[0] for r in rows], "_list": [r[1] for r in rows]})
 
     phrases = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"))
@@ -251,7 +265,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         if not len(left):
             return pd.DataFrame(columns=[*names, *columns])
         ids, raw, parsed = read(left["_body"].iloc[0])
-        keys = Keys(np.concatenate([p.phrases for p in parsed] + empty))
+        keys = phrase_keys(parsed)
         twice = keys.answers(phrase_bits, replies_of(right), 2)[0][keys.inverse]
         c, at, on, rows = left["_chunk"].iloc[0], 0, [], []
         for k, p in enumerate(parsed):
@@ -293,7 +307,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         once = np.zeros(len(keys.inverse), bool)
         once[np.unique(keys.inverse, return_index=True)[1]] = True
         sure, lead = twice[keys.inverse], lead[keys.inverse] & once
-        at, states, hashes, checks = 0, [], [], []
+        at, states, picks = 0, [], []
         for k, p in enumerate(parsed):
             n = len(p.stretches)
             certain, sends = sure[at : at + n], lead[at : at + n]
@@ -311,11 +325,9 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
                 # 2: repeated for certain; 3: so too, and compared by others with it
                 state[: len(own)] = np.where(own == 0, state[: len(own)], np.where((own == 3) & (state[: len(own)] == 0), 2, own))
             states.append(state)
-            pick = np.flatnonzero((state == 1) | (state == 3))
-            hashes.append(window_hashes(p.grams, grams)[pick])
-            checks.append((window_hashes(p.grams, grams, 1)[pick] >> np.uint64(48)).astype(np.uint16))
+            picks.append(np.flatnonzero((state == 1) | (state == 3)))
         c = left["_chunk"].iloc[0]
-        lists = list(Keys(np.concatenate(hashes + empty), np.concatenate(checks + [np.zeros(0, np.uint16)])).lists(string_bits))
+        lists = list(string_keys(parsed, picks).lists(string_bits))
         kept = squeeze(*(zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s in states))
         out = [pd.DataFrame({"_kind": 3, "_chunk": c, "_bucket": [x[0] for x in lists], "_list": [x[1] for x in lists]})]
         out.append(pd.DataFrame({"_kind": [4], "_chunk": [c], "_list": [kept], "_body": [left["_body"].iloc[0]]}))
@@ -331,9 +343,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
             ids, raw, parsed = read(left["_body"].iloc[0])
             states = [np.frombuffer(zstandard.ZstdDecompressor().decompress(s), np.uint8) for s in unsqueeze(left["_list"].iloc[0])]
             picks = [np.flatnonzero((s == 1) | (s == 3)) for s in states]
-            one = [window_hashes(p.grams, grams)[k] for p, k in zip(parsed, picks, strict=True)]
-            two = [(window_hashes(p.grams, grams, 1)[k] >> np.uint64(48)).astype(np.uint16) for p, k in zip(parsed, picks, strict=True)]
-            keys = Keys(np.concatenate(one + empty), np.concatenate(two + [np.zeros(0, np.uint16)]))
+            keys = string_keys(parsed, picks)
             twice = keys.answers(string_bits, replies_of(right), 2)[0][keys.inverse]
             at = 0
             for i, b, s, k in zip(ids, raw, states, picks, strict=True):
