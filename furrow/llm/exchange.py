@@ -27,8 +27,8 @@ from furrow.llm.common import pack, squeeze, unpack, unsqueeze
 CHUNK, BUCKET = 4 << 20, 2_000_000
 
 
-def chunk_body(ids: list, texts: list[str], kind: pa.DataType | None = None) -> bytes:
-    batch = pa.record_batch([pa.array(ids, kind), pa.array(texts, pa.large_string())], names=["id", "text"])
+def chunk_body(ids: list, texts: list[str]) -> bytes:
+    batch = pa.record_batch([pa.array(ids, pa.large_string()), pa.array(texts, pa.large_string())], names=["id", "text"])
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
@@ -46,7 +46,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> Da
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
-            for i, t in zip(b["_id"].astype(object).where(b["_id"].notna(), None), b["_text"], strict=True):
+            for i, t in zip(b["_id"], b["_text"], strict=True):
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
@@ -56,7 +56,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> Da
         if ids:
             yield pd.DataFrame({"_chunk": [(part << 32) + n], "_body": [chunk_body(ids, texts)]})
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return rows.mapInPandas(gather, "_chunk long, _body binary")
 
 

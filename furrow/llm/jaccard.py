@@ -145,7 +145,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
     bands = s.values // s.rows
     scratch = Scratch(spark)
     key = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -156,7 +156,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
             made = pd.DataFrame(rows, columns=["_digest", "_n", "_sig"], index=b.index)
             yield pd.concat([b[["_id"]], made], axis=1)
 
-    signed = scratch.save(base.mapInPandas(sign, f"_id {key}, _digest binary, _n int, _sig binary"))
+    signed = scratch.save(base.mapInPandas(sign, "_id string, _digest binary, _n int, _sig binary").withColumn("_id", F.col("_id").cast(key)))
     classes = signed.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_sig").alias("_sig"))
     classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()))
 
@@ -280,5 +280,5 @@ def _texts(spark: SparkSession, scratch: Scratch, base: DataFrame, classes: Data
             digest = [hashlib.blake2b(shingles(t, s.n).tobytes(), digest_size=16).digest() for t in own["_text"]]
             yield pd.DataFrame({"_rep": own["_id"], "_digest": digest, "_text": own["_text"]})
 
-    some = base.withColumn("_place", F.pmod(F.xxhash64("_id"), F.lit(MAP_BITS))).mapInPandas(pick, f"_rep {key}, _digest binary, _text string")
+    some = base.withColumn("_place", F.pmod(F.xxhash64(F.col("_id").cast(key)), F.lit(MAP_BITS))).mapInPandas(pick, "_rep string, _digest binary, _text string").withColumn("_rep", F.col("_rep").cast(key))
     return scratch.save(some.join(wanted, ["_digest"]).where(some["_rep"].eqNullSafe(wanted["_rep"])).select("_node", "_text"))

@@ -89,7 +89,7 @@ def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_
     s = s or Settings()
     scratch = Scratch(spark)
     key = vectors.schema[id_col].dataType.simpleString()
-    base = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
+    base = vectors.select(F.col(id_col).cast("string").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     sizes = base.where(F.size("_v") > 0).groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     size = sizes[0]["d"] if sizes else 1
 
@@ -99,7 +99,7 @@ def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_
             rows = [None if u is None else (u + 0.0).tobytes() for u in units]
             yield pd.DataFrame({"_id": b["_id"], "_unit": rows, "_digest": [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in rows]})
 
-    scaled = scratch.save(base.mapInPandas(scale, f"_id {key}, _unit binary, _digest binary"))
+    scaled = scratch.save(base.mapInPandas(scale, "_id string, _unit binary, _digest binary").withColumn("_id", F.col("_id").cast(key)))
     classes = scaled.where("_digest is not null").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_unit").alias("_unit"))
     classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()))
     count = classes.count()

@@ -101,9 +101,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", "_rank"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = rows.mapInPandas(cut, f"_id {key}, piece int, start long, length long, ids_crc32 long, _rank long")
-    return out.withColumn("_chunk", F.spark_partition_id())
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    out = rows.mapInPandas(cut, "_id string, piece int, start long, length long, ids_crc32 long, _rank long")
+    return out.withColumn("_id", F.col("_id").cast(key)).withColumn("_chunk", F.spark_partition_id())
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD, Scratch, window_hashes, word_hashes
 from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
@@ -71,7 +72,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
                 yield pd.DataFrame({"_chunk": c, "_bucket": [r[0] for r in rows], "_list": [r[1] for r in rows]})
 
     hits = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"))
-    result = f"_id {key}, n_words long, n_removed long, kept_sha256 string"
+    result = "_id string, n_words long, n_removed long, kept_sha256 string"
 
     def done(i, words: list[str], gone: np.ndarray | None) -> tuple:
         kept = words if gone is None else [w for w, g in zip(words, gone, strict=True) if not g]
@@ -135,7 +136,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
     rest = mixed.where("_bucket = -1").select("_chunk", "_body", "_list")
     last = rest.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInPandas(finish, result)
     first = mixed.where("_bucket is null").select("_id", "n_words", "n_removed", "kept_sha256")
-    return first.unionByName(last).withColumnRenamed("_id", id_col)
+    return first.unionByName(last).withColumn("_id", F.col("_id").cast(key)).withColumnRenamed("_id", id_col)
 
 
 def _typed(f):
@@ -146,8 +147,6 @@ def _typed(f):
         for c in ("_kind", "_chunk", "_bucket", "n_words", "n_removed", "n_bytes", "n_spans"):
             if c in out:
                 out[c] = out[c].astype("Int64")
-        if "_id" in out and len(out) and pd.api.types.is_float_dtype(out["_id"]):
-            out["_id"] = out["_id"].astype("Int64")
         return out
 
     return run

@@ -263,9 +263,9 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
     """
     scratch = Scratch(spark)
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     columns = ["_id", "n_pieces", "ids_crc32", "n_chunks", "round_trip", "ids"]
-    schema = f"_id {key}, n_pieces long, ids_crc32 long, n_chunks int, round_trip boolean, ids binary"
+    schema = "_id string, n_pieces long, ids_crc32 long, n_chunks int, round_trip boolean, ids binary"
 
     def result(i, text: str, body: bytes, n: int, m: Pieces) -> tuple:
         return i, len(body) // 4, crc(body), n, m.decode(body) == text, body if ids else None
@@ -319,5 +319,5 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
         return pd.DataFrame([result(i, t, body, len(right), m) for i, t in zip(left["_id"], left["_text"], strict=True)], columns=columns)
 
     long = giant.groupBy("_row").cogroup(traced.groupBy("_row")).applyInPandas(gather, schema)
-    out = short.unionByName(long).withColumnRenamed("_id", id_col)
+    out = short.unionByName(long).withColumn("_id", F.col("_id").cast(key)).withColumnRenamed("_id", id_col)
     return out if ids else out.drop("ids")

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,21 +239,21 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
     place = docs.columns.index(text_col)
 
     def apply(own: dict):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict = {}
             for b in batches:
-                extra = b["_attempts"] if "_attempts" in b else [None] * len(b)
-                made = [(t, 0) if t is None else rewrite(t, key, own if x is None else dict(((r["kind"], r["canon"]), r["attempt"]) for r in x), known) for t, x in zip(b.iloc[:, place], extra, strict=True)]
-                out = b.drop(columns="_attempts") if "_attempts" in b else b.copy()
-                out[out.columns[place]] = pd.Series([m[0] for m in made], index=out.index, dtype=object)
-                out["_entities"] = [m[1] for m in made]
-                yield out
+                joined = b.schema.names[-1] == "_attempts"
+                extra = b.column(b.num_columns - 1).to_pylist() if joined else [None] * b.num_rows
+                made = [(t, 0) if t is None else rewrite(t, key, own if x is None else {(r["kind"], r["canon"]): r["attempt"] for r in x}, known) for t, x in zip(b.column(place).to_pylist(), extra, strict=True)]
+                columns = b.columns[: len(b.columns) - joined]
+                columns[place] = pa.array([m[0] for m in made], pa.string())
+                yield pa.record_batch([*columns, pa.array([m[1] for m in made], pa.int64())], names=[*b.schema.names[: len(columns)], "_entities"])
 
         return run
 
     few = exceptions.limit(sent + 1).collect()
     if len(few) <= sent:
-        return docs.mapInPandas(apply({(r["kind"], r["canon"]): r["attempt"] for r in few}), schema)
+        return docs.mapInArrow(apply({(r["kind"], r["canon"]): r["attempt"] for r in few}), schema)
 
     def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,4 +263,4 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
     said = texts.select(F.sha2("text", 256).alias("_text"), "text").mapInPandas(mentions, "_text string, kind string, canon string").distinct()
     per = said.join(exceptions, ["kind", "canon"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_attempts"))
     joined = docs.withColumn("_text", F.sha2(F.col(text_col), 256)).join(scratch.save(per), "_text", "left").select(*[docs[c] for c in docs.columns], "_attempts")
-    return joined.mapInPandas(apply({}), schema)
+    return joined.mapInArrow(apply({}), schema)

@@ -111,9 +111,9 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, by: tuple[str, ...])
             yield pd.concat([b.drop(columns="_text"), made], axis=1)
 
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)])).alias("_fine"), F.to_json(F.struct(F.col(by[0]).cast("string").alias("k0"))).alias("_coarse"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)])).alias("_fine"), F.to_json(F.struct(F.col(by[0]).cast("string").alias("k0"))).alias("_coarse"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     longs = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return rows.mapInPandas(run, f"_id {key}, _fine string, _coarse string, {longs}, " + ", ".join(f"{c} double" for c in NAMES))
+    return rows.mapInPandas(run, f"_id string, _fine string, _coarse string, {longs}, " + ", ".join(f"{c} double" for c in NAMES)).withColumn("_id", F.col("_id").cast(key))
 
 
 def _distance(p: int):

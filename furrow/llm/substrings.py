@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.llm.common import Scratch, _powers, mix64, squeeze, unsqueeze, window_hashes
 from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
@@ -227,7 +228,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
     size = store.count() * chunk
     phrase_bits, meeting_bits, string_bits = bucket_bits(size / 24), bucket_bits(size / 8), bucket_bits(size / 8)
     columns = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    result = f"_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    result = "_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     empty = [np.zeros(0, np.uint64)]
 
     def done(i, b: bytes, starts: np.ndarray) -> tuple:
@@ -354,7 +355,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         return pd.DataFrame(rows, columns=columns)
 
     last = second.where("_kind = 4").select("_chunk", "_list", "_body").groupBy("_chunk").cogroup(strings.groupBy("_chunk")).applyInPandas(finish, result)
-    out = first.where("_kind is null").select(*columns).unionByName(last).withColumnRenamed("_id", id_col)
+    out = first.where("_kind is null").select(*columns).unionByName(last).withColumn("_id", F.col("_id").cast(key)).withColumnRenamed("_id", id_col)
     return out if texts else out.drop("kept_text")
 
 

@@ -31,7 +31,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             yield pd.DataFrame({"_id": b["_id"], "_bytes": b["_bytes"], "_n": n})
 
     key = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.select("_id", "_text", F.octet_length("_text").cast("long").alias("_bytes"))
-    out = rows.mapInPandas(count, f"_id {key}, _bytes long, _n long")
-    return out.select(F.col("_id").alias(id_col), F.col("_bytes").alias("n_bytes"), F.col("_n").alias("n_tokens"), (F.col("_n") > limit).alias("over_limit"))
+    out = rows.mapInPandas(count, "_id string, _bytes long, _n long")
+    return out.select(F.col("_id").cast(key).alias(id_col), F.col("_bytes").alias("n_bytes"), F.col("_n").alias("n_tokens"), (F.col("_n") > limit).alias("over_limit"))

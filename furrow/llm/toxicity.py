@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +55,6 @@ class Model:
     scale: list[float] = field(default_factory=list)
     constant: float | None = None  # the score of every text where the labels have one class or none
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
 
 def distinct(texts: list[str]) -> list[str]:
     """Without near copies of earlier ones, so that one text copied often doesn't pass for what many texts have in
@@ -196,14 +193,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [id_col, *keep]
     rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("_whole"))
     schema = rows.drop("_whole").withColumn("_score", F.lit(0.0)).schema
-    made = model.settings
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(Model(**vars(model) | {"settings": made}))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for b in batches:
-            yield b.drop(columns="_whole").assign(_score=[scorer(t) for t in b["_whole"]])
+            scores = pa.array([scorer(t) for t in b.column("_whole").to_pylist()], pa.float64())
+            yield b.drop_columns(["_whole"]).append_column("_score", scores)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def learns(id_col: str = "doc_id"):
