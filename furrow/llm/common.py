@@ -66,7 +66,13 @@ class Scratch:
         path = f"{self.path}/{self.n}"
         schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._furrow_path = path
+        return out
+
+    def drop(self, saved: DataFrame) -> None:
+        """Removes a saved table that nothing reads any more."""
+        _remove(self.spark, saved._furrow_path)
 
     def close(self) -> None:
         _remove(self.spark, self.path)

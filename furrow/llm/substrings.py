@@ -246,7 +246,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         def hashes(which: int) -> np.ndarray:
             return np.concatenate([p.strings(k, width, which) for p, k in zip(parsed, picks, strict=True)] + empty)
 
-        return exact_keys(hashes(0), lambda: hashes(1), size / 4)
+        return exact_keys(hashes(0), lambda: hashes(1), size / 32)
 
     def phrase_keys(parsed: list[Parsed]) -> Keys:
         return Keys(trimmed(np.concatenate([p.phrases for p in parsed] + empty), size / 24))
@@ -291,14 +291,14 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         pdf = pdf.sort_values("_chunk")
         return pd.DataFrame({"_chunk": pdf["_chunk"], "_bucket": pdf["_bucket"], "_reply": meet(pdf["_list"].to_list())})
 
+    scratch.drop(store)  # whatever is still needed of it is in `first`
     reply = "_chunk long, _bucket int, _reply binary"
     met = first.where("_kind = 0").groupBy("_bucket").applyInPandas(come, reply).selectExpr("0 as _kind", "*")
     stretched = answer(first.where("_kind = 1").select("_chunk", "_bucket", "_list")).selectExpr("1 as _kind", "*")
+    replies = scratch.save(met.unionByName(stretched))
 
-    def narrow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Which strings are repeated for certain, and which are still to compare."""
-        if not len(left):
-            return pd.DataFrame(columns=names)
+    def narrow(left: pd.DataFrame, right: pd.DataFrame) -> tuple:
+        """Of each text, which strings are repeated for certain (2, or 3 where others are compared with it) and which are to compare (1)."""
         ids, raw, parsed = read(left["_body"].iloc[0])
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p.phrases)).astype(bool) for f, p in zip(unsqueeze(left["_list"].iloc[0]), parsed, strict=True)]
         meetings = Meetings([(p.phrases, f) for p, f in zip(parsed, flags, strict=True)])
@@ -308,44 +308,45 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         once = np.zeros(len(keys.inverse), bool)
         once[np.unique(keys.inverse, return_index=True)[1]] = True
         sure, lead = twice[keys.inverse], lead[keys.inverse] & once
-        at, states, picks = 0, [], []
+        at, states = 0, []
         for k, p in enumerate(parsed):
             n = len(p.stretches)
             certain, sends = sure[at : at + n], lead[at : at + n]
             at += n
             m = p.n - width + 1
             near = np.zeros(m + 1, np.int64)
-            i = runs(inside[meetings.starts[k] : meetings.starts[k] + len(p.phrases)])
-            low, high = np.maximum(p.at[i + RUN] + GRAM - width, 0), np.minimum(p.at[i], m - 1) + 1
+            own = np.r_[0, inside[meetings.starts[k] : meetings.starts[k] + len(p.phrases)].astype(np.int8), 0]
+            first, last = np.flatnonzero(np.diff(own) == 1), np.flatnonzero(np.diff(own) == -1)
+            # A repeat parses alike but for WINDOW - 1 grams at its ends, so its first common phrase starts, and its last one ends, within 2 * (WINDOW - 1) of them.
+            low, high = np.maximum(p.at[first] - 2 * (WINDOW - 1), 0), np.minimum(p.at[last] - (width - GRAM - 2 * (WINDOW - 1)), m - 1) + 1
             np.add.at(near, low[low < high], 1)
             np.add.at(near, high[low < high], -1)
-            state = (np.cumsum(near)[:m] > 0).astype(np.uint8)  # 1: to compare
+            state = (np.cumsum(near)[:m] > 0).astype(np.uint8)
             if n:
-                own = np.repeat(certain.astype(np.uint8) * np.where(sends, 3, 2).astype(np.uint8), np.diff(p.at[: n + 1]))
-                own = own[:m]
-                # 2: repeated for certain; 3: so too, and compared by others with it
-                state[: len(own)] = np.where(own == 0, state[: len(own)], np.where((own == 3) & (state[: len(own)] == 0), 2, own))
+                known = np.repeat(np.where(certain, np.where(sends, 3, 2), 0).astype(np.uint8), np.diff(p.at[: n + 1]))[:m]
+                head = state[: len(known)]
+                head[:] = np.where(known == 0, head, np.where(head == 0, np.minimum(known, 2), known))
             states.append(state)
-            picks.append(np.flatnonzero((state == 1) | (state == 3)))
-        c = left["_chunk"].iloc[0]
+        picks = [np.flatnonzero((x == 1) | (x == 3)) for x in states]
+        return ids, raw, parsed, states, picks
+
+    def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["_chunk", "_bucket", "_list"])
+        _, _, parsed, _, picks = narrow(left, right)
         lists = list(string_keys(parsed, picks).lists(string_bits))
-        kept = squeeze(*(zstandard.ZstdCompressor(level=1).compress(s.tobytes()) for s in states))
-        out = [pd.DataFrame({"_kind": 3, "_chunk": c, "_bucket": [x[0] for x in lists], "_list": [x[1] for x in lists]})]
-        out.append(pd.DataFrame({"_kind": [4], "_chunk": [c], "_list": [kept], "_body": [left["_body"].iloc[0]]}))
-        return pd.concat(out, ignore_index=True).reindex(columns=names)
+        return pd.DataFrame({"_chunk": left["_chunk"].iloc[0], "_bucket": [x[0] for x in lists], "_list": [x[1] for x in lists]})
 
     on = first.where("_kind = 2").select("_chunk", "_list", "_body")
-    second = scratch.save(on.groupBy("_chunk").cogroup(met.unionByName(stretched).groupBy("_chunk")).applyInPandas(_typed(narrow), mixed))
-    strings = answer(second.where("_kind = 3").select("_chunk", "_bucket", "_list"))
+    strings = answer(on.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInPandas(_typed(send), "_chunk long, _bucket int, _list binary"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The states are found again rather than saved, as the lists of strings are by far the most that is written."""
         rows = []
         if len(left):
-            ids, raw, parsed = read(left["_body"].iloc[0])
-            states = [np.frombuffer(zstandard.ZstdDecompressor().decompress(s), np.uint8) for s in unsqueeze(left["_list"].iloc[0])]
-            picks = [np.flatnonzero((s == 1) | (s == 3)) for s in states]
+            ids, raw, parsed, states, picks = narrow(left, right)
             keys = string_keys(parsed, picks)
-            twice = keys.answers(string_bits, replies_of(right), 2)[0][keys.inverse]
+            twice = keys.answers(string_bits, replies_of(right[right["_kind"] == 3]), 2)[0][keys.inverse]
             at = 0
             for i, b, s, k in zip(ids, raw, states, picks, strict=True):
                 yes = s >= 2
@@ -354,7 +355,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
                 rows.append(done(i, b, np.flatnonzero(yes)))
         return pd.DataFrame(rows, columns=columns)
 
-    last = second.where("_kind = 4").select("_chunk", "_list", "_body").groupBy("_chunk").cogroup(strings.groupBy("_chunk")).applyInPandas(finish, result)
+    every = replies.unionByName(strings.selectExpr("3 as _kind", "*"))
+    last = on.groupBy("_chunk").cogroup(every.groupBy("_chunk")).applyInPandas(finish, result)
     out = first.where("_kind is null").select(*columns).unionByName(last).withColumn("_id", F.col("_id").cast(key)).withColumnRenamed("_id", id_col)
     return out if texts else out.drop("kept_text")
 
