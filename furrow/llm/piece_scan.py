@@ -37,6 +37,21 @@ State = tuple[int, str]
 CLEAN: State = (0, "")
 
 
+class _Parts(dict):
+    """The ids of parts between places where no piece can cross."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > CACHED:
+            self.clear()
+        p = self.pieces
+        self[part] = got = p.id_bytes(p.path(part))
+        return got
+
+
 class Pieces:
     """A BPE model's vocabulary as the sentencepiece library has it, and the paths over it."""
 
@@ -54,6 +69,8 @@ class Pieces:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(map(self.library.is_byte, self.bytes)):
             raise ValueError("a model without byte pieces isn't supported")
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
+        self.packed_bytes = [i.to_bytes(4, "little") for i in self.bytes]
         self.longest = max(map(len, self.score))
         self.text_of = [t.encode() for t in texts]
         for b, i in enumerate(self.bytes):
@@ -62,8 +79,14 @@ class Pieces:
             if self.library.is_control(i) or self.library.is_unknown(i):
                 self.text_of[i] = b""
         self.agreed: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.parts: dict[str, bytes] = {}
+        #: Pieces of several characters that are their own encoding, and the longest such by its last two characters.
+        self.standing = {t for t in self.score if len(t) > 1 and self.merged(t) == [t]}
+        self.reach: dict[str, int] = {}
+        self.ahead: dict[str, int] = {}  # and by its first two
+        for t in self.standing:
+            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
+            self.ahead[t[:2]] = max(self.ahead.get(t[:2], 0), len(t))
+        self.parts = _Parts(self)
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, for strings of two pieces at most: the best-scored pair first, the leftmost of equals."""
@@ -80,9 +103,7 @@ class Pieces:
 
     def stands(self, piece: str) -> bool:
         """Whether a piece is its own encoding."""
-        if piece not in self.own:
-            self.own[piece] = len(piece) == 1 or (piece in self.score and self.merged(piece) == [piece])
-        return self.own[piece]
+        return len(piece) == 1 or piece in self.standing
 
     def agree(self, a: str, b: str) -> bool:
         """Whether two pieces next to each other encode to just themselves."""
@@ -97,7 +118,7 @@ class Pieces:
         """For each place p up to the end, the last piece of the path from the state to p; None where no path leads.
 
         The text starts at the cut; a state's piece may reach into it."""
-        n, score, agree = len(text), self.score, self.agree
+        n, standing, reach, agreed, agree = len(text), self.standing, self.reach, self.agreed, self.agree
         back, first = state
         last: list[str | None] = [None] * (n + 1)
         begin = len(first) - back
@@ -105,14 +126,18 @@ class Pieces:
             return last
         last[begin] = first
         for p in range(begin + 1, n + 1):
-            for q in range(max(begin, p - self.longest), p):
+            for q in range(max(begin, p - reach.get(text[max(0, p - 2) : p], 1)), p):
                 u = last[q]
                 if u is None:
                     continue
                 t = text[q:p]
-                if (t in score or p - q == 1) and self.stands(t) and (not u or agree(u, t)):
-                    last[p] = t
-                    break
+                if t in standing or p - q == 1:
+                    yes = not u or agreed.get((u, t))
+                    if yes is None:
+                        yes = agree(u, t)
+                    if yes:
+                        last[p] = t
+                        break
         return last
 
     def trace(self, text: str, last: list[str | None], end: int, begin: int) -> list[str]:
@@ -123,25 +148,43 @@ class Pieces:
             end -= len(t)
         return out[::-1]
 
+    def path(self, text: str) -> list[str]:
+        """The one path of weight 0 over a whole part, the longest piece tried first. A place has only one such path to it, so one from
+        which the end can't be reached is not tried again."""
+        n, standing, ahead, agreed, out, dead = len(text), self.standing, self.ahead, self.agreed, [], set()
+        at, size = 0, min(n, ahead.get(text[:2], 1))
+        while at < n:
+            while size:
+                if at + size not in dead:
+                    t = text[at : at + size]
+                    if size == 1 or t in standing:
+                        yes = not out or agreed.get((out[-1], t))
+                        if yes is None:
+                            yes = self.agree(out[-1], t)
+                        if yes:
+                            break
+                size -= 1
+            if size:
+                out.append(t)
+                at += size
+                size = min(n - at, ahead.get(text[at : at + 2], 1))
+            else:
+                dead.add(at)
+                size = len(out.pop())
+                at -= size
+                size -= 1
+        return out
+
     def id_bytes(self, pieces: list[str]) -> bytes:
         out = []
         for t in pieces:
-            i = self.ids.get(t)
-            out += [i] if i is not None else [self.bytes[b] for b in t.encode("utf-8", "surrogatepass")]
-        return np.array(out, "<u4").tobytes()
-
-    def part_bytes(self, part: str) -> bytes:
-        """The ids of one part, between places where no piece can cross."""
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) > CACHED:
-                self.parts.clear()
-            got = self.parts[part] = self.id_bytes(self.trace(part, self.last_pieces(part), len(part), 0))
-        return got
+            i = self.packed.get(t)
+            out += [i] if i is not None else [self.packed_bytes[b] for b in t.encode("utf-8", "surrogatepass")]
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text of one chunk."""
-        return b"".join(map(self.part_bytes, _PART.findall(self.library.normalize(text))))
+        return b"".join(map(self.parts.__getitem__, _PART.findall(self.library.normalize(text))))
 
     def decode(self, ids: bytes) -> str:
         body = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(_SPACE, " ")
@@ -220,7 +263,7 @@ class Pieces:
         head = self.trace(text, self.last_pieces(text[:first], a), first, reach)
         middle = _PART.findall(text[first:tail])
         rest = self.trace(text[tail:cut], self.last_pieces(text[tail:cut]), end - tail, 0)
-        return self.id_bytes(head) + b"".join(map(self.part_bytes, middle)) + self.id_bytes(rest + final)
+        return self.id_bytes(head) + b"".join(map(self.parts.__getitem__, middle)) + self.id_bytes(rest + final)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
