@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from furrow.plans import core  # noqa: F401  lists its queries
+from furrow.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "I5_profile_score"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
