@@ -166,7 +166,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash; starts anew when large, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import Scratch
 
 #: Characters of a chunk; longer texts are giant. Entries of a worker's caches, which start anew beyond.
-CHUNK, CACHED = 32_768, 1_000_000
+CHUNK, CACHED = 32_768, 600_000
 
 _SPACE = "▁"
 #: No piece crosses from another character to a space mark, which is checked when the model is loaded, so parts end there.

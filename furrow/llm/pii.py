@@ -183,7 +183,7 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int], known:
         k = (kind, canon)
         n = attempts.get(k, 0)
         if (*k, n) not in known:
-            if len(known) > 200_000:
+            if len(known) > 50_000:
                 known.clear()
             known[(*k, n)] = surrogate(key, kind, canon, n)
         out += [text[end:a], shaped(kind, text[a:b], known[(*k, n)])]
