@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch
+from furrow.llm.common import Scratch, fresh
 
 # Given names by gender and script, family names by script, forms of address by gender.
 GIVEN = {
@@ -217,15 +217,15 @@ def settle(spark: SparkSession, scratch: Scratch, found: DataFrame, key: bytes,
 SENT = 20_000
 
 
-def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str = "text", sent: int = SENT) -> DataFrame:
-    """All rows and columns of docs with the texts rewritten, and _entities (long): how many were replaced.
+def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str = "text", sent: int = SENT, count_col: str = "n_entities") -> DataFrame:
+    """All rows and columns of docs with the texts rewritten, and a last column count_col (long): how many entities were replaced. It takes an
+    underscore in front if the table has a column of that name.
 
     Null texts stay null with 0 entities, empty ones empty; repeated rows are each rewritten alike; null ids
     don't matter, as rows aren't looked up by id. An empty table gives none. Only distinct entities, and
     beyond `sent` exceptions the texts that mention one, are shuffled.
     """
-    if "_entities" in docs.columns:
-        docs = docs.drop("_entities")
+    count_col, hash_col, tries_col = fresh(docs, count_col, "_hash", "_attempts")
     scratch = Scratch(spark)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
@@ -235,19 +235,19 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
             yield pd.DataFrame(list(rows), columns=["kind", "canon"])
 
     exceptions = settle(spark, scratch, texts.mapInPandas(detect, "kind string, canon string").distinct(), key)
-    schema = docs.withColumn("_entities", F.lit(0).cast("long")).schema
+    schema = docs.withColumn(count_col, F.lit(0).cast("long")).schema
     place = docs.columns.index(text_col)
 
     def apply(own: dict):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict = {}
             for b in batches:
-                joined = b.schema.names[-1] == "_attempts"
+                joined = b.schema.names[-1] == tries_col
                 extra = b.column(b.num_columns - 1).to_pylist() if joined else [None] * b.num_rows
                 made = [(t, 0) if t is None else rewrite(t, key, own if x is None else {(r["kind"], r["canon"]): r["attempt"] for r in x}, known) for t, x in zip(b.column(place).to_pylist(), extra, strict=True)]
                 columns = b.columns[: len(b.columns) - joined]
                 columns[place] = pa.array([m[0] for m in made], pa.string())
-                yield pa.record_batch([*columns, pa.array([m[1] for m in made], pa.int64())], names=[*b.schema.names[: len(columns)], "_entities"])
+                yield pa.record_batch([*columns, pa.array([m[1] for m in made], pa.int64())], names=[*b.schema.names[: len(columns)], count_col])
 
         return run
 
@@ -261,6 +261,6 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
             yield pd.DataFrame(rows, columns=["_text", "kind", "canon"])
 
     said = texts.select(F.sha2("text", 256).alias("_text"), "text").mapInPandas(mentions, "_text string, kind string, canon string").distinct()
-    per = said.join(exceptions, ["kind", "canon"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_attempts"))
-    joined = docs.withColumn("_text", F.sha2(F.col(text_col), 256)).join(scratch.save(per), "_text", "left").select(*[docs[c] for c in docs.columns], "_attempts")
+    per = said.join(exceptions, ["kind", "canon"]).groupBy(F.col("_text").alias(hash_col)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(tries_col))
+    joined = docs.withColumn(hash_col, F.sha2(F.col(text_col), 256)).join(scratch.save(per), hash_col, "left").select(*docs.columns, tries_col)
     return joined.mapInArrow(apply({}), schema)

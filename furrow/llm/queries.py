@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from furrow.llm import jaccard, neardup, packing, passages, pii, piece_scan, quality, substrings, token_counts, toxicity
 
@@ -27,7 +26,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    return out.select("doc_id", F.col("_entities").alias("n_entities"), "text")
+    return out.select("doc_id", "n_entities", "text")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

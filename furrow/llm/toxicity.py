@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD
+from furrow.llm.common import WORD, fresh
 
 
 @dataclass(frozen=True)
@@ -185,20 +185,21 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, s: Settings | None = No
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: its id, the columns in `keep`, and _score (0 to 1). One map over whole texts, no shuffle.
+    """Per row: its id, the columns in `keep`, and last its score (0 to 1; _score, or with more underscores if there is one). One map over whole texts, no shuffle.
 
     Null texts count as empty; an empty text is one empty window and gets a score too. Repeated rows give a
     row each, an empty table none; null ids stay null.
     """
     names = [id_col, *keep]
-    rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("_whole"))
-    schema = rows.drop("_whole").withColumn("_score", F.lit(0.0)).schema
+    whole, scored = fresh(docs, "_whole", "_score")
+    rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias(whole))
+    schema = rows.drop(whole).withColumn(scored, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            scores = pa.array([scorer(t) for t in b.column("_whole").to_pylist()], pa.float64())
-            yield b.drop_columns(["_whole"]).append_column("_score", scores)
+            scores = pa.array([scorer(t) for t in b.column(whole).to_pylist()], pa.float64())
+            yield b.drop_columns([whole]).append_column(scored, scores)
 
     return rows.mapInArrow(run, schema)
 
@@ -210,5 +211,5 @@ def learns(id_col: str = "doc_id"):
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (score >= 0.5)."""
-    out = score(docs, train(docs, labels, learns(), s))
+    out = score(docs.select("doc_id", "text"), train(docs, labels, learns(), s))
     return out.select("doc_id", F.coalesce(~learns(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
