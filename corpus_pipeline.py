@@ -19,7 +19,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a toxicity score below one half, by a model of the labelled ones among them."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learns())
     others = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, keep=others).where("_score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=others)
+    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
