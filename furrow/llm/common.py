@@ -52,11 +52,20 @@ def _end() -> None:
 atexit.register(_end)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand at a time, where the session still has Spark's own ten thousand: a batch is held several times over,
+    by Spark and by each worker. A session that sets another number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 class Scratch:
     """A folder of saved tables within the shared folder, removed when the process ends or on close()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.n = spark, 0
+        bounded_batches(spark)
         self.path = f"{shared_folder(spark)}/furrow-{uuid.uuid4().hex}"
         _made[self.path] = spark
 
@@ -177,7 +186,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash; starts anew when large, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.bpe import encoder
+from furrow.llm.common import bounded_batches
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,6 +31,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             n = [e.count(t) for t in b["_text"]]
             yield pd.DataFrame({"_id": b["_id"], "_bytes": b["_bytes"], "_n": n})
 
+    bounded_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.select("_id", "_text", F.octet_length("_text").cast("long").alias("_bytes"))

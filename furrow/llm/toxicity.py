@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD, fresh
+from furrow.llm.common import WORD, bounded_batches, fresh
 
 
 @dataclass(frozen=True)
@@ -190,6 +190,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts count as empty; an empty text is one empty window and gets a score too. Repeated rows give a
     row each, an empty table none; null ids stay null.
     """
+    bounded_batches(docs.sparkSession)
     names = [id_col, *keep]
     whole, scored = fresh(docs, "_whole", "_score")
     rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias(whole))
