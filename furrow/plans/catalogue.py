@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.plans import core, space  # noqa: F401  they list their queries
+from furrow.plans import core, kernels, space  # noqa: F401  they list their queries
 from furrow.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "I5_profile_score"
