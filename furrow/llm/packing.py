@@ -126,7 +126,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2
     )
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")
     offsets = counts.select("length", "_chunk", before.alias("_before"))
-    ranked = saved.join(offsets, ["length", "_chunk"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = saved.join(offsets.hint("merge"), ["length", "_chunk"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     # The slots have at most a row for each length and combination, and each combination uses a length up: some thousands of rows.
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (ranked["_rank"] >= slots["_from"]) & (ranked["_rank"] < slots["_to"])).drop(slots["length"])
     rel = F.col("_rank") - F.col("_from")
