@@ -46,7 +46,7 @@ def _(spark, d):
     return _halfspaces(spark, d).mapInPandas(run, "id long, top double, below double")
 
 
-@query("E3_halfspace", "SELECT p_partkey AS id, round(p_size * 5.0, 3) AS ec FROM part")
+@query("E3_halfspace", "SELECT p_partkey AS id, CAST(p_size * 5 AS DOUBLE) AS ec FROM part")
 def _(spark, d):
     # A round trip: the responses of known half-spaces give their conductivities again.
     def run(batches):

