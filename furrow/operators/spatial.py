@@ -160,3 +160,15 @@ def low_pass(grid: DataFrame, size: int, nx: int, ny: int, z: str = "z") -> Data
     df = one_way(one_way(df, "ix", nx), "iy", ny)
     return df.select(F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.try_divide("_s", "_n").alias("smooth"))
 
+
+
+def filtered(grid: DataFrame, kind: str, size: int, nx: int, ny: int) -> DataFrame:
+    """The grid (iy, ix, z) smoothed, or without its smoothed self; blank nodes of a high pass stay blank."""
+    if kind == "none":
+        return grid
+    if kind not in ("low-pass", "high-pass"):
+        raise ValueError(f"no filter {kind!r}; spikes of a grid are furrow.operators.gridders.despiked_grid")
+    smooth = low_pass(grid, size, nx, ny)
+    if kind == "low-pass":
+        return smooth.withColumnRenamed("smooth", "z")
+    return grid.join(smooth, ["iy", "ix"]).withColumn("z", F.col("z") - F.col("smooth")).drop("smooth")

@@ -10,13 +10,14 @@ from furrow.functions import physics as E
 from furrow.operators import aggregates as A
 from furrow.operators import gridders as G
 from furrow.operators import inversion as V
+from furrow.operators import positions as Q
 from furrow.operators import prepare as R
 from furrow.operators import profiles as P
 from furrow.operators import soil as Z
 from furrow.operators import spatial as S
 from furrow.plans.registry import query, r6
-from furrow.plans.space import SPEC, _blocks
-from furrow.plans.views import area, points, readings, table
+from furrow.plans.space import NODES, SPEC, _blocks
+from furrow.plans.views import BLOCKS, area, points, readings, table
 from furrow.sources import tables as T
 
 F3 = [1525.0, 5325.0, 18325.0]
@@ -233,3 +234,54 @@ def _(spark, d):
 def _(spark, d):
     items = table(spark, d, "lineitem")
     return spark.createDataFrame([(c,) for c in T.whole_number_columns(items, ["l_quantity", "l_extendedprice"])], "column string")
+
+
+@query("T6_degrees", "SELECT c_nationkey % 3 AS k, coalesce(max(lon) - min(lon) < 0.05 AND max(lat) - min(lat) < 0.05 AND max(abs(lon)) <= 180 AND max(abs(lat)) <= 90, false) AS degrees FROM (SELECT c_nationkey, CASE c_nationkey % 3 WHEN 0 THEN 23 + (c_custkey % 40) / 1000 WHEN 1 THEN 23 + c_custkey % 40 ELSE 500.01 END AS lon, 37 + (c_custkey % 30) / 1000 AS lat FROM customer) GROUP BY 1")
+def _(spark, d):
+    k = F.col("c_nationkey") % 3
+    p = table(spark, d, "customer").select(k.alias("k"), F.when(k == 0, 23 + (F.col("c_custkey") % 40) / 1000).when(k == 1, 23.0 + F.col("c_custkey") % 40).otherwise(500.01).alias("lon"), (37 + (F.col("c_custkey") % 30) / 1000).alias("lat"))
+    return p.groupBy("k").agg(Q.degree_like("lon", "lat").alias("degrees"))
+
+
+@query("T10_local_metres", "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 > 0 THEN 23 + (c_custkey % 1000) / 1e5 END AS lon, CASE WHEN c_custkey % 50 > 0 THEN 37 + (c_custkey % 777) / 1e5 END AS lat FROM customer), o AS (SELECT avg(lon) AS lon0, avg(lat) AS lat0 FROM p) SELECT id, round(radians(lon - lon0) * 6371008.8 * cos(radians(lat0)), 5) AS x, round(radians(lat - lat0) * 6371008.8, 5) AS y FROM p, o")
+def _(spark, d):
+    p = table(spark, d, "customer")
+    fix = F.col("c_custkey") % 50 > 0
+    p = p.select(F.col("c_custkey").alias("id"), F.when(fix, 23 + (F.col("c_custkey") % 1000) / 1e5).otherwise(0.0).alias("Lon"), F.when(fix, 37 + (F.col("c_custkey") % 777) / 1e5).otherwise(0.0).alias("Lat"))
+    return Q.with_metres(p)[0].select("id", F.round("x_m", 5).alias("x"), F.round("y_m", 5).alias("y"))
+
+
+@query("A29_depth_by_channel")
+def _(spark, d):
+    m = points(spark, d).groupBy("label").agg(A.median("value").alias("ec")).where("ec > 0")
+    hz = {"click": 1525.0, "error": 5325.0, "purchase": 9825.0, "signup": 18325.0, "view": 63025.0}
+    rows = [(r["label"], hz[r["label"]], r["ec"], E.depth_of_investigation(hz[r["label"]], r["ec"] / 1000)) for r in m.collect()]  # one row a channel
+    return spark.createDataFrame(rows, "label string, hz double, ec double, depth double")
+
+
+@query("G17_high_pass", f"WITH {BLOCKS}, {NODES}, k AS (SELECT nodes.iy, nodes.ix, least(greatest(nodes.iy + dy, 0), 9) AS jy, least(greatest(nodes.ix + dx, 0), 19) AS jx FROM nodes, (SELECT unnest(range(5)) - 2 AS dy) a, (SELECT unnest(range(5)) - 2 AS dx) b), m AS (SELECT k.iy, k.ix, avg(v) AS s FROM k LEFT JOIN blocks ON blocks.iy = jy AND blocks.ix = jx GROUP BY 1, 2) SELECT m.iy, m.ix, round(v - s, 4) AS z FROM m LEFT JOIN blocks ON blocks.iy = m.iy AND blocks.ix = m.ix")
+def _(spark, d):
+    b = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
+    g = S.grid_nodes(SPEC, spark).select("iy", "ix").join(b, ["iy", "ix"], "left")
+    return S.filtered(g, "high-pass", 5, 20, 10).select("iy", "ix", F.round("z", 4).alias("z"))
+
+
+@query("I6_mixed_methods", "SELECT 'EC' AS mode, 3::BIGINT AS between, 2::BIGINT AS \"within\"")
+def _(spark, d):
+    # Channels whose lines are passes of one track, and channels whose lines are tracks of their own.
+    p = points(spark, d)
+    a = P.scored(p.where("label in ('click', 'error', 'view')"), 4.0, ["label"])
+    b = P.scored(p.where("label not in ('click', 'error', 'view')").withColumn("track", F.col("line")), 4.0, ["label"], track="track")
+    return P.mixed_methods(a.unionByName(b).withColumn("mode", F.lit("EC")))
+
+
+@query("E5_recompute_heights")
+def _(spark, d):
+    def run(batches):
+        for b in batches:
+            z = E.forward_ppm([5325.0], b["sigma"].to_numpy()[:, None], heights=b["height"].to_numpy())[:, 0]
+            yield b.assign(i=z.real, q=z.imag)
+
+    p = _halfspaces(spark, d).withColumn("height", F.bround(0.8 + (F.col("id") % 20) / 50, 2))
+    p = p.mapInPandas(run, "id long, sigma double, height double, i double, q double")
+    return V.recomputed(p, 5325.0, "i", "q", "height").select("id", "height", "ec", "ms")

@@ -145,3 +145,18 @@ def test_follow_reads_each_file_once(spark, tmp_path):
     for _ in range(2):
         follow(spark, f"{tmp_path}/in", df.schema, lambda b, k: seen.append(b.count()), f"{tmp_path}/at").awaitTermination(60)
     assert sum(seen) == 10
+
+
+def test_choice_of_positions(spark):
+    from furrow.operators import positions as Q
+
+    rows = [(23 + k * 1e-4, 37.0, float(k), 2.0) for k in range(12)]
+    df = spark.createDataFrame(rows, "Lon double, LATITUDE double, X double, Y double")
+    assert Q.choose(df) == Q.Choice("Lon", "LATITUDE", True)
+    assert Q.choose(df.limit(9)) == Q.Choice("X", "Y", False)
+    assert Q.choose(df.select("X", "Y"), "degrees").is_degrees
+    with pytest.raises(ValueError):
+        Q.choose(df.select("X"))
+    assert Q.with_metres(df, utm=True)[2] == 32634 and Q.epsg_problem(2100) and Q.epsg_problem(32634) is None
+    assert Q.layers([{"thickness": 1.0, "ec": 20.0, "ms": None}, {"ec": None}, {"ec": 50.0, "ms": 1.0}]) == ([0.02, 0.05], [0.0, 0.001], [1.0])
+    assert Q.frequencies("1525, 475; 1525") == [475.0, 1525.0]
