@@ -42,6 +42,8 @@ _TITLE = {t: g for g, ts in ADDRESS.items() for t in ts}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
 _TITLED = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? ({_CAP})(?: ({_CAP}))?")
 _NAMED = re.compile(rf"\b({'|'.join(sorted({n for v in GIVEN.values() for n in v} | {n.upper() for v in GIVEN.values() for n in v}, key=len, reverse=True))}) ({_CAP})")
+#: The same without a word's start in front: their first letters alone then tell where to look, which is much faster; what they find is looked at again.
+_MAYBE_TITLED, _MAYBE_NAMED = (re.compile(p.pattern.removeprefix(r"\b")) for p in (_TITLED, _NAMED))
 _MAIL_LEFT, _MAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
 _DIGITS = re.compile(r"[0-9]")
 _PATTERNS = (
@@ -72,7 +74,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 x = m["x"]
                 if valid is None or valid(x):
                     found.append((*m.span("x"), kind, x if kind == "secret" else x if kind == "ip" else re.sub(r"[^0-9+]", "", x)))
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if _MAYBE_TITLED.search(text) else ():
         g = _TITLE[m[1]]
         names = [k for k in (2, 3) if m[k]]
         if len(names) == 2 and m[2].casefold() in _GENDER:
@@ -82,7 +84,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(2), f"given-{g}-{script(m[2])}", m[2].casefold()))
             names = [3]
         found += [(*m.span(k), f"family-{script(m[k])}", m[k].casefold()) for k in names]
-    for m in _NAMED.finditer(text):
+    for m in _NAMED.finditer(text) if _MAYBE_NAMED.search(text) else ():
         found.append((*m.span(1), f"given-{_GENDER[m[1].casefold()]}-{script(m[1])}", m[1].casefold()))
         found.append((*m.span(2), f"family-{script(m[2])}", m[2].casefold()))
     out, end = [], 0
