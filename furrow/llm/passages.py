@@ -112,6 +112,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
 
     mixed = store.groupBy("_chunk").cogroup(hits.groupBy("_chunk")).applyInPandas(_typed(extend), "_chunk long, _bucket int, _list binary, _body binary, " + result)
     mixed = scratch.save(mixed)
+    scratch.drop(store)  # whatever is still needed of it is in `mixed`
     found = answer(mixed.where("_bucket >= 0").select("_chunk", "_bucket", "_list"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
