@@ -10,11 +10,13 @@ import zlib
 import numpy as np
 import regex
 
+from furrow.llm.common import keeps, using
+
 #: Fixed value: how byte-level BPE splits a text before its merges.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries a worker keeps; beyond it the cache starts anew, so that memory stays bounded.
-CACHED = 250_000
+CACHED = 600_000
 
 
 #: Texts of these characters alone are split by the faster built-in module, which gives the same parts for them:
@@ -32,10 +34,13 @@ class _Cache(dict):
         self.of, self.proven, self.merge = of, proven, tokenizer.model.tokenize
         self.letters = {b: c for b, c in _byte_letters().items()}
 
+    def reset(self) -> None:
+        self.clear()
+        self.update(self.proven)
+
     def __missing__(self, word: str):
         if len(self) > CACHED:
-            self.clear()
-            self.update(self.proven)
+            self.reset()
         self[word] = made = self.of([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
         return made
 
@@ -94,7 +99,8 @@ class Encoder:
     def id_bytes(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit numbers."""
         if self._ids is None:
-            self._ids = _Cache(self.tokenizer, lambda ids: np.array(ids, "<u4").tobytes(), {})
+            self._ids = keeps("bpe", _Cache(self.tokenizer, lambda ids: np.array(ids, "<u4").tobytes(), {}))
+        using("bpe")
         get, find = self._ids.__getitem__, self.pre_tokens
         if self.parts is None or not any(s in text for s in self.special):
             return b"".join(map(get, find(text)))
@@ -103,7 +109,8 @@ class Encoder:
     def count(self, text: str) -> int:
         """Tokens of the text: whole tokens count directly, only the other pre-tokens are merged."""
         if self._counts is None:
-            self._counts = _Cache(self.tokenizer, len, dict.fromkeys(self.whole_tokens(), 1))
+            self._counts = keeps("bpe", _Cache(self.tokenizer, len, dict.fromkeys(self.whole_tokens(), 1)))
+        using("bpe")
         get, find = self._counts.__getitem__, self.pre_tokens
         return sum(1 if p in self.special else sum(map(get, find(p))) for p in self._pieces(text))
 

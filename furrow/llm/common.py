@@ -182,6 +182,28 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: What workers keep from text to text, by operator family.
+_kept: dict[str, list] = {}
+_using = ""
+
+
+def keeps(family: str, cache):
+    """Enters a cache, which has reset(), under its family."""
+    _kept.setdefault(family, []).append(cache)
+    return cache
+
+
+def using(family: str) -> None:
+    """A worker that turns to another operator empties the caches of those before, as it may live through all of a pipeline."""
+    global _using
+    if family != _using:
+        for name, caches in _kept.items():
+            if name != family:
+                for c in caches:
+                    c.reset()
+        _using = family
+
+
 class _WordHashes(dict):
     """Word -> 64-bit hash; starts anew when large, so that memory stays bounded."""
 
@@ -192,11 +214,16 @@ class _WordHashes(dict):
         return h
 
 
+    def reset(self) -> None:
+        self.clear()
+
+
 _word = re.compile(WORD)
-_word_hashes = _WordHashes()
+_word_hashes = keeps("words", _WordHashes())
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word of a whole text, in order."""
+    using("words")
     words = _word.findall(text)
     return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))

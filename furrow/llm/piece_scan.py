@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch
+from furrow.llm.common import Scratch, keeps, using
 
 #: Characters of a chunk; longer texts are giant. Entries of a worker's caches, which start anew beyond.
 CHUNK, CACHED = 32_768, 600_000
@@ -44,6 +44,10 @@ class _Parts(dict):
         super().__init__()
         self.pieces = pieces
 
+    def reset(self) -> None:
+        self.clear()
+        self.pieces.agreed.clear()
+
     def __missing__(self, part: str) -> bytes:
         if len(self) > CACHED:
             self.clear()
@@ -86,7 +90,7 @@ class Pieces:
         for t in self.standing:
             self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
             self.ahead[t[:2]] = max(self.ahead.get(t[:2], 0), len(t))
-        self.parts = _Parts(self)
+        self.parts = keeps("pieces", _Parts(self))
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, for strings of two pieces at most: the best-scored pair first, the leftmost of equals."""
@@ -184,6 +188,7 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text of one chunk."""
+        using("pieces")
         return b"".join(map(self.parts.__getitem__, _PART.findall(self.library.normalize(text))))
 
     def decode(self, ids: bytes) -> str:
