@@ -106,10 +106,10 @@ def predicted(df: DataFrame, model: dict, name: str = "predicted") -> DataFrame:
     return df.withColumn(name, F.exp(v) if model["logs"] else v)
 
 
-def fuzzy_zones(df: DataFrame, features: list[str], c: int, m: float = 1.3, tol: float = 1e-6, most: int = 300, seed: int = 0, scratch=None) -> tuple[DataFrame, np.ndarray]:
+def fuzzy_zones(df: DataFrame, features: list[str], c: int, m: float = 1.3, tol: float = 1e-6, most: int = 300, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Fuzzy c-means. Each step is one aggregate of c * (k + 1) sums over the rows; the memberships follow from the centres by expressions, so
     nothing is kept between the steps but the centres. Zones are ordered by their first feature. Starts from c rows spread over a bounded hashed sample."""
-    z = df.dropna(subset=features)
+    z = df.dropna(subset=features).persist()  # read once for each step; lost parts are computed again
     sample = z.orderBy(F.xxhash64(F.lit(seed), *features)).limit(1000).select(*features).collect()
     if len(sample) < c:
         raise ValueError("fewer rows than zones")
