@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import jaccard, neardup, packing, passages, pii, piece_scan, quality, substrings, token_counts, toxicity
+from furrow.llm import jaccard, neardup, oracles, packing, passages, pii, piece_scan, quality, substrings, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,4 +64,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_surrogates, op3_embedding_near_dedup, op4_token_counts, op5_toxicity, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_piece_scan, op10_quality_rules)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": oracles.OP3, "op6_substring_dedup": oracles.OP6, "op7_ngram_jaccard_join": oracles.OP7, "op8_suffix_array_dedup": oracles.OP8}
