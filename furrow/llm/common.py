@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import math
 import re
 import struct
 import tempfile
@@ -13,7 +12,6 @@ import numpy as np
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words of a text, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,12 +172,6 @@ def unsqueeze(body: bytes) -> list[bytes]:
     return out
 
 
-def groups_for(total: float, each: float) -> int:
-    return max(1, math.ceil(total / each))
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
 
 
 #: What workers keep from text to text, by operator family.
