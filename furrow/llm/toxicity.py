@@ -32,17 +32,17 @@ class Settings:
     """width, stride: of a window, in bytes. often, ratio: see residue(). sample: labelled texts of each class that are fitted on, at most.
     longest: texts above so many characters are scored whole but not fitted on. size: of a dictionary."""
 
-    width: int = 64
-    stride: int = 44
+    width: int = 48
+    stride: int = 32
     sample: int = 3000
     longest: int = 20_000
-    size: int = 4096
+    size: int = 8192
     ordinary_size: int = 32_768
     segment: int = 16
     often: float = 0.02
     ratio: float = 5.0
     level: int = 3
-    match: int = 4
+    match: int = 6
 
 
 @dataclass
