@@ -35,7 +35,7 @@ class Settings:
     leaf: int = 256
     spill: float = 0.5
     sample: int = 20_000
-    block: int = 512
+    block: int = 1024
     seed: int = 11
 
 
