@@ -16,7 +16,7 @@ from furrow.llm.common import keeps, using
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries a worker keeps; beyond it the cache starts anew, so that memory stays bounded.
-CACHED = 600_000
+CACHED = 250_000
 
 
 #: Texts of these characters alone are split by the faster built-in module, which gives the same parts for them:

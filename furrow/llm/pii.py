@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, fresh
+from furrow.llm.common import Scratch, fresh, using
 
 # Given names by gender and script, family names by script, forms of address by gender.
 GIVEN = {
@@ -242,6 +242,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
 
     def apply(own: dict):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            using("pii")
             known: dict = {}
             for b in batches:
                 joined = b.schema.names[-1] == tries_col

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD, bounded_batches, fresh
+from furrow.llm.common import WORD, bounded_batches, fresh, using
 
 
 @dataclass(frozen=True)
@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = rows.drop(whole).withColumn(scored, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("toxicity")
         scorer = Scorer(model)
         for b in batches:
             scores = pa.array([scorer(t) for t in b.column(whole).to_pylist()], pa.float64())
