@@ -109,7 +109,8 @@ def model_rows(result: dict, distance: np.ndarray, thick: np.ndarray) -> pd.Data
 
 
 def invert_stations(stations: DataFrame, frequencies: list[float], key: str = "dist", group: str | None = None, lateral: float = 0.0, thick: np.ndarray | None = None) -> DataFrame:
-    """V4 over a table of stations (key, q array<double>): independent stations in Arrow batches, or with lateral > 0 one task for each transect."""
+    """V4 over a table of stations (key, q array<double>): independent stations in Arrow batches, or with lateral > 0 one task for each transect.
+    Independent stations of one batch with equal responses have equal models, which are found once."""
     thick = layer_grid() if thick is None else thick
     out = "ec double, z_from double, z_to double, layer int, dist double"
 
@@ -119,7 +120,11 @@ def invert_stations(stations: DataFrame, frequencies: list[float], key: str = "d
             raise ValueError(f"a transect of {len(pdf)} stations; {STATIONS} are allowed")
         q = np.array(pdf["q"].to_list(), float).reshape(len(pdf), -1)
         parts = [slice(0, len(pdf))] if lateral else [slice(k, k + 1) for k in range(len(pdf))]
-        rows = [model_rows(invert(frequencies, q[z], data_errors(q[z], None), thick, lateral=lateral), pdf[key].to_numpy(float)[z], thick) for z in parts]
+        models: dict[bytes, dict] = {}
+        for z in parts:
+            if q[z].tobytes() not in models:
+                models[q[z].tobytes()] = invert(frequencies, q[z], data_errors(q[z], None), thick, lateral=lateral)
+        rows = [model_rows(models[q[z].tobytes()], pdf[key].to_numpy(float)[z], thick) for z in parts]
         made = pd.concat(rows)[["ec", "z_from", "z_to", "layer", "dist"]]
         return made if group is None else made.assign(**{group: pdf[group].iloc[0]})
 

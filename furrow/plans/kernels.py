@@ -180,8 +180,9 @@ def _(spark, d):
 
 @query("V4_inversion")
 def _(spark, d):
-    s = _halfspaces(spark, d).where("id < 8").select(F.col("id").cast("double").alias("dist"), F.array(*[F.col("sigma") * 1000] * 3).alias("ec"))
-    return V.invert_stations(V.quadrature_from_ec(s, F3).select("dist", "q"), F3, thick=V.layer_grid(6.0, 6))
+    s = _halfspaces(spark, d).select(F.col("id").cast("double").alias("dist"), F.array(*[F.col("sigma") * 1000] * 3).alias("ec"))
+    q = V.quadrature_from_ec(s, F3).select("dist", "q").repartition(4 * spark.sparkContext.defaultParallelism, "q")  # equal responses meet
+    return V.invert_stations(q, F3, thick=V.layer_grid(6.0, 6))
 
 
 @query("C6_lag")
