@@ -20,6 +20,11 @@ def _samples(spark, d):
     return table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 1000) / 10).alias("x"), ((F.col("o_orderkey") % 500) / 10).alias("y"), F.col("o_totalprice").alias("ref"))
 
 
+def _sites(spark, d):
+    """All orders as reference values on the field."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 1000) / 10).alias("x"), ((F.col("o_orderkey") % 500) / 10).alias("y"), F.col("o_totalprice").alias("ref"))
+
+
 def _blocks(spark, d):
     return A.block_medians(area(spark, d), 5.0).select((F.col("iy") * 1000 + F.col("ix")).alias("id"), "x", "y", "v")
 
@@ -34,6 +39,11 @@ def _(spark, d):
     return rounded(S.radius_medians(_samples(spark, d), area(spark, d), 1.5), "value")
 
 
+@query("J1_radius_median_all")
+def _(spark, d):
+    return rounded(S.radius_medians(_sites(spark, d), area(spark, d), 1.5), "value")
+
+
 @query("J2_node_distance", f"WITH {BLOCKS}, {IDW} SELECT iy, ix, round(d, 6) AS d FROM grid")
 def _(spark, d):
     return S.node_distance(S.grid_nodes(SPEC, spark), _blocks(spark, d), ["iy", "ix"]).select("iy", "ix", r6("d", "d"))
@@ -52,6 +62,13 @@ def _(spark, d):
     return rounded(S.edge_offset(a, b, 1.5), "offset")
 
 
+@query("J4_edge_match_all")
+def _(spark, d):
+    p = area(spark, d).select("rid", "x", "y", "v", "year")
+    a, b = p.where("year = 1995").drop("year"), p.where("year = 1996").drop("year").withColumn("x", F.col("x") + 0.2)
+    return rounded(S.edge_offset(a, b, 1.5), "offset")
+
+
 @query("J6_mean_profiles", f"WITH {POINTS}, m AS (SELECT label, round_even(dist, 9) AS dist, avg(value) AS v FROM points GROUP BY 1, 2) SELECT dist, round(max(v) FILTER (label = 'click'), 6) AS click, round(max(v) FILTER (label = 'error'), 6) AS error, round(max(v) FILTER (label = 'view'), 6) AS \"view\" FROM m GROUP BY 1")
 def _(spark, d):
     m = points(spark, d).groupBy(F.bround("dist", 9).alias("dist")).pivot("label", ["click", "error", "view"]).agg(F.avg("value"))
@@ -84,6 +101,11 @@ def _(spark, d):
     return K.reference_fit(_samples(spark, d), area(spark, d), 1.5).select(r6("gain", "gain"), F.round("offset", 3).alias("offset"), r6("r2", "r2"), "pairs")
 
 
+@query("C5_reference_fit_all")
+def _(spark, d):
+    return K.reference_fit(_sites(spark, d), area(spark, d), 1.5).select(r6("gain", "gain"), F.round("offset", 3).alias("offset"), r6("r2", "r2"), "pairs")
+
+
 @query("W11_shift")
 def _(spark, d):
     from furrow.plans.views import readings
@@ -145,6 +167,12 @@ def _(spark, d):
     return S.bilinear(g, SPEC, _samples(spark, d).select("id", "x", "y")).select("id", F.round("z", 1).alias("z"))
 
 
+@query("I8_bilinear_all")
+def _(spark, d):
+    g = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
+    return S.bilinear(g, SPEC, _sites(spark, d).select("id", "x", "y")).select("id", F.round("z", 1).alias("z"))
+
+
 @query("K4_grid_rows", f"WITH {BLOCKS}, {IDW} SELECT x, y, round(z, 4) AS value FROM grid WHERE d <= 0.6")
 def _(spark, d):
     b = _blocks(spark, d)
@@ -202,6 +230,13 @@ def _(spark, d):
     return spark.createDataFrame([(round(m["coef"][0], 6), round(m["coef"][1], 6), round(m["r2"], 6), m["n"])], "intercept double, slope double, r2 double, n long")
 
 
+@query("Z6_ols_1ch_all")
+def _(spark, d):
+    s = table(spark, d, "orders").select((1 + F.col("o_custkey")).alias("ec"), F.col("o_totalprice").alias("clay"))
+    m = Z.property_fit(s, ["ec"], "clay")
+    return spark.createDataFrame([(round(m["coef"][0], 6), round(m["coef"][1], 6), round(m["r2"], 6), m["n"])], "intercept double, slope double, r2 double, n long")
+
+
 @query("Z7_predict", "SELECT p_partkey AS id, round(exp(0.5 + 0.25 * ln(p_retailprice)), 6) AS predicted FROM part WHERE p_retailprice > 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_retailprice <= 0")
 def _(spark, d):
     m = {"terms": ["1", "p_retailprice"], "coef": [0.5, 0.25], "logs": True}

@@ -1,6 +1,11 @@
 """Queries do their job over all rows of a table, not over some of them."""
 
+import math
+
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.plans.catalogue import QUERIES
 
@@ -27,3 +32,79 @@ def test_equal_stations_have_the_models_of_single_ones(spark):
     for k in range(3):
         alone = 1000 * 10 ** V.invert(f, q[k : k + 1], V.data_errors(q[k : k + 1], None), V.layer_grid(6.0, 6))["log_sigma"][0]
         assert out[out["dist"] == k].sort_values("layer")["ec"].tolist() == pytest.approx(alone.tolist())
+
+
+@pytest.fixture(scope="module")
+def field(spark, tmp_path_factory):
+    """A small field: 60 orders, 400 items of two years; and the same as numbers."""
+    at = str(tmp_path_factory.mktemp("field"))
+    r = np.random.default_rng(3)
+    orders = pd.DataFrame({"o_orderkey": np.arange(1, 61) * 7, "o_custkey": r.integers(1, 1000, 60), "o_totalprice": r.uniform(1e3, 1e5, 60).round(2)})
+    items = pd.DataFrame({"l_orderkey": np.arange(4000) // 4, "l_linenumber": np.arange(4000) % 4, "l_partkey": r.integers(0, 1000, 4000), "l_suppkey": r.integers(0, 500, 4000), "l_extendedprice": r.uniform(1, 1000, 4000).round(2)})
+    items["l_shipdate"] = np.where(r.random(4000) < 0.5, "1995-03-01", "1996-03-01")
+    spark.createDataFrame(orders).write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame(items).withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{at}/lineitem.parquet")
+    sites = pd.DataFrame({"id": orders.o_orderkey, "x": orders.o_custkey % 1000 / 10, "y": orders.o_orderkey % 500 / 10, "ref": orders.o_totalprice, "cust": orders.o_custkey})
+    area = pd.DataFrame({"rid": items.l_orderkey * 10 + items.l_linenumber, "x": items.l_partkey % 100.0, "y": items.l_suppkey % 50.0, "v": items.l_extendedprice, "year": items.l_shipdate.str[:4].astype(int)})
+    return at, sites, area
+
+
+def medians(sites, area):
+    out = {}
+    for s in sites.itertuples():
+        near = area[(area.x - s.x) ** 2 + (area.y - s.y) ** 2 <= 2.25]
+        if len(near):
+            out[s.id] = (near.v.median(), len(near))
+    return out
+
+
+def test_medians_at_all_orders(spark, field):
+    at, sites, area = field
+    got = {r["id"]: (r["value"], r["n"]) for r in QUERIES["J1_radius_median_all"](spark, at).collect()}
+    want = medians(sites, area)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_fit_over_all_orders(spark, field):
+    at, sites, area = field
+    m = medians(sites, area)
+    own = sites[sites.id.isin(m)]
+    v = np.array([m[k][0] for k in own.id])
+    gain, offset = np.polyfit(v, own.ref, 1)
+    r = QUERIES["C5_reference_fit_all"](spark, at).first()
+    assert r["pairs"] == len(own) and (r["gain"], r["offset"], r["r2"]) == pytest.approx((gain, offset, np.corrcoef(v, own.ref)[0, 1] ** 2), rel=1e-4)
+
+
+def test_bilinear_at_all_orders(spark, field):
+    at, sites, area = field
+    blocks = area.assign(iy=area.y // 5, ix=area.x // 5).groupby(["iy", "ix"]).v.median()
+    got = {r["id"]: r["z"] for r in QUERIES["I8_bilinear_all"](spark, at).collect()}
+    assert got.keys() == set(sites.id)
+    for s in sites.itertuples():
+        u, w = s.x / 5 - 0.5, s.y / 5 - 0.5
+        i, j = min(math.floor(u), 18), min(math.floor(w), 8)
+        if not (0 <= u <= 19 and 0 <= w <= 9):
+            assert got[s.id] is None
+            continue
+        z = sum(blocks[j + b, i + a] * (u - i if a else 1 - u + i) * (w - j if b else 1 - w + j) for a in (0, 1) for b in (0, 1))
+        assert got[s.id] == pytest.approx(z, abs=0.06)
+
+
+def test_edge_over_all_items(spark, field):
+    at, _, area = field
+    a, b = area[area.year == 1995], area[area.year == 1996].assign(x=lambda t: t.x + 0.2)
+    diff = []
+    for s in b.itertuples():
+        near = a.assign(d2=(a.x - s.x) ** 2 + (a.y - s.y) ** 2)
+        near = near[near.d2 < 2.25].sort_values(["d2", "rid"])
+        if len(near):
+            diff.append(near.v.iloc[0] - s.v)
+    r = QUERIES["J4_edge_match_all"](spark, at).first()
+    assert r["pairs"] == len(diff) and r["offset"] == pytest.approx(np.median(diff), abs=1e-5)
+
+
+def test_soil_fit_over_all_orders(spark, field):
+    at, sites, _ = field
+    slope, intercept = np.polyfit(np.log(1 + sites.cust), np.log(sites.ref), 1)
+    r = QUERIES["Z6_ols_1ch_all"](spark, at).first()
+    assert r["n"] == len(sites) and (r["slope"], r["intercept"]) == pytest.approx((slope, intercept), abs=1e-5)
