@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.ordered import linear_drift
@@ -66,7 +66,7 @@ def reference_fit(reference: DataFrame, readings: DataFrame, radius: float, mome
     return fit.where("pairs >= 3 and gain is not null").select("gain", (F.col("mr") - F.col("gain") * F.col("mv")).alias("offset"), "r2", "pairs")
 
 
-def shifted(df: DataFrame, lag: float, line: str = "line", t: str = "t", order: str = "rid", end_s: float = 2.0) -> DataFrame:
+def shifted(df: DataFrame, lag: float | Column, line: str = "line", t: str = "t", order: str = "rid", end_s: float = 2.0) -> DataFrame:
     """Positions where the sensor was `lag` seconds before, by linear interpolation in time along the line; beyond the ends by the velocity
     of the first or last two seconds. Readings at (0, 0) have no fix and stay."""
     fix = df.where("x is not null and y is not null and t is not null and not (x = 0 and y = 0)")

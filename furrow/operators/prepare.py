@@ -141,12 +141,9 @@ LAGS = tuple(np.round(np.linspace(-2, 2, 41), 10).tolist())
 
 
 def lag_costs(df: DataFrame, reach: float, lags: tuple[float, ...] = LAGS) -> DataFrame:
-    """The cost of each candidate lag; the best is min_by(lag, cost). All candidates are one plan, a group each."""
-    parts = [K.shifted(df, lag).withColumn("lag", F.lit(lag)) for lag in lags]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cross_line_difference(out, reach)
+    """The cost of each candidate lag; the best is min_by(lag, cost). All candidates are one plan: each reading once a lag, the lines of each lag apart."""
+    each = df.withColumn("lag", F.explode(F.array(*[F.lit(float(x)) for x in lags]))).withColumn("_line", F.concat(F.col("lag").cast("string"), F.lit(":"), F.col("line")))
+    return cross_line_difference(K.shifted(each, F.col("lag"), "_line").drop("_line"), reach)
 
 
 def tracks_of(df: DataFrame) -> DataFrame | None:

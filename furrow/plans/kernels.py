@@ -188,7 +188,7 @@ def _(spark, d):
 @query("C6_lag")
 def _(spark, d):
     r = readings(spark, d).where("label = 'view'").withColumn("t", F.col("t") - 1704067200)
-    return R.lag_costs(r, 3.0, (-1.0, 0.0, 1.0))
+    return R.lag_costs(r, 3.0)
 
 
 @query("C7_prepare")

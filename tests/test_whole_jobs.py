@@ -108,3 +108,23 @@ def test_soil_fit_over_all_orders(spark, field):
     slope, intercept = np.polyfit(np.log(1 + sites.cust), np.log(sites.ref), 1)
     r = QUERIES["Z6_ols_1ch_all"](spark, at).first()
     assert r["n"] == len(sites) and (r["slope"], r["intercept"]) == pytest.approx((slope, intercept), abs=1e-5)
+
+
+def test_all_lags_are_tried(spark):
+    from furrow.operators import prepare as R
+
+    lags = [r["lag"] for r in QUERIES["C6_lag"](spark, SF).select("lag").collect()]
+    assert sorted(lags) == pytest.approx(sorted(R.LAGS)) and len(lags) == 41
+
+
+def test_lags_of_one_plan_are_those_of_single_ones(spark):
+    from furrow.operators import corrections as K
+    from furrow.operators import prepare as R
+
+    rows = [(100 * n + k, str(n), k / 2, float(n), k * 0.5, math.sin(k * 0.3) + n) for n in range(3) for k in range(30)]
+    df = spark.createDataFrame(rows, "rid long, line string, t double, x double, y double, value double")
+    got = {r["lag"]: r["cost"] for r in R.lag_costs(df, 3.0, (-1.7, 0.4)).collect()}
+    for lag in got:
+        alone = R.cross_line_difference(K.shifted(df, lag).withColumn("lag", F.lit(lag)), 3.0).first()["cost"]
+        assert got[lag] == pytest.approx(alone)
+    assert sorted(got) == [-1.7, 0.4]
