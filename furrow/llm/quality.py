@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,13 +29,13 @@ _word = re.compile(WORD)
 @dataclass(frozen=True)
 class Settings:
     """h: the share that an estimate rests on. steps: of concentration. tail: the chance by which a row of a normal
-    group is rejected. least: rows of a group with its own estimate; smaller ones of a language share one, and if
-    that is still too small, none of its rows is rejected. floors: least deviations of the vector's parts."""
+    group is rejected. least: rows that an estimate of covariances needs, five for each part; smaller groups are held
+    against all rows of their language, or of the corpus. floors: least deviations of the vector's parts."""
 
     h: float = 0.75
     steps: int = 4
     tail: float = 1e-5
-    least: int = 100
+    least: int = 25
     floors: tuple[float, ...] = (0.7, 0.5, 0.7, 0.2, 0.2)
     groups_sent: int = 10_000
 
@@ -98,6 +98,16 @@ def chi2_quantile(p: float, degrees: int) -> float:
     return low
 
 
+def prediction_quantile(p: float, degrees: int, n: int) -> float:
+    """Of a further row's squared distance from the estimate of n normal rows; for large n, chi2_quantile."""
+    n = max(n, degrees + 1)
+    t = np.linspace(0, math.pi / 2, 400_001)
+    weight = np.sin(t) ** (degrees - 1) * np.cos(t) ** (n - degrees - 1)
+    beyond = np.cumsum(weight[::-1])[::-1] / weight.sum()
+    at = t[np.flatnonzero(beyond >= 1 - p)[-1]]
+    return (n * n - 1) / n * math.tan(at) ** 2
+
+
 def statistics(docs: DataFrame, id_col: str, text_col: str, by: tuple[str, ...]) -> DataFrame:
     """Per row: _id, the group columns, the counts, and the vector's parts (null for texts without words)."""
 
@@ -177,8 +187,8 @@ def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_
 
     base_failed: under 50 words, or over half of the words in repeated three-word windows. Estimates rest on all
     rows that pass. Null and empty texts have no words and fail. A null language or source is a
-    group of its own. Rows of groups too small for an estimate are kept if they pass. distance is null where none
-    was measured. Repeated rows give a row each; an empty table gives none.
+    group of its own. Groups too small for an estimate are held against all rows of their language, or if these are too
+    few of the corpus. distance is null where no row of the group passes. Repeated rows give a row each; an empty table gives none.
     """
     s = s or Settings()
     scratch = Scratch(spark)
@@ -186,12 +196,17 @@ def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_
     rows = scratch.save(statistics(docs, id_col, text_col, by).withColumn("base_failed", failed))
     passed = rows.where(~F.col("base_failed"))
     sizes = scratch.save(passed.groupBy("_fine", "_coarse").agg(F.count(F.lit(1)).alias("_n")))
-    coarse = sizes.where(F.col("_n") < s.least).groupBy("_coarse").agg(F.sum("_n").alias("_m"))
-    named = sizes.join(coarse, "_coarse", "left").select("_fine", F.when(F.col("_n") >= s.least, F.concat(F.lit("f"), F.col("_fine"))).when(F.col("_m") >= s.least, F.concat(F.lit("c"), F.col("_coarse"))).alias("_group"))
-    named = scratch.save(named)
-    small = F.broadcast if named.count() <= s.groups_sent else (lambda df: df)
-    grouped = rows.join(small(named), "_fine", "left")
-    estimates = mcd(spark, scratch, grouped.where(~F.col("base_failed") & F.col("_group").isNotNull()), s)
-    far = grouped.join(estimates, "_group", "left").withColumn("_d", _distance(len(NAMES)))
-    cutoff = chi2_quantile(1 - s.tail, len(NAMES))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    fine, coarse, corpus = F.concat(F.lit("f"), F.col("_fine")), F.concat(F.lit("c"), F.col("_coarse")), F.lit("all")
+    per = sizes.join(sizes.groupBy("_coarse").agg(F.sum("_n").alias("_m")), "_coarse")
+    own = F.when(F.col("_n") >= s.least, fine).when(F.col("_m") >= s.least, coarse).otherwise(corpus)
+    named = scratch.save(per.select("_fine", "_coarse", own.alias("_group")))
+    # A row counts in every estimate of a group that holds it and that some row is held against.
+    rests = named.select("_fine", F.explode(F.array(fine, coarse, corpus)).alias("_group")).join(named.select("_group").distinct(), "_group", "left_semi")
+    rests = scratch.save(rests)
+    small = F.broadcast if rests.count() <= s.groups_sent else (lambda df: df)
+    enough = total >= s.least  # or else the medians and deviations of so few rows decide, with the cutoff of so few
+    estimates = mcd(spark, scratch, rows.where(~F.col("base_failed")).join(small(rests), "_fine"), s if enough else replace(s, steps=0))
+    far = rows.join(small(named.select("_fine", "_group")), "_fine", "left").join(estimates, "_group", "left").withColumn("_d", _distance(len(NAMES)))
+    cutoff = chi2_quantile(1 - s.tail, len(NAMES)) if enough else prediction_quantile(1 - s.tail, len(NAMES), total)
     return far.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("_d") <= cutoff, F.lit(True))).alias("kept"), F.sqrt("_d").alias("distance"))
