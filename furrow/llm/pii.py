@@ -133,6 +133,17 @@ def _luhn(digits: str) -> int:
 WIDEN = 8
 
 
+def first_attempt(kind: str, n: int) -> int:
+    """The attempt that the n distinct entities of a kind start with: names are then long enough for four times as many."""
+    part, *of = kind.split("-")
+    if part not in ("given", "family"):
+        return 0
+    room, syllables = len(GIVEN[tuple(of)] if part == "given" else FAMILY[of[0]]), 0
+    while room < 4 * n:
+        room, syllables = 6 * room, syllables + 1
+    return WIDEN * syllables if syllables > 1 else 0
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical entity."""
     d = Draw(key, kind, canon, attempt)
@@ -145,12 +156,14 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "phone":
         head = re.match(r"\+1|\+[0-9]{2}|", canon)[0]
         rest = canon[len(head) :]
+        if more:
+            return head + d.like(rest + "0" * more)
         if len(rest) == 10 and rest[3:6] == "555":
             return head + str(2 + d.below(8)) + d.like(rest[1:3]) + "555" + d.like(rest[6:])
         return head + d.like(rest)
     if kind == "ip":
         a = int(canon.split(".")[0])
-        first = a if a in (10, 127) else next(x for x in iter(lambda: 1 + d.below(223), None) if x not in (10, 127, 172, 192))
+        first = a if a in (10, 127) and not more else next(x for x in iter(lambda: 1 + d.below(223), None) if x not in (10, 127, 172, 192))
         return ".".join(map(str, [first, d.below(256), d.below(256), 1 + d.below(254)]))
     if kind == "card":
         body = canon[0] + d.like(canon[1:-1])
@@ -169,7 +182,7 @@ def shaped(kind: str, original: str, canon: str) -> str:
     """The surrogate in the original's format: its separators, its case."""
     if kind in ("phone", "card"):
         digits = iter(canon.replace("+", ""))
-        return "".join(next(digits, "0") if c.isdigit() else c for c in original)
+        return "".join([next(digits, "0") if c.isdigit() else c for c in original]) + "".join(digits)
     if kind in ("email", "ip", "secret"):
         return canon.upper() if kind == "email" and original.isupper() else canon
     return canon.upper() if len(original) > 1 and original.isupper() else canon.title() if original[:1].isupper() else canon
@@ -193,16 +206,21 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int], known:
     return "".join([*out, text[end:]]), len(found)
 
 
-def settle(spark: SparkSession, scratch: Scratch, found: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate clashed, from the distinct entities of the corpus."""
+def settle(spark: SparkSession, scratch: Scratch, found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, attempt) of the entities whose surrogate isn't that of attempt 0, from the distinct entities of the corpus. It goes on until no
+    two clash: surrogates get longer with the attempts, and those of names start longer where there are many."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(sur=[surrogate(key, k, c, n) for k, c, n in zip(b["kind"], b["canon"], b["attempt"], strict=True)])
 
     schema = "kind string, canon string, attempt int, sur string"
-    now = scratch.save(found.select("kind", "canon", F.lit(0).alias("attempt")).mapInPandas(draw, schema))
-    for _ in range(rounds):
+    found = scratch.save(found.select("kind", "canon"))
+    start = F.lit(0)
+    for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a kind
+        start = F.when(F.col("kind") == r["kind"], first_attempt(r["kind"], r["n"])).otherwise(start)
+    now = scratch.save(found.withColumn("attempt", start.cast("int")).mapInPandas(draw, schema))
+    while True:
         keys = now.select("kind", F.col("canon").alias("key"), F.lit(1).alias("own"), F.lit(0).alias("as"), F.lit(None).cast("string").alias("who"), F.lit(0).alias("n"))
         keys = keys.unionByName(now.select("kind", F.col("sur").alias("key"), F.lit(0).alias("own"), F.lit(1).alias("as"), F.col("canon").alias("who"), F.col("attempt").alias("n")))
         clash = keys.groupBy("kind", "key").agg(F.sum("own").alias("own"), F.sum("as").alias("as"), F.min(F.when(F.col("as") == 1, F.struct("n", "who"))).alias("first")).where("(own > 0 and `as` > 0) or `as` > 1")
@@ -212,7 +230,6 @@ def settle(spark: SparkSession, scratch: Scratch, found: DataFrame, key: bytes,
             return now.where("attempt > 0").select("kind", "canon", "attempt")
         moved = again.mapInPandas(draw, schema)
         now = scratch.save(now.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "attempt", "sur").unionByName(moved))
-    raise ValueError(f"surrogates still clash after {rounds} rounds")
 
 
 #: Exceptions that are sent to every task with the code; beyond it they are joined to the texts that need them.

@@ -3,7 +3,8 @@
 import pytest
 from cases import got, prose, table
 
-from furrow.llm import quality
+from furrow.llm import pii, quality
+from furrow.llm.common import Scratch
 
 
 def documents(n, start=0, lang="en", source="s"):
@@ -32,3 +33,17 @@ def test_rows_of_small_groups_are_judged(spark, rows):
 def test_prediction_quantiles():
     assert quality.prediction_quantile(0.95, 5, 20_000) == pytest.approx(11.07, abs=0.02)
     assert quality.prediction_quantile(0.95, 1, 11) == pytest.approx(2.228**2 * 12 / 11, rel=2e-3)
+
+
+def test_more_names_than_forty_attempts_could_hold(spark):
+    n = 25_000  # of family names in Cyrillic script attempts 0 to 39 gave 23,325
+    names = spark.range(n).selectExpr("'family-cyrillic' as kind", "concat('ё', id) as canon")
+    out = pii.settle(spark, Scratch(spark), names, b"test").collect()
+    tries = {r["canon"]: r["attempt"] for r in out}
+    assert len({pii.surrogate(b"test", "family-cyrillic", f"ё{k}", tries.get(f"ё{k}", 0)) for k in range(n)}) == n
+
+
+def test_exhausted_formats_get_longer():
+    assert len(pii.surrogate(b"test", "phone", "+112345", pii.WIDEN)) == 8
+    assert pii.shaped("phone", "+1 1 23 45", "+1678901") == "+1 6 78 901"
+    assert len({pii.surrogate(b"test", "ip", "10.1.2.3", pii.WIDEN + k).split(".")[0] for k in range(20)}) > 1
