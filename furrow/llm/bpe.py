@@ -8,40 +8,40 @@ import re
 import zlib
 
 import numpy as np
-import regex
 
 from furrow.llm.common import keeps, using
 
-#: Fixed value: how byte-level BPE splits a text before its merges.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of pre-tokens and of what is made of them that a worker keeps, about; beyond it the cache starts anew, so that memory stays bounded.
+CACHED = 40 << 20
 
-#: Entries a worker keeps; beyond it the cache starts anew, so that memory stays bounded.
-CACHED = 250_000
 
-
-#: Texts of these characters alone are split by the faster built-in module, which gives the same parts for them:
-#: ASCII, letters of the Latin blocks up to U+024F, and dashes, quotes and the like.
+#: Texts of these characters alone are split by the built-in module, which gives the same parts for them as the library: ASCII, letters
+#: of the Latin blocks up to U+024F, and dashes, quotes and the like. All others are split by the library itself, whose tables of letters
+#: and digits are those of its own edition of Unicode.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _OTHER = re.compile(f"[^\\x00-\\x7f{_LETTERS}\u00a1\u00bf\u2010-\u2027\u20ac]")
 _LATIN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\t-\\r {_LETTERS}0-9]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
 
 
 class _Cache(dict):
-    """Pre-token -> what `of` makes of its ids."""
+    """Pre-token -> what `of` makes of its ids. spelled: pre-tokens are in the vocabulary's letters already, as the library's split has them."""
 
-    def __init__(self, tokenizer, of, proven: dict):
+    def __init__(self, tokenizer, of, proven: dict, spelled: bool = False):
         super().__init__(proven)
-        self.of, self.proven, self.merge = of, proven, tokenizer.model.tokenize
-        self.letters = {b: c for b, c in _byte_letters().items()}
+        self.of, self.proven, self.merge, self.spelled = of, proven, tokenizer.model.tokenize, spelled
+        self.letters, self.held = _byte_letters(), 0
 
     def reset(self) -> None:
         self.clear()
         self.update(self.proven)
+        self.held = 0
 
     def __missing__(self, word: str):
-        if len(self) > CACHED:
+        if self.held > CACHED:
             self.reset()
-        self[word] = made = self.of([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
+        made = self.of([t.id for t in self.merge(word if self.spelled else word.encode().decode("latin-1").translate(self.letters))])
+        self.held += 160 + 2 * len(word) + (len(made) if isinstance(made, bytes) else 0)
+        self[word] = made
         return made
 
 
@@ -66,53 +66,75 @@ class Encoder:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take white space with them aren't supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split = regex.compile(SPLIT)
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._ids = self._counts = None
+        self.unproven: frozenset[int] | None = None  # ids of vocabulary strings without a proof, once it has been made
 
-    def whole_tokens(self) -> dict[str, int]:
-        """Vocabulary strings proven to encode alone as one token, with their ids.
-
-        The proof runs the split pattern and the merges on each string once: a string belongs here only
-        if it is one pre-token and its merges end in exactly its own id. Strings that aren't UTF-8, that
-        split, or whose merges stop short of the whole are left out.
-        """
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        byte_of = {c: b for b, c in _byte_letters().items()}
+    def _strings(self) -> dict[str, int]:
+        """Vocabulary strings that are UTF-8, with their ids."""
+        byte_of = {ord(c): b for b, c in _byte_letters().items()}
         texts = {}
-        for piece, i in vocab.items():
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             try:
-                texts[bytes(byte_of[c] for c in piece).decode("utf-8")] = i
+                texts[bytes(byte_of[ord(c)] for c in piece).decode("utf-8")] = i
             except (KeyError, UnicodeDecodeError):
                 continue
-        names = [t for t in texts if t and t not in self.special and self.split.fullmatch(t) and self.split.findall(t) == [t]]
-        made = self.tokenizer.encode_batch(names, add_special_tokens=False)
-        return {t: texts[t] for t, e in zip(names, made, strict=True) if e.ids == [texts[t]]}
+        return {t: i for t, i in texts.items() if t and t not in self.special}
+
+    def prove(self) -> frozenset[int]:
+        """Ids of the vocabulary strings that don't encode alone as one token, from the vocabulary file alone.
+
+        The library encodes each string once. A pre-token gives one token at least, so a string whose encoding is just its
+        own id is one pre-token and its merges end in the whole; in a text, a pre-token equal to it has that id. All
+        others, those whose merges stop short or that split, are what is returned: some hundreds.
+        """
+        if self.unproven is None:
+            texts = self._strings()
+            made = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+            self.unproven = frozenset(i for i, e in zip(texts.values(), made, strict=True) if e.ids != [i])
+        return self.unproven
+
+    def whole_tokens(self) -> dict[str, int]:
+        """The proven vocabulary strings with their ids."""
+        unproven = self.prove()
+        return {t: i for t, i in self._strings().items() if i not in unproven}
 
     def _pieces(self, text: str):
         return [text] if self.parts is None or not any(s in text for s in self.special) else self.parts.split(text)
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """The parts of a text without special strings."""
-        return self.split.findall(text) if _OTHER.search(text) else _LATIN.findall(text)
+    def _spelled(self, text: str) -> list[str]:
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def id_bytes(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit numbers."""
         if self._ids is None:
-            self._ids = keeps("bpe", _Cache(self.tokenizer, lambda ids: np.array(ids, "<u4").tobytes(), {}))
+            of = lambda ids: np.array(ids, "<u4").tobytes()
+            self._ids = keeps("bpe", _Cache(self.tokenizer, of, {})), keeps("bpe", _Cache(self.tokenizer, of, {}, True))
         using("bpe")
-        get, find = self._ids.__getitem__, self.pre_tokens
-        if self.parts is None or not any(s in text for s in self.special):
-            return b"".join(map(get, find(text)))
-        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(get, find(p))) for p in self._pieces(text))
+        plain, spelled = self._ids
+        out = []
+        for p in self._pieces(text):
+            if p in self.special:
+                out.append(self.special[p].to_bytes(4, "little"))
+            else:
+                out += map(spelled.__getitem__, self._spelled(p)) if _OTHER.search(p) else map(plain.__getitem__, _LATIN.findall(p))
+        return b"".join(out)
 
     def count(self, text: str) -> int:
         """Tokens of the text: whole tokens count directly, only the other pre-tokens are merged."""
         if self._counts is None:
-            self._counts = keeps("bpe", _Cache(self.tokenizer, len, dict.fromkeys(self.whole_tokens(), 1)))
+            whole = self.whole_tokens()
+            names = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+            self._counts = keeps("bpe", _Cache(self.tokenizer, len, dict.fromkeys(whole, 1))), keeps("bpe", _Cache(self.tokenizer, len, dict.fromkeys(map(names.__getitem__, whole.values()), 1), True))
         using("bpe")
-        get, find = self._counts.__getitem__, self.pre_tokens
-        return sum(1 if p in self.special else sum(map(get, find(p))) for p in self._pieces(text))
+        plain, spelled = self._counts
+        n = 0
+        for p in self._pieces(text):
+            if p in self.special:
+                n += 1
+            else:
+                n += sum(map(spelled.__getitem__, self._spelled(p)) if _OTHER.search(p) else map(plain.__getitem__, _LATIN.findall(p)))
+        return n
 
 
 def _byte_letters() -> dict[int, str]:
@@ -125,10 +147,12 @@ def _byte_letters() -> dict[int, str]:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each path and worker process."""
+def encoder(path: str, unproven: frozenset[int] | None = None) -> Encoder:
+    """One encoder for each path and worker process; unproven: what prove() gave on the driver, so that a worker needn't repeat it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    if unproven is not None:
+        _encoders[path].unproven = unproven
     return _encoders[path]
 
 

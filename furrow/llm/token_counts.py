@@ -1,8 +1,8 @@
 """Token counts by the whole-token shortcut.
 
-A worker proves once, from the vocabulary file alone, which vocabulary strings encode alone as one
-token (`Encoder.whole_tokens`). A text is split into pre-tokens; those in the proven set count one
-each, and only the others go through the merges, each distinct one once.
+Before any text is read, the driver proves from the vocabulary file alone which vocabulary strings encode alone as one
+token (`Encoder.prove`); the few that don't go to the workers with the code. A text is split into pre-tokens; those in
+the proven set count one each, and only the others go through the merges, each distinct one once.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     very long one is counted whole, in memory proportional to its own length.
     """
 
+    unproven = encoder(tokenizer).prove()
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, unproven)
         for b in batches:
             n = [e.count(t) for t in b["_text"]]
             yield pd.DataFrame({"_id": b["_id"], "_bytes": b["_bytes"], "_n": n})
