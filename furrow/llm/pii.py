@@ -44,7 +44,7 @@ _TITLED = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?
 _NAMED = re.compile(rf"\b({'|'.join(sorted({n for v in GIVEN.values() for n in v} | {n.upper() for v in GIVEN.values() for n in v}, key=len, reverse=True))}) ({_CAP})")
 #: The same without a word's start in front: their first letters alone then tell where to look, which is much faster; what they find is looked at again.
 _MAYBE_TITLED, _MAYBE_NAMED = (re.compile(p.pattern.removeprefix(r"\b")) for p in (_TITLED, _NAMED))
-_MAIL_LEFT, _MAIL_RIGHT = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
+_MAIL_LEFT, _MAIL_RIGHT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
 _DIGITS = re.compile(r"[0-9]")
 _PATTERNS = (
     ("secret", re.compile(r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)["']?[ \t]{0,4}[=:][ \t]{0,4}["']?(?P<x>[0-9A-Za-z_+/.-]{8,})"""), None),
@@ -64,9 +64,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        left, right = _MAIL_LEFT.search(text, max(0, at - 64), at), _MAIL_RIGHT.match(text, at + 1)
-        if left and right:
-            found.append((left.start(), right.end(), "email", text[left.start() : right.end()].lower()))
+        right, left = _MAIL_RIGHT.match(text, at + 1), at
+        while right and left and text[left - 1] in _MAIL_LEFT:
+            left -= 1
+        if right and left < at:
+            found.append((left, right.end(), "email", text[left : right.end()].lower()))
         at = text.find("@", at + 1)
     if _DIGITS.search(text) or "=" in text or ":" in text:
         for kind, pattern, valid in _PATTERNS:
