@@ -6,8 +6,8 @@ costs the same either way; a window that gets shorter the second time resembles
 logistic curve over the counts of a text's windows above each of several thresholds, whose weights are
 calibrated on labelled texts that the dictionaries have not seen.
 
-Toxic texts are mostly ordinary, so the toxic dictionary is trained on what is left of them without the
-words that ordinary training texts have too.
+Toxic texts are mostly ordinary, so the toxic dictionary is trained on those of their words whose beginnings
+ordinary training texts hardly have.
 """
 
 from __future__ import annotations
@@ -29,18 +29,18 @@ from furrow.llm.common import WORD, bounded_batches, fresh, using
 
 @dataclass(frozen=True)
 class Settings:
-    """width, stride: of a window, in bytes. often, ratio: see residue(). sample: labelled texts of each class that are fitted on, at most.
-    longest: texts above so many characters are scored whole but not fitted on. size: of a dictionary."""
+    """width, stride: of a window, in bytes. often, ratio, stem: see residue(). sample: labelled texts of each class that are fitted on, at
+    most, each whole, however long. size: of a dictionary."""
 
     width: int = 48
     stride: int = 32
     sample: int = 3000
-    longest: int = 20_000
     size: int = 8192
     ordinary_size: int = 32_768
     segment: int = 16
     often: float = 0.02
-    ratio: float = 5.0
+    ratio: float = 10.0
+    stem: int = 4
     level: int = 3
     match: int = 6
 
@@ -71,13 +71,17 @@ def distinct(texts: list[str]) -> list[str]:
 
 
 def residue(toxic: list[str], ordinary: list[str], s: Settings) -> list[bytes]:
-    """Of each toxic text, its words that ordinary texts hardly have: those in a share `often` of the toxic texts (of three at least, in small samples of two) and
-    at least `ratio` times as frequent there."""
+    """Of each toxic text, its words with a beginning that ordinary texts hardly have: one of `stem` letters or more (or the whole word) that a share `often`
+    of the toxic texts has (three at least, in small samples two), at least `ratio` times as often as ordinary ones."""
+
+    def stems(w: str) -> list[str]:
+        return [w[:k] for k in range(min(s.stem, len(w)), min(len(w), 24) + 1)]
+
     words = [[re.findall(WORD, t.lower()) for t in x] for x in (toxic, ordinary)]
-    seen = [Counter(w for t in x for w in set(t)) for x in words]
+    seen = [Counter(p for t in x for p in {p for w in set(t) for p in stems(w)}) for x in words]
     least = max(3, s.often * len(toxic)) if len(toxic) >= 50 else 2
-    own = {w for w, n in seen[0].items() if n >= least and n * len(ordinary) >= s.ratio * (seen[1][w] + 0.5) * len(toxic)}
-    return [y for t in words[0] if (y := " ".join(w for w in t if w in own).encode("utf-8", "replace"))]
+    own = {p for p, n in seen[0].items() if n >= least and n * len(ordinary) >= s.ratio * (seen[1][p] + 0.5) * len(toxic)}
+    return [y for t in words[0] if (y := " ".join(w for w in t if any(p in own for p in stems(w))).encode("utf-8", "replace"))]
 
 
 def windows(text: str, width: int, stride: int) -> list[bytes]:
@@ -170,14 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, may_learn, s: Settings | None = No
     """Fits on at most `sample` labelled texts of each class, those with the smallest hash of their id.
 
     may_learn: a condition on the id; other rows are never fitted on. Rows of null id, label or text are
-    passed over. Only the chosen ids are broadcast: at most 2 * sample.
+    passed over. Only the chosen ids are broadcast: at most 2 * sample. The driver holds their texts, whole.
     """
     s = s or Settings()
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & may_learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).distinct()
     n = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64(F.col("_id").cast("string")), F.col("_id").cast("string")]
     some = marked.where("_toxic = 1").orderBy(*order).limit(s.sample).unionByName(marked.where("_toxic = 0").orderBy(*order).limit(s.sample))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= s.longest)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     rows = texts.join(F.broadcast(some), "_id").select("_id", "_toxic", "_text").collect()
     rows.sort(key=lambda r: (str(r["_id"]), r["_text"]))
     rate = n.get(1, 0) / max(1, sum(n.values()))
@@ -212,6 +216,11 @@ def learns(id_col: str = "doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (score >= 0.5)."""
+    """Per document: doc_id, held_out, score, predicted (score >= 0.5).
+
+    A null or empty text is scored as one empty window; a null id is not held out and stays null; repeated rows give a row each, an empty
+    table none. Other columns, whatever their names, aren't read. A very long text is scored whole, window by window, in memory
+    some ten times its length.
+    """
     out = score(docs.select("doc_id", "text"), train(docs, labels, learns(), s))
     return out.select("doc_id", F.coalesce(~learns(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
