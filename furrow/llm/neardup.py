@@ -5,13 +5,17 @@ A vector close to a split goes to both sides (spill), so that near pairs part se
 make it rarer still. All pairs within a leaf are compared in double precision, and only those at or above the
 threshold are links. A pair is counted in the first leaf, in the order of trees and leaves, that holds both.
 
-Equal vectors are one class. Leaves that stay large, because many vectors are close, are dealt into tiles of
-two blocks each; a tile returns numbers of links and enough links to connect its vectors, never its pairs.
+The sample bounds how deep a tree can be fitted. Leaves that stay large because the table is, are split again by trees of
+their own, each fitted on a sample of its leaf. Leaves that stay large because many vectors are close, are dealt into tiles
+of two blocks each; a tile returns numbers of links and enough links to connect its vectors, never its pairs.
+
+Equal vectors are one class. Vectors of different lengths have trees of their own and never meet.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch
+from furrow.llm.common import Scratch, mix64
 from furrow.llm.graph import components, forest
 
 
@@ -28,32 +32,37 @@ from furrow.llm.graph import components, forest
 class Settings:
     """trees, leaf: vectors that a leaf is to hold, which sets the depth. spill: half the width of the band that goes
     to both sides, in units of the distance between vectors at the threshold over the square root of the
-    dimensions. sample: vectors that the splits are fitted on, at most. block: of a large leaf."""
+    dimensions. sample: vectors that the splits are fitted on, at most. large: vectors from which on a leaf is split again. block: of a
+    large leaf."""
 
     threshold: float = 0.9
     trees: int = 6
     leaf: int = 256
     spill: float = 0.5
     sample: int = 20_000
+    large: int = 4096
     block: int = 1024
     seed: int = 11
 
 
 class Tree:
-    """Splits as arrays: node k has children 2k + 1 and 2k + 2. Leaves are node numbers."""
+    """Splits as arrays: node k has children 2k + 1 and 2k + 2. Leaves are node numbers. The directions follow from the seed alone."""
 
-    def __init__(self, sample: np.ndarray, depth: int, margin: float, rng: np.random.Generator):
+    def __init__(self, seed: list[int], size: int, depth: int, margin: float, cuts: np.ndarray | None = None):
         self.depth, self.margin = depth, margin
-        n, d = (1 << depth) - 1, sample.shape[1]
-        self.directions = rng.standard_normal((n, d))
+        n = (1 << depth) - 1
+        self.directions = np.random.default_rng(seed).standard_normal((n, size))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
-        self.cuts = np.zeros(n)
+        self.cuts = np.zeros(n) if cuts is None else cuts
+
+    def fit(self, sample: np.ndarray) -> Tree:
         rows = {0: np.arange(len(sample))}
-        for k in range(n):
+        for k in range(len(self.cuts)):
             own = rows.pop(k)
             p = sample[own] @ self.directions[k]
             self.cuts[k] = np.median(p) if len(p) else 0.0
             rows[2 * k + 1], rows[2 * k + 2] = own[p < self.cuts[k]], own[p >= self.cuts[k]]
+        return self
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf that a row reaches."""
@@ -65,72 +74,131 @@ class Tree:
         return row, node
 
 
-def unit(values, size: int) -> np.ndarray | None:
-    """The vector at length 1 in double precision; None if it is null, zero, of another size or holds null or non-finite parts."""
-    if values is None or len(values) != size:
+def unit(values) -> np.ndarray | None:
+    """The vector at length 1 in double precision; None if it is null, empty, zero or holds null or non-finite parts."""
+    if values is None or not len(values):
         return None
     x = np.array([np.nan if v is None else v for v in values], np.float64) if not isinstance(values, np.ndarray) or values.dtype == object else values.astype(np.float64)
     if not np.isfinite(x).all():
         return None
-    top = np.abs(x).max() if size else 0.0
+    top = np.abs(x).max()
     if not top:
         return None
     x = x / top
     return x / np.sqrt((x * x).sum())
 
 
+def fitted_depth(vectors: int, sample: int, s: Settings) -> int:
+    """Levels until a leaf holds `leaf` vectors, but not more than leave eight of the sample to a leaf."""
+    return max(0, min(math.ceil(math.log2(max(1.0, vectors / s.leaf))), int(math.log2(max(1.0, sample / 8)))))
+
+
+def _margin(size: int, s: Settings) -> float:
+    return s.spill * math.sqrt(2 - 2 * s.threshold) / math.sqrt(size)
+
+
+def _split_again(scratch: Scratch, placed: DataFrame, s: Settings) -> DataFrame | None:
+    """placed with the leaves of more than `large` vectors split by trees of their own; None if there is nothing to split."""
+    held = placed.select("_node", "_d", F.explode("_leaves").alias("_leaf"))
+    sizes = scratch.save(held.groupBy("_leaf", "_d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > s.large))
+    if sizes.isEmpty():
+        return None
+    per = max(s.large, 1)  # vectors that a leaf's tree is fitted on, about
+    some = held.join(sizes, ["_leaf", "_d"]).where(F.pmod(F.xxhash64("_node", "_leaf"), F.ceil(F.col("_n") / per)) == 0).join(placed.select("_node", "_unit"), "_node")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf, size, n = int(pdf["_leaf"].iloc[0]), int(pdf["_d"].iloc[0]), int(pdf["_n"].iloc[0])
+        x = np.frombuffer(b"".join(pdf["_unit"]), np.float64).reshape(-1, size)
+        depth = min(5, fitted_depth(n, len(x), s))
+        tree = Tree([s.seed, leaf & 0xFFFFFFFF, leaf >> 32], size, depth, _margin(size, s)).fit(x)
+        reached = tree.leaves(x)[1]
+        # Close vectors lie in the band of every split: a tree would copy them to all its leaves. Their leaf stays whole and is tiled.
+        if depth == 0 or len(reached) > 2 * len(x) or np.bincount(reached).max() > 0.7 * len(x):
+            return pd.DataFrame({"_leaf": [], "_d": [], "_depth": [], "_cuts": []})
+        return pd.DataFrame({"_leaf": [leaf], "_d": [size], "_depth": [depth], "_cuts": [tree.cuts.tobytes()]})
+
+    trees = scratch.save(some.groupBy("_leaf", "_d").applyInPandas(fit, "_leaf long, _d int, _depth int, _cuts binary"))
+    if trees.isEmpty():
+        return None
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for (leaf, size), own in b.groupby(["_leaf", "_d"], sort=False):
+                tree = Tree([s.seed, int(leaf) & 0xFFFFFFFF, int(leaf) >> 32], int(size), int(own["_depth"].iloc[0]), _margin(int(size), s), np.frombuffer(own["_cuts"].iloc[0], np.float64))
+                row, to = tree.leaves(np.frombuffer(b"".join(own["_unit"]), np.float64).reshape(-1, int(size)))
+                new = mix64(np.uint64(leaf) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64) + np.uint64(1)) >> np.uint64(2)
+                out.append(pd.DataFrame({"_node": own["_node"].to_numpy()[row], "_leaf": new.astype(np.int64)}))
+            yield pd.concat(out) if out else pd.DataFrame({"_node": [], "_leaf": []}).astype("int64")
+
+    moving = held.join(trees, ["_leaf", "_d"]).join(placed.select("_node", "_unit"), "_node").select("_node", "_leaf", "_d", "_depth", "_cuts", "_unit")
+    moved = moving.sortWithinPartitions("_leaf").mapInPandas(split, "_node long, _leaf long")
+    leaves = held.join(trees.select("_leaf", "_d"), ["_leaf", "_d"], "left_anti").select("_node", "_leaf").unionByName(moved)
+    lists = leaves.groupBy("_node").agg(F.array_sort(F.collect_list("_leaf")).alias("_leaves"))  # some leaves of each tree
+    return scratch.save(placed.drop("_leaves").join(lists, "_node").select("_node", "_size", "_unit", "_d", "_leaves"))
+
+
 def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id (the smallest id reachable), kept (id = component_id).
 
-    Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, nor do those of
-    another length than most; rows that repeat id and vector are rows of their own, linked with each other. A
-    null id takes part; its component is the smallest other id reachable, or null. An empty table gives none.
+    Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, and vectors link only with
+    those of their length; rows that repeat id and vector are rows of their own, linked with each other. A
+    null id takes part; its component is the smallest other id reachable, or null. An empty table gives none. Other
+    columns, whatever their names, aren't read.
     """
     s = s or Settings()
     scratch = Scratch(spark)
     key = vectors.schema[id_col].dataType.simpleString()
     base = vectors.select(F.col(id_col).cast("string").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    sizes = base.where(F.size("_v") > 0).groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    size = sizes[0]["d"] if sizes else 1
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            units = [unit(v, size) for v in b["_v"]]
+            units = [unit(v) for v in b["_v"]]
             rows = [None if u is None else (u + 0.0).tobytes() for u in units]
             yield pd.DataFrame({"_id": b["_id"], "_unit": rows, "_digest": [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in rows]})
 
     scaled = scratch.save(base.mapInPandas(scale, "_id string, _unit binary, _digest binary").withColumn("_id", F.col("_id").cast(key)))
     classes = scaled.where("_digest is not null").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_unit").alias("_unit"))
-    classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()))
-    count = classes.count()
-    sample = [r["_unit"] for r in classes.orderBy(F.xxhash64("_digest")).limit(s.sample).select("_unit").collect()]
-    sample = np.frombuffer(b"".join(sample), np.float64).reshape(-1, size)
-    depth = min(int(np.ceil(np.log2(max(1.0, count / s.leaf)))), int(np.log2(max(1, len(sample) / 8)) if len(sample) else 0))
-    rng = np.random.default_rng(s.seed)
-    margin = s.spill * np.sqrt(2 - 2 * s.threshold) / np.sqrt(size)
-    trees = [Tree(sample, depth, margin, rng) for _ in range(s.trees)] if count else []
+    classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()).withColumn("_d", (F.octet_length("_unit") / 8).cast("int")))
+    trees: dict[int, list[Tree]] = {}
+    first: dict[int, int] = {}  # of each length, the number of its first leaf
+    at = 0
+    for r in classes.groupBy("_d").count().orderBy("_d").collect():  # a row for each length
+        size, depth = r["_d"], fitted_depth(r["count"], min(r["count"], s.sample), s)
+        own = [Tree([s.seed, t], size, depth, _margin(size, s)) for t in range(s.trees)]
+        if depth:
+            sample = [x["_unit"] for x in classes.where(F.col("_d") == size).orderBy(F.xxhash64("_digest")).limit(s.sample).select("_unit").collect()]
+            sample = np.frombuffer(b"".join(sample), np.float64).reshape(-1, size)
+            for tree in own:
+                tree.fit(sample)
+        trees[size], first[size] = own, at
+        at += s.trees << depth + 1
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.frombuffer(b"".join(b["_unit"]), np.float64).reshape(-1, size)
-            rows, leaves = zip(*((r, l + (t << depth + 1)) for t, tree in enumerate(trees) for r, l in [tree.leaves(x)]), strict=True)
-            row, leaf = np.concatenate(rows), np.concatenate(leaves)
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            at = np.searchsorted(row, np.arange(len(x) + 1))
-            yield b.assign(_leaves=[leaf[at[k] : at[k + 1]] for k in range(len(x))])
-
-    placed = scratch.save(classes.select("_node", "_size", "_unit").mapInPandas(deal, "_node long, _size long, _unit binary, _leaves array<long>")) if count else None
-    if placed is None:
+            for size, own in b.groupby("_d", sort=False):
+                x = np.frombuffer(b"".join(own["_unit"]), np.float64).reshape(-1, int(size))
+                rows, leaves = zip(*((r, l + first[size] + (t << tree.depth + 1)) for t, tree in enumerate(trees[size]) for r, l in [tree.leaves(x)]), strict=True)
+                row, leaf = np.concatenate(rows), np.concatenate(leaves)
+                order = np.lexsort((leaf, row))
+                row, leaf = row[order], leaf[order]
+                edge = np.searchsorted(row, np.arange(len(x) + 1))
+                yield own.assign(_leaves=[leaf[edge[k] : edge[k + 1]] for k in range(len(x))])
+
+    if not trees:
         return scaled.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
-    held = placed.select("_node", F.explode("_leaves").alias("_leaf"))
-    large = scratch.save(held.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("_blocks")))
-    tiles = held.join(large, "_leaf").withColumn("_mine", F.pmod(F.xxhash64("_node"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    placed = scratch.save(classes.select("_node", "_size", "_unit", "_d").mapInPandas(deal, "_node long, _size long, _unit binary, _d int, _leaves array<long>"))
+    while (again := _split_again(scratch, placed, s)) is not None:
+        scratch.drop(placed)
+        placed = again
+    held = placed.select("_node", "_d", F.explode("_leaves").alias("_leaf"))
+    large = scratch.save(held.groupBy("_leaf", "_d").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("_blocks")))
+    tiles = held.join(large, ["_leaf", "_d"]).withColumn("_mine", F.pmod(F.xxhash64("_node"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = tiles.select("_node", "_leaf", "_mine", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y")).join(placed, "_node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, x, y = int(pdf["_leaf"].iloc[0]), int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
-        v = np.frombuffer(b"".join(pdf["_unit"]), np.float64).reshape(-1, size)
+        v = np.frombuffer(b"".join(pdf["_unit"]), np.float64).reshape(-1, int(pdf["_d"].iloc[0]))
         mine = pdf["_mine"].to_numpy()
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         i, j = np.nonzero(v[left] @ v[right].T >= s.threshold - 1e-9)
@@ -158,7 +226,7 @@ def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_
         one = pd.DataFrame({"a": node, "b": node, "n": n})
         return pd.concat([one[one["n"] > 0], pd.DataFrame({"a": [node[p] for p, _ in tree], "b": [node[q] for _, q in tree], "n": 0})], ignore_index=True).astype("int64")
 
-    results = scratch.save(tiles.groupBy("_leaf", "_x", "_y").applyInPandas(compare, "a long, b long, n long"))
+    results = scratch.save(tiles.groupBy("_leaf", "_d", "_x", "_y").applyInPandas(compare, "a long, b long, n long"))
     roots = components(spark, scratch, results.where("a <> b").select("a", "b"))
     links = results.where("a = b").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_links"))
     named = classes.select("_node", "_digest", "_rep", "_size").join(links, "_node", "left").join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
