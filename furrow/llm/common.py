@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import struct
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -115,21 +118,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BASE, BASE_2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1342543DE82EF95 | 1)
 
 
+#: Powers that a worker keeps; those of longer texts are made anew for each.
+POWERS = 1 << 18
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of an odd base and of its inverse modulo 2**64."""
 
     def __init__(self, base: np.uint64):
-        self.base, self.back, self.n = base, np.uint64(pow(int(base), -1, 1 << 64)), 0
-        self.up = self.down = np.ones(0, np.uint64)
+        self.bases = base, np.uint64(pow(int(base), -1, 1 << 64))
+        self.kept = self._made(POWERS)
+
+    def _made(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for b in self.bases:
+            v = np.full(n, b, np.uint64)
+            v[:1] = 1
+            out.append(np.multiply.accumulate(v))
+        return out[0], out[1]
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(2 * n, 4096)
-            for name, b in (("up", self.base), ("down", self.back)):
-                v = np.full(self.n, b, np.uint64)
-                v[0] = 1
-                setattr(self, name, np.multiply.accumulate(v))
-        return self.up[:n], self.down[:n]
+        up, down = self.kept if n <= POWERS else self._made(n)
+        return up[:n], down[:n]
 
 
 _powers = (Powers(BASE), Powers(BASE_2))
@@ -172,8 +182,6 @@ def unsqueeze(body: bytes) -> list[bytes]:
     return out
 
 
-
-
 #: What workers keep from text to text, by operator family.
 _kept: dict[str, list] = {}
 _using = ""
@@ -186,7 +194,8 @@ def keeps(family: str, cache):
 
 
 def using(family: str) -> None:
-    """A worker that turns to another operator empties the caches of those before, as it may live through all of a pipeline."""
+    """A worker that turns to another operator empties the caches of those before and gives freed memory back, as it may live through all
+    of a pipeline."""
     global _using
     if family != _using:
         for name, caches in _kept.items():
@@ -194,20 +203,31 @@ def using(family: str) -> None:
                 for c in caches:
                     c.reset()
         _using = family
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class _WordHashes(dict):
-    """Word -> 64-bit hash; starts anew when large, so that memory stays bounded."""
+    """Word -> 64-bit hash; starts anew when it holds some 20 MB, so that memory stays bounded."""
+
+    held = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
+        if self.held > 20 << 20:
+            self.reset()
+        self.held += 200 + 2 * len(word)
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
-
     def reset(self) -> None:
         self.clear()
+        self.held = 0
 
 
 _word = re.compile(WORD)

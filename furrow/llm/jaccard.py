@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, mix64, partitions, window_hashes, word_hashes
+from furrow.llm.common import Scratch, keeps, mix64, partitions, using, window_hashes, word_hashes
 from furrow.llm.graph import components, forest
 
 
@@ -128,9 +128,20 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return common * 1_000_000 >= t * (size[i] + size[j] - common)
 
 
-@functools.lru_cache(64)
-def _below(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+class _Triangles(dict):
+    """The pairs i < j below a small n, which most tiles ask for again and again; those of larger n are made anew."""
+
+    def __missing__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        made = np.triu_indices(n, 1)
+        if n <= 64:
+            self[n] = made
+        return made
+
+    def reset(self) -> None:
+        self.clear()
+
+
+_below = keeps("words", _Triangles())
 
 
 def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,6 +189,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
         """All tiles of a part: their surviving pairs."""
+        using("words")
         pdf = pdf.sort_values(["_bucket", "_x", "_y"], ignore_index=True)
         sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint16).reshape(len(pdf), s.values)
         tile = pdf[["_bucket", "_x", "_y"]].to_numpy()
@@ -203,7 +215,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
 
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if x[a] == y[a]:
-                i, j = _below(z - a)
+                i, j = _below[z - a]
                 held.append((a + i, a + j, a))
             else:
                 left, right = a + np.flatnonzero(mine[a:z] == x[a]), a + np.flatnonzero(mine[a:z] == y[a])

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import Scratch, keeps, using
 
-#: Characters of a chunk; longer texts are giant. Entries of a worker's caches, which start anew beyond.
-CHUNK, CACHED = 32_768, 600_000
+#: Characters of a chunk; longer texts are giant. Bytes that a worker's caches hold each, about; they start anew beyond.
+CHUNK, CACHED = 32_768, 60 << 20
 
 _SPACE = "▁"
 #: No piece crosses from another character to a space mark, which is checked when the model is loaded, so parts end there.
@@ -42,17 +42,20 @@ class _Parts(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.held = pieces, 0
 
     def reset(self) -> None:
         self.clear()
+        self.held = 0
         self.pieces.agreed.clear()
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHED:
+        if self.held > CACHED:
             self.clear()
+            self.held = 0
         p = self.pieces
         self[part] = got = p.id_bytes(p.path(part))
+        self.held += 160 + 2 * len(part) + len(got)
         return got
 
 
@@ -113,7 +116,7 @@ class Pieces:
         """Whether two pieces next to each other encode to just themselves."""
         k = (a, b)
         if k not in self.agreed:
-            if len(self.agreed) > CACHED:
+            if len(self.agreed) > CACHED // 256:  # pieces are short
                 self.agreed.clear()
             self.agreed[k] = self.merged(a + b) == [a, b]
         return self.agreed[k]

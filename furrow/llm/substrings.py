@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, _powers, mix64, squeeze, unsqueeze, window_hashes
+from furrow.llm.common import Scratch, _powers, mix64, squeeze, unsqueeze, using, window_hashes
 from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
 from furrow.llm.passages import _typed, covered
 from furrow.llm.suffixes import common_prefixes, suffix_array
@@ -237,6 +237,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         return i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None
 
     def read(body: bytes) -> tuple[list, list[bytes], list[Parsed]]:
+        using("bytes")
         ids, said = chunk_rows(body)
         raw = [t.encode("utf-8", "surrogatepass") for t in said]
         return ids, raw, [parse(b, width) for b in raw]

@@ -176,29 +176,29 @@ def vectors():
     base = r.standard_normal((40, 16))
     out = [(k, v.tolist()) for k, v in enumerate(base)]
     out += [(100 + k, (base[k % 8] + 0.12 * r.standard_normal(16)).tolist()) for k in range(60)]
-    out += [(200, base[0].tolist()), (200, base[0].tolist()), (201, (3 * base[1]).tolist()), (202, None), (203, [0.0] * 16), (204, [float("nan")] + [1.0] * 15), (205, [None] + [1.0] * 15), (206, []), (None, base[2].tolist()), (207, [1.0, 2.0])]
+    out += [(200, base[0].tolist()), (200, base[0].tolist()), (201, (3 * base[1]).tolist()), (202, None), (203, [0.0] * 16), (204, [float("nan")] + [1.0] * 15), (205, [None] + [1.0] * 15), (206, []), (None, base[2].tolist()), (207, [1.0, 2.0]), (208, [2.0, 4.0]), (209, [0.0, 1.0]), (210, [7.0]), (211, [5.0])]
     return out
 
 
-@pytest.mark.parametrize("leaf,block", [(256, 512), (8, 4)])
-def test_near_vectors(spark, leaf, block):
+@pytest.mark.parametrize("leaf,block,large", [(256, 512, 4096), (8, 4, 4096), (8, 64, 16)])
+def test_near_vectors(spark, leaf, block, large):
     data = [(i, v, 1, "clash") for i, v in vectors()]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, _node string")
-    out = got(neardup.near(spark, df, neardup.Settings(leaf=leaf, block=block)), "vec_id")
+    out = got(neardup.near(spark, df, neardup.Settings(leaf=leaf, block=block, large=large, sample=4096 if large > 16 else 32)), "vec_id")
 
     def good(v):
-        if v is None or len(v) != 16 or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+        if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             return None
         x = np.array(v, np.float32).astype(float)
         return x / np.linalg.norm(x)
 
-    want = linked([(i, good(v)) for i, v in vectors()], lambda a, b: a is not None and b is not None and a @ b >= 0.9)
+    want = linked([(i, good(v)) for i, v in vectors()], lambda a, b: a is not None and b is not None and len(a) == len(b) and a @ b >= 0.9)
     total = sum(a for w in want.values() for a, _ in w)
     assert sum(r["n_links"] for rs in out.values() for r in rs) >= 0.97 * total
     if leaf == 256:
         for i, w in want.items():
             assert sorted((r["n_links"], str(r["component_id"])) for r in out[i]) == sorted((a, str(b)) for a, b in w), i
-    assert all(r["n_links"] == 0 and r["kept"] for i in (202, 203, 204, 205, 206, 207) for r in out[i])
+    assert all(r["n_links"] == 0 and r["kept"] for i in (202, 203, 204, 205, 206, 209) for r in out[i])
     assert neardup.near(spark, df.where("false")).count() == 0
 
 
@@ -220,3 +220,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert now.count() == corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    base = prose(50, 200)
+    other, third = prose(51, 100), prose(52, 100)
+    rows = [(None, base), (None, base + " more"), (None, other), (None, None), (7, base), (9, base), (9, third), (11, third), (None, ""), (9, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((str(r["doc_id"]), r["text"] or "-") for r in corpus_pipeline.without_near_copies(spark, docs, "").collect())
+    assert out == sorted([("7", base), ("9", third), ("None", other), ("None", "-"), ("None", "-"), ("9", "short")])

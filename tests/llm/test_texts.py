@@ -34,6 +34,20 @@ def test_encoder_is_the_library(text):
     assert encoder(BPE).count(text) == len(ids)
 
 
+def test_every_character_splits_as_in_the_library(library):
+    """All characters that this code splits by itself, in several places of a text, and characters that editions of Unicode class differently."""
+    from furrow.llm.bpe import _OTHER
+
+    own = [c for c in map(chr, range(0x3000)) if not _OTHER.search(c)]
+    rest = "\u0558\u058b\u088f\u0c5c\u208f\ua7ce\uab6c\U00010940\u00aa\u00b2\u0085\u2028\u3000\u0660\u0301\ufeff\U0001f600\U0003134b\ue000"
+    texts = [f"a{c}b {c}{c}1{c} x {c}{d}\n{c}  {c}" for c in [*own, *rest] for d in "aé7' \t\x1f!"]
+    made = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(own) > 500
+    for text, ids in zip(texts, made, strict=True):
+        assert encoder(BPE).id_bytes(text) == np.array(ids, "<u4").tobytes(), text
+        assert encoder(BPE).count(text) == len(ids), text
+
+
 def test_whole_tokens_are_proven(library):
     whole = encoder(BPE).whole_tokens()
     some = random.Random(0).sample(sorted(whole), 300)
@@ -146,6 +160,13 @@ def test_entities_found_and_replaced(spark):
         assert out[12][0]["_id"] == "clash" and len(out[8]) == 2
 
 
+def test_long_addresses_are_replaced_whole():
+    name = "very.long." * 30
+    (x, y) = pii.entities(f"to {name}a@mail.example.com, {name}b@mail.example.com")
+    assert x[3] == f"{name}a@mail.example.com" != y[3]
+    assert name not in pii.rewrite(f"to {name}a@mail.example.com", KEY, {}, {})[0]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"a.{k:02d}@b.example.com x.{k % 10}@c.org", "en", "s", 0, "", "", 0.0, 0) for k in range(100)]
     out = pii.pseudonymise(spark, table(spark, rows), KEY).collect()
