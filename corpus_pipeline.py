@@ -2,7 +2,8 @@
 data gets surrogates, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
-Null and empty texts pass through every stage; an empty table gives an empty result. Rows that repeat an id stay or go together.
+Null and empty texts pass through every stage; an empty table gives an empty result. Rows are told apart by numbers of their own where they
+are compared, so rows of null or repeated ids are judged each by its text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import jaccard, packing, pii, substrings, toxicity
-from furrow.llm.common import Scratch
+from furrow.llm.common import Scratch, fresh
 from furrow.llm.queries import BYTE_BPE, PII_KEY, table
 
 
@@ -24,9 +25,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id."""
-    gone = jaccard.join(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Of each group of linked rows, the one with the smallest id (null ids last, then the first row)."""
+    (row,) = fresh(docs, "_row")
+    numbered = Scratch(spark).save(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard.join(spark, numbered, id_col=row).where("n_links > 0")
+    linked = found.select(row, F.col("component_id").alias("_group")).join(numbered.select(row, F.col("doc_id").alias("_id")), row)
+    stays = linked.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", F.col(row).alias("n"))).alias("_least"))
+    gone = linked.join(stays, "_group").where(F.col(row) != F.col("_least.n")).select(row)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
