@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.spatial import within
+
 
 def median(c: str | Column) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -111,12 +113,12 @@ def anomaly(df: DataFrame, cx: float, cy: float, radius: float, by: list[str], v
 
 
 def semivariogram(points: DataFrame, edges: list[float], least: int = 30) -> DataFrame:
-    """Per lag class, mean half squared difference, mean lag and number of pairs, of a bounded set of points (x, y, v, id)."""
-    b = points.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"))
-    pairs = points.join(F.broadcast(b), F.col("id") < F.col("id2"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+    """Per lag class, mean half squared difference, mean lag and number of pairs, of points (x, y, v, id). Pairs meet by cells as wide as the last edge,
+    so only those that may count are made."""
+    own = points.select("id", "x", "y", "v")
+    pairs = within(own, own, float(edges[-1])).where(F.col("id") < F.col("r_id"))
     lag = sum((F.when(F.col("d") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    pairs = pairs.select(d.alias("d"), (0.5 * F.pow(F.col("v") - F.col("v2"), 2)).alias("g")).where(F.col("d") <= edges[-1]).withColumn("lag", lag.cast("long"))
+    pairs = pairs.select(F.sqrt("d2").alias("d"), (0.5 * F.pow(F.col("v") - F.col("r_v"), 2)).alias("g")).where(F.col("d") <= edges[-1]).withColumn("lag", lag.cast("long"))
     return pairs.groupBy("lag").agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= least)
 
 

@@ -55,7 +55,7 @@ def marker_distance(df: DataFrame, spacing: float, line: str = "line", order: st
     w = along([line], order)
     df = df.withColumn("_n", F.row_number().over(w)).withColumn("_k", F.sum(F.col("is_marker").cast("int")).over(upto(w)))
     at = F.when(F.col("is_marker"), F.struct(F.col("_n").alias("n"), (F.col("_k") - 1).alias("k")))
-    df = df.withColumn("_a", F.last(at, True).over(upto(w))).withColumn("_b", F.first(at, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    df = df.withColumn("_a", F.last(at, True).over(upto(w))).withColumn("_b", F.last(at, True).over(upto(Window.partitionBy(line).orderBy(F.desc(order)))))
     share = F.coalesce(F.try_divide(F.col("_n") - F.col("_a.n"), F.col("_b.n") - F.col("_a.n")), F.lit(0.0))
     many = F.sum(F.col("is_marker").cast("int")).over(Window.partitionBy(line)) > 1
     value = (F.col("_a.k") + share * (F.col("_b.k") - F.col("_a.k"))) * F.lit(float(spacing))
@@ -128,7 +128,9 @@ def linear_drift(occupations: DataFrame, t: str = "t", v: str = "v") -> DataFram
 
 
 def piecewise_drift(readings: DataFrame, occupations: DataFrame, t: str = "t") -> DataFrame:
-    """Drift at each reading by linear interpolation between occupation means, flat beyond them. Occupations are tens of rows."""
+    """Drift at each reading by linear interpolation between occupation means, flat beyond them. Occupations are tens of rows; over 1,000 are refused."""
+    if occupations.limit(1001).count() > 1000:
+        raise ValueError("over 1,000 base-station occupations; merge them first")
     w = Window.orderBy("ot")
     seg = occupations.select(F.col(t).alias("ot"), F.col("v").alias("ov")).withColumn("nt", F.lead("ot").over(w)).withColumn("nv", F.lead("ov").over(w)).withColumn("is_first", F.row_number().over(w) == 1)
     r = F.col(t)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.neighbours import Cells
+
 #: Rows that a small side may have to be broadcast.
 SMALL = 50_000
 
@@ -51,15 +55,24 @@ def edge_offset(reference: DataFrame, survey: DataFrame, tolerance: float, v: st
 
 
 def k_nearest(nodes: DataFrame, points: DataFrame, k: int, key: list[str]) -> DataFrame:
-    """The k nearest of a checked small set of points (x, y, v, id) for each node, by one broadcast and a bounded heap a row: each node's
-    candidates never leave its row."""
-    n = points.count()
-    if n > SMALL:
-        raise ValueError(f"{n} points are too many to send to every task; thin them to blocks first")
-    packed = points.agg(F.collect_list(F.struct("x", "y", "v", "id")).alias("_pts"))  # at most SMALL points
-    d2 = lambda p: F.pow(p["x"] - F.col("x"), 2) + F.pow(p["y"] - F.col("y"), 2)
-    near = F.slice(F.array_sort(F.transform("_pts", lambda p: F.struct(d2(p).alias("d2"), p["id"].alias("id"), p["v"].alias("v")))), 1, k)
-    return nodes.crossJoin(F.broadcast(packed)).select(*key, "x", "y", near.alias("near"))
+    """Near, the k nearest (d2, id, v) of a checked small set of points (x, y, v, id) for each node, the smallest id first among equals. The points go to the
+    tasks with the code; nodes stay where they are and look at the points' cells around them, in Arrow batches."""
+    rows = points.select("x", "y", "v", "id").where("x is not null and y is not null").limit(SMALL + 1).toPandas()
+    if len(rows) > SMALL:
+        raise ValueError(f"over {SMALL} points are too many to send to every task; thin them to blocks first")
+    rows = rows.sort_values("id", ignore_index=True)
+    names, values = rows["id"].to_numpy(), rows["v"].to_numpy(float)
+    cells = Cells(rows["x"].to_numpy(float), rows["y"].to_numpy(float), k)
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in [*key, "x", "y"]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d2, i = cells.nearest(b["x"].to_numpy(float), b["y"].to_numpy(float), k)
+            yield b.assign(_d2=list(d2), _id=list(names[i]), _v=list(values[i]))
+
+    columns, kind = ", ".join(f"{c} {t}" for c, t in kinds.items()), points.schema["id"].dataType.simpleString()
+    got = nodes.select(*kinds).mapInPandas(run, f"{columns}, _d2 array<double>, _id array<{kind}>, _v array<double>")
+    return got.select(*kinds, F.arrays_zip("_d2", "_id", "_v").cast(f"array<struct<d2:double,id:{kind},v:double>>").alias("near"))
 
 
 def idw(nodes: DataFrame, points: DataFrame, key: list[str], power: float = 2.0, delta: float = 0.0, k: int = 64) -> DataFrame:

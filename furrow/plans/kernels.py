@@ -156,7 +156,7 @@ def _(spark, d):
 
 @query("I4_profile_kriging")
 def _(spark, d):
-    p = points(spark, d).where("label = 'view'")
+    p = points(spark, d)
     return G.profiles_by_kriging(p, P.grid(p, 4.0, ["label"]), ["label"])
 
 
@@ -187,8 +187,7 @@ def _(spark, d):
 
 @query("C6_lag")
 def _(spark, d):
-    r = readings(spark, d).where("label = 'view'").withColumn("t", F.col("t") - 1704067200)
-    return R.lag_costs(r, 3.0)
+    return R.lag_costs(readings(spark, d).withColumn("t", F.col("t") - 1704067200), 3.0)
 
 
 @query("C7_prepare")
