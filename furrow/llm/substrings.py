@@ -3,13 +3,13 @@
 Texts are parsed into phrases, some tens of bytes each, that end where a hash of eight bytes is the least of some
 window around: a long string is parsed alike wherever it occurs, but for its ends. Phrases that occur once in the
 corpus can't lie inside a repeat. For the rest, each phrase that is the least of three in a row is a meeting
-point: its neighbourhoods from all documents come together, and a suffix array over phrases, built by linear
-grouping (`suffixes`), and its common prefixes tell which runs of three phrases or more occur twice. Every string
-of `width` bytes that occurs twice holds such a run, and only strings that hold one go on.
+point: what stands around it, in all documents, comes together. A suffix array over the phrases, built by linear grouping
+(`suffixes`), and its common prefixes tell how far each run of phrases agrees with another place. Where it does from the start
+of a phrase to beyond `width` bytes, a stretch, all bytes of the stretch are repeated: this is the inside of every repeat.
 
-The bytes at the ends of phrases are settled exactly: stretches from phrase to phrase that are longer than `width` and
-occur twice are repeated throughout, and only one place sends their strings on; all other strings of `width`
-bytes near a repeated run are compared by their hashes.
+What is left are the ends, where a repeated string starts or stops within a phrase. Every string of `width` bytes that occurs twice
+holds RUN phrases that do, so it starts and ends near a common run of the suffix array that is long enough. Such strings, if no
+stretch settles them, are compared by their hashes; of each repeated stretch one place sends its strings to be compared with.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,10 @@ from furrow.llm.passages import _typed, covered
 from furrow.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of a gram; grams of the window whose least ends a phrase; phrases in a row that a repeat holds at least;
-#: phrases on either side of a meeting point. A repeat of `width` bytes parses alike but for WINDOW - 1 grams at each
+#: phrases before a meeting point that a run may start. A repeat of `width` bytes parses alike but for WINDOW - 1 grams at each
 #: end, so it holds RUN whole phrases of at most WINDOW grams if width - GRAM + 1 - 2 * (WINDOW - 1) >= (RUN + 1) * WINDOW.
-GRAM, WINDOW, RUN, AROUND = 8, 64, 3, 2
+GRAM, WINDOW, RUN = 8, 64, 3
+AROUND = RUN - 1
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -45,13 +47,13 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Parsed:
-    """A text's grams (mixed), where its phrases start, and hashes of phrases and stretches."""
+    """A text's grams (mixed), where its phrases start, and hashes of phrases."""
 
     grams: np.ndarray
     at: np.ndarray
     phrases: np.ndarray
     total: np.ndarray  # of the hash polynomial, up to each gram
-    stretches: np.ndarray  # from the start of phrase i to the end of a later one, past `width` bytes from the start of phrase i + 1
+    ends: np.ndarray  # the stretch from phrase i ends before phrase ends[i], past `width` bytes from the start of phrase i + 1; as many as there are
     n: int
 
     def strings(self, starts: np.ndarray, width: int, which: int = 0) -> np.ndarray:
@@ -66,7 +68,7 @@ class Parsed:
 def parse(b: bytes, width: int) -> Parsed:
     none = np.zeros(0, np.uint64)
     if len(b) < width:
-        return Parsed(none, np.zeros(0, np.int64), none, none, none, len(b))
+        return Parsed(none, np.zeros(0, np.int64), none, none, np.zeros(0, np.int64), len(b))
     g = mix64(np.ndarray((len(b) - GRAM + 1,), "<u8", b, strides=(1,)))
     top = (g >> np.uint64(32)).astype(np.uint32)
     least = np.zeros(len(g) + WINDOW - 1, np.uint32)
@@ -83,8 +85,7 @@ def parse(b: bytes, width: int) -> Parsed:
         return mix64((total[z + 1] - total[a]) * down[a] + (z - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     end = np.searchsorted(at, at[1:] + width - GRAM)
-    whole = end < len(at)
-    return Parsed(g, at, between(at[:-1], at[1:]), total, between(at[:-1][whole], at[end[whole]]), len(b))
+    return Parsed(g, at, between(at[:-1], at[1:]), total, end[end < len(at)], len(b))
 
 
 def runs(twice: np.ndarray, length: int = RUN) -> np.ndarray:
@@ -95,54 +96,89 @@ def runs(twice: np.ndarray, length: int = RUN) -> np.ndarray:
     return np.flatnonzero(total[length:] - total[:-length] == length)
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of `size` places each, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of `size` places each, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Meetings:
-    """A chunk's neighbourhoods of meeting points, each once, by the hash of the point."""
+    """A chunk's meeting points with the phrases around them, each neighbourhood once, by the hash of the point.
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]]):
-        """docs: phrases and whether each occurs twice in the corpus."""
+    A run of phrases that all occur twice meets at the least of its first three (the first of equals), so at one point only, wherever it occurs. It goes on to the
+    next phrase that occurs once, or to the end of its stretch. A neighbourhood holds the runs that meet at a point, which start 2, 1 or 0 phrases before it."""
+
+    def __init__(self, docs: list[tuple[Parsed, np.ndarray]]):
+        """docs: a parsed text and whether each of its phrases occurs twice in the corpus."""
         gap = np.zeros(AROUND, np.uint64)
         no = np.zeros(AROUND, bool)
-        sym = np.concatenate([gap, *(x for p, _ in docs for x in (p, gap))])
+        sym = np.concatenate([gap, *(x for p, _ in docs for x in (p.phrases, gap))])
         ok = np.concatenate([no, *(x for _, t in docs for x in (t, no))])
-        self.starts = np.cumsum([AROUND, *(len(p) + AROUND for p, _ in docs)])[:-1]
+        n = len(sym)
+        self.starts = np.cumsum([AROUND, *(len(p.phrases) + AROUND for p, _ in docs)])[:-1]
+        end = np.full(n, n, np.int64)
+        for at, (p, _) in zip(self.starts.tolist(), docs, strict=True):
+            end[at : at + len(p.ends)] = at + p.ends
+        stop = np.minimum.accumulate(np.where(ok, n, np.arange(n))[::-1])[::-1]  # the next phrase that occurs once, or a text's end
+        self.whole = end <= stop  # all of the stretch may occur twice
+        stop = np.minimum(stop, end)
         first = runs(ok)
-        point = np.unique(first + np.argmin(np.stack([sym[first + k] for k in range(RUN)]), axis=0)) if len(first) else first
-        offsets = np.arange(-AROUND, AROUND + 1)
-        self.places = point[:, None] + offsets
-        inside = ok[self.places]
-        left = np.logical_and.accumulate(inside[:, AROUND::-1], axis=1)[:, ::-1]
-        right = np.logical_and.accumulate(inside[:, AROUND:], axis=1)
-        self.inside = np.concatenate([left[:, :-1], right], axis=1)
-        rows = np.where(self.inside, sym[self.places], np.uint64(0))
-        _, first, self.inverse, times = np.unique(row_hashes(rows), return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(rows[first, AROUND], kind="stable")
-        self.rows, self.times = rows[first][order], times[order]
+        least = first + np.argmin(np.stack([sym[first + k] for k in range(RUN)]), axis=0) if len(first) else first
+        meets = np.full(n, -1, np.int64)
+        meets[first] = least
+        m = self.place = np.unique(least)
+        start = m[:, None] - AROUND + np.arange(RUN)
+        self.sizes = np.where(meets[start] == m[:, None], stop[start] - start, 0)  # phrases of each run
+        begin, last = np.where(self.sizes > 0, start, n).min(axis=1, initial=n), (start + self.sizes).max(axis=1, initial=0)
+        length = last - begin
+        key = ragged_hashes(sym[spread(begin, length)], length, np.c_[sym[m], m - begin, self.sizes])
+        _, self.first, self.inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(sym[m[self.first]], kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.inverse = back[self.inverse]
-        self.size = len(sym)
+        self.first, self.times, self.inverse = self.first[order], times[order], back[self.inverse]
+        self.sym, self.points, self.before, self.begin, self.length = sym, sym[m[self.first]], (m - begin)[self.first], begin[self.first], length[self.first]
 
     def bounds(self, bits: int) -> np.ndarray:
-        return np.searchsorted((self.rows[:, AROUND] >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(self.rows)])
+        return np.searchsorted((self.points >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(self.points)])
 
     def lists(self, bits: int) -> Iterator[tuple[int, bytes]]:
         at = self.bounds(bits)
         for b in range(1 << bits):
             i, j = at[b], at[b + 1]
             if i < j:
-                yield b, squeeze(self.rows[i:j, AROUND].tobytes(), (np.delete(self.rows[i:j], AROUND, axis=1) >> np.uint64(32)).astype("<u4").tobytes(), np.packbits(self.times[i:j] > 1).tobytes())
+                near = (self.sym[spread(self.begin[i:j], self.length[i:j])] >> np.uint64(32)).astype("<u4")
+                head = np.c_[self.before[i:j], self.length[i:j], self.sizes[self.first[i:j]]].astype("<u2")
+                yield b, squeeze(self.points[i:j].tobytes(), zstandard.compress(np.ascontiguousarray(head.T).tobytes(), 1), near.tobytes(), np.packbits(self.times[i:j] > 1).tobytes())
 
-    def repeated(self, bits: int, replies: list[tuple[int, bytes]]) -> np.ndarray:
-        """For each phrase of the documents with gaps between them, whether it lies in a run that occurs twice."""
+    def common(self, bits: int, replies: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each phrase of the documents with gaps between them: how many phrases from it on another place has too (0 if fewer than RUN), and whether this is the one
+        place of all with these phrases that sends the strings of its stretch."""
         at = self.bounds(bits)
-        marks = np.zeros(len(self.rows), np.uint8)
+        got = np.zeros((len(self.points), RUN + 1), np.int64)
         for b, body in replies:
-            marks[at[b] : at[b + 1]] = np.frombuffer(body, np.uint8)
-        out = np.zeros(self.size, bool)
-        mine = marks[self.inverse]
-        for k in range(2 * AROUND + 1):
-            out[self.places[(mine >> k & 1).astype(bool), k]] = True
-        return out
+            got[at[b] : at[b + 1]] = np.frombuffer(body, "<u2").reshape(-1, RUN + 1)
+        lead = np.zeros(len(self.place), bool)
+        lead[self.first] = True
+        far, sends = np.zeros(len(self.sym), np.int64), np.zeros(len(self.sym), bool)
+        for k in range(RUN):
+            own = np.flatnonzero(self.sizes[:, k])
+            far[self.place[own] + k - AROUND] = got[self.inverse[own], k]
+            sends[self.place[own] + k - AROUND] = lead[own] & (got[self.inverse[own], RUN] >> k & 1).astype(bool)
+        return far, sends
+
+
+def ragged_hashes(flat: np.ndarray, length: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A hash of each row of a ragged table, rows one after the other, and of the numbers that go with it."""
+    h = np.zeros(len(length), np.uint64)
+    if len(length):
+        up = _powers[1].upto(int(length.max()) + 1)[0]
+        h = mix64(np.add.reduceat(mix64(flat) * up[spread(np.zeros(len(length), np.int64), length)], np.cumsum(length) - length))
+    return row_hashes(np.c_[h, length.astype(np.uint64), more.astype(np.uint64)])
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -152,63 +188,114 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-#: Symbols of one suffix array, about: meeting points are taken together up to it, and none is split.
+#: Symbols of one suffix array, about: meeting points are taken together up to it. A point with more is split by the phrases that its runs start with.
 SYMBOLS = 200_000
 
 
+class Runs:
+    """All distinct neighbourhoods of a bucket: flat phrases, where each starts, its point, and the sizes of its runs; `far`, how many phrases of each run another
+    place has too, and `leads`, the run that sends for all with these phrases."""
+
+    def __init__(self, points: np.ndarray, head: np.ndarray, near: np.ndarray, places: np.ndarray, start: np.ndarray):
+        self.points, self.near, self.start, self.length, self.sizes = points, near, start, head[:, 1], head[:, 2:]
+        self.offset = head[:, 0, None] - AROUND + np.arange(RUN)  # of each run within its neighbourhood
+        self.far = np.where(places[:, None] > 1, self.sizes, 0)  # the same neighbourhood at another place
+        self.leads = self.sizes > 0
+
+    def settle(self) -> None:
+        """Points with several neighbourhoods, taken together into suffix arrays of bounded size."""
+        order = np.argsort(self.points, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(self.points[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+        take: list[np.ndarray] = []
+        held = 0
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if z - a == 1:
+                continue
+            rows = order[a:z]
+            symbols = int(self.length[rows].sum()) + z - a
+            if symbols > 2 * SYMBOLS:
+                for k in range(RUN):
+                    self._split(rows[self.sizes[rows, k] > 0], k, 0)
+                continue
+            take.append(rows)
+            held += symbols
+            if held >= SYMBOLS:
+                self._order(np.concatenate(take), range(RUN))
+                take, held = [], 0
+        if take:
+            self._order(np.concatenate(take), range(RUN))
+
+    def _split(self, rows: np.ndarray, k: int, depth: int) -> None:
+        """The runs k of many neighbourhoods that agree in `depth` phrases. Those that go on alike are one group, with a suffix array of its own once it is small enough;
+        one that goes on like no other shares just these phrases."""
+        if len(rows) < 2:
+            return
+        at = self.start[rows] + self.offset[rows, k]
+        size = self.sizes[rows, k]
+        if depth >= RUN:
+            self.far[rows, k] = np.maximum(self.far[rows, k], np.minimum(depth, size))
+        if int(size.sum()) + len(rows) <= 2 * SYMBOLS:
+            return self._order(rows, (k,))
+        ended = size <= depth
+        if ended.any():  # equal to the end: one sends for all
+            self.leads[np.sort(rows[ended])[1:], k] = False
+        rows, at = rows[~ended], at[~ended]
+        following = self.near[at + depth] if len(rows) else np.zeros(0, np.uint64)
+        order = np.argsort(following, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(following[order]) != 0, True]) if len(rows) else np.zeros(1, np.int64)
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            self._split(rows[order[a:z]], k, depth + 1)
+
+    def _order(self, rows: np.ndarray, kinds) -> None:
+        """A suffix array over some neighbourhoods. Two runs agree in as many phrases as the least common prefix on the way from one to the other in the array."""
+        n = self.length[rows]
+        flat = mix64(self.near[spread(self.start[rows], n)] ^ mix64(np.repeat(self.points[rows], n)))  # a phrase is another one at another meeting point
+        begin = np.cumsum(n + 1) - n - 1
+        symbols = np.zeros(int((n + 1).sum()) + 1, np.int64)
+        symbols[spread(begin, n)] = np.unique(flat, return_inverse=True)[1] + len(rows) + 1
+        symbols[begin + n] = np.arange(len(rows)) + 1  # each neighbourhood ends with a symbol of its own
+        s = symbols.tolist()
+        order = suffix_array(s)
+        common = np.array(common_prefixes(s, order))
+        which = np.full(len(s), -1, np.int64)
+        for k in kinds:
+            own = np.flatnonzero(self.sizes[rows, k])
+            which[begin[own] + self.offset[rows[own], k]] = own * RUN + k
+        order = np.array(order)
+        asked = np.flatnonzero(which[order] >= 0)  # in the array, the suffixes that are runs
+        if len(asked) < 2:
+            return
+        x = which[order[asked]]
+        row, k = rows[x // RUN], x % RUN
+        size = self.sizes[row, k]
+        shared = np.minimum.reduceat(common[: asked[-1] + 1], asked[:-1] + 1)  # between each and the next
+        best = np.minimum(np.maximum(np.r_[0, shared], np.r_[shared, 0]), size)
+        self.far[row, k] = np.maximum(self.far[row, k], np.where(best >= RUN, best, 0))
+        same = (shared >= size[1:]) & (size[1:] == size[:-1])
+        group = np.cumsum(np.r_[True, ~same])
+        by = np.lexsort((row, group))
+        self.leads[row[by], k[by]] = np.r_[True, np.diff(group[by]) != 0]
+
+
 def meet(lists: list[bytes]) -> list[bytes]:
-    """For each list of neighbourhoods, a byte for each: bit k says that its phrase k lies in a run of RUN phrases or more that
-    another neighbourhood of the same point, or another place with the same one, has too."""
+    """For each list of neighbourhoods, four numbers for each: how many phrases of the runs that start 2, 1 and 0 before the point another place has too, and bits that say
+    of which runs this is the first list that has them."""
     parts = [unsqueeze(x) for x in lists]
-    rows = [np.insert(np.frombuffer(p[1], "<u4").reshape(-1, 2 * AROUND).astype(np.uint64), AROUND, np.frombuffer(p[0], np.uint64), axis=1) for p in parts]
-    sizes = [len(r) for r in rows]
-    many = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)]).astype(np.int64)
-    rows = np.concatenate(rows)
-    _, first, inverse = np.unique(row_hashes(rows), return_index=True, return_inverse=True)
-    own, places = rows[first], np.bincount(inverse, weights=1 + many)
-    mark = np.zeros(own.shape, bool)
-    mark[places > 1] = own[places > 1] != 0
-    order = np.argsort(own[:, AROUND], kind="stable")
-    point = own[order, AROUND]
-    edges = np.flatnonzero(np.r_[True, point[1:] != point[:-1], True])
-    take: list[np.ndarray] = []
-    held = 0
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if z - a > 1:  # a point with one neighbourhood has nothing to compare
-            take.append(order[a:z])
-            held += (z - a) * (2 * AROUND + 2)
-        if held >= SYMBOLS:
-            _mark_runs(own, np.concatenate(take), mark)
-            take, held = [], 0
-    if take:
-        _mark_runs(own, np.concatenate(take), mark)
-    byte = (mark << np.arange(2 * AROUND + 1)).sum(axis=1).astype(np.uint8)[inverse]
+    sizes = [len(p[0]) // 8 for p in parts]
+    points = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+    head = np.concatenate([np.frombuffer(zstandard.decompress(p[1]), "<u2").reshape(2 + RUN, -1).T for p in parts]).astype(np.int64)
+    near = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts]).astype(np.uint64)
+    many = np.concatenate([np.unpackbits(np.frombuffer(p[3], np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)])
+    length = head[:, 1]
+    start = np.cumsum(length) - length
+    _, first, inverse = np.unique(ragged_hashes(near, length, np.c_[points, head[:, 0], head[:, 2:]]), return_index=True, return_inverse=True)
+    own = Runs(points[first], head[first], near, np.bincount(inverse, weights=1 + many), start[first])
+    own.settle()
+    out = np.zeros((len(inverse), RUN + 1), "<u2")
+    out[:, :RUN] = own.far[inverse]
+    out[first, RUN] = (own.leads << np.arange(RUN)).sum(axis=1)
     ends = np.cumsum([0, *sizes])
-    return [byte[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _mark_runs(own: np.ndarray, rows: np.ndarray, mark: np.ndarray) -> None:
-    r = own[rows]
-    keyed = mix64(np.where(np.arange(2 * AROUND + 1) == AROUND, r >> np.uint64(32), r) ^ mix64(r[:, AROUND, None] + np.uint64(1)))  # a phrase counts only at its own meeting point
-    text = np.concatenate([keyed, np.zeros((len(r), 1), np.uint64)], axis=1)
-    real = np.concatenate([r != 0, np.zeros((len(r), 1), bool)], axis=1)
-    drop = np.concatenate([r == 0, np.zeros((len(r), 1), bool)], axis=1)
-    where = np.flatnonzero(~drop.ravel())
-    flat, isreal = text.ravel()[where], real.ravel()[where]
-    symbols = np.empty(len(flat), np.int64)
-    symbols[isreal] = np.unique(flat[isreal], return_inverse=True)[1] + len(r) + 1
-    symbols[~isreal] = np.arange(len(r)) + 1  # each neighbourhood ends with a symbol of its own
-    s = [*symbols.tolist(), 0]
-    sa = suffix_array(s)
-    common = np.array(common_prefixes(s, sa))
-    sa = np.array(sa)
-    long = np.flatnonzero(common >= RUN)
-    edge = np.zeros(len(s) + 1, np.int64)
-    for start in (sa[long], sa[long - 1]):
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + common[long], -1)
-    hit = where[np.cumsum(edge)[: len(where)] > 0]
-    mark[rows[hit // (2 * AROUND + 2)], hit % (2 * AROUND + 2)] = True
+    return [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, texts: bool = False) -> DataFrame:
@@ -278,8 +365,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
                 rows.append(done(ids[k], raw[k], np.zeros(0, np.int64)))
         out = [pd.DataFrame(rows, columns=columns)]
         if on:
-            lists = [(0, *x) for x in Meetings([(parsed[k].phrases, own) for k, own in on]).lists(meeting_bits)]
-            lists += [(1, *x) for x in Keys(np.concatenate([parsed[k].stretches for k, _ in on] + empty)).lists(string_bits)]
+            lists = [(0, *x) for x in Meetings([(parsed[k], own) for k, own in on]).lists(meeting_bits)]
             out.append(pd.DataFrame({"_kind": [x[0] for x in lists], "_chunk": c, "_bucket": [x[1] for x in lists], "_list": [x[2] for x in lists]}))
             flags = squeeze(*(np.packbits(own).tobytes() for _, own in on))
             out.append(pd.DataFrame({"_kind": [2], "_chunk": [c], "_list": [flags], "_body": [_again([ids[k] for k, _ in on], [raw[k] for k, _ in on])]}))
@@ -293,32 +379,25 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
 
     scratch.drop(store)  # whatever is still needed of it is in `first`
     reply = "_chunk long, _bucket int, _reply binary"
-    met = first.where("_kind = 0").groupBy("_bucket").applyInPandas(come, reply).selectExpr("0 as _kind", "*")
-    stretched = answer(first.where("_kind = 1").select("_chunk", "_bucket", "_list")).selectExpr("1 as _kind", "*")
-    replies = scratch.save(met.unionByName(stretched))
+    replies = scratch.save(first.where("_kind = 0").groupBy("_bucket").applyInPandas(come, reply).selectExpr("0 as _kind", "*"))
 
     def narrow(left: pd.DataFrame, right: pd.DataFrame) -> tuple:
         """Of each text, which strings are repeated for certain (2, or 3 where others are compared with it) and which are to compare (1)."""
         ids, raw, parsed = read(left["_body"].iloc[0])
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(p.phrases)).astype(bool) for f, p in zip(unsqueeze(left["_list"].iloc[0]), parsed, strict=True)]
-        meetings = Meetings([(p.phrases, f) for p, f in zip(parsed, flags, strict=True)])
-        inside = meetings.repeated(meeting_bits, replies_of(right[right["_kind"] == 0]))
-        keys = Keys(np.concatenate([p.stretches for p in parsed] + empty))
-        twice, lead = keys.answers(string_bits, replies_of(right[right["_kind"] == 1]), 2)
-        once = np.zeros(len(keys.inverse), bool)
-        once[np.unique(keys.inverse, return_index=True)[1]] = True
-        sure, lead = twice[keys.inverse], lead[keys.inverse] & once
-        at, states = 0, []
+        meetings = Meetings(list(zip(parsed, flags, strict=True)))
+        common, lead = meetings.common(meeting_bits, replies_of(right[right["_kind"] == 0]))
+        states = []
         for k, p in enumerate(parsed):
-            n = len(p.stretches)
-            certain, sends = sure[at : at + n], lead[at : at + n]
-            at += n
+            n, at = len(p.ends), meetings.starts[k]
+            far = common[at : at + len(p.phrases)]
+            certain = meetings.whole[at : at + n] & (far[:n] >= p.ends - np.arange(n)) & (far[:n] > 0)
+            sends = lead[at : at + n]
             m = p.n - width + 1
             near = np.zeros(m + 1, np.int64)
-            own = np.r_[0, inside[meetings.starts[k] : meetings.starts[k] + len(p.phrases)].astype(np.int8), 0]
-            first, last = np.flatnonzero(np.diff(own) == 1), np.flatnonzero(np.diff(own) == -1)
+            run = np.flatnonzero(far)
             # A repeat parses alike but for WINDOW - 1 grams at its ends, so its first common phrase starts, and its last one ends, within 2 * (WINDOW - 1) of them.
-            low, high = np.maximum(p.at[first] - 2 * (WINDOW - 1), 0), np.minimum(p.at[last] - (width - GRAM - 2 * (WINDOW - 1)), m - 1) + 1
+            low, high = np.maximum(p.at[run] - 2 * (WINDOW - 1), 0), np.minimum(p.at[run + far[run]] - (width - GRAM - 2 * (WINDOW - 1)), m - 1) + 1
             np.add.at(near, low[low < high], 1)
             np.add.at(near, high[low < high], -1)
             state = (np.cumsum(near)[:m] > 0).astype(np.uint8)

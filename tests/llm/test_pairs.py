@@ -155,6 +155,57 @@ def test_suffix_array():
                 assert n == next((q for q, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("symbols", [200_000, 20])
+@pytest.mark.parametrize("letters", [2, 4, 40])
+def test_common_runs_are_those_of_all_places(monkeypatch, symbols, letters):
+    """The suffix arrays' common prefixes against a comparison of all places, with points split that have many neighbourhoods."""
+    monkeypatch.setattr(substrings, "SYMBOLS", symbols)
+    r = np.random.default_rng(letters)
+    alphabet, none, stretch = r.integers(1, 1 << 63, letters, dtype=np.uint64), np.zeros(0, np.uint64), 6
+    chunks = [[alphabet[r.integers(0, letters, r.integers(0, 40))] for _ in range(6)] for _ in range(3)]
+    chunks[2] += chunks[0][:2]
+    made = []
+    for c in chunks:
+        parsed = [substrings.Parsed(none, np.zeros(0, np.int64), p, none, np.arange(max(0, len(p) - stretch + 1)) + stretch, 0) for p in c]
+        made.append(substrings.Meetings([(x, np.ones(len(x.phrases), bool)) for x in parsed]))
+    bits = 2
+    replies = [[] for _ in made]
+    for b in range(1 << bits):
+        have = [(k, dict(m.lists(bits)).get(b)) for k, m in enumerate(made)]
+        have = [h for h in have if h[1]]
+        for (k, _), reply in zip(have, substrings.meet([h[1] for h in have]) if have else [], strict=True):
+            replies[k].append((b, reply))
+    runs = {}
+    for c, (chunk, m) in enumerate(zip(chunks, made, strict=True)):
+        far, sends = m.common(bits, replies[c])
+        for t, p in enumerate(chunk):
+            for i in range(len(p) - 2):
+                at = m.starts[t] + i
+                runs[c, t, i] = (tuple(p[i : i + stretch].tolist()), int(far[at]), bool(sends[at]))
+    leads = {}
+    for (c, t, i), (own, far, sends) in runs.items():
+        best = 0
+        for k, (other, _, _) in runs.items():
+            if k != (c, t, i):
+                n = next((q for q, (x, y) in enumerate(zip(own, other, strict=False)) if x != y), min(len(own), len(other)))
+                best = max(best, n)
+        assert far == (best if best >= 3 else 0), (c, t, i)
+        leads.setdefault(own, []).append(sends)
+    assert all(sum(v) == 1 for v in leads.values())
+
+
+def test_removed_bytes_come_from_the_suffix_array(spark, monkeypatch):
+    rows = [(k, prose(60, 120), "en", "s", 0, "", "", 0.0, 0) for k in range(2)]
+    raw = [r[1].encode() for r in rows]
+    parsed = [substrings.parse(b, 400) for b in raw]
+    flags = [np.ones(len(p.phrases), bool) for p in parsed]
+    a, b = (substrings.Meetings([x]) for x in zip(parsed, flags, strict=True))
+    monkeypatch.setattr(substrings, "suffix_array", lambda s: pytest.fail("asked"))
+    c = substrings.Meetings([(parsed[0], flags[0]), (substrings.parse(raw[0][:700] + raw[0][900:], 400), np.ones(len(substrings.parse(raw[0][:700] + raw[0][900:], 400).phrases), bool))])
+    with pytest.raises(pytest.fail.Exception):
+        substrings.meet([x[1] for m in (a, b, c) for x in m.lists(0)])
+
+
 def test_exchange_finds_what_occurs_twice():
     r = np.random.default_rng(0)
     lists = [np.sort(r.integers(0, 300, 100, dtype=np.uint64) << np.uint64(50)) for _ in range(3)]
