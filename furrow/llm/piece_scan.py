@@ -7,8 +7,9 @@ position by position, the best path's last piece follows from those before.
 
 A giant text is cut into chunks at any characters. The state at a cut is the piece that spans or ends at it. A chunk
 yields a transfer matrix: for each state at its left cut, the weight of the path to each state at its right cut.
-Matrices combine associatively, by max-plus products; a scan over them gives the state at each cut, and each
-chunk then traces its own part back, on its own. Texts of one chunk start and end in the one empty state.
+Matrices combine associatively, by max-plus products: tasks combine neighbours, level by level, and on the way down
+each level gives the one below the states at its cuts. Each chunk then traces its own part back, on its own. Texts
+of one chunk start and end in the one empty state.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from furrow.llm.common import Scratch, keeps, using
 
 #: Characters of a chunk; longer texts are giant. Bytes that a worker's caches hold each, about; they start anew beyond.
 CHUNK, CACHED = 32_768, 60 << 20
+#: Neighbouring matrices that a task combines.
+FAN = 64
 
 _SPACE = "▁"
 #: No piece crosses from another character to a space mark, which is checked when the model is loaded, so parts end there.
@@ -279,17 +282,22 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=-np.inf)
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state's number at each cut of a text, from its chunks' matrices: products from the right, combined pairwise in a
-    tree, tell from which states the end is reached, and a pass from the left picks them."""
-    suffix = [np.zeros((matrices[-1].shape[1], 1))]
-    for m in reversed(matrices):
-        suffix.append(product(m, suffix[-1]))
-    suffix.reverse()
-    out = [0]
-    for k, m in enumerate(matrices):
-        out.append(int(np.argmax(m[out[-1]] + suffix[k + 1][:, 0])))
-    return out
+def combined(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices, pairwise in a tree: it doesn't matter which pairs are taken first."""
+    while len(matrices) > 1:
+        matrices = [product(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def scan(matrices: list[np.ndarray], first: int = 0, last: int = 0) -> list[int]:
+    """The state's number at each cut, from that at the first and that at the last. Halves are combined by themselves; the state between them is the one by which the
+    two halves weigh most, and then each half is looked at on its own."""
+    if len(matrices) == 1:
+        return [first, last]
+    half = len(matrices) // 2
+    left, right = combined(matrices[:half]), combined(matrices[half:])
+    middle = int(np.argmax(left[first] + right[:, last]))
+    return scan(matrices[:half], first, middle)[:-1] + scan(matrices[half:], middle, last)
 
 
 _models: dict[str, Pieces] = {}
@@ -310,7 +318,8 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
     ids are the text), and ids (binary) if asked for.
 
     Null and empty texts have no pieces. Repeated rows give a row each, null ids stay null, an empty table gives none. A text with
-    a space mark of its own is decoded with a space there, as by the library, so round_trip is false.
+    a space mark of its own is decoded with a space there, as by the library, so round_trip is false. Other columns, whatever their names,
+    aren't read. A very long text is handled in chunks, but cut, normalised and put together again by one task each, in memory some ten times its length.
     """
     scratch = Scratch(spark)
     key = docs.schema[id_col].dataType.simpleString()
@@ -345,14 +354,38 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
             made = [m.transfer(x, t, c) for x, t, c in zip(b["_before"], b["_part"], b["_cut"], strict=True)]
             yield pd.DataFrame({"_row": b["_row"], "_k": b["_k"], "_n": [len(x[0]) for x in made], "_m": [len(x[1]) for x in made], "_w": [x[2].ravel().tolist() for x in made]})
 
-    matrices = parts.mapInPandas(weigh, "_row long, _k int, _n int, _m int, _w array<double>")
+    kind, fan = "_row long, _k int, _n int, _m int, _w array<double>", FAN
+    longest = giant.agg(F.max(F.length("_text"))).first()[0] or 0
+
+    def matrix(w, n, m) -> np.ndarray:
+        return np.array(w, float).reshape(n, m)
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        w = combined([matrix(*x) for x in zip(pdf["_w"], pdf["_n"], pdf["_m"], strict=True)])
+        return pd.DataFrame({"_row": [pdf["_row"].iloc[0]], "_k": [pdf["_k"].iloc[0] // fan], "_n": [w.shape[0]], "_m": [w.shape[1]], "_w": [w.ravel().tolist()]})
+
+    # Up: a level has the products of FAN neighbours of the level below, until a text has FAN at most. Normalised texts may be longer than read, by a few times.
+    levels = [scratch.save(parts.mapInPandas(weigh, kind))]
+    chunks_left = longest // chunk + 1
+    while chunks_left > fan:
+        below = levels[-1].withColumn("_b", F.floor(F.col("_k") / fan).cast("int"))
+        levels.append(scratch.save(below.groupBy("_row", "_b").applyInPandas(combine, kind)))
+        chunks_left = chunks_left // fan + 1
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
-        states = scan([np.array(w, float).reshape(n, m) for n, m, w in zip(pdf["_n"], pdf["_m"], pdf["_w"], strict=True)])
+        states = scan([matrix(*x) for x in zip(pdf["_w"], pdf["_n"], pdf["_m"], strict=True)], int(pdf["_first"].iloc[0]), int(pdf["_last"].iloc[0]))
         return pd.DataFrame({"_row": pdf["_row"], "_k": pdf["_k"], "_from": states[:-1], "_to": states[1:]})
 
-    found = scratch.save(matrices.groupBy("_row").applyInPandas(settle, "_row long, _k int, _from int, _to int"))  # a text's matrices are small
+    # Down: the states at the ends of a group of FAN are known, those within follow from its own matrices.
+    states = "_row long, _k int, _from int, _to int"
+    found = levels[-1].withColumns({"_first": F.lit(0), "_last": F.lit(0)}).groupBy("_row").applyInPandas(settle, states)
+    for level in reversed(levels[:-1]):
+        ends = found.select("_row", F.col("_k").alias("_b"), F.col("_from").alias("_first"), F.col("_to").alias("_last"))
+        within = level.withColumn("_b", F.floor(F.col("_k") / fan).cast("int")).join(ends, ["_row", "_b"])
+        found = within.groupBy("_row", "_b").applyInPandas(settle, states)
+    found = scratch.save(found)
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)

@@ -131,7 +131,23 @@ def test_max_plus_product_is_associative():
     assert (piece_scan.product(piece_scan.product(a, b), c) == piece_scan.product(a, piece_scan.product(b, c))).all()
 
 
-def test_piece_scan(spark):
+def test_scan_finds_a_best_path():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = [1, *r.integers(1, 4, r.integers(0, 7)).tolist(), 1]
+        m = [np.where(r.random(s) < 0.3, -np.inf, r.integers(-5, 5, s).astype(float)) for s in zip(sizes[:-1], sizes[1:], strict=True)]
+        total = m[0]
+        for x in m[1:]:
+            total = piece_scan.product(total, x)
+        assert (piece_scan.combined(m) == total).all()
+        path = piece_scan.scan(m)
+        if np.isfinite(total[0, 0]):
+            assert sum(x[a, b] for x, a, b in zip(m, path[:-1], path[1:], strict=True)) == total[0, 0]
+
+
+@pytest.mark.parametrize("fan", [64, 3])
+def test_piece_scan(spark, monkeypatch, fan):
+    monkeypatch.setattr(piece_scan, "FAN", fan)
     m = piece_scan.model(PIECES)
     out = got(piece_scan.encode_decode(spark, table(spark), PIECES, chunk=1000))
     for i, t in texts():
