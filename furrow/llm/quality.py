@@ -1,9 +1,11 @@
 """Quality rules with robust multivariate outliers.
 
-Counts of each text make a transformed vector. For each language and source, a minimum covariance determinant
-estimate is found by concentration steps: from medians and median deviations on, the share `h` of the
-group's rows with the smallest distance gives the next mean and covariance. Rows too far from the last one, in
-Mahalanobis distance, are rejected. Every step is two aggregates over saved vectors of a few numbers a row.
+Counts of each text make a transformed vector. For each language and source, a minimum (regularised) covariance determinant
+estimate is sought: of all shares `h` of the group's rows, the one whose covariance, with a small diagonal added, has the
+least determinant. Three deterministic starts (median deviations, the correlations of squashed values, those of directions
+from the median) are improved by concentration steps until no determinant falls any more: the rows with the smallest
+distance from an estimate give the next. The start that ends lowest is taken. Rows too far from it, in Mahalanobis
+distance, are rejected. Every step is two aggregates over saved vectors of a few numbers a row, for all groups and starts at once.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,15 +30,18 @@ _word = re.compile(WORD)
 
 @dataclass(frozen=True)
 class Settings:
-    """h: the share that an estimate rests on. steps: of concentration. tail: the chance by which a row of a normal
-    group is rejected. least: rows that an estimate of covariances needs, five for each part; smaller groups are held
-    against all rows of their language, or of the corpus. floors: least deviations of the vector's parts."""
+    """h: the share that an estimate rests on. tail: the chance by which a row of a normal group is rejected. least: rows that an estimate of
+    covariances needs, five for each part; smaller groups are held against all rows of their language, or of the corpus. floors: deviations whose
+    squares are added to the covariances, shrunk by `shrink`; a part that never varies so has this deviation. settled: the change of a determinant's
+    logarithm that counts as none. most: steps after which the search ends even so."""
 
     h: float = 0.75
-    steps: int = 4
     tail: float = 1e-5
     least: int = 25
-    floors: tuple[float, ...] = (0.7, 0.5, 0.7, 0.2, 0.2)
+    floors: tuple[float, ...] = (0.7, 0.5, 0.7, 0.5, 0.5)
+    shrink: float = 0.8
+    settled: float = 1e-4
+    most: int = 40
     groups_sent: int = 10_000
 
 
@@ -76,7 +81,8 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def vector(n: int, chars: int, symbols: int, dup: int, repeat: int, lines: int) -> tuple[float, ...]:
-    return math.log(n), chars / n, math.log(1e-3 + symbols / (chars + 1)), math.sqrt(dup / max(1, lines)), math.sqrt(repeat / n)
+    """Shares as logarithms: each part can lie so far out that it alone rejects a text."""
+    return math.log(n), chars / n, math.log(1e-3 + symbols / (chars + 1)), math.log(1e-2 + dup / max(1, lines)), math.log(1e-2 + repeat / n)
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -132,54 +138,81 @@ def _distance(p: int):
     return sum((F.col(f"i{j}{k}") * d[j] * d[k] * (1 if j == k else 2) for j in range(p) for k in range(j, p)), F.lit(0.0))
 
 
-def mcd(spark: SparkSession, scratch: Scratch, rows: DataFrame, s: Settings) -> DataFrame:
-    """Per _group: its mean m0.. and the inverse of its scaled covariance i00..; rows have _group and the vector's parts."""
-    p = len(NAMES)
-    cutoff = chi2_quantile(s.h, p)
-    factor = s.h / _gamma_p(p / 2 + 1, cutoff / 2)
-    columns = [f"m{j}" for j in range(p)] + [f"i{j}{k}" for j in range(p) for k in range(j, p)]
-    schema = "_group string, " + ", ".join(f"{c} double" for c in columns)
-    floor = np.array(s.floors) ** 2
+#: Starts of the search.
+STARTS = ("deviations", "squashed", "directions")
+
+
+def regularised(cov: np.ndarray, s: Settings, factor: float) -> np.ndarray:
+    return np.diag(np.array(s.floors) ** 2) + s.shrink * factor * cov
 
-    def out(names, means, covs):
-        inv = [np.linalg.inv(c) for c in covs]
-        return pd.DataFrame([[g, *m, *(i[j, k] for j in range(p) for k in range(j, p))] for g, m, i in zip(names, means, inv, strict=True)], columns=["_group", *columns])
+
+def mcd(spark: SparkSession, scratch: Scratch, rows: DataFrame, s: Settings, concentrate: bool = True) -> DataFrame:
+    """Per _group: its mean m0.., the inverse of its covariance i00.. and the logarithm of that one's determinant; rows have _group and the vector's parts.
+    concentrate: False for the first start alone, medians and deviations."""
+    p = len(NAMES)
+    factor = s.h / _gamma_p(p / 2 + 1, chi2_quantile(s.h, p) / 2)  # makes the covariance of the nearest share that of all rows of a normal group
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    columns = [f"m{j}" for j in range(p)] + [f"i{j}{k}" for j, k in pairs] + ["_det"]
+    schema = "_group string, _start string, " + ", ".join(f"{c} double" for c in columns)
+
+    def symmetric(b: pd.DataFrame, name: str) -> np.ndarray:
+        out = np.empty((len(b), p, p))
+        for j, k in pairs:
+            out[:, j, k] = out[:, k, j] = b[f"{name}{j}{k}"].to_numpy(float)
+        return out
+
+    def out(names, start, means: np.ndarray, covs: np.ndarray) -> pd.DataFrame:
+        inv, det = np.linalg.inv(covs), np.linalg.slogdet(covs)[1]
+        made = pd.DataFrame(np.c_[means, np.stack([inv[:, j, k] for j, k in pairs], axis=1), det], columns=columns)
+        made.insert(0, "_start", start)
+        made.insert(0, "_group", list(names))
+        return made
 
     def first(batches):
         for b in batches:
-            dev = 1.4826 * b[[f"d{j}" for j in range(p)]].to_numpy(float)
-            yield out(b["_group"], b[[f"m{j}" for j in range(p)]].to_numpy(float), [np.diag(np.maximum(x**2, floor)) for x in dev])
+            dev = np.maximum(1.4826 * b[[f"d{j}" for j in range(p)]].to_numpy(float), s.floors)
+            means, n, wide = b[[f"m{j}" for j in range(p)]].to_numpy(float), b["n"].to_numpy(float), dev[:, :, None] * dev[:, None, :]
+            yield out(b["_group"], STARTS[0], means, np.eye(p) * wide)
+            if concentrate:
+                t = symmetric(b, "t") / n[:, None, None]
+                scale = np.sqrt(np.einsum("njj->nj", t)) + 1e-12
+                alike = np.where(np.eye(p) > 0, 1.0, 0.95 * t / (scale[:, :, None] * scale[:, None, :]))
+                yield out(b["_group"], STARTS[1], means, alike * wide)
+                yield out(b["_group"], STARTS[2], means, (p * symmetric(b, "u") / n[:, None, None] + 0.05 * np.eye(p)) * wide)
 
     def following(batches):
         for b in batches:
-            n = b["n"].to_numpy(float)[:, None]
-            at = b[[f"c{j}" for j in range(p)]].to_numpy(float)
-            mean = b[[f"s{j}" for j in range(p)]].to_numpy(float) / n
-            covs = []
-            for r, m, k in zip(b.itertuples(index=False), mean, n[:, 0], strict=True):
-                c = np.empty((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        c[i, j] = c[j, i] = getattr(r, f"q{i}{j}") / k - m[i] * m[j]
-                c = c * factor
-                # No part may vary less than its floor: a variance below it is raised, the covariances stay.
-                covs.append(c + np.diag(np.maximum(floor - np.diag(c), 0) + 1e-9))
-            yield out(b["_group"], at + mean, covs)
-
-    med = rows.groupBy("_group").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m{j}") for j, c in enumerate(NAMES)])
-    few = med.count() <= s.groups_sent
-    small = F.broadcast if few else (lambda df: df)  # one row for each group: broadcast only after their count
-    med = scratch.save(med)
+            n = b["n"].to_numpy(float)
+            mean = b[[f"s{j}" for j in range(p)]].to_numpy(float) / n[:, None]
+            cov = symmetric(b, "q") / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+            for start, own in b.groupby("_start", sort=False):
+                k = b.index.get_indexer(own.index)
+                at = own[[f"c{j}" for j in range(p)]].to_numpy(float)
+                yield out(own["_group"], start, at + mean[k], np.stack([regularised(c, s, factor) for c in cov[k]]))
+
+    med = scratch.save(rows.groupBy("_group").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m{j}") for j, c in enumerate(NAMES)]))
+    small = F.broadcast if med.count() <= s.groups_sent else (lambda df: df)  # one row for each group: broadcast only after their count
     dev = rows.join(small(med), "_group").groupBy("_group").agg(*[F.first(f"m{j}").alias(f"m{j}") for j in range(p)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{j}")), 0.5, 10_000).alias(f"d{j}") for j, c in enumerate(NAMES)])
-    now = scratch.save(dev.mapInPandas(first, schema))
-    for _ in range(s.steps):
+    dev = scratch.save(dev)
+    z = [(F.col(c) - F.col(f"m{j}")) / F.greatest(1.4826 * F.col(f"d{j}"), F.lit(s.floors[j])) for j, c in enumerate(NAMES)]
+    norm = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
+    shape = rows.join(small(dev.select("_group", *[f"m{j}" for j in range(p)], *[f"d{j}" for j in range(p)])), "_group").groupBy("_group")
+    shape = shape.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.tanh(z[j]) * F.tanh(z[k])).alias(f"t{j}{k}") for j, k in pairs], *[F.sum(z[j] * z[k] / (norm * norm)).alias(f"u{j}{k}") for j, k in pairs])
+    now = scratch.save(dev.join(shape, "_group").mapInPandas(first, schema))
+    keys = ["_group", "_start"]
+    for _ in range(s.most if concentrate else 0):
         far = rows.join(small(now), "_group").withColumn("_d", _distance(p))
-        edge = scratch.save(far.groupBy("_group").agg(F.percentile_approx("_d", s.h, 10_000).alias("_edge")))
-        near = far.join(small(edge), "_group").where("_d <= _edge")
-        z = [F.col(c) - F.col(f"m{j}") for j, c in enumerate(NAMES)]
-        sums = near.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *[F.first(f"m{j}").alias(f"c{j}") for j in range(p)], *[F.sum(z[j]).alias(f"s{j}") for j in range(p)], *[F.sum(z[j] * z[k]).alias(f"q{j}{k}") for j in range(p) for k in range(j, p)])
-        now = scratch.save(sums.mapInPandas(following, schema))
-    return small(now)
+        edge = scratch.save(far.groupBy(*keys).agg(F.percentile_approx("_d", s.h, 10_000).alias("_edge")))
+        near = far.join(small(edge), keys).where("_d <= _edge")
+        y = [F.col(c) - F.col(f"m{j}") for j, c in enumerate(NAMES)]
+        sums = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.first(f"m{j}").alias(f"c{j}") for j in range(p)], *[F.sum(y[j]).alias(f"s{j}") for j in range(p)], *[F.sum(y[j] * y[k]).alias(f"q{j}{k}") for j, k in pairs])
+        new = scratch.save(sums.mapInPandas(following, schema))
+        moved = now.select(*keys, F.col("_det").alias("_was")).join(new, keys).agg(F.max(F.abs(F.col("_det") - F.col("_was")))).first()[0]
+        now = new
+        if moved is None or moved <= s.settled:
+            break
+    best = now.groupBy("_group").agg(F.min_by(F.struct(*columns), F.struct("_det", "_start")).alias("_best")).select("_group", "_best.*")
+    return small(scratch.save(best))
 
 
 def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -189,6 +222,8 @@ def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_
     rows that pass. Null and empty texts have no words and fail. A null language or source is a
     group of its own. Groups too small for an estimate are held against all rows of their language, or if these are too
     few of the corpus. distance is null where no row of the group passes. Repeated rows give a row each; an empty table gives none.
+    Columns other than the id, the text and those of `by`, whatever their names, aren't read. A very long text is counted whole, in memory some hundred
+    times its words.
     """
     s = s or Settings()
     scratch = Scratch(spark)
@@ -206,7 +241,7 @@ def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_
     rests = scratch.save(rests)
     small = F.broadcast if rests.count() <= s.groups_sent else (lambda df: df)
     enough = total >= s.least  # or else the medians and deviations of so few rows decide, with the cutoff of so few
-    estimates = mcd(spark, scratch, rows.where(~F.col("base_failed")).join(small(rests), "_fine"), s if enough else replace(s, steps=0))
+    estimates = mcd(spark, scratch, rows.where(~F.col("base_failed")).join(small(rests), "_fine"), s, enough)
     far = rows.join(small(named.select("_fine", "_group")), "_fine", "left").join(estimates, "_group", "left").withColumn("_d", _distance(len(NAMES)))
     cutoff = chi2_quantile(1 - s.tail, len(NAMES)) if enough else prediction_quantile(1 - s.tail, len(NAMES), total)
     return far.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("_d") <= cutoff, F.lit(True))).alias("kept"), F.sqrt("_d").alias("distance"))

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from furrow.llm import packing, pii, piece_scan, quality, token_counts, toxicity
 from furrow.llm.bpe import encoder
+from furrow.llm.common import Scratch
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -272,6 +273,39 @@ def test_outliers_are_rejected(spark):
     assert sum(out[k][0]["kept"] for k in range(300)) >= 297
 
 
+def test_repeated_lines_and_words_are_rejected(spark):
+    """Each part alone can lie too far out."""
+    rows = [(k, "\n".join(prose(1000 * k + q, 12) for q in range(10)), "en", "s", 0, "", "", 0.0, 0) for k in range(300)]
+    rows += [(1000 + k, "\n".join([*(prose(5000 * k + q, 12) for q in range(6)), *[prose(5000 * k, 12)] * 4]), "en", "s", 0, "", "", 0.0, 0) for k in range(10)]
+    words = [prose(7000 + k, 120).split() for k in range(10)]
+    rows += [(2000 + k, " ".join([*w, *w[:20], *w[40:60]]), "en", "s", 0, "", "", 0.0, 0) for k, w in enumerate(words)]
+    out = got(quality.quality(spark, table(spark, rows)))
+    assert not any(out[1000 + k][0]["base_failed"] or out[2000 + k][0]["base_failed"] for k in range(10))
+    assert not any(out[1000 + k][0]["kept"] for k in range(10)) and not any(out[2000 + k][0]["kept"] for k in range(10))
+    assert sum(out[k][0]["kept"] for k in range(300)) >= 298
+
+
+def test_least_determinant_of_all_starts(spark):
+    """Correlated rows with a third of outliers on one side: no share of rows found by random starts has a smaller determinant."""
+    r = np.random.default_rng(4)
+    p = len(quality.NAMES)
+    mix = np.tril(r.normal(0, 1, (p, p))) + 2 * np.eye(p)
+    x = np.concatenate([r.standard_normal((400, p)) @ mix.T, r.standard_normal((90, p)) * 0.5 + 14])
+    s = quality.Settings()
+    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "_group string, " + ", ".join(f"{c} double" for c in quality.NAMES))
+    got_det = quality.mcd(spark, Scratch(spark), df, s).collect()[0]["_det"]
+    factor = s.h / quality._gamma_p(p / 2 + 1, quality.chi2_quantile(s.h, p) / 2)
+    best = np.inf
+    for _ in range(60):
+        own = r.choice(len(x), p + 1, replace=False)
+        for _ in range(40):
+            c = quality.regularised(np.cov(x[own].T, bias=True), s, factor)
+            d = np.einsum("ij,jk,ik->i", x - x[own].mean(0), np.linalg.inv(c), x - x[own].mean(0))
+            own = np.argsort(d)[: int(np.ceil(s.h * len(x)))]
+        best = min(best, np.linalg.slogdet(quality.regularised(np.cov(x[own].T, bias=True), s, factor))[1])
+    assert got_det <= best + 0.02
+
+
 def test_chi2_quantiles():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality.chi2_quantile(0.5, 2) == pytest.approx(1.386294, abs=1e-5)
