@@ -50,6 +50,54 @@ def height_line(df: DataFrame, h: str, v: str, by: list[str]) -> DataFrame:
     return df.join(fit, by).withColumn("corrected", F.col(v) - F.col("_b") * (F.col(h) - F.col("_h"))).drop("_b", "_h")
 
 
+#: Candidate exponents, over the span of heights, of each round of the search, and rounds.
+EXPONENTS, ROUNDS = 24, 5
+
+
+def height_exponential(df: DataFrame, h: str, v: str, by: list[str], reference: float | None = None) -> DataFrame:
+    """Moves values to the reference height (or their channel's median one) along a + b exp(c h) of their channel, by least squares; along a straight line where no curve
+    fits better, which includes channels with under four readings or heights.
+
+    For a given c, a and b are linear, so a candidate's misfit follows from five sums. All candidates of all channels are one aggregate, and each round looks more closely around the best.
+    """
+    ok = df.where(F.col(h).isNotNull() & F.col(v).isNotNull() & ~F.isnan(h) & ~F.isnan(v)).select(*by, F.col(h).cast("double").alias("_h"), F.col(v).cast("double").alias("_v"))
+    line = ok.groupBy(*by).agg(F.percentile("_h", F.lit(0.5)).alias("_mid"), F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mv"), F.avg("_h").alias("_mh"), F.regr_slope("_v", "_h").alias("_slope"), F.regr_r2("_v", "_h").alias("_r2"), F.var_pop("_v").alias("_var"))
+    line = line.withColumn("_span", F.col("_high") - F.col("_low"))
+    spread = [sign * 0.05 * (400 ** (k / (EXPONENTS - 1))) for k in range(EXPONENTS) for sign in (-1, 1)]
+    tried = line.where("_span > 0 and _n >= 4").select(*by, "_mid", "_span", "_mv", F.explode(F.array(*[F.lit(x) for x in spread])).alias("_k"), F.lit(0.35).alias("_reach"))
+    best = None
+    for _ in range(ROUNDS):
+        e = F.exp(F.col("_k") / F.col("_span") * (F.col("_h") - F.col("_mid")))
+        y = F.col("_v") - F.col("_mv")
+        sums = ok.join(F.broadcast(tried), by).groupBy(*by, "_k", "_mid", "_span", "_mv", "_reach").agg(F.covar_pop(y, e).alias("_ve"), F.var_pop(e).alias("_ee"), F.var_pop(y).alias("_vv"), F.avg(e).alias("_me"), F.avg(y).alias("_my"))
+        sums = sums.where("_ee > 0").withColumn("_miss", F.col("_vv") - F.col("_ve") * F.col("_ve") / F.col("_ee")).withColumn("_b", F.col("_ve") / F.col("_ee"))
+        best = sums.groupBy(*by).agg(F.min_by(F.struct("_k", "_b", "_mid", "_span", "_mv", "_reach", "_miss"), F.struct("_miss", "_k")).alias("_f")).select(*by, "_f.*")
+        best = best.sparkSession.createDataFrame(best.collect(), best.schema)  # one row a channel
+        closer = F.array(*[F.col("_k") * F.exp(F.col("_reach") * x / 6) for x in range(-6, 7)])
+        tried = best.select(*by, "_mid", "_span", "_mv", F.explode(closer).alias("_k"), (F.col("_reach") / 5).alias("_reach"))
+    fit = line.join(best.select(*by, "_k", "_b", "_miss"), by, "left")
+    at = F.col("_mid") if reference is None else F.lit(float(reference))
+    rate = F.col("_k") / F.col("_span")
+    bent = F.col("_b") * (F.exp(rate * (F.col(h) - F.col("_mid"))) - F.exp(rate * (at - F.col("_mid"))))
+    straight = F.coalesce(F.col("_slope"), F.lit(0.0)) * (F.col(h) - at)
+    curved = F.col("_miss").isNotNull() & (F.col("_miss") < (1 - F.coalesce(F.col("_r2"), F.lit(0.0))) * F.col("_var"))
+    drop = ["_mid", "_low", "_high", "_n", "_mv", "_mh", "_slope", "_r2", "_var", "_span", "_k", "_b", "_miss"]
+    return df.join(F.broadcast(fit), by, "left").withColumn("corrected", F.col(v) - F.when(curved, bent).otherwise(straight)).drop(*drop)
+
+
+def temperature_slopes(occupations: DataFrame, by: list[str], temp: str = "c", v: str = "v", t: str | None = "t") -> DataFrame:
+    """By, _b (the value's change with temperature) and _c (the mean temperature) over occupation means. With four occupations or more whose times and temperatures
+    aren't one line, it is fitted together with a trend in time: the normal equations of two regressors, from covariances."""
+    cov = lambda a, b: F.covar_pop(a, b)
+    if t is None:
+        return occupations.groupBy(*by).agg(F.coalesce(F.regr_slope(v, temp), F.lit(0.0)).alias("_b"), F.avg(temp).alias("_c"))
+    a = occupations.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), cov(v, temp).alias("vc"), cov(v, t).alias("vt"), F.var_pop(temp).alias("cc"), F.var_pop(t).alias("tt"), cov(temp, t).alias("ct"), F.avg(temp).alias("_c"))
+    det = F.col("cc") * F.col("tt") - F.col("ct") * F.col("ct")
+    both = (F.col("n") >= 4) & (det > 2e-9 * F.col("cc") * F.col("tt"))  # correlation below 1 by a billionth
+    slope = F.when(both, (F.col("vc") * F.col("tt") - F.col("vt") * F.col("ct")) / det).otherwise(F.try_divide(F.col("vc"), F.col("cc")))
+    return a.select(*by, F.coalesce(slope, F.lit(0.0)).alias("_b"), "_c")
+
+
 def with_offsets(df: DataFrame, offsets: dict[str, float], key: str = "label", v: str = "value") -> DataFrame:
     """C4: subtracts each channel's offset; the offsets are settings, part of the plan."""
     if not offsets:

@@ -116,6 +116,70 @@ def constant_runs(df: DataFrame, coordinate: str, order: str = "rid", by: list[s
     return df.withColumn("_start", F.coalesce((F.col(coordinate) != F.lag(coordinate).over(w)).cast("int"), F.lit(0))).withColumn("run", F.sum("_start").over(upto(w)).cast("long")).drop("_start")
 
 
+# Readings a line has on average at least, the pause in seconds and the steps of a jump back that start a new line.
+LINE_READINGS, LINE_PAUSE_S, RESTART_STEPS = 10, 3.0, 5
+
+
+def inferred_lines(df: DataFrame, order: str = "rid", x: str | None = "x", y: str | None = "y", t: str | None = "t") -> tuple[DataFrame, str]:
+    """(the readings with `inferred`, the line's label as a number, and how lines were found) for one survey without line labels.
+
+    A coordinate that is constant along each line starts a line where it changes (of two, the one that changes less often, if lines then have ten readings on average),
+    and so does the other one where it jumps back to a line's start. Lines are then called by their coordinate if each has its own, or numbered from 0. A single
+    coordinate column starts lines where it jumps back; else pauses do; else there is one line. Missing coordinates take the last one before, or the first one.
+
+    Which rule holds follows from one aggregate; the flags from one window over the survey, whose order is all there is to go by.
+    """
+    w = along([], order)
+    names = {n: c for n, c in (("x", x), ("y", y)) if c is not None and c in df.columns}
+    filled = df
+    for n, c in names.items():
+        ahead = F.first(c, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        filled = filled.withColumn(f"_{n}", F.coalesce(F.last(c, True).over(upto(w)), ahead).cast("double"))
+    for n in names:
+        filled = filled.withColumn(f"_s{n}", F.col(f"_{n}") - F.lag(f"_{n}").over(w))
+    steps = [F.col(f"_s{n}") for n in names]
+    moving = [F.when(v != 0, v) for v in steps]
+    facts = filled.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(f"_{n}").alias(f"have_{n}") for n in names], *[F.count(m).alias(f"turns_{n}") for n, m in zip(names, moving, strict=True)],
+        *[F.percentile(m, F.lit(0.5)).alias(f"way_{n}") for n, m in zip(names, moving, strict=True)], *[F.percentile(F.abs(m), F.lit(0.5)).alias(f"step_{n}") for n, m in zip(names, moving, strict=True)],
+    ).first()
+    names = {n: c for n, c in names.items() if facts["n"] and facts[f"have_{n}"] == facts["n"]}
+
+    def back(n: str):
+        if not facts[f"way_{n}"]:
+            return F.lit(False)
+        against = F.col(f"_s{n}") < 0 if facts[f"way_{n}"] > 0 else F.col(f"_s{n}") > 0
+        return F.coalesce(against & (F.abs(f"_s{n}") > RESTART_STEPS * facts[f"step_{n}"]), F.lit(False))
+
+    def numbered(start, how: str) -> tuple[DataFrame, str]:
+        out = filled.withColumn("_start", start.cast("int")).withColumn("inferred", F.sum("_start").over(upto(w)).cast("double"))
+        return out.drop("_start", *[c for n in ("x", "y") for c in (f"_{n}", f"_s{n}")]), how
+
+    runs = sorted((facts[f"turns_{n}"] + 1, n) for n in names if facts[f"turns_{n}"] + 1 <= max(1, facts["n"] // LINE_READINGS))
+    if runs:
+        n = runs[0][1]
+        other = next((m for m in names if m != n), None)
+        change = F.coalesce(F.col(f"_s{n}") != 0, F.lit(False))
+        start = change | back(other) if other else change
+        flagged = filled.withColumn("_start", start)
+        count = flagged.agg(F.sum(start.cast("int")).alias("starts"), F.sum((start & ~change).cast("int")).alias("jumps")).first()
+        first = filled.select(F.row_number().over(w).alias("_k"), f"_{n}", start.alias("_start")).where("_start or _k = 1")
+        own = first.select(f"_{n}").distinct().count() == (count["starts"] or 0) + 1
+        how = f"lines taken from runs of constant {n.upper()}" + (f" and where {other.upper()} restarts" if count["jumps"] else "")
+        if not own:
+            return numbered(start, how)
+        return filled.withColumn("inferred", F.col(f"_{n}")).drop(*[c for m in ("x", "y") for c in (f"_{m}", f"_s{m}")]), how
+    if len(names) == 1:
+        (n,) = names
+        jumps = back(n)
+        if filled.where(jumps).limit(1).count():
+            return numbered(jumps, f"lines split where {n.upper()} restarts")
+    if t is not None and t in df.columns:
+        out = time_gap_lines(df, LINE_PAUSE_S, t, order)
+        return out.withColumn("inferred", F.col("inferred").cast("double")), f"lines split at pauses longer than {LINE_PAUSE_S:g} s"
+    return df.withColumn("inferred", F.lit(0.0)), "the whole file is treated as one line"
+
+
 def ranked(scores: DataFrame, score: str = "score", tie: str = "label", by: list[str] | None = None) -> DataFrame:
     """Best first, blank last, ties by name."""
     w = Window.partitionBy(*(by or [])).orderBy(F.desc_nulls_last(score), tie)
@@ -127,14 +191,18 @@ def linear_drift(occupations: DataFrame, t: str = "t", v: str = "v") -> DataFram
     return occupations.agg(F.regr_slope(v, t).alias("slope"), F.regr_intercept(v, t).alias("intercept"))
 
 
-def piecewise_drift(readings: DataFrame, occupations: DataFrame, t: str = "t") -> DataFrame:
-    """Drift at each reading by linear interpolation between occupation means, flat beyond them. Occupations are tens of rows; over 1,000 are refused."""
-    if occupations.limit(1001).count() > 1000:
-        raise ValueError("over 1,000 base-station occupations; merge them first")
-    w = Window.orderBy("ot")
-    seg = occupations.select(F.col(t).alias("ot"), F.col("v").alias("ov")).withColumn("nt", F.lead("ot").over(w)).withColumn("nv", F.lead("ov").over(w)).withColumn("is_first", F.row_number().over(w) == 1)
+def piecewise_drift(readings: DataFrame, occupations: DataFrame, t: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+    """Drift at each reading by linear interpolation between occupation means (of its channel, if `by` names it), flat beyond them. Occupations are tens of
+    rows a channel; over 10,000 are refused."""
+    if occupations.limit(10_001).count() > 10_000:
+        raise ValueError("over 10,000 base-station occupations; merge them first")
+    w = Window.partitionBy(*by).orderBy("ot")
+    seg = occupations.select(*by, F.col(t).alias("ot"), F.col("v").alias("ov")).withColumn("nt", F.lead("ot").over(w)).withColumn("nv", F.lead("ov").over(w)).withColumn("is_first", F.row_number().over(w) == 1)
+    seg = seg.withColumnsRenamed({c: f"_{c}" for c in by})
     r = F.col(t)
     inside = ((r >= F.col("ot")) | F.col("is_first")) & (r < F.coalesce("nt", F.lit(float("inf"))))
-    joined = readings.join(F.broadcast(seg), inside)
+    for c in by:
+        inside = inside & (F.col(c) == F.col(f"_{c}"))
+    joined = readings.join(F.broadcast(seg), inside, "left" if by else "inner")
     value = F.when(r <= F.col("ot"), F.col("ov")).when(F.col("nt").isNull(), F.col("ov")).otherwise(F.col("ov") + (F.col("nv") - F.col("ov")) * (r - F.col("ot")) / (F.col("nt") - F.col("ot")))
-    return joined.withColumn("drift", value).drop("ot", "ov", "nt", "nv", "is_first")
+    return joined.withColumn("drift", value).drop("ot", "ov", "nt", "nv", "is_first", *[f"_{c}" for c in by])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import ec_at_25
+from furrow.functions.physics import Sensor, viscosity
 from furrow.operators import aggregates as A
 from furrow.operators import corrections as K
+from furrow.operators import inversion as V
 from furrow.operators import ordered as W
 from furrow.operators import spatial as S
 
@@ -28,17 +31,27 @@ class Settings:
     threshold: float = 4.0
     clip: tuple[float, float] | None = None
     height: str | None = None
+    height_model: str = "exponential"  # or linear
+    reference_height: float | None = None
     base_lines: tuple[str, ...] = ()
     temperature: str | None = None
     drift: bool = False
+    drift_model: str = "linear"  # or piecewise
     offsets: dict[str, float] = field(default_factory=dict, hash=False)
+    recompute: tuple[tuple[float, str, str, str, str], ...] = ()  # frequency and the labels of in-phase, quadrature, conductivity, susceptibility
+    sensor: Sensor = field(default_factory=Sensor)
     lag: float = 0.0
+    reference: DataFrame | None = field(default=None, compare=False)  # id, label, x, y, ref
+    reference_radius: float = 2.0
+    reference_moments: bool = False
     soil_temperature: float | None = None
+    ec_labels: tuple[str, ...] = ()  # channels that are conductivities; all, where none is named
+    viscosity: tuple[float, float, str, str, str] | None = None  # two frequencies and the labels of in-phase and quadrature at the lower and quadrature at the higher
 
     def describe(self) -> list[str]:
         """The enabled steps in words."""
         steps = [(self.drop_flagged, "flagged readings dropped"), (self.excluded, f"{len(self.excluded)} lines excluded"), (self.despike, f"spikes over {self.threshold:g} deviations of a window of {self.despike} blanked"), (self.clip, "values outside percentiles blanked"),
-                 (self.height, "sensor height corrected"), (self.temperature, "temperature corrected"), (self.drift, "drift removed"), (self.offsets, f"{len(self.offsets)} offsets subtracted"), (self.lag, f"positions moved by {self.lag:g} s"), (self.soil_temperature is not None, "conductivity at 25 degrees")]
+                 (self.height, "sensor height corrected"), (self.temperature, "temperature corrected"), (self.drift, "drift removed"), (self.offsets, f"{len(self.offsets)} offsets subtracted"), (self.recompute, f"conductivity recomputed at {len(self.recompute)} frequencies"), (self.lag, f"positions moved by {self.lag:g} s"), (self.reference is not None, "calibrated by reference points"), (self.soil_temperature is not None, "conductivity at 25 degrees"), (self.viscosity, "magnetic viscosity added")]
         return [text for on, text in steps if on]
 
 
@@ -90,38 +103,104 @@ def prepared(readings: DataFrame, s: Settings) -> DataFrame:
         df = W.despiked(df, "value", ["label", "line"], window=s.despike, threshold=s.threshold).drop("is_spike")
     if s.clip:
         df = K.clipped(df, "value", *s.clip, ["label"])
-    if s.height:
-        df = K.height_line(df, s.height, "value", ["label"]).withColumn("value", F.col("corrected")).drop("corrected")
+    if s.height and not s.recompute:  # recomputing takes each reading at its height instead
+        if s.height_model == "linear" and s.reference_height is None:
+            df = K.height_line(df, s.height, "value", ["label"]).withColumn("value", F.col("corrected")).drop("corrected")
+        else:
+            df = K.height_exponential(df, s.height, "value", ["label"], s.reference_height).withColumn("value", F.col("corrected")).drop("corrected")
     if s.temperature:
         df = temperature_by_channel(df, s)
     if s.drift:
         df = drift_by_channel(df, s)
     if s.offsets:
         df = K.with_offsets(df, s.offsets)
+    for frequency in s.recompute:
+        df = with_recomputed(df, *frequency, s.sensor, s.height)
     if s.lag:
         place = K.shifted(df.select("rid", "line", "t", "x", "y").dropDuplicates(["rid"]), s.lag).select("rid", F.col("x").alias("_x"), F.col("y").alias("_y"))
         df = df.join(place, "rid").withColumn("x", F.col("_x")).withColumn("y", F.col("_y")).drop("_x", "_y")
+    if s.reference is not None:
+        df = calibrated(df, s)
     if s.soil_temperature is not None:
-        df = df.withColumn("value", ec_at_25(F.col("value"), F.lit(float(s.soil_temperature))))
+        own = F.col("label").isin(list(s.ec_labels)) if s.ec_labels else F.lit(True)
+        df = df.withColumn("value", F.when(own, ec_at_25(F.col("value"), F.lit(float(s.soil_temperature)))).otherwise(F.col("value")))
+    if s.viscosity:
+        df = with_viscosity(df, s)
     if not counted:
         df = df.join(with_distance(df.select(*keys).dropDuplicates(["rid"]), s).select("rid", "dist"), "rid")
     return df
 
 
 def drift_by_channel(df: DataFrame, s: Settings) -> DataFrame:
-    """C3 for every channel at once: one fit for each from its occupations; base-station rows go."""
+    """C3 for every channel at once: one fit, straight or piecewise, for each from its occupations, less its value at the first; base-station rows go."""
     base = F.col("line").isin(list(s.base_lines))
     occ = df.where(base).groupBy("label", "line").agg(F.avg("t").alias("t"), F.avg("value").alias("v"))
+    kept = df.where(~base | F.col("line").isNull())
+    if s.drift_model == "piecewise":
+        first = occ.groupBy("label").agg(F.min_by("v", "t").alias("_v0"))
+        out = W.piecewise_drift(kept, occ, by=("label",)).join(F.broadcast(first), "label", "left")
+        return out.withColumn("value", F.coalesce(F.col("value") - (F.col("drift") - F.col("_v0")), F.col("value"))).drop("drift", "_v0")
     fit = occ.groupBy("label").agg(F.coalesce(F.regr_slope("v", "t"), F.lit(0.0)).alias("_b"), F.min("t").alias("_t0"))
-    return df.where(~base | F.col("line").isNull()).join(F.broadcast(fit), "label", "left").withColumn("value", F.coalesce(F.col("value") - F.col("_b") * (F.col("t") - F.col("_t0")), F.col("value"))).drop("_b", "_t0")
+    return kept.join(F.broadcast(fit), "label", "left").withColumn("value", F.coalesce(F.col("value") - F.col("_b") * (F.col("t") - F.col("_t0")), F.col("value"))).drop("_b", "_t0")
 
 
 def temperature_by_channel(df: DataFrame, s: Settings) -> DataFrame:
-    occ = df.where(F.col("line").isin(list(s.base_lines))).groupBy("label", "line").agg(F.avg(s.temperature).alias("c"), F.avg("value").alias("v"))
-    fit = occ.groupBy("label").agg(F.coalesce(F.regr_slope("v", "c"), F.lit(0.0)).alias("_b"), F.avg("c").alias("_c"))
+    """C2 for every channel at once."""
+    occ = df.where(F.col("line").isin(list(s.base_lines))).groupBy("label", "line").agg(F.avg(s.temperature).alias("c"), F.avg("value").alias("v"), F.avg("t").alias("t"))
+    fit = K.temperature_slopes(occ, ["label"])
     return df.join(F.broadcast(fit), "label", "left").withColumn("value", F.coalesce(F.col("value") - F.col("_b") * (F.col(s.temperature) - F.col("_c")), F.col("value"))).drop("_b", "_c")
 
 
+def _side_by_side(df: DataFrame, labels: dict[str, str], more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each reading with the values of some channels, by name; other columns are those of the reading's first row."""
+    rest = [c for c in df.columns if c not in ("rid", "label", "value")]
+    values = [F.max(F.when(F.col("label") == label, F.col("value"))).alias(name) for name, label in labels.items()]
+    return df.where(F.col("label").isin(list(labels.values()))).groupBy("rid").agg(*[F.first(c, True).alias(c) for c in rest], *values)
+
+
+def with_recomputed(df: DataFrame, hz: float, inphase: str, quadrature: str, ec: str, ms: str, sensor: Sensor, height: str | None) -> DataFrame:
+    """E5: the readings with conductivity and susceptibility of one frequency made anew from its in-phase and quadrature channels, at each reading's height if a column has it."""
+    pairs = _side_by_side(df, {"_i": inphase, "_q": quadrature})
+    made = V.recomputed(pairs, hz, "_i", "_q", height, sensor)
+    rest = [c for c in df.columns if c not in ("label", "value")]
+    rows = made.select(*rest, F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(c).alias("value")) for name, c in ((ec, "ec"), (ms, "ms"))])).alias("_r"))
+    rows = rows.select(*rest, "_r.label", "_r.value")
+    return df.where(~F.col("label").isin([ec, ms])).unionByName(rows.select(*df.columns))
+
+
+def calibrated(df: DataFrame, s: Settings) -> DataFrame:
+    """C5 for each channel that reference points name: gain and offset of its own; a channel without a fit stays as it is."""
+    found = []
+    for r in s.reference.select("label").distinct().collect():  # channels
+        own = s.reference.where(F.col("label") == r["label"])
+        readings = df.where((F.col("label") == r["label"]) & F.col("value").isNotNull()).select("rid", "x", "y", F.col("value").alias("v"))
+        found.append(K.reference_fit(own, readings, s.reference_radius, s.reference_moments).select(F.lit(r["label"]).alias("label"), F.col("gain").alias("_gain"), F.col("offset").alias("_offset")))
+    if not found:
+        return df
+    fits = functools.reduce(DataFrame.unionByName, found)
+    return df.join(F.broadcast(fits), "label", "left").withColumn("value", F.coalesce(F.col("value") * F.col("_gain") + F.col("_offset"), F.col("value"))).drop("_gain", "_offset")
+
+
+# Names of the channels that viscosity adds.
+VISCOSITY_LABELS = ("ECqdiff[mS/m]", "MagViscosity[1/1000]")
+
+
+def with_viscosity(df: DataFrame, s: Settings) -> DataFrame:
+    """The readings with two more channels, conductivity by the quadratures' difference and magnetic viscosity."""
+    low, high, i_low, q_low, q_high = s.viscosity
+    wide = _side_by_side(df, {"_i": i_low, "_q": q_low, "_h": q_high})
+
+    def run(batches):
+        for b in batches:
+            sigma, viscous, _ = viscosity(low, high, b["_i"].to_numpy(float), b["_q"].to_numpy(float), b["_h"].to_numpy(float), s.sensor)
+            yield b.assign(_a=np.where(np.isfinite(sigma), 1000 * sigma, None), _b=np.where(np.isfinite(viscous), 1000 * viscous, None))
+
+    made = wide.mapInPandas(run, wide.withColumns({c: F.lit(None).cast("double") for c in ("_a", "_b")}).schema)
+    rest = [c for c in df.columns if c not in ("label", "value")]
+    rows = made.select(*rest, F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(c).alias("value")) for name, c in zip(VISCOSITY_LABELS, ("_a", "_b"), strict=True)])).alias("_r"))
+    return df.unionByName(rows.select(*rest, "_r.label", "_r.value").select(*df.columns))
+
+
 def cross_line_difference(df: DataFrame, reach: float) -> DataFrame:
     """Per group `lag`, the mean absolute difference of readings from their nearest reading on another line, pairs over twice the median
     distance left out. A pair further than `reach` apart isn't looked for."""

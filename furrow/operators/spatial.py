@@ -54,6 +54,23 @@ def edge_offset(reference: DataFrame, survey: DataFrame, tolerance: float, v: st
     return pairs.select(F.when(F.col("pairs") >= least, F.col("m")).otherwise(0.0).alias("offset"), "pairs")
 
 
+def merged(surveys: list[DataFrame], tolerance: float, v: str = "v", match: bool = True, least: int = 5) -> tuple[DataFrame, list[float]]:
+    """Surveys (rid, line, x, y, v and more) as one, with their lines as "<survey>:<line>", and the offset that each took. With match, each after the first is
+    moved by its edge offset from all before it, as these were moved; columns that a survey lacks are NULL. One small action for each survey."""
+    out, offsets = None, []
+    for k, survey in enumerate(surveys):
+        part = survey.withColumn("line", F.concat(F.lit(f"{k}:"), F.col("line").cast("string")))
+        offset = 0.0
+        if out is not None and match:
+            usable = lambda df: df.where(f"x is not null and y is not null and {v} is not null")
+            before = usable(out).select(F.struct("line", "rid").alias("rid"), "x", "y", v)
+            offset = edge_offset(before, usable(part).select(F.struct("line", "rid").alias("rid"), "x", "y", v), tolerance, v, least).first()["offset"]
+            part = part.withColumn(v, F.col(v) + F.lit(float(offset)))
+        offsets.append(float(offset))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, offsets
+
+
 def k_nearest(nodes: DataFrame, points: DataFrame, k: int, key: list[str]) -> DataFrame:
     """Near, the k nearest (d2, id, v) of a checked small set of points (x, y, v, id) for each node, the smallest id first among equals. The points go to the
     tasks with the code; nodes stay where they are and look at the points' cells around them, in Arrow batches."""
