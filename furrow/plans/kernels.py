@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from furrow.functions import physics as E
 from furrow.operators import aggregates as A
+from furrow.operators import corrections as K
 from furrow.operators import gridders as G
 from furrow.operators import inversion as V
+from furrow.operators import ordered as W
 from furrow.operators import positions as Q
 from furrow.operators import prepare as R
 from furrow.operators import profiles as P
@@ -17,24 +19,35 @@ from furrow.operators import soil as Z
 from furrow.operators import spatial as S
 from furrow.plans.registry import query, r6
 from furrow.plans.space import NODES, SPEC, _blocks
-from furrow.plans.views import BLOCKS, area, points, readings, table
+from furrow.plans.views import BLOCKS, READINGS, area, points, readings, table
 from furrow.sources import tables as T
 
 F3 = [1525.0, 5325.0, 18325.0]
+_CHANNELS = {"click": 1525.0, "error": 5325.0, "purchase": 9825.0, "signup": 18325.0, "view": 63025.0}
+
+
+#: The response of half-spaces of a conductivity by brute force: Simpson's rule over cube roots of wave numbers up to 20, with J0 as a mean of cosines and the complex root by hand.
+_FORWARD = """coil(r, s) AS (VALUES (1.66, -1.0), (1.035, 1.0)), hz(f) AS (VALUES (1525.0), (5325.0), (18325.0)), lam AS (SELECT k, pow(k * 0.00068::DOUBLE, 3) AS l, (CASE k WHEN 4000 THEN 1 ELSE 2 + 2 * (k % 2) END) * 0.00068 * pow(k * 0.00068::DOUBLE, 2) AS w FROM range(1, 4001) t(k)),
+ ker AS (SELECT k, any_value(l) AS l, sum(s * r * r * r * w * j0) * 1e6 AS w FROM (SELECT k, l, w, r::DOUBLE AS r, s::DOUBLE AS s, avg(cos(l * r * cos((i + 0.5) * pi() / 64))) AS j0 FROM lam, coil, range(64) t(i) GROUP BY ALL) GROUP BY k),
+ sig AS (SELECT DISTINCT p_size AS n, p_size / 200.0::DOUBLE AS sigma FROM part), u AS (SELECT n, f, l, w, 2 * pi() * f::DOUBLE * 4e-7 * pi() * sigma AS b, l * l AS a FROM sig, hz, ker),
+ v AS (SELECT *, sqrt(a * a + b * b) AS m, sqrt((sqrt(a * a + b * b) + a) / 2) AS re FROM u), x AS (SELECT *, b / (2 * re) AS im FROM v),
+ z AS (SELECT n, f, sum(w * a * exp(-2 * l) * -(b * b) / (a + m) / (pow(l + re, 2) + im * im)) AS i, sum(w * a * exp(-2 * l) * -2 * l * im / (pow(l + re, 2) + im * im)) AS q FROM x GROUP BY n, f)"""
+_WIDE = "wide AS (SELECT n, max(i) FILTER (f = 1525) AS i1525, max(i) FILTER (f = 5325) AS i5325, max(i) FILTER (f = 18325) AS i18325, max(q) FILTER (f = 1525) AS q1525, max(q) FILTER (f = 5325) AS q5325, max(q) FILTER (f = 18325) AS q18325 FROM z GROUP BY n)"
 
 
 def _halfspaces(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 200).alias("sigma"))
 
 
-@query("E1_forward")
+@query("E1_forward", f"WITH {_FORWARD}, {_WIDE} SELECT p_partkey AS id, round(i1525, 1) AS i1525, round(i5325, 1) AS i5325, round(i18325, 1) AS i18325, round(q1525, 1) AS q1525, round(q5325, 1) AS q5325, round(q18325, 1) AS q18325 FROM part JOIN wide ON n = p_size")
 def _(spark, d):
     def run(batches):
         for b in batches:
             z = E.forward_ppm(F3, b["sigma"].to_numpy()[:, None])
             yield pd.DataFrame({"id": b["id"], **{f"q{int(f)}": z[:, k].imag for k, f in enumerate(F3)}, **{f"i{int(f)}": z[:, k].real for k, f in enumerate(F3)}})
 
-    return _halfspaces(spark, d).mapInPandas(run, "id long, " + ", ".join(f"{c}{int(f)} double" for c in "qi" for f in F3))
+    out = _halfspaces(spark, d).mapInPandas(run, "id long, " + ", ".join(f"{c}{int(f)} double" for c in "qi" for f in F3))
+    return out.select("id", *[F.round(c, 1).alias(c) for c in out.columns[1:]])
 
 
 @query("E2_gradient")
@@ -59,10 +72,10 @@ def _(spark, d):
     return V.recomputed(p, 5325.0, "i", "q").select("id", F.round("ec", 3).alias("ec"))
 
 
-@query("E4_resolvability")
+@query("E4_resolvability", "WITH p AS (SELECT -0.5e6 * sum(s * r * r * r * (8 - r * r) / pow(4 + r * r, 2.5)) AS x FROM (VALUES (1.66::DOUBLE, 1), (1.035::DOUBLE, -1)) c(r, s)) SELECT round(x, 4) AS ppm_per_si, abs(x) >= 5000 AS resolved FROM p")
 def _(spark, d):
     s = E.Sensor()
-    return spark.createDataFrame([(E.kappa_sensitivity(s), E.susceptibility_resolved(s))], "ppm_per_si double, resolved boolean")
+    return spark.createDataFrame([(round(E.kappa_sensitivity(s), 4), bool(E.susceptibility_resolved(s)))], "ppm_per_si double, resolved boolean")
 
 
 @query("E6_depth_of_investigation")
@@ -78,7 +91,7 @@ def _(spark, d):
     return spark.createDataFrame([(f, float(a), float(b)) for f, a, b in zip(F3, r["inphase_bias"], r["quadrature_bias"], strict=True)], "hz double, inphase double, quadrature double")
 
 
-@query("E8_viscosity")
+@query("E8_viscosity", "SELECT p_partkey AS id, p_size / 200.0::DOUBLE AS sigma, 0.0::DOUBLE AS viscous, 0.0::DOUBLE AS kappa FROM part")
 def _(spark, d):
     def run(batches):
         for b in batches:
@@ -86,7 +99,8 @@ def _(spark, d):
             s, v, k = E.viscosity(1525.0, 18325.0, z[:, 0].real, z[:, 0].imag, z[:, 1].imag)
             yield pd.DataFrame({"id": b["id"], "sigma": s, "viscous": v, "kappa": k})
 
-    return _halfspaces(spark, d).mapInPandas(run, "id long, sigma double, viscous double, kappa double")
+    out = _halfspaces(spark, d).mapInPandas(run, "id long, sigma double, viscous double, kappa double")
+    return out.select("id", F.round("sigma", 4).alias("sigma"), (F.round("viscous", 4) + 0.0).alias("viscous"), (F.round("kappa", 4) + 0.0).alias("kappa"))
 
 
 @query("E9_survey_plan")
@@ -95,10 +109,10 @@ def _(spark, d):
     return spark.createDataFrame([(f, float(x.real), float(x.imag), bool(max(abs(a.real), abs(a.imag)) > 3)) for f, x, a in zip(F3, z[1], z[1] - z[0], strict=True)], "hz double, inphase double, quadrature double, detectable boolean")
 
 
-@query("E10_ec_to_quadrature")
+@query("E10_ec_to_quadrature", f"WITH {_FORWARD}, {_WIDE} SELECT p_partkey AS id, round(q1525, 1) AS q0, round(q5325, 1) AS q1, round(q18325, 1) AS q2 FROM part JOIN wide ON n = p_size")
 def _(spark, d):
     df = _halfspaces(spark, d).select("id", F.array(*[F.col("sigma") * 1000] * 3).alias("ec"))
-    return V.quadrature_from_ec(df, F3).select("id", *[F.col("q")[k].alias(f"q{k}") for k in range(3)])
+    return V.quadrature_from_ec(df, F3).select("id", *[F.round(F.col("q")[k], 1).alias(f"q{k}") for k in range(3)])
 
 
 def _map(method, **options):
@@ -206,7 +220,10 @@ def _(spark, d):
 def _(spark, d):
     p = points(spark, d)
     ranked = [(r["label"], r["score"]) for r in P.scored(p, 4.0, ["label"]).orderBy(F.desc_nulls_last("score"), "label").collect()]  # one row a channel
-    return spark.createDataFrame(Z.select_channels(ranked, {}), "label string, reason string")
+    means = P.envelope(P.resampled(p, 4.0, ["label"]), ["label"]).select("label", "dist", "mean")
+    pairs = means.join(means.withColumnsRenamed({"label": "other", "mean": "mean2"}), "dist").where("label < other").groupBy("label", "other").agg(F.corr("mean", "mean2").alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    corr = {(r["label"], r["other"]): r["r"] or 0.0 for r in pairs.collect()}  # one row a pair of channels
+    return spark.createDataFrame(Z.select_channels(ranked, corr), "label string, reason string")
 
 
 @query("Z4_design_targets")
@@ -224,10 +241,10 @@ def _(spark, d):
     return P.scored(points(spark, d), 4.0, ["label"]).withColumnRenamed("label", "sheet")
 
 
-@query("K10_emagpy")
+@query("K10_emagpy", f"WITH {READINGS} SELECT x, y, 0.0::DOUBLE AS elevation, " + ", ".join(f"max(value) FILTER (label = '{c}') AS \"HCP1.66f{f:g}h1\"" for c, f in _CHANNELS.items()) + " FROM readings GROUP BY rid, x, y")
 def _(spark, d):
-    wide = readings(spark, d).groupBy("rid", "x", "y").pivot("label", ["click", "view"]).agg(F.first("value"))
-    return T.emagpy(wide, {"click": 1525.0, "view": 18325.0})
+    wide = readings(spark, d).groupBy("rid", "x", "y").pivot("label", list(_CHANNELS)).agg(F.first("value"))
+    return T.emagpy(wide, _CHANNELS)
 
 
 @query("S4_whole_numbers")
@@ -254,8 +271,7 @@ def _(spark, d):
 @query("A29_depth_by_channel")
 def _(spark, d):
     m = points(spark, d).groupBy("label").agg(A.median("value").alias("ec")).where("ec > 0")
-    hz = {"click": 1525.0, "error": 5325.0, "purchase": 9825.0, "signup": 18325.0, "view": 63025.0}
-    rows = [(r["label"], hz[r["label"]], r["ec"], E.depth_of_investigation(hz[r["label"]], r["ec"] / 1000)) for r in m.collect()]  # one row a channel
+    rows = [(r["label"], _CHANNELS[r["label"]], r["ec"], E.depth_of_investigation(_CHANNELS[r["label"]], r["ec"] / 1000)) for r in m.collect()]  # one row a channel
     return spark.createDataFrame(rows, "label string, hz double, ec double, depth double")
 
 
@@ -275,7 +291,7 @@ def _(spark, d):
     return P.mixed_methods(a.unionByName(b).withColumn("mode", F.lit("EC")))
 
 
-@query("E5_recompute_heights")
+@query("E5_recompute_heights", "SELECT p_partkey AS id, round(0.8 + (p_partkey % 20) / 50, 2) AS height, CAST(p_size * 5 AS DOUBLE) AS ec, 0.0::DOUBLE AS ms FROM part")
 def _(spark, d):
     def run(batches):
         for b in batches:
@@ -284,4 +300,25 @@ def _(spark, d):
 
     p = _halfspaces(spark, d).withColumn("height", F.bround(0.8 + (F.col("id") % 20) / 50, 2))
     p = p.mapInPandas(run, "id long, sigma double, height double, i double, q double")
-    return V.recomputed(p, 5325.0, "i", "q", "height").select("id", "height", "ec", "ms")
+    return V.recomputed(p, 5325.0, "i", "q", "height").select("id", "height", F.round("ec", 3).alias("ec"), (F.round("ms", 3) + 0.0).alias("ms"))
+
+
+@query("W9_infer_lines", f"WITH {READINGS}, s AS (SELECT rid, t - lag(t) OVER (ORDER BY rid) AS gap FROM readings) SELECT rid, CAST(sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (ORDER BY rid) AS DOUBLE) AS inferred FROM s")
+def _(spark, d):
+    # Positions as from GPS: no coordinate is constant, so pauses decide.
+    return W.inferred_lines(readings(spark, d).select("rid", "x", "y", "t"))[0].select("rid", "inferred")
+
+
+@query("W9_infer_grid_lines", "SELECT event_id AS rid, CAST(event_id // 100 AS DOUBLE) AS inferred FROM events")
+def _(spark, d):
+    # Lines of a hundred readings, each at a place of its own.
+    r = readings(spark, d).select("rid", F.floor(F.col("rid") / 100).cast("double").alias("x"), "y", "t")
+    return W.inferred_lines(r)[0].select("rid", "inferred")
+
+
+@query("C1_height_exponential", "SELECT event_id AS rid, 5.0::DOUBLE AS corrected FROM events")
+def _(spark, d):
+    # A response of known shape, moved to the height where it is 5.
+    h = 0.5 + F.col("y") / 50
+    r = readings(spark, d).select("rid", "label", h.alias("h"), (2 + 3 * F.exp(-1.2 * (h - 1.5))).alias("value"))
+    return K.height_exponential(r, "h", "value", ["label"], 1.5).select("rid", F.round("corrected", 2).alias("corrected"))

@@ -13,14 +13,12 @@ from furrow.plans.core import _LINEAR
 from furrow.plans.registry import query, r6, rounded
 from furrow.plans.views import AREA, BLOCKS, POINTS, area, points, table
 
-SAMPLES = "samples AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10 AS x, (o_orderkey % 500) / 10 AS y, o_totalprice AS ref FROM orders WHERE o_orderkey % 100 = 0)"
+SAMPLES = "samples AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10 AS x, (o_orderkey % 500) / 10 AS y, o_totalprice AS ref FROM orders)"
+#: Items within 1.5 of each order. Items stand at whole numbers, so only those of the sixteen places around an order are looked at.
+NEAR = "near AS (SELECT samples.id, ref, v FROM samples, (SELECT unnest(range(-1, 3)) AS dx) a, (SELECT unnest(range(-1, 3)) AS dy) b JOIN area ON area.x = floor(samples.x) + dx AND area.y = floor(samples.y) + dy WHERE pow(samples.x - area.x, 2) + pow(samples.y - area.y, 2) <= 2.25)"
 
 
 def _samples(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 1000) / 10).alias("x"), ((F.col("o_orderkey") % 500) / 10).alias("y"), F.col("o_totalprice").alias("ref"))
-
-
-def _sites(spark, d):
     """All orders as reference values on the field."""
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 1000) / 10).alias("x"), ((F.col("o_orderkey") % 500) / 10).alias("y"), F.col("o_totalprice").alias("ref"))
 
@@ -34,16 +32,11 @@ NODES = "nodes AS (SELECT i AS iy, j AS ix, CAST((j + 0.5) * 5 AS DOUBLE) AS x,
 IDW = f"{NODES}, near AS (SELECT iy, ix, nodes.x, nodes.y, v, pow(b.x - nodes.x, 2) + pow(b.y - nodes.y, 2) AS d2, row_number() OVER (PARTITION BY nodes.iy, nodes.ix ORDER BY pow(b.x - nodes.x, 2) + pow(b.y - nodes.y, 2), id) AS k FROM nodes, (SELECT iy * 1000 + ix AS id, x, y, v FROM blocks) b), grid AS (SELECT iy, ix, x, y, CASE WHEN min(d2) <= 1e-24 THEN arg_min(v, d2) ELSE sum(v / CASE WHEN d2 > 1e-24 THEN d2 ELSE 1 END) / sum(1 / CASE WHEN d2 > 1e-24 THEN d2 ELSE 1 END) END AS z, sqrt(min(d2)) AS d FROM near WHERE k <= 64 GROUP BY iy, ix, x, y)"
 
 
-@query("J1_radius_median", f"WITH {AREA}, {SAMPLES} SELECT id, round(median(v), 6) AS value, count(*) AS n FROM samples JOIN area ON pow(samples.x - area.x, 2) + pow(samples.y - area.y, 2) <= 2.25 GROUP BY 1")
+@query("J1_radius_median", f"WITH {AREA}, {SAMPLES}, {NEAR} SELECT id, round(median(v), 6) AS value, count(*) AS n FROM near GROUP BY 1")
 def _(spark, d):
     return rounded(S.radius_medians(_samples(spark, d), area(spark, d), 1.5), "value")
 
 
-@query("J1_radius_median_all")
-def _(spark, d):
-    return rounded(S.radius_medians(_sites(spark, d), area(spark, d), 1.5), "value")
-
-
 @query("J2_node_distance", f"WITH {BLOCKS}, {IDW} SELECT iy, ix, round(d, 6) AS d FROM grid")
 def _(spark, d):
     return S.node_distance(S.grid_nodes(SPEC, spark), _blocks(spark, d), ["iy", "ix"]).select("iy", "ix", r6("d", "d"))
@@ -55,14 +48,7 @@ def _(spark, d):
     return near.select("iy", "ix", r6(F.aggregate("near", F.lit(0.0), lambda a, p: a + F.sqrt(p["d2"])), "total"), F.size("near").cast("long").alias("n"))
 
 
-@query("J4_edge_match", f"WITH {AREA}, b AS (SELECT rid, x + 0.2 AS x, y, v FROM area WHERE year = 1996 AND y < 10), a AS (SELECT rid, x, y, v FROM area WHERE year = 1995 AND y < 10), n AS (SELECT DISTINCT ON (b.rid) b.rid, a.v - b.v AS diff FROM b JOIN a ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 2.25 ORDER BY b.rid, pow(a.x - b.x, 2) + pow(a.y - b.y, 2), a.rid) SELECT CASE WHEN count(*) >= 5 THEN round(median(diff), 6) ELSE 0 END AS \"offset\", count(*) AS pairs FROM n")
-def _(spark, d):
-    p = area(spark, d).where("y < 10").select("rid", "x", "y", "v", "year")
-    a, b = p.where("year = 1995").drop("year"), p.where("year = 1996").drop("year").withColumn("x", F.col("x") + 0.2)
-    return rounded(S.edge_offset(a, b, 1.5), "offset")
-
-
-@query("J4_edge_match_all")
+@query("J4_edge_match", f"WITH {AREA}, b AS (SELECT rid, x AS x0, x + 0.2 AS x, y, v FROM area WHERE year = 1996), a AS (SELECT rid, x, y, v FROM area WHERE year = 1995), n AS (SELECT DISTINCT ON (b.rid) b.rid, a.v - b.v AS diff FROM b, (SELECT unnest(range(-2, 3)) AS dx) c, (SELECT unnest(range(-2, 3)) AS dy) e JOIN a ON a.x = b.x0 + dx AND a.y = b.y + dy AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 2.25 ORDER BY b.rid, pow(a.x - b.x, 2) + pow(a.y - b.y, 2), a.rid) SELECT CASE WHEN count(*) >= 5 THEN round(median(diff), 6) ELSE 0 END AS \"offset\", count(*) AS pairs FROM n")
 def _(spark, d):
     p = area(spark, d).select("rid", "x", "y", "v", "year")
     a, b = p.where("year = 1995").drop("year"), p.where("year = 1996").drop("year").withColumn("x", F.col("x") + 0.2)
@@ -96,16 +82,11 @@ def _(spark, d):
     return p.where("year = 1995").select("line").intersect(p.where("year = 1996").select("line"))
 
 
-@query("C5_reference_fit", f"WITH {AREA}, {SAMPLES}, m AS (SELECT id, any_value(ref) AS ref, median(v) AS v FROM samples JOIN area ON pow(samples.x - area.x, 2) + pow(samples.y - area.y, 2) <= 2.25 GROUP BY 1) SELECT round(regr_slope(ref, v), 6) AS gain, round(regr_intercept(ref, v), 3) AS \"offset\", round(pow(corr(ref, v), 2), 6) AS r2, count(*) AS pairs FROM m")
+@query("C5_reference_fit", f"WITH {AREA}, {SAMPLES}, {NEAR}, m AS (SELECT id, any_value(ref) AS ref, median(v) AS v FROM near GROUP BY 1) SELECT round(regr_slope(ref, v), 6) AS gain, round(regr_intercept(ref, v), 3) AS \"offset\", round(pow(corr(ref, v), 2), 6) AS r2, count(*) AS pairs FROM m")
 def _(spark, d):
     return K.reference_fit(_samples(spark, d), area(spark, d), 1.5).select(r6("gain", "gain"), F.round("offset", 3).alias("offset"), r6("r2", "r2"), "pairs")
 
 
-@query("C5_reference_fit_all")
-def _(spark, d):
-    return K.reference_fit(_sites(spark, d), area(spark, d), 1.5).select(r6("gain", "gain"), F.round("offset", 3).alias("offset"), r6("r2", "r2"), "pairs")
-
-
 @query("W11_shift")
 def _(spark, d):
     from furrow.plans.views import readings
@@ -154,23 +135,19 @@ def _(spark, d):
     return S.low_pass(g, 3, 20, 10).select("iy", "ix", F.round("smooth", 4).alias("smooth"))
 
 
-@query("G18_merge", f"WITH {AREA} SELECT CASE year WHEN 1995 THEN '0:' ELSE '1:' END || line AS line, count(*) AS n, round(sum(v - CASE year WHEN 1996 THEN 100 ELSE 0 END), 2) AS total FROM area WHERE year IN (1995, 1996) GROUP BY 1")
+@query("G18_merge", f"""WITH {AREA}, a AS (SELECT rid, x, y, v, '0:' || line AS line FROM area WHERE year = 1995), b AS (SELECT rid, x, y, v - 100 AS v, '1:' || line AS line FROM area WHERE year = 1996),
+ n AS (SELECT DISTINCT ON (b.line, b.rid) a.v - b.v AS diff FROM b, (SELECT unnest(range(-2, 3)) AS dx) c, (SELECT unnest(range(-2, 3)) AS dy) e JOIN a ON a.x = b.x + dx AND a.y = b.y + dy AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) < 2.25 ORDER BY b.line, b.rid, pow(a.x - b.x, 2) + pow(a.y - b.y, 2), a.line, a.rid),
+ o AS (SELECT CASE WHEN count(*) >= 5 THEN median(diff) ELSE 0 END AS offset_1 FROM n), m AS (SELECT line, v FROM a UNION ALL SELECT line, v + offset_1 FROM b, o) SELECT line, count(*) AS n, round(sum(v), 2) AS total FROM m GROUP BY 1""")
 def _(spark, d):
     p = area(spark, d)
-    parts = [p.where(f"year = {1995 + k}").withColumn("line", F.concat(F.lit(f"{k}:"), "line")).withColumn("v", F.col("v") - F.lit(100.0 * k)) for k in (0, 1)]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
-
-
-@query("I8_bilinear", f"WITH {BLOCKS}, p AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10.0 / 5 - 0.5 AS u, (o_orderkey % 500) / 10.0 / 5 - 0.5 AS w FROM orders WHERE o_orderkey % 100 = 0), q AS (SELECT id, u, w, least(floor(u), 18)::BIGINT AS i, least(floor(w), 8)::BIGINT AS j FROM p), s AS (SELECT q.id, any_value(u) AS u, any_value(w) AS w, count(v) AS c, sum(v * (CASE dx WHEN 1 THEN u - i ELSE 1 - (u - i) END) * (CASE dy WHEN 1 THEN w - j ELSE 1 - (w - j) END)) AS z FROM q, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) LEFT JOIN blocks ON blocks.ix = i + dx AND blocks.iy = j + dy GROUP BY 1) SELECT id, CASE WHEN u BETWEEN 0 AND 19 AND w BETWEEN 0 AND 9 AND c = 4 THEN round(z, 1) END AS z FROM s")
-def _(spark, d):
-    g = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
-    return S.bilinear(g, SPEC, _samples(spark, d).select("id", "x", "y")).select("id", F.round("z", 1).alias("z"))
+    out, _ = S.merged([p.where("year = 1995"), p.where("year = 1996").withColumn("v", F.col("v") - 100.0)], 1.5)
+    return out.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
-@query("I8_bilinear_all")
+@query("I8_bilinear", f"WITH {BLOCKS}, p AS (SELECT o_orderkey AS id, (o_custkey % 1000) / 10.0 / 5 - 0.5 AS u, (o_orderkey % 500) / 10.0 / 5 - 0.5 AS w FROM orders), q AS (SELECT id, u, w, least(floor(u), 18)::BIGINT AS i, least(floor(w), 8)::BIGINT AS j FROM p), s AS (SELECT q.id, any_value(u) AS u, any_value(w) AS w, count(v) AS c, sum(v * (CASE dx WHEN 1 THEN u - i ELSE 1 - (u - i) END) * (CASE dy WHEN 1 THEN w - j ELSE 1 - (w - j) END)) AS z FROM q, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) LEFT JOIN blocks ON blocks.ix = i + dx AND blocks.iy = j + dy GROUP BY 1) SELECT id, CASE WHEN u BETWEEN 0 AND 19 AND w BETWEEN 0 AND 9 AND c = 4 THEN round(z, 6) END AS z FROM s")
 def _(spark, d):
     g = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
-    return S.bilinear(g, SPEC, _sites(spark, d).select("id", "x", "y")).select("id", F.round("z", 1).alias("z"))
+    return S.bilinear(g, SPEC, _samples(spark, d).select("id", "x", "y")).select("id", F.round("z", 6).alias("z"))
 
 
 @query("K4_grid_rows", f"WITH {BLOCKS}, {IDW} SELECT x, y, round(z, 4) AS value FROM grid WHERE d <= 0.6")
@@ -220,17 +197,10 @@ def _(spark, d):
     return spark.createDataFrame(Z.sampling_design(Z.principal_scores(_features(spark, d), ["a", "b", "c"]), 12))
 
 
-_SOIL = "soil AS (SELECT o_orderkey AS id, ln(o_totalprice) AS y, ln(1 + o_custkey) AS x FROM orders WHERE o_orderkey % 50 = 0)"
+_SOIL = "soil AS (SELECT o_orderkey AS id, ln(o_totalprice) AS y, ln(1 + o_custkey) AS x FROM orders)"
 
 
 @query("Z6_ols_1ch", f"WITH {_SOIL} SELECT round(regr_intercept(y, x), 6) AS intercept, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM soil")
-def _(spark, d):
-    s = table(spark, d, "orders").where("o_orderkey % 50 = 0").select((1 + F.col("o_custkey")).alias("ec"), F.col("o_totalprice").alias("clay"))
-    m = Z.property_fit(s, ["ec"], "clay")
-    return spark.createDataFrame([(round(m["coef"][0], 6), round(m["coef"][1], 6), round(m["r2"], 6), m["n"])], "intercept double, slope double, r2 double, n long")
-
-
-@query("Z6_ols_1ch_all")
 def _(spark, d):
     s = table(spark, d, "orders").select((1 + F.col("o_custkey")).alias("ec"), F.col("o_totalprice").alias("clay"))
     m = Z.property_fit(s, ["ec"], "clay")

@@ -60,7 +60,7 @@ def medians(sites, area):
 
 def test_medians_at_all_orders(spark, field):
     at, sites, area = field
-    got = {r["id"]: (r["value"], r["n"]) for r in QUERIES["J1_radius_median_all"](spark, at).collect()}
+    got = {r["id"]: (r["value"], r["n"]) for r in QUERIES["J1_radius_median"](spark, at).collect()}
     want = medians(sites, area)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
@@ -71,14 +71,14 @@ def test_fit_over_all_orders(spark, field):
     own = sites[sites.id.isin(m)]
     v = np.array([m[k][0] for k in own.id])
     gain, offset = np.polyfit(v, own.ref, 1)
-    r = QUERIES["C5_reference_fit_all"](spark, at).first()
+    r = QUERIES["C5_reference_fit"](spark, at).first()
     assert r["pairs"] == len(own) and (r["gain"], r["offset"], r["r2"]) == pytest.approx((gain, offset, np.corrcoef(v, own.ref)[0, 1] ** 2), rel=1e-4)
 
 
 def test_bilinear_at_all_orders(spark, field):
     at, sites, area = field
     blocks = area.assign(iy=area.y // 5, ix=area.x // 5).groupby(["iy", "ix"]).v.median()
-    got = {r["id"]: r["z"] for r in QUERIES["I8_bilinear_all"](spark, at).collect()}
+    got = {r["id"]: r["z"] for r in QUERIES["I8_bilinear"](spark, at).collect()}
     assert got.keys() == set(sites.id)
     for s in sites.itertuples():
         u, w = s.x / 5 - 0.5, s.y / 5 - 0.5
@@ -99,14 +99,14 @@ def test_edge_over_all_items(spark, field):
         near = near[near.d2 < 2.25].sort_values(["d2", "rid"])
         if len(near):
             diff.append(near.v.iloc[0] - s.v)
-    r = QUERIES["J4_edge_match_all"](spark, at).first()
+    r = QUERIES["J4_edge_match"](spark, at).first()
     assert r["pairs"] == len(diff) and r["offset"] == pytest.approx(np.median(diff), abs=1e-5)
 
 
 def test_soil_fit_over_all_orders(spark, field):
     at, sites, _ = field
     slope, intercept = np.polyfit(np.log(1 + sites.cust), np.log(sites.ref), 1)
-    r = QUERIES["Z6_ols_1ch_all"](spark, at).first()
+    r = QUERIES["Z6_ols_1ch"](spark, at).first()
     assert r["n"] == len(sites) and (r["slope"], r["intercept"]) == pytest.approx((slope, intercept), abs=1e-5)
 
 
