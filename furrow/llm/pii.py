@@ -1,7 +1,7 @@
 """PII surrogates: detected entities get keyed replacements of the same type, gender, script and format.
 
 A surrogate is drawn from a keyed hash of (type, canonical entity, attempt), so the same entity reads the same
-in every document (coreference) without any table. A global check over the distinct entities then looks for two
+in every document (coreference) without any table; within a text, a name found once is then replaced wherever it stands alone. A global check over the distinct entities then looks for two
 entities of a type with one surrogate, and for a surrogate that is itself an entity of the corpus; all but one
 entity of such a clash draw again, until none is left (distinctness). Only entities that drew again, the
 exceptions, have to be looked up when the texts are rewritten.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,17 +45,31 @@ _TITLED = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?
 _NAMED = re.compile(rf"\b({'|'.join(sorted({n for v in GIVEN.values() for n in v} | {n.upper() for v in GIVEN.values() for n in v}, key=len, reverse=True))}) ({_CAP})")
 #: The same without a word's start in front: their first letters alone then tell where to look, which is much faster; what they find is looked at again.
 _MAYBE_TITLED, _MAYBE_NAMED = (re.compile(p.pattern.removeprefix(r"\b")) for p in (_TITLED, _NAMED))
+# Phrases that a person's name follows.
+CUES = ("my name is", "i am called", "name:", "dear", "contact:", "attn:", "signed by", "mein name ist", "ich heiße", "liebe", "lieber", "je m'appelle", "chère", "cher", "me llamo", "mi nombre es", "querido", "querida", "меня зовут", "уважаемый", "уважаемая")
+_CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, sorted(CUES, key=len, reverse=True)))}) ({_CAP})(?: ({_CAP}))?")
+_MAYBE_CUED = re.compile(rf"(?i:{'|'.join(map(re.escape, sorted(CUES, key=len, reverse=True)))}) [A-ZÀ-ÖØ-ÞА-ЯЁ]")
 _MAIL_LEFT, _MAIL_RIGHT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
 _DIGITS = re.compile(r"[0-9]")
 _PATTERNS = (
     ("secret", re.compile(r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)["']?[ \t]{0,4}[=:][ \t]{0,4}["']?(?P<x>[0-9A-Za-z_+/.-]{8,})"""), None),
     ("secret", re.compile(r"\b(?P<x>AKIA[0-9A-Z]{16})\b"), None),
     ("phone", re.compile(r"(?<![\w+])(?P<x>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w-])"), None),
+    ("phone", re.compile(r"(?<![\w+.-])(?P<x>0[1-9](?:[ .][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8}|[6789][0-9]{2} [0-9]{3} [0-9]{3})(?![\w-])"), None),
+    ("iban", re.compile(r"(?<!\w)(?P<x>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), lambda x: _mod97(x) == 1),
+    ("ssn", re.compile(r"(?<![\w-])(?P<x>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"), None),
     ("ip", re.compile(r"(?<![\w.])(?P<x>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\.?\w)"), lambda x: all(int(o) < 256 for o in x.split("."))),
+    ("ipv6", re.compile(r"(?<![\w:.])(?P<x>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.])"), lambda x: x.count(":") <= 7),
     ("card", re.compile(r"(?<![\w.])(?P<x>[0-9](?:[ -]?[0-9]){12,18})(?![\w-])"), None),
 )
 
 
+def _mod97(x: str) -> int:
+    """Of an account number, by its letters as numbers from 10 and its first four characters last: 1 if it is valid."""
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
 def script(word: str) -> str:
     return "cyrillic" if any("\u0400" <= c <= "\u04ff" for c in word) else "latin"
 
@@ -75,7 +90,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             for m in pattern.finditer(text):
                 x = m["x"]
                 if valid is None or valid(x):
-                    found.append((*m.span("x"), kind, x if kind == "secret" else x if kind == "ip" else re.sub(r"[^0-9+]", "", x)))
+                    found.append((*m.span("x"), kind, x if kind in ("secret", "ip") else x.lower() if kind == "ipv6" else x.replace(" ", "") if kind == "iban" else re.sub(r"[^0-9+]", "", x)))
     for m in _TITLED.finditer(text) if _MAYBE_TITLED.search(text) else ():
         g = _TITLE[m[1]]
         names = [k for k in (2, 3) if m[k]]
@@ -89,6 +104,19 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in _NAMED.finditer(text) if _MAYBE_NAMED.search(text) else ():
         found.append((*m.span(1), f"given-{_GENDER[m[1].casefold()]}-{script(m[1])}", m[1].casefold()))
         found.append((*m.span(2), f"family-{script(m[2])}", m[2].casefold()))
+    for m in _CUED.finditer(text) if _MAYBE_CUED.search(text) else ():
+        g = _GENDER.get(m[1].casefold())
+        if m[2] is None and g is None:
+            found.append((*m.span(1), f"family-{script(m[1])}", m[1].casefold()))
+            continue
+        found.append((*m.span(1), f"given-{g or 'fm'[zlib.crc32(m[1].casefold().encode()) % 2]}-{script(m[1])}", m[1].casefold()))
+        if m[2] is not None:
+            found.append((*m.span(2), f"family-{script(m[2])}", m[2].casefold()))
+    known = {c: k for _, _, k, c in reversed(found) if k.startswith(("given", "family"))}
+    if known:  # the same person's names where they stand alone, capitalised
+        for m in re.finditer(rf"(?<![\w@.-])({'|'.join(re.escape(c) for c in sorted(known, key=len, reverse=True))})(?![\w@-])", text, re.IGNORECASE):
+            if m[1][0].isupper():
+                found.append((*m.span(1), known[m[1].casefold()], m[1].casefold()))
     out, end = [], 0
     for x in sorted(dict.fromkeys(found), key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -167,6 +195,13 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         a = int(canon.split(".")[0])
         first = a if a in (10, 127) and not more else next(x for x in iter(lambda: 1 + d.below(223), None) if x not in (10, 127, 172, 192))
         return ".".join(map(str, [first, d.below(256), d.below(256), 1 + d.below(254)]))
+    if kind == "ssn":
+        return str(1 + d.below(8)) + d.like(canon[1:]) + d.like("0" * more)
+    if kind == "ipv6":
+        return ":".join("".join("0123456789abcdef"[d.below(16)] for _ in part) for part in canon.split(":"))
+    if kind == "iban":
+        body = d.like(canon[4:]) + d.like("0" * min(more, 30 - len(canon)))
+        return canon[:2] + f"{98 - _mod97(canon[:2] + '00' + body):02d}" + body
     if kind == "card":
         body = canon[0] + d.like(canon[1:-1])
         if _luhn(canon) == 0:
@@ -182,7 +217,12 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
 
 def shaped(kind: str, original: str, canon: str) -> str:
     """The surrogate in the original's format: its separators, its case."""
-    if kind in ("phone", "card"):
+    if kind == "iban":
+        letters = iter(canon)
+        return "".join([c if c == " " else next(letters, "") for c in original]) + "".join(letters)
+    if kind == "ipv6":
+        return canon.upper() if original.isupper() else canon
+    if kind in ("phone", "card", "ssn"):
         digits = iter(canon.replace("+", ""))
         return "".join([next(digits, "0") if c.isdigit() else c for c in original]) + "".join(digits)
     if kind in ("email", "ip", "secret"):
@@ -242,8 +282,12 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
     """All rows and columns of docs with the texts rewritten, and a last column count_col (long): how many entities were replaced. It takes an
     underscore in front if the table has a column of that name.
 
+    Names are found by forms of address, by common given names and by phrases that a name follows; addresses, numbers and secrets by their form. A name
+    without any of these isn't found, nor are parts of an e-mail address tied to a person.
+
     Null texts stay null with 0 entities, empty ones empty; repeated rows are each rewritten alike; null ids
-    don't matter, as rows aren't looked up by id. An empty table gives none. Only distinct entities, and
+    don't matter, as rows aren't looked up by id. An empty table gives none. Other columns, whatever their names, pass through. A very long text is searched
+    whole, in memory some ten times its length. Only distinct entities, and
     beyond `sent` exceptions the texts that mention one, are shuffled.
     """
     count_col, hash_col, tries_col = fresh(docs, count_col, "_hash", "_attempts")
@@ -252,6 +296,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            using("pii")
             rows = dict.fromkeys((k, c) for t in b["text"] for _, _, k, c in entities(t))
             yield pd.DataFrame(list(rows), columns=["kind", "canon"])
 

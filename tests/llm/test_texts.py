@@ -184,6 +184,25 @@ def test_long_addresses_are_replaced_whole():
     assert name not in pii.rewrite(f"to {name}a@mail.example.com", KEY, {}, {})[0]
 
 
+def test_names_are_replaced_wherever_they_stand():
+    text = "My name is Aisha Khan. John Smith wrote. Later Smith and John met Khan, but a smith is a smith. KHAN left; liebe Petra!"
+    found = pii.entities(text)
+    assert [text[a:b] for a, b, _, _ in found] == ["Aisha", "Khan", "John", "Smith", "Smith", "John", "Khan", "KHAN", "Petra"]
+    new = pii.rewrite(text, KEY, {("given-m-latin", "john"): 1}, {})[0]  # its first draw is John again, which the check over the corpus finds
+    assert not set(re.findall(r"\w+", new)) & {"Aisha", "Khan", "KHAN", "John", "Smith", "Petra"} and "a smith is a smith" in new
+
+
+def test_account_numbers_and_addresses():
+    text = "DE89 3704 0044 0532 0130 00, 123-45-6789, 2001:db8:0:0:0:0:2:1, fe80::1ff:fe23:4567:890a, 06 12 34 56 78, 0171/1234567"
+    found = pii.entities(text)
+    assert [k for _, _, k, _ in found] == ["iban", "ssn", "ipv6", "ipv6", "phone", "phone"]
+    new = pii.rewrite(text, KEY, {}, {})[0]
+    again = pii.entities(new)
+    assert [k for _, _, k, _ in again] == [k for _, _, k, _ in found] and not {c for *_, c in again} & {c for *_, c in found}
+    assert pii._mod97(again[0][3]) == 1 and [len(c) for *_, c in again] == [len(c) for *_, c in found]
+    assert [c if not c.isalnum() else "x" for c in new] == [c if not c.isalnum() else "x" for c in text]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"a.{k:02d}@b.example.com x.{k % 10}@c.org", "en", "s", 0, "", "", 0.0, 0) for k in range(100)]
     out = pii.pseudonymise(spark, table(spark, rows), KEY).collect()
