@@ -184,7 +184,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         kept = 2 if labels[-2:-1] == ["example"] else 1
         return d.like(local) + d.like("a" * more) + "@" + ".".join([*(d.like(x) for x in labels[:-kept]), *labels[-kept:]])
     if kind == "phone":
-        head = re.match(r"\+1|\+[0-9]{2}|", canon)[0]
+        head = re.match(r"\+1|\+[0-9]{2}|0[1-9]?|[6-9](?=[0-9]{8}\Z)|", canon)[0]
+        if len(head) == 2 and head[0] == "0":  # national numbers go on with another digit than 0
+            head = "0" + str(1 + d.below(9))
         rest = canon[len(head) :]
         if more:
             return head + d.like(rest + "0" * more)
