@@ -143,3 +143,42 @@ def significant(v: Column, digits: int = 2) -> Column:
     """Positive finite values to so many significant figures; others as they are."""
     power = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.when(v > 0, v))))
     return F.when(v > 0, F.bround(v * power) / power).otherwise(v)
+
+
+# Axis labels.
+VALUE_LABELS = {"EC": "EC (mS/m)", "MS": "MS (10⁻³ SI)", "I": "In-phase (ppm)", "Q": "Quadrature (ppm)"}
+AUX_VALUE_LABELS = {"PowerLn": "Power-line noise (mG)", "QSum": "Quadrature sum (ppm)", "TotalEC[mS/m]": "Total EC (mS/m)", "ECqdiff[mS/m]": "EC from quadrature difference (mS/m)", "MagViscosity[1/1000]": "Magnetic viscosity κ″ (10⁻³ SI)"}
+
+
+def value_label(mode: Column, channel: Column) -> Column:
+    """The axis label of a channel; auxiliary channels have their own, or their name."""
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    aux = F.coalesce(table(AUX_VALUE_LABELS)[channel], F.when(channel != "", channel), F.lit("Auxiliary channel"))
+    return F.when(mode == "AUX", aux).otherwise(F.coalesce(table(VALUE_LABELS)[mode], mode))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Seconds below a minute and a half, minutes below an hour, then hours and minutes; a dash where unknown."""
+    known = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < float("inf"))
+    m = F.bround(seconds / 60).cast("long")
+    short = F.concat(F.bround(seconds).cast("long").cast("string"), F.lit(" s"))
+    long = F.concat((m / 60).cast("long").cast("string"), F.lit(" h "), F.lpad((m % 60).cast("string"), 2, "0"), F.lit(" min"))
+    return F.when(~known, "—").when(seconds < 90, short).when(m < 60, F.concat(m.cast("string"), F.lit(" min"))).otherwise(long)
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    """A number with its noun."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many or f"{one}s"))
+
+
+def summary_text(lines: Column, readings: Column, length: Column, spacing: Column, seconds: Column) -> Column:
+    """The size of a survey in a line; what isn't known is left out."""
+    bold = lambda c: F.concat(F.lit("**"), c, F.lit("**"))
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    parts = [
+        bold(counted(lines, "line")), bold(counted(readings, "reading")),
+        F.when(known(length), F.concat(bold(F.concat(F.format_number(length, 0), F.lit(" m"))), F.lit(" along the lines"))),
+        F.when(known(spacing), F.concat(F.lit("readings "), bold(F.concat(F.format_string("%.3g", spacing), F.lit(" m"))), F.lit(" apart"))),
+        F.when(seconds.isNotNull(), F.concat(bold(duration_text(seconds)), F.lit(" of recording"))),
+    ]
+    return F.concat_ws(" · ", *parts)

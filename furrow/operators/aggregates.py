@@ -122,16 +122,30 @@ def semivariogram(points: DataFrame, edges: list[float], least: int = 30) -> Dat
     return pairs.groupBy("lag").agg(F.avg("d").alias("distance"), F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= least)
 
 
-def levels(df: DataFrame, v: str, n: int, low: float = 0.02, high: float = 0.98, scale: str = "linear") -> DataFrame:
-    """N + 1 class boundaries between two percentiles: linear, geometric, or of equal counts."""
-    if scale == "equalised":
+def levels(df: DataFrame, v: str, n: int, low: float = 0.02, high: float = 0.98, scale: str = "linear", span: str = "percentiles", least: float | None = None, most: float | None = None) -> DataFrame:
+    """N + 1 class boundaries, linear, geometric (log) or of equal counts (equalised). span: from the percentile `low` to `high`, minmax, or fixed (least, most;
+    the data's where one isn't given). A flat span is widened a little."""
+    if not 0 <= low < high <= 1:
+        raise ValueError("the percentiles must be in order, from 0 to 1")
+    if span == "fixed" and least is not None and most is not None and most <= least:
+        raise ValueError("the largest value must be above the smallest")
+    if scale == "equalised" and span == "percentiles":
         q = df.agg(F.percentile(v, F.array(*[F.lit(low + (high - low) * k / n) for k in range(n + 1)])).alias("q"))
         return q.select(F.posexplode(F.array_distinct("q")).alias("k", "level"))
-    m = df.agg(F.percentile(v, F.lit(low)).alias("a"), F.percentile(v, F.lit(high)).alias("b"))
-    m = m.withColumn("pad", F.when(F.col("a") == F.col("b"), F.greatest(F.abs("a") * 1e-6, F.lit(1e-9))).otherwise(0.0)).selectExpr("a - pad as a", "b + pad as b")
+    if span == "percentiles":
+        ends = F.percentile(v, F.lit(low)), F.percentile(v, F.lit(high))
+    else:
+        ends = tuple(F.lit(float(x)) if span == "fixed" and x is not None else f(v) for x, f in ((least, F.min), (most, F.max)))
+    m = df.agg(ends[0].alias("a"), ends[1].alias("b"))
+    if scale == "equalised":
+        inside = df.crossJoin(F.broadcast(m)).where(F.col(v).between(F.col("a"), F.col("b")))  # one row
+        q = inside.agg(F.percentile(v, F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("q"), F.first("a").alias("a"), F.first("b").alias("b"))
+        return q.select(F.posexplode(F.array_distinct(F.concat(F.array("a"), F.slice("q", 2, n - 1), F.array("b")))).alias("k", "level"))
+    flat = F.col("b") - F.col("a") <= 1e-9 * F.greatest(F.abs("a"), F.abs("b"), F.lit(1e-12))
+    m = m.withColumn("pad", F.when(flat, F.greatest(F.abs("a") * 1e-6, F.lit(1e-12))).otherwise(0.0)).selectExpr("a - pad as a", "b + pad as b")
     k = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")
     if scale == "log":
-        return m.select(k, "a", "b").select("k", (F.col("a") * F.pow(F.col("b") / F.col("a"), F.col("k") / n)).alias("level"))
+        return m.select(k, "a", "b").select("k", F.when(F.col("a") > 0, F.col("a") * F.pow(F.col("b") / F.col("a"), F.col("k") / n)).otherwise(F.raise_error(F.lit("a logarithmic scale needs positive values"))).alias("level"))
     return m.select(k, "a", "b").select("k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("k") / n).alias("level"))
 
 

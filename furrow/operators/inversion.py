@@ -16,15 +16,22 @@ STATIONS = 200
 
 
 def layer_grid(depth: float = 6.0, layers: int = 15, first: float = 0.1) -> np.ndarray:
-    """V1: thicknesses of all but the last layer, growing by a factor found by bisection so that they reach the depth."""
+    """V1: thicknesses of all but the last layer, growing by one factor, at most a hundred, so that they reach the depth."""
     n = layers - 1
-    lo, hi = 1.0, 10.0
-    if first * n >= depth:
-        return np.full(n, depth / n)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if first * sum(mid**k for k in range(n)) < depth else (lo, mid)
-    return first * lo ** np.arange(n)
+    if n < 1 or not 0 < first < depth:
+        raise ValueError("two layers at least are needed, and a first one thinner than the depth")
+    if first * n > depth:
+        raise ValueError(f"{n} layers of {first:g} m or more reach deeper than {depth:g} m; take fewer layers or a thinner first one")
+    powers = np.arange(n)
+    if first * (100.0**powers).sum() < depth:
+        raise ValueError(f"{n} layers from {first:g} m on don't reach {depth:g} m")
+    low, high = 0.0, math.log(100.0)  # of the factor's logarithm; the sum grows with it
+    while high - low > 1e-15:
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        low, high = (mid, high) if first * np.exp(mid * powers).sum() < depth else (low, mid)
+    return first * np.exp(low * powers)
 
 
 def data_errors(data: np.ndarray, noise: np.ndarray | None, relative: float = 0.03, floor: float = 1.0) -> np.ndarray:

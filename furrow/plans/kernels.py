@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from furrow.functions import columns as C
 from furrow.functions import physics as E
 from furrow.operators import aggregates as A
 from furrow.operators import corrections as K
@@ -186,10 +187,14 @@ def _(spark, d):
     return V.stations(m, {"click": 1525.0, "view": 5325.0, "error": 18325.0}, 24.0)
 
 
-@query("V3_data_errors", "SELECT event_id AS rid, round(greatest(0.03 * abs(value) + 1, (event_id % 7) / 2), 6) AS error FROM events")
+@query("V3_data_errors", "SELECT event_id AS rid, round(CASE WHEN event_id % 7 = 0 THEN 0.03 * abs(value) + 1 ELSE greatest(0.03 * abs(value) + 1, (event_id % 7) / 2) END, 6) AS error FROM events")
 def _(spark, d):
-    e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("rid"), r6(F.greatest(0.03 * F.abs("value") + 1, (F.col("event_id") % 7) / 2), "error"))
+    def run(batches):
+        for b in batches:
+            noise = np.where(b["rid"] % 7 == 0, np.nan, b["rid"] % 7 / 2)  # not measured everywhere
+            yield pd.DataFrame({"rid": b["rid"], "error": V.data_errors(b["value"].to_numpy(float), noise)})
+
+    return table(spark, d, "events").select(F.col("event_id").alias("rid"), "value").mapInPandas(run, "rid long, error double").select("rid", r6("error", "error"))
 
 
 @query("V4_inversion")
@@ -322,3 +327,34 @@ def _(spark, d):
     h = 0.5 + F.col("y") / 50
     r = readings(spark, d).select("rid", "label", h.alias("h"), (2 + 3 * F.exp(-1.2 * (h - 1.5))).alias("value"))
     return K.height_exponential(r, "h", "value", ["label"], 1.5).select("rid", F.round("corrected", 2).alias("corrected"))
+
+
+@query("T16_value_labels", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'EC (mS/m)' WHEN 1 THEN 'Quadrature (ppm)' WHEN 2 THEN 'Power-line noise (mG)' ELSE p_brand END AS label FROM part")
+def _(spark, d):
+    k = F.col("p_partkey") % 4
+    mode, channel = F.when(k == 0, "EC").when(k == 1, "Q").otherwise("AUX"), F.when(k == 2, "PowerLn").otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), C.value_label(mode, channel).alias("label"))
+
+
+@query("T17_durations", "SELECT o_orderkey AS id, CASE WHEN s < 90 THEN s || ' s' WHEN m < 60 THEN m || ' min' ELSE (m // 60) || ' h ' || lpad((m % 60)::VARCHAR, 2, '0') || ' min' END AS text FROM (SELECT o_orderkey, o_custkey % 20000 AS s, CAST(round_even((o_custkey % 20000) / 60, 0) AS BIGINT) AS m FROM orders)")
+def _(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.duration_text((F.col("o_custkey") % 20000).cast("double")).alias("text"))
+
+
+@query("T17_summary", f"WITH {READINGS} SELECT '**' || count(DISTINCT line) || ' lines** · **' || format('{{:,}}', count(*)) || ' readings** · **47 min** of recording' AS text FROM readings")
+def _(spark, d):
+    none = F.lit(None).cast("double")
+    a = readings(spark, d).agg(F.count_distinct("line").alias("l"), F.count(F.lit(1)).alias("n"))
+    return a.select(C.summary_text(F.col("l"), F.col("n"), none, none, F.lit(2820.0)).alias("text"))
+
+
+@query("A26_levels_fixed", f"WITH {READINGS} SELECT CAST(k AS INTEGER) AS k, round(10 + (m - 10) * k / 5, 6) AS level FROM (SELECT max(value) AS m FROM readings), range(6) t(k)")
+def _(spark, d):
+    return A.levels(readings(spark, d), "value", 5, span="fixed", least=10.0).select("k", r6("level", "level"))
+
+
+@query("K4_grid_rows", f"WITH {BLOCKS} SELECT round(ix * 5 + 2.5, 6) AS x, round(iy * 5 + 2.5, 6) AS y, round(v, 4) AS value, round(23 + degrees((ix * 5 + 2.5) / (6371008.8 * cos(radians(37)))), 8) AS lon, round(37 + degrees((iy * 5 + 2.5) / 6371008.8), 8) AS lat FROM blocks")
+def _(spark, d):
+    b = A.block_medians(area(spark, d), 5.0).select("iy", "ix", F.col("v").alias("z"))
+    g = S.grid_nodes(SPEC, spark).join(b, ["iy", "ix"], "left")
+    return T.grid_rows(g, (23.0, 37.0)).select("x", "y", F.round("value", 4).alias("value"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))

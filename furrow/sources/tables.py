@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import json
 import re
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.functions.columns import is_survey_header, number, rename_map
+from furrow.functions.columns import degrees, is_survey_header, number, rename_map
 
 SHEET_NAME = 31
 ENCODINGS = ("utf-8-sig", "cp1253", "latin-1")
@@ -192,3 +193,63 @@ def map_archive(files: dict[str, bytes], failed: dict[str, str]) -> bytes:
         if failed:
             z.writestr("failed.txt", "".join(f"{k}: {v}\n" for k, v in failed.items()))
     return out.getvalue()
+
+
+def read_reference(spark: SparkSession, path: str, x: str = "x", y: str = "y") -> DataFrame:
+    """A CSV of places with a column for each channel, as (id, label, x, y, ref); what isn't a number is left out."""
+    df = read_csv(spark, path)
+    channels = [c for c in df.columns if c not in (x, y, "rid")]
+    rows = df.withColumnRenamed("rid", "id")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), number(F.col(f"`{c}`")).alias("ref")) for c in channels])).alias("r")
+    return rows.select("id", number(F.col(f"`{x}`")).alias("x"), number(F.col(f"`{y}`")).alias("y"), each).select("id", "r.label", "x", "y", "r.ref").where("x is not null and y is not null and ref is not null")
+
+
+def offsets_text(offsets: dict[str, float]) -> str:
+    """The two-column CSV that read_offsets reads."""
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerows([("column", "offset"), *((k, repr(float(v))) for k, v in offsets.items())])
+    return out.getvalue()
+
+
+def placed(df: DataFrame, values: list[str], origin: tuple[float, float] | None = None) -> DataFrame:
+    """X, y, lon and lat (with the origin of local metres, in degrees) and some columns, of rows that have them all but `variance`: sites, predictions,
+    zones and grids as they are written to CSV."""
+    extra = list(zip(("lon", "lat"), degrees(F.col("x"), F.col("y"), F.lit(origin[0]), F.lit(origin[1])), strict=True)) if origin else []
+    present = [F.col(f"`{v}`").isNotNull() for v in values if v != "variance"]
+    out = df.where(functools.reduce(lambda a, b: a & b, [F.col("x").isNotNull() & F.col("y").isNotNull(), *present]))
+    return out.select("x", "y", *[e.alias(n) for n, e in extra], *[F.col(f"`{v}`") for v in values])
+
+
+def grid_rows(grid: DataFrame, origin: tuple[float, float] | None = None) -> DataFrame:
+    """K4: x, y, value, the variance where there is one, and lon and lat with an origin; blank nodes are left out."""
+    named = grid.withColumnRenamed("z", "value")
+    order = ["x", "y", "value", *(["variance"] if "variance" in grid.columns else []), *(["lon", "lat"] if origin else [])]
+    return placed(named, [c for c in order if c in ("value", "variance")], origin).select(*order)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, one for each task."""
+    df.write.mode("errorifexists").csv(path, header=True)
+
+
+def channel_maps(points: DataFrame, channels: list[str], mapped, epsg: int | None = None, stem: str = "survey") -> bytes:
+    """K8: a zip of the grids of all channels: CSV, ESRI ASCII, GeoTIFF and projection. mapped(points of a channel) gives (spec, blocks, grid), as prepare.area_map does;
+    a channel that fails is named with the reason, the others go on. A grid has some millions of nodes at most and is written by the driver."""
+    from furrow.sources import rasters
+
+    files: dict[str, bytes] = {}
+    failed: dict[str, str] = {}
+    for c in channels:
+        try:
+            spec, _, grid = mapped(points.where(F.col("label") == c))
+            grid = grid.persist()
+            files[f"{stem}_{c}.csv"] = grid_rows(grid).toPandas().to_csv(index=False).encode()
+            files[f"{stem}_{c}.asc"] = rasters.asc_text(grid, spec).encode()
+            files[f"{stem}_{c}.tif"] = rasters.geotiff(rasters.dense(grid, spec[3], spec[4]), spec[0], spec[1], spec[2], epsg)
+            if epsg:
+                files[f"{stem}_{c}.prj"] = rasters.prj_wkt(epsg).encode()
+            grid.unpersist()
+        except ValueError as e:
+            failed[c] = str(e)
+    return map_archive(files, failed)

@@ -1,5 +1,6 @@
 """Files in and out, headers, settings, preparation."""
 
+import io
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from furrow.functions import columns as C
 from furrow.operators import prepare as R
 from furrow.sources import rasters, tables
+from furrow.sources import tables as T
 
 
 def survey(lines=3, n=40, seed=0):
@@ -160,3 +162,41 @@ def test_choice_of_positions(spark):
     assert Q.with_metres(df, utm=True)[2] == 32634 and Q.epsg_problem(2100) and Q.epsg_problem(32634) is None
     assert Q.layers([{"thickness": 1.0, "ec": 20.0, "ms": None}, {"ec": None}, {"ec": 50.0, "ms": 1.0}]) == ([0.02, 0.05], [0.0, 0.001], [1.0])
     assert Q.frequencies("1525, 475; 1525") == [475.0, 1525.0]
+
+
+def test_reference_points_and_offsets(spark, tmp_path):
+    (tmp_path / "ref.csv").write_text("x,y,EC1,EC2\n1,2,3.5,\n4,5,x,7\n,5,1,1\n")
+    got = sorted((r["label"], r["x"], r["y"], r["ref"]) for r in T.read_reference(spark, str(tmp_path / "ref.csv")).collect())
+    assert got == [("EC1", 1.0, 2.0, 3.5), ("EC2", 4.0, 5.0, 7.0)]
+    assert T.read_offsets(T.offsets_text({"I_1Hz": 1.5, "Q, 2": -2.0})) == {"I_1Hz": 1.5, "Q, 2": -2.0}
+
+
+def test_placed_rows_are_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, 1, 0.9), (None, 2.0, 2, 0.5), (3.0, 4.0, None, 0.1)], "x double, y double, zone int, membership_1 double")
+    out = T.placed(df, ["zone", "membership_1"], (23.0, 37.0))
+    T.write_csv(out, str(tmp_path / "zones"))
+    back = spark.read.csv(str(tmp_path / "zones"), header=True, inferSchema=True)
+    assert back.columns == ["x", "y", "lon", "lat", "zone", "membership_1"] and back.count() == 1 and abs(back.first()["lat"] - 37 - 2 / 111195) < 1e-7
+
+
+def test_archive_of_all_channels(spark):
+    import zipfile
+
+    from furrow.operators import prepare as R
+
+    rows = [(k, c, "l", float(k % 12), float(k // 12), float(k % 12 + k // 12)) for c in ("a", "b") for k in range(144)] + [(0, "few", "l", 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "rid long, label string, line string, x double, y double, v double")
+    body = T.channel_maps(df, ["a", "few", "b"], lambda p: R.area_map(p, "idw", cell=2.0), 32634)
+    with zipfile.ZipFile(io.BytesIO(body)) as z:
+        assert {f"survey_{c}.{e}" for c in "ab" for e in ("csv", "asc", "tif", "prj")} | {"failed.txt"} == set(z.namelist())
+        assert z.read("failed.txt").startswith(b"few: ")
+
+
+def test_layer_grids_are_checked():
+    from furrow.operators import inversion as V
+
+    g = V.layer_grid(6.0, 15, 0.1)
+    assert abs(g.sum() - 6) < 1e-9 and abs(g[1] / g[0] - g[-1] / g[-2]) < 1e-9 and g[0] == 0.1
+    for bad in ((6.0, 1, 0.1), (6.0, 15, 0.6), (0.1, 3, 0.1), (1e9, 3, 0.1)):
+        with pytest.raises(ValueError):
+            V.layer_grid(*bad)
