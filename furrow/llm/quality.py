@@ -38,7 +38,7 @@ class Settings:
     h: float = 0.75
     tail: float = 1e-5
     least: int = 25
-    floors: tuple[float, ...] = (0.7, 0.5, 0.7, 0.5, 0.5)
+    floors: tuple[float, ...] = (0.7, 0.5, 0.7, 0.6, 0.6)
     shrink: float = 0.8
     settled: float = 1e-4
     most: int = 40
