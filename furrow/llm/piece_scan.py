@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import Scratch, keeps, using
 
 #: Characters of a chunk; longer texts are giant. Bytes that a worker's caches hold each, about; they start anew beyond.
-CHUNK, CACHED = 32_768, 60 << 20
+CHUNK, CACHED = 32_768, 100 << 20
 #: Neighbouring matrices that a task combines.
 FAN = 64
 
@@ -92,10 +92,10 @@ class Pieces:
         #: Pieces of several characters that are their own encoding, and the longest such by its last two characters.
         self.standing = {t for t in self.score if len(t) > 1 and self.merged(t) == [t]}
         self.reach: dict[str, int] = {}
-        self.ahead: dict[str, int] = {}  # and by its first two
+        self.ahead: dict[str, int] = {}  # and by its first four, of those that have so many; shorter ones by themselves
         for t in self.standing:
             self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
-            self.ahead[t[:2]] = max(self.ahead.get(t[:2], 0), len(t))
+            self.ahead[t[:4]] = max(self.ahead.get(t[:4], 0), len(t))
         self.parts = keeps("pieces", _Parts(self))
 
     def merged(self, text: str) -> list[str]:
@@ -162,27 +162,35 @@ class Pieces:
         """The one path of weight 0 over a whole part, the longest piece tried first. A place has only one such path to it, so one from
         which the end can't be reached is not tried again."""
         n, standing, ahead, agreed, out, dead = len(text), self.standing, self.ahead, self.agreed, [], set()
-        at, size = 0, min(n, ahead.get(text[:2], 1))
+        at, before, size = 0, "", 0
+        fresh = True
         while at < n:
+            if fresh:
+                four = text[at : at + 4]
+                size = ahead.get(four) or (len(four) > 3 and ahead.get(four[:3])) or ahead.get(four[:2]) or 1
+                if size > n - at:
+                    size = n - at
             while size:
-                if at + size not in dead:
-                    t = text[at : at + size]
-                    if size == 1 or t in standing:
-                        yes = not out or agreed.get((out[-1], t))
-                        if yes is None:
-                            yes = self.agree(out[-1], t)
-                        if yes:
-                            break
+                t = text[at : at + size]
+                if (size == 1 or t in standing) and at + size not in dead:
+                    if not before:
+                        break
+                    yes = agreed.get((before, t))
+                    if yes is None:
+                        yes = self.agree(before, t)
+                    if yes:
+                        break
                 size -= 1
             if size:
                 out.append(t)
                 at += size
-                size = min(n - at, ahead.get(text[at : at + 2], 1))
+                before, fresh = t, True
             else:
                 dead.add(at)
                 size = len(out.pop())
                 at -= size
                 size -= 1
+                before, fresh = out[-1] if out else "", False
         return out
 
     def id_bytes(self, pieces: list[str]) -> bytes:
