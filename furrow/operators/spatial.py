@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,52 @@ def within(points: DataFrame, readings: DataFrame, radius: float, strict: bool =
     return both.where(F.col("d2") < radius**2 if strict else F.col("d2") <= radius**2)
 
 
-def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: str = "id", v: str = "v") -> DataFrame:
-    """Per point, the median of the readings within the radius and their number."""
-    return within(points, readings, radius).groupBy(key).agg(F.percentile(f"r_{v}", F.lit(0.5)).alias("value"), F.count(F.lit(1)).alias("n"))
+#: Rows of a square that one task compares in memory; squares with more go through a join and an aggregate, which spill.
+SQUARE_ROWS = 400_000
+
+
+def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: str = "id", v: str = "v", most: int = SQUARE_ROWS) -> DataFrame:
+    """Per point, the median of the readings within the radius and their number; points without any aren't there.
+
+    The field is cut into squares of eight radii. A square's points and all readings it may need, those up to a radius beyond its sides, meet in one task
+    where they are few enough; each point then looks at the cells around it."""
+    side, kind = 8 * radius, points.schema[key].dataType.simpleString()
+    squares = lambda df: _cells(df, side).withColumnsRenamed({"_cx": "_sx", "_cy": "_sy"})
+    p = squares(points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null"))
+    r = squares(readings.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(v).cast("double").alias("v")).where("x is not null and y is not null"))
+    reach = lambda c: F.transform(F.sequence(F.floor((F.col(c) - radius * 1.001) / side), F.floor((F.col(c) + radius * 1.001) / side)), lambda k: k.cast("long"))
+    r = r.withColumn("_sx", F.explode(reach("x"))).withColumn("_sy", F.explode(reach("y")))
+    rows = p.select("_sx", "_sy").unionByName(r.select("_sx", "_sy")).groupBy("_sx", "_sy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_sx", "_sy")
+    square = ["_sx", "_sy"]
+
+    def medians(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, y, value = (right[c].to_numpy(float) for c in ("x", "y", "v"))
+            px, py = left["x"].to_numpy(float), left["y"].to_numpy(float)
+            x0, y0 = min(x.min(), px.min()), min(y.min(), py.min())
+            row = np.floor((y - y0) / radius).astype(np.int64)
+            order = np.lexsort((x, row))
+            x, y, value, row = x[order], y[order], value[order], row[order]
+            own = np.floor((py - y0) / radius).astype(np.int64)
+            bands = {k: (int(np.searchsorted(row, k)), int(np.searchsorted(row, k + 1))) for k in np.unique(np.concatenate([own - 1, own, own + 1])).tolist()}
+            for i, (k, qx, qy) in enumerate(zip(own.tolist(), px.tolist(), py.tolist(), strict=True)):
+                near = []
+                for q in (k - 1, k, k + 1):
+                    a, z = bands[q]
+                    if a < z:
+                        lo, hi = a + np.searchsorted(x[a:z], qx - radius * 1.001), a + np.searchsorted(x[a:z], qx + radius * 1.001, "right")
+                        near.append(value[lo:hi][(x[lo:hi] - qx) ** 2 + (y[lo:hi] - qy) ** 2 <= radius**2])
+                got = np.concatenate(near) if near else np.zeros(0)
+                if len(got):
+                    present = got[~np.isnan(got)]
+                    out.append((left["_key"].iat[i], float(np.median(present)) if len(present) else None, len(got)))
+        return pd.DataFrame(out, columns=["_key", "value", "n"])
+
+    few = p.join(rows, square, "left_anti").groupBy(*square).cogroup(r.join(rows, square, "left_anti").groupBy(*square)).applyInPandas(medians, f"_key {kind}, value double, n long")
+    crowded = squares(points).join(rows, square, "left_semi").drop(*square)
+    many = within(crowded, readings, radius).groupBy(key).agg(F.percentile(f"r_{v}", F.lit(0.5)).alias("value"), F.count(F.lit(1)).alias("n"))
+    return few.withColumnRenamed("_key", key).unionByName(many)
 
 
 def nearest_within(points: DataFrame, readings: DataFrame, radius: float, key: str, order: str, strict: bool = True) -> DataFrame:

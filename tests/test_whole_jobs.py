@@ -65,6 +65,18 @@ def test_medians_at_all_orders(spark, field):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
 
+@pytest.mark.parametrize("most", [400_000, 40, 0])
+def test_medians_of_crowded_squares(spark, field, most):
+    from furrow.operators import spatial as S
+
+    _, sites, area = field
+    p = spark.createDataFrame([(int(s.id), float(s.x), float(s.y)) for s in sites.itertuples()] + [(-1, None, 1.0)], "id long, x double, y double")
+    r = spark.createDataFrame([(float(a.x), float(a.y), float(a.v)) for a in area.itertuples()] + [(None, 1.0, 2.0)], "x double, y double, v double")
+    got = {r["id"]: (r["value"], r["n"]) for r in S.radius_medians(p, r, 1.5, most=most).collect()}
+    want = medians(sites, area)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_fit_over_all_orders(spark, field):
     at, sites, area = field
     m = medians(sites, area)
