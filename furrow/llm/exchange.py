@@ -5,6 +5,10 @@ phrases), cuts the sorted list by leading bits into buckets, and sends each buck
 bytes a key. A bucket compares the lists of all chunks and answers each with bits in the order of its list; the
 chunk, which makes the same list again from the same documents, reads them. Hashes spread evenly over the buckets;
 a key enters a list once however often it occurs, so very frequent keys weigh no more than one entry a chunk.
+
+A corpus of very many chunks needs more buckets than a chunk can fill. Then chunks send to TOP buckets at most, and there the lists of GROUP chunks become one, which
+is cut again into the many buckets and compared with those of the other groups; answers come back the same way. A frequent key then
+weighs one entry a group.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from furrow.llm.common import pack, squeeze, unpack, unsqueeze
 
 #: UTF-8 bytes of a chunk, unless one document is longer; keys of a bucket, about.
 CHUNK, BUCKET = 4 << 20, 2_000_000
+#: Leading bits by which a chunk cuts its list at most; chunks whose lists are merged where there are more buckets than that.
+TOP, GROUP = 12, 1024
 
 
 def chunk_body(ids: list, texts: list[str]) -> bytes:
@@ -101,23 +107,31 @@ class Keys:
             self.inverse[order] = np.cumsum(new) - 1
             self.times = np.bincount(self.inverse, minlength=len(self.keys))
 
-    def bounds(self, bits: int) -> np.ndarray:
-        return np.searchsorted((self.keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)) if bits else np.array([0, len(self.keys)])
+    def bounds(self, bits: int, first: int = 0, count: int | None = None) -> np.ndarray:
+        wanted = first + np.arange((1 << bits if count is None else count) + 1)
+        return np.searchsorted((self.keys >> np.uint64(64 - bits)).astype(np.int64), wanted) if bits else np.array([0, len(self.keys)])
 
     def lists(self, bits: int, indexed: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
         """(bucket, list) with, for each key, whether it occurs more than once here and whether it is in the index."""
-        at = self.bounds(bits)
-        for b in range(1 << bits):
+        return self.lists_of(bits, 0, 1 << bits, indexed)
+
+    def lists_of(self, bits: int, first: int, count: int, indexed: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+        """The lists of some buckets in a row, which hold all keys."""
+        at = self.bounds(bits, first, count)
+        for b in range(count):
             i, j = at[b], at[b + 1]
             if i < j:
-                yield b, squeeze(pack(self.keys[i:j]), np.packbits(self.times[i:j] > 1).tobytes(), b"" if indexed is None else np.packbits(indexed[i:j]).tobytes(), b"" if self.check is None else self.check[i:j].astype("<u2").tobytes())
+                yield first + b, squeeze(pack(self.keys[i:j]), np.packbits(self.times[i:j] > 1).tobytes(), b"" if indexed is None else np.packbits(indexed[i:j]).tobytes(), b"" if self.check is None else self.check[i:j].astype("<u2").tobytes())
 
     def answers(self, bits: int, replies: list[tuple[int, bytes]], kinds: int = 1) -> list[np.ndarray]:
         """For each kind of answer, whether it holds for each key of the list."""
-        at = self.bounds(bits)
+        return self.answers_of(bits, 0, 1 << bits, replies, kinds)
+
+    def answers_of(self, bits: int, first: int, count: int, replies: list[tuple[int, bytes]], kinds: int) -> list[np.ndarray]:
+        at = self.bounds(bits, first, count)
         out = [np.zeros(len(self.keys), bool) for _ in range(kinds)]
         for b, body in replies:
-            i, j = at[b], at[b + 1]
+            i, j = at[b - first], at[b - first + 1]
             for own, part in zip(out, unsqueeze(body), strict=True):
                 own[i:j] = np.unpackbits(np.frombuffer(part, np.uint8), count=j - i).astype(bool)
         return out
@@ -151,14 +165,69 @@ def compare(lists: list[bytes]) -> list[bytes]:
     return [squeeze(np.packbits(repeated[a:b]).tobytes(), np.packbits(first[a:b]).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def answer(lists: DataFrame) -> DataFrame:
-    """(_chunk, _bucket, _reply) from (_chunk, _bucket, _list)."""
+def merged(lists: list[bytes]) -> tuple[Keys, np.ndarray | None, list[np.ndarray], np.ndarray]:
+    """The lists of several chunks as one: its keys, which of them are in the index (if lists say so), where each list's keys are in it, and which of these come first."""
+    parts = [unsqueeze(x) for x in lists]
+    keys = [unpack(p[0]) for p in parts]
+    check = np.concatenate([np.frombuffer(p[3], "<u2") for p in parts]) if parts[0][3] else None
+    own = Keys(np.concatenate(keys), check)
+    many = np.concatenate([np.unpackbits(np.frombuffer(p[1], np.uint8), count=len(k)) for p, k in zip(parts, keys, strict=True)]).astype(np.int64)
+    own.times = np.bincount(own.inverse, weights=1 + many, minlength=len(own.keys)).astype(np.int64)
+    indexed = None
+    if parts[0][2]:
+        flag = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(k)) for p, k in zip(parts, keys, strict=True)])
+        indexed = np.bincount(own.inverse, weights=flag, minlength=len(own.keys)) > 0
+    lead = np.zeros(len(own.inverse), bool)
+    lead[np.unique(own.inverse, return_index=True)[1]] = True
+    ends = np.cumsum([0, *map(len, keys)])
+    return own, indexed, [own.inverse[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], lead
+
+
+def list_bits(bits: int) -> int:
+    """Leading bits by which chunks cut their lists, where `bits` are needed in all."""
+    return min(bits, TOP)
+
+
+def answer(lists: DataFrame, bits: int = 0, n_chunks: int = 1, top: int | None = None, group: int | None = None) -> DataFrame:
+    """(_chunk, _bucket, _reply) from (_chunk, _bucket, _list) of n_chunks chunks, which list_bits(bits) bits cut. In two levels the lists are made twice rather than saved."""
+    top, group = top or TOP, group or GROUP
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         return pd.DataFrame({"_chunk": pdf["_chunk"], "_bucket": pdf["_bucket"], "_reply": compare(pdf["_list"].to_list())})
 
-    return lists.groupBy("_bucket").applyInPandas(run, "_chunk long, _bucket int, _reply binary")
+    reply = "_chunk long, _bucket int, _reply binary"
+    if bits <= top:
+        return lists.groupBy("_bucket").applyInPandas(run, reply)
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, indexed, _, _ = merged(pdf.sort_values("_chunk")["_list"].to_list())
+        rows = list(own.lists_of(bits, int(pdf["_bucket"].iloc[0]) << (bits - top), 1 << (bits - top), indexed))
+        return pd.DataFrame({"_group": pdf["_group"].iloc[0], "_coarse": pdf["_bucket"].iloc[0], "_fine": [r[0] for r in rows], "_list": [r[1] for r in rows]})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_group")
+        return pd.DataFrame({"_group": pdf["_group"], "_coarse": pdf["_coarse"], "_fine": pdf["_fine"], "_reply": compare(pdf["_list"].to_list())})
+
+    def split(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"_chunk": [], "_bucket": [], "_reply": []})
+        left = left.sort_values("_chunk")
+        own, _, where, lead = merged(left["_list"].to_list())
+        base = int(left["_bucket"].iloc[0]) << (bits - top)
+        got = own.answers_of(bits, base, 1 << (bits - top), list(zip(right["_fine"], right["_reply"], strict=True)), 2)
+        out, at = [], 0
+        for w in where:
+            out.append(squeeze(np.packbits(got[0][w]).tobytes(), np.packbits(got[1][w] & lead[at : at + len(w)]).tobytes()))
+            at += len(w)
+        return pd.DataFrame({"_chunk": left["_chunk"], "_bucket": left["_bucket"], "_reply": out})
+
+    # Chunks are numbered by partition and then within it, so a hash of the number deals them evenly over the groups.
+    groups = n_chunks // group + 1
+    dealt = lists.withColumn("_group", F.pmod(F.xxhash64("_chunk"), F.lit(groups)).cast("int"))
+    small = dealt.groupBy("_bucket", "_group").applyInPandas(cut, "_group int, _coarse int, _fine int, _list binary")
+    back = small.groupBy("_fine").applyInPandas(meet, "_group int, _coarse int, _fine int, _reply binary")
+    return dealt.groupBy("_bucket", "_group").cogroup(back.groupBy("_coarse", "_group")).applyInPandas(split, reply)
 
 
 def replies_of(pdf: pd.DataFrame) -> list[tuple[int, bytes]]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.common import WORD, Scratch, window_hashes, word_hashes
-from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
+from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, list_bits, replies_of, trimmed
 
 _word = re.compile(WORD)
 
@@ -53,7 +53,8 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
     key = docs.schema[id_col].dataType.simpleString()
     store = scratch.save(chunks(docs, id_col, text_col, chunk))
     n_chunks = store.count()
-    bits = bucket_bits(n_chunks * chunk / 6)
+    all_bits = bucket_bits(n_chunks * chunk / 6)
+    bits = list_bits(all_bits)
 
     def probes(texts: list[str]) -> tuple[list[np.ndarray], Keys, np.ndarray]:
         words = [word_hashes(t) for t in texts]
@@ -71,7 +72,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
                 rows = list(keys.lists(bits, indexed))
                 yield pd.DataFrame({"_chunk": c, "_bucket": [r[0] for r in rows], "_list": [r[1] for r in rows]})
 
-    hits = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"))
+    hits = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"), all_bits, n_chunks)
     result = "_id string, n_words long, n_removed long, kept_sha256 string"
 
     def done(i, words: list[str], gone: np.ndarray | None) -> tuple:
@@ -113,7 +114,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = 35, id_co
     mixed = store.groupBy("_chunk").cogroup(hits.groupBy("_chunk")).applyInPandas(_typed(extend), "_chunk long, _bucket int, _list binary, _body binary, " + result)
     mixed = scratch.save(mixed)
     scratch.drop(store)  # whatever is still needed of it is in `mixed`
-    found = answer(mixed.where("_bucket >= 0").select("_chunk", "_bucket", "_list"))
+    found = answer(mixed.where("_bucket >= 0").select("_chunk", "_bucket", "_list"), all_bits, n_chunks)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []

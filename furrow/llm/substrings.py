@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.common import Scratch, _powers, mix64, squeeze, unsqueeze, using, window_hashes
-from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, replies_of, trimmed
+from furrow.llm.exchange import CHUNK, Keys, answer, bucket_bits, chunk_body, chunk_rows, chunks, exact_keys, list_bits, replies_of, trimmed
 from furrow.llm.passages import _typed, covered
 from furrow.llm.suffixes import common_prefixes, suffix_array
 
@@ -311,8 +311,10 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
     scratch = Scratch(spark)
     key = docs.schema[id_col].dataType.simpleString()
     store = scratch.save(chunks(docs, id_col, text_col, chunk))
-    size = store.count() * chunk
-    phrase_bits, meeting_bits, string_bits = bucket_bits(size / 24), bucket_bits(size / 8), bucket_bits(size / 8)
+    n_chunks = store.count()
+    size = n_chunks * chunk
+    all_phrase_bits, meeting_bits, all_string_bits = bucket_bits(size / 24), bucket_bits(size / 8), bucket_bits(size / 8)
+    phrase_bits, string_bits = list_bits(all_phrase_bits), list_bits(all_string_bits)
     columns = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     result = "_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     empty = [np.zeros(0, np.uint64)]
@@ -344,7 +346,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
                 rows = list(phrase_keys(read(body)[2]).lists(phrase_bits))
                 yield pd.DataFrame({"_chunk": c, "_bucket": [r[0] for r in rows], "_list": [r[1] for r in rows]})
 
-    phrases = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"))
+    phrases = answer(store.mapInPandas(ask, "_chunk long, _bucket int, _list binary"), all_phrase_bits, n_chunks)
     mixed = "_kind int, _chunk long, _bucket int, _list binary, _body binary"
     names = ["_kind", "_chunk", "_bucket", "_list", "_body"]
 
@@ -417,7 +419,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = 400, id_co
         return pd.DataFrame({"_chunk": left["_chunk"].iloc[0], "_bucket": [x[0] for x in lists], "_list": [x[1] for x in lists]})
 
     on = first.where("_kind = 2").select("_chunk", "_list", "_body")
-    strings = answer(on.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInPandas(_typed(send), "_chunk long, _bucket int, _list binary"))
+    strings = answer(on.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInPandas(_typed(send), "_chunk long, _bucket int, _list binary"), all_string_bits, n_chunks)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The states are found again rather than saved, as the lists of strings are by far the most that is written."""

@@ -222,6 +222,34 @@ def test_exchange_finds_what_occurs_twice():
             assert (m.answers(bits, replies, 2)[0] == np.isin(m.keys, every[times > 1])).all()
 
 
+@pytest.mark.parametrize("checked", [False, True])
+def test_exchange_in_two_levels(spark, checked):
+    """Lists of groups of chunks, merged and cut again, give the answers that all lists together give."""
+    r = np.random.default_rng(5)
+    made = []
+    for _ in range(9):
+        k = r.integers(0, 400, 150, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        made.append(exchange.Keys(k, (k >> np.uint64(7)).astype(np.uint16) if checked else None))
+    indexed = [r.random(len(m.keys)) < 0.3 for m in made]
+    rows = [(c, b, bytearray(x)) for c, (m, i) in enumerate(zip(made, indexed, strict=True)) for b, x in m.lists(2, i)]
+    df = spark.createDataFrame(rows, "_chunk long, _bucket int, _list binary")
+    got_back = {}
+    for x in exchange.answer(df, 6, 9, top=2, group=4).collect():
+        got_back.setdefault(x["_chunk"], []).append((x["_bucket"], bytes(x["_reply"])))
+    places: dict = {}
+    for m, i in zip(made, indexed, strict=True):
+        for k, n, yes in zip(m.keys.tolist(), m.times.tolist(), i.tolist(), strict=True):
+            a, b = places.get(k, (0, False))
+            places[k] = a + 1 + (n > 1), b or yes
+    leads: dict = {}
+    for c, m in enumerate(made):
+        repeated, first = m.answers(2, got_back[c], 2)
+        assert repeated.tolist() == [places[k][0] > 1 and places[k][1] for k in m.keys.tolist()]
+        for k, f in zip(m.keys.tolist(), first.tolist(), strict=True):
+            leads.setdefault(k, []).append(f)
+    assert all(sum(v) == 1 for v in leads.values())
+
+
 def vectors():
     r = np.random.default_rng(3)
     base = r.standard_normal((40, 16))
