@@ -5,7 +5,8 @@ estimate is sought: of all shares `h` of the group's rows, the one whose covaria
 least determinant. Three deterministic starts (median deviations, the correlations of squashed values, those of directions
 from the median) are improved by concentration steps until no determinant falls any more: the rows with the smallest
 distance from an estimate give the next. The start that ends lowest is taken. Rows too far from it, in Mahalanobis
-distance, are rejected. Every step is two aggregates over saved vectors of a few numbers a row, for all groups and starts at once.
+distance, are rejected. A group of bounded size is estimated by one task. Larger ones never meet in a task: there every step is two
+aggregates over saved vectors of a few numbers a row, for all groups and starts at once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class Settings:
     """h: the share that an estimate rests on. tail: the chance by which a row of a normal group is rejected. least: rows that an estimate of
     covariances needs, five for each part; smaller groups are held against all rows of their language, or of the corpus. floors: deviations whose
     squares are added to the covariances, shrunk by `shrink`; a part that never varies so has this deviation. settled: the change of a determinant's
-    logarithm that counts as none. most: steps after which the search ends even so."""
+    logarithm that counts as none. most: steps after which the search ends even so. together: rows of a group that one task takes at most, five
+    numbers each."""
 
     h: float = 0.75
     tail: float = 1e-5
@@ -42,6 +44,7 @@ class Settings:
     shrink: float = 0.8
     settled: float = 1e-4
     most: int = 40
+    together: int = 200_000
     groups_sent: int = 10_000
 
 
@@ -146,10 +149,70 @@ def regularised(cov: np.ndarray, s: Settings, factor: float) -> np.ndarray:
     return np.diag(np.array(s.floors) ** 2) + s.shrink * factor * cov
 
 
+def estimated(x: np.ndarray, s: Settings, concentrate: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and the logarithm of its determinant for the rows of one group."""
+    p = x.shape[1]
+    factor = s.h / _gamma_p(p / 2 + 1, chi2_quantile(s.h, p) / 2)
+    rank = max(1, math.ceil(s.h * len(x))) - 1
+    lower = lambda v: np.partition(v, (len(v) + 1) // 2 - 1, axis=0)[(len(v) + 1) // 2 - 1]  # noqa: E731  the lower median, a row's own value
+    mid = lower(x)
+    best = None
+    for cov in starts(x - mid, np.maximum(1.4826 * lower(np.abs(x - mid)), s.floors), concentrate):
+        mean, det = mid, np.linalg.slogdet(cov)[1]
+        for _ in range(s.most if concentrate else 0):
+            y = x - mean
+            d = np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)
+            own = y[d <= np.partition(d, rank)[rank]]
+            shift = own.mean(axis=0)
+            cov = regularised(own.T @ own / len(own) - np.outer(shift, shift), s, factor)
+            mean, before, det = mean + shift, det, np.linalg.slogdet(cov)[1]
+            if abs(det - before) <= s.settled:
+                break
+        if best is None or det < best[2]:
+            best = mean, np.linalg.inv(cov), float(det)
+    return best
+
+
+def starts(y: np.ndarray, dev: np.ndarray, all_of_them: bool) -> list[np.ndarray]:
+    """First covariances from the rows less their medians and the median deviations."""
+    p, wide, z = y.shape[1], np.outer(dev, dev), y / dev
+    out = [np.eye(p) * wide]
+    if all_of_them:
+        t, u = np.tanh(z), z / np.sqrt((z * z).sum(axis=1, keepdims=True) + 1e-12)
+        out += [alike(t.T @ t / len(z)) * wide, (p * u.T @ u / len(z) + 0.05 * np.eye(p)) * wide]
+    return out
+
+
+def alike(t: np.ndarray) -> np.ndarray:
+    """Correlations from squared sums, drawn in a little so that they can be inverted."""
+    scale = np.sqrt(np.einsum("...jj->...j", t)) + 1e-12
+    return np.where(np.eye(t.shape[-1]) > 0, 1.0, 0.95 * t / (scale[..., :, None] * scale[..., None, :]))
+
+
 def mcd(spark: SparkSession, scratch: Scratch, rows: DataFrame, s: Settings, concentrate: bool = True) -> DataFrame:
     """Per _group: its mean m0.., the inverse of its covariance i00.. and the logarithm of that one's determinant; rows have _group and the vector's parts.
     concentrate: False for the first start alone, medians and deviations."""
     p = len(NAMES)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    columns = [f"m{j}" for j in range(p)] + [f"i{j}{k}" for j, k in pairs] + ["_det"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean, inverse, det = estimated(pdf[list(NAMES)].to_numpy(float), s, concentrate)
+        return pd.DataFrame([[pdf["_group"].iloc[0], *mean, *(inverse[j, k] for j, k in pairs), det]], columns=["_group", *columns])
+
+    sizes = scratch.save(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")))
+    few = sizes.count() <= s.groups_sent
+    small = F.broadcast if few else (lambda df: df)  # one row for each group: broadcast only after their count
+    sized = rows.select("_group", *NAMES).join(small(sizes), "_group")
+    out = sized.where(F.col("_rows") <= s.together).drop("_rows").groupBy("_group").applyInPandas(one, "_group string, " + ", ".join(f"{c} double" for c in columns))
+    if not sizes.where(F.col("_rows") > s.together).isEmpty():
+        out = out.unionByName(_large(scratch, sized.where(F.col("_rows") > s.together).drop("_rows"), s, concentrate))
+    return small(scratch.save(out))
+
+
+def _large(scratch: Scratch, rows: DataFrame, s: Settings, concentrate: bool) -> DataFrame:
+    """mcd() for groups that no task could hold."""
+    p = len(NAMES)
     factor = s.h / _gamma_p(p / 2 + 1, chi2_quantile(s.h, p) / 2)  # makes the covariance of the nearest share that of all rows of a normal group
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
     columns = [f"m{j}" for j in range(p)] + [f"i{j}{k}" for j, k in pairs] + ["_det"]
@@ -174,10 +237,7 @@ def mcd(spark: SparkSession, scratch: Scratch, rows: DataFrame, s: Settings, con
             means, n, wide = b[[f"m{j}" for j in range(p)]].to_numpy(float), b["n"].to_numpy(float), dev[:, :, None] * dev[:, None, :]
             yield out(b["_group"], STARTS[0], means, np.eye(p) * wide)
             if concentrate:
-                t = symmetric(b, "t") / n[:, None, None]
-                scale = np.sqrt(np.einsum("njj->nj", t)) + 1e-12
-                alike = np.where(np.eye(p) > 0, 1.0, 0.95 * t / (scale[:, :, None] * scale[:, None, :]))
-                yield out(b["_group"], STARTS[1], means, alike * wide)
+                yield out(b["_group"], STARTS[1], means, alike(symmetric(b, "t") / n[:, None, None]) * wide)
                 yield out(b["_group"], STARTS[2], means, (p * symmetric(b, "u") / n[:, None, None] + 0.05 * np.eye(p)) * wide)
 
     def following(batches):
@@ -211,8 +271,7 @@ def mcd(spark: SparkSession, scratch: Scratch, rows: DataFrame, s: Settings, con
         now = new
         if moved is None or moved <= s.settled:
             break
-    best = now.groupBy("_group").agg(F.min_by(F.struct(*columns), F.struct("_det", "_start")).alias("_best")).select("_group", "_best.*")
-    return small(scratch.save(best))
+    return now.groupBy("_group").agg(F.min_by(F.struct(*columns), F.struct("_det", "_start")).alias("_best")).select("_group", "_best.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:

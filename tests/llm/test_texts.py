@@ -304,13 +304,14 @@ def test_repeated_lines_and_words_are_rejected(spark):
     assert sum(out[k][0]["kept"] for k in range(300)) >= 298
 
 
-def test_least_determinant_of_all_starts(spark):
+@pytest.mark.parametrize("together", [200_000, 100])
+def test_least_determinant_of_all_starts(spark, together):
     """Correlated rows with a third of outliers on one side: no share of rows found by random starts has a smaller determinant."""
     r = np.random.default_rng(4)
     p = len(quality.NAMES)
     mix = np.tril(r.normal(0, 1, (p, p))) + 2 * np.eye(p)
     x = np.concatenate([r.standard_normal((400, p)) @ mix.T, r.standard_normal((90, p)) * 0.5 + 14])
-    s = quality.Settings()
+    s = quality.Settings(together=together)
     df = spark.createDataFrame([("g", *map(float, v)) for v in x], "_group string, " + ", ".join(f"{c} double" for c in quality.NAMES))
     got_det = quality.mcd(spark, Scratch(spark), df, s).collect()[0]["_det"]
     factor = s.h / quality._gamma_p(p / 2 + 1, quality.chi2_quantile(s.h, p) / 2)
