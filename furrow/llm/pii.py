@@ -47,8 +47,8 @@ _NAMED = re.compile(rf"\b({'|'.join(sorted({n for v in GIVEN.values() for n in v
 _MAYBE_TITLED, _MAYBE_NAMED = (re.compile(p.pattern.removeprefix(r"\b")) for p in (_TITLED, _NAMED))
 # Phrases that a person's name follows.
 CUES = ("my name is", "i am called", "name:", "dear", "contact:", "attn:", "signed by", "mein name ist", "ich heiße", "liebe", "lieber", "je m'appelle", "chère", "cher", "me llamo", "mi nombre es", "querido", "querida", "меня зовут", "уважаемый", "уважаемая")
-_CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, sorted(CUES, key=len, reverse=True)))}) ({_CAP})(?: ({_CAP}))?")
-_MAYBE_CUED = re.compile(rf"(?i:{'|'.join(map(re.escape, sorted(CUES, key=len, reverse=True)))}) [A-ZÀ-ÖØ-ÞА-ЯЁ]")
+_CUE_FORMS = tuple(f"{form} " for c in CUES for form in dict.fromkeys((c, c.capitalize())))
+_CUE_NAMES = re.compile(rf"({_CAP})(?: ({_CAP}))?")
 _MAIL_LEFT, _MAIL_RIGHT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}")
 _DIGITS = re.compile(r"[0-9]")
 _PATTERNS = (
@@ -74,6 +74,18 @@ def script(word: str) -> str:
     return "cyrillic" if any("\u0400" <= c <= "\u04ff" for c in word) else "latin"
 
 
+def _places(text: str, forms: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where any of some strings stands, not within a word or an address: (start, end)."""
+    out = []
+    for f in forms:
+        at = text.find(f)
+        while at >= 0:
+            if not at or not (text[at - 1].isalnum() or text[at - 1] in "@.-_"):
+                out.append((at, at + len(f)))
+            at = text.find(f, at + 1)
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of each entity, in order and apart; where two overlap, the earlier pattern wins."""
     found: list[tuple[int, int, str, str]] = []
@@ -87,6 +99,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         at = text.find("@", at + 1)
     if _DIGITS.search(text) or "=" in text or ":" in text:
         for kind, pattern, valid in _PATTERNS:
+            if kind == "ipv6" and text.count(":") < 2:
+                continue
             for m in pattern.finditer(text):
                 x = m["x"]
                 if valid is None or valid(x):
@@ -104,7 +118,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for m in _NAMED.finditer(text) if _MAYBE_NAMED.search(text) else ():
         found.append((*m.span(1), f"given-{_GENDER[m[1].casefold()]}-{script(m[1])}", m[1].casefold()))
         found.append((*m.span(2), f"family-{script(m[2])}", m[2].casefold()))
-    for m in _CUED.finditer(text) if _MAYBE_CUED.search(text) else ():
+    for at in _places(text, _CUE_FORMS):
+        m = _CUE_NAMES.match(text, at[1])
+        if m is None:
+            continue
         g = _GENDER.get(m[1].casefold())
         if m[2] is None and g is None:
             found.append((*m.span(1), f"family-{script(m[1])}", m[1].casefold()))
@@ -112,11 +129,14 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found.append((*m.span(1), f"given-{g or 'fm'[zlib.crc32(m[1].casefold().encode()) % 2]}-{script(m[1])}", m[1].casefold()))
         if m[2] is not None:
             found.append((*m.span(2), f"family-{script(m[2])}", m[2].casefold()))
-    known = {c: k for _, _, k, c in reversed(found) if k.startswith(("given", "family"))}
-    if known:  # the same person's names where they stand alone, capitalised
-        for m in re.finditer(rf"(?<![\w@.-])({'|'.join(re.escape(c) for c in sorted(known, key=len, reverse=True))})(?![\w@-])", text, re.IGNORECASE):
-            if m[1][0].isupper():
-                found.append((*m.span(1), known[m[1].casefold()], m[1].casefold()))
+    known: dict[str, tuple[str, str]] = {}
+    for a, b, k, c in found:
+        if k.startswith(("given", "family")):
+            for form in (text[a:b], c.title(), c.capitalize(), c.upper()):
+                known.setdefault(form, (k, c))
+    for a, b in _places(text, tuple(known)):  # the same person's names where they stand alone, capitalised
+        if not (text[b : b + 1].isalnum() or text[b : b + 1] in ("@", "-", "_")):
+            found.append((a, b, *known[text[a:b]]))
     out, end = [], 0
     for x in sorted(dict.fromkeys(found), key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
