@@ -1,19 +1,20 @@
-"""Embedding near-duplicates by a forest of random-projection trees.
+"""Embedding near-duplicates by forests of random-projection trees.
 
-Each tree splits the unit vectors by random directions at the median of a bounded sample, again and again.
-A vector close to a split goes to both sides (spill), so that near pairs part seldom; several trees
-make it rarer still. All pairs within a leaf are compared in double precision, and only those at or above the
-threshold are links. A pair is counted in the first leaf, in the order of trees and leaves, that holds both.
+A tree splits the unit vectors by a random direction for each level, at the median or nearby where fewer vectors are close to the cut, again and
+again. A few shallow trees, fitted on a bounded sample, deal the vectors into parts, one tree after the other; so a vector moves once for each of
+these trees, as it came, and what a tree moved is gone before the next. A part meets in one task, where a forest of deeper trees splits it into
+leaves. All pairs within a leaf are compared, and only those whose cosine in double precision is at or above the threshold are links. A pair
+is counted in the first part, in the order of trees, that holds both, and there in the first leaf.
 
-The sample bounds how deep a tree can be fitted. Leaves that stay large because the table is, are split again by trees of
-their own, each fitted on a sample of its leaf. Leaves that stay large because many vectors are close, are dealt into tiles
-of two blocks each; a tile returns numbers of links and enough links to connect its vectors, never its pairs.
+A node most of whose vectors lie close to the cut is a group of near copies, and isn't split. Parts that stay large are dealt into blocks, and each two of
+these meet in a task. A task returns numbers of links and enough links to connect its vectors, never its pairs.
 
 Equal vectors are one class. Vectors of different lengths have trees of their own and never meet.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -21,57 +22,80 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, mix64
-from furrow.llm.graph import components, forest
+from furrow.llm.common import Scratch
+from furrow.llm.graph import components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """trees, leaf: vectors that a leaf is to hold, which sets the depth. spill: half the width of the band that goes
-    to both sides, in units of the distance between vectors at the threshold over the square root of the
-    dimensions. sample: vectors that the splits are fitted on, at most. large: vectors from which on a leaf is split again. block: of a
-    large leaf."""
+    """trees: that deal vectors into parts. inner: trees within a part. leaf: vectors that an inner leaf is to hold. near: half the width of the band around a cut, in units of
+    the distance between vectors at the threshold over the square root of the dimensions. tight: share of a node's vectors within the band from which on it isn't
+    split. sample: vectors that the dealing trees are fitted on, about, of a larger table. large: vectors from which on a part is dealt into blocks. block: of a large part. tile: vectors whose
+    cosines with as many others are held at once."""
 
     threshold: float = 0.9
     trees: int = 6
-    leaf: int = 256
-    spill: float = 0.5
+    inner: int = 12
+    leaf: int = 512
+    near: float = 0.5
+    tight: float = 0.6
     sample: int = 20_000
-    large: int = 4096
-    block: int = 1024
+    large: int = 262_144
+    block: int = 131_072
+    tile: int = 1024
     seed: int = 11
 
 
 class Tree:
-    """Splits as arrays: node k has children 2k + 1 and 2k + 2. Leaves are node numbers. The directions follow from the seed alone."""
-
-    def __init__(self, seed: list[int], size: int, depth: int, margin: float, cuts: np.ndarray | None = None):
-        self.depth, self.margin = depth, margin
-        n = (1 << depth) - 1
-        self.directions = np.random.default_rng(seed).standard_normal((n, size))
-        self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
-        self.cuts = np.zeros(n) if cuts is None else cuts
-
-    def fit(self, sample: np.ndarray) -> Tree:
-        rows = {0: np.arange(len(sample))}
+    """Splits as arrays: node k has children 2k + 1 and 2k + 2. The directions, one for each level, follow from the seed alone. A cut at minus infinity leaves a
+    node whole."""
+
+    def __init__(self, seed: list[int], size: int, depth: int, s: Settings):
+        self.depth, self.s = depth, s
+        self.margin = s.near * math.sqrt(2 - 2 * s.threshold) / math.sqrt(size)
+        self.directions = np.random.default_rng(seed).standard_normal((size, depth))
+        self.directions /= np.linalg.norm(self.directions, axis=0)
+        self.cuts = np.full((1 << depth) - 1, -np.inf)
+
+    def _cut(self, p: np.ndarray) -> float:
+        p = np.sort(p)
+        at = p[(np.array([0.5, 0.35, 0.425, 0.575, 0.65]) * len(p)).astype(int)]
+        close = (np.searchsorted(p, at + self.margin) - np.searchsorted(p, at - self.margin)) / len(p)
+        best = int(np.argmin(close))
+        if close[best] >= 0.7 * close[0]:
+            best = 0
+        return float(at[best]) if close[best] <= self.s.tight else -math.inf
+
+    def fit(self, x: np.ndarray, least: int = 1) -> np.ndarray:
+        """Fits the cuts of nodes of more than `least` vectors; the leaf of each vector."""
+        p = x @ self.directions.astype(x.dtype)
+        node = np.zeros(len(x), np.int64)
+        rows = {0: np.arange(len(x))}
         for k in range(len(self.cuts)):
-            own = rows.pop(k)
-            p = sample[own] @ self.directions[k]
-            self.cuts[k] = np.median(p) if len(p) else 0.0
-            rows[2 * k + 1], rows[2 * k + 2] = own[p < self.cuts[k]], own[p >= self.cuts[k]]
-        return self
-
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf that a row reaches."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            p = np.einsum("ij,ij->i", x[row], self.directions[node]) - self.cuts[node]
-            low, high = p < self.margin, p >= -self.margin
-            row, node = np.r_[row[low], row[high]], np.r_[2 * node[low] + 1, 2 * node[high] + 2]
-        return row, node
+            own = rows.pop(k, None)
+            if own is None:
+                continue
+            level = (k + 1).bit_length() - 1
+            if len(own) > least:
+                self.cuts[k] = self._cut(p[own, level])
+            high = p[own, level] >= self.cuts[k]
+            for child, part in ((2 * k + 1, own[~high]), (2 * k + 2, own[high])):
+                if len(part):
+                    rows[child] = part
+                    node[part] = child
+        return node
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The number of each vector's leaf, from 0."""
+        p = x @ self.directions.astype(x.dtype)
+        node = np.zeros(len(x), np.int64)
+        for level in range(self.depth):
+            node = 2 * node + 1 + (p[:, level] >= self.cuts[node])
+        return node - ((1 << self.depth) - 1)
 
 
 def unit(values) -> np.ndarray | None:
@@ -88,54 +112,102 @@ def unit(values) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
-def fitted_depth(vectors: int, sample: int, s: Settings) -> int:
-    """Levels until a leaf holds `leaf` vectors, but not more than leave eight of the sample to a leaf."""
-    return max(0, min(math.ceil(math.log2(max(1.0, vectors / s.leaf))), int(math.log2(max(1.0, sample / 8)))))
-
+def units(body, size: int, kind: str) -> np.ndarray:
+    """As unit, for many vectors as they came."""
+    x = np.frombuffer(body, kind).reshape(-1, size).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-def _margin(size: int, s: Settings) -> float:
-    return s.spill * math.sqrt(2 - 2 * s.threshold) / math.sqrt(size)
 
-
-def _split_again(scratch: Scratch, placed: DataFrame, s: Settings) -> DataFrame | None:
-    """placed with the leaves of more than `large` vectors split by trees of their own; None if there is nothing to split."""
-    held = placed.select("_node", "_d", F.explode("_leaves").alias("_leaf"))
-    sizes = scratch.save(held.groupBy("_leaf", "_d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > s.large))
-    if sizes.isEmpty():
-        return None
-    per = max(s.large, 1)  # vectors that a leaf's tree is fitted on, about
-    some = held.join(sizes, ["_leaf", "_d"]).where(F.pmod(F.xxhash64("_node", "_leaf"), F.ceil(F.col("_n") / per)) == 0).join(placed.select("_node", "_unit"), "_node")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, size, n = int(pdf["_leaf"].iloc[0]), int(pdf["_d"].iloc[0]), int(pdf["_n"].iloc[0])
-        x = np.frombuffer(b"".join(pdf["_unit"]), np.float64).reshape(-1, size)
-        depth = min(5, fitted_depth(n, len(x), s))
-        tree = Tree([s.seed, leaf & 0xFFFFFFFF, leaf >> 32], size, depth, _margin(size, s)).fit(x)
-        reached = tree.leaves(x)[1]
-        # Close vectors lie in the band of every split: a tree would copy them to all its leaves. Their leaf stays whole and is tiled.
-        if depth == 0 or len(reached) > 2 * len(x) or np.bincount(reached).max() > 0.7 * len(x):
-            return pd.DataFrame({"_leaf": [], "_d": [], "_depth": [], "_cuts": []})
-        return pd.DataFrame({"_leaf": [leaf], "_d": [size], "_depth": [depth], "_cuts": [tree.cuts.tobytes()]})
-
-    trees = scratch.save(some.groupBy("_leaf", "_d").applyInPandas(fit, "_leaf long, _d int, _depth int, _cuts binary"))
-    if trees.isEmpty():
-        return None
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for (leaf, size), own in b.groupby(["_leaf", "_d"], sort=False):
-                tree = Tree([s.seed, int(leaf) & 0xFFFFFFFF, int(leaf) >> 32], int(size), int(own["_depth"].iloc[0]), _margin(int(size), s), np.frombuffer(own["_cuts"].iloc[0], np.float64))
-                row, to = tree.leaves(np.frombuffer(b"".join(own["_unit"]), np.float64).reshape(-1, int(size)))
-                new = mix64(np.uint64(leaf) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64) + np.uint64(1)) >> np.uint64(2)
-                out.append(pd.DataFrame({"_node": own["_node"].to_numpy()[row], "_leaf": new.astype(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame({"_node": [], "_leaf": []}).astype("int64")
-
-    moving = held.join(trees, ["_leaf", "_d"]).join(placed.select("_node", "_unit"), "_node").select("_node", "_leaf", "_d", "_depth", "_cuts", "_unit")
-    moved = moving.sortWithinPartitions("_leaf").mapInPandas(split, "_node long, _leaf long")
-    leaves = held.join(trees.select("_leaf", "_d"), ["_leaf", "_d"], "left_anti").select("_node", "_leaf").unionByName(moved)
-    lists = leaves.groupBy("_node").agg(F.array_sort(F.collect_list("_leaf")).alias("_leaves"))  # some leaves of each tree
-    return scratch.save(placed.drop("_leaves").join(lists, "_node").select("_node", "_size", "_unit", "_d", "_leaves"))
+def fitted_depth(vectors: int, sample: int, s: Settings) -> int:
+    """Levels of the dealing trees, until a part holds half of what is large, or a sixteenth of a smaller table; not more than leave eight of the sample to a part."""
+    part = max(1, min(s.large // 2, max(2048, vectors // 16)))
+    return max(0, min(math.ceil(math.log2(max(1.0, vectors / part))), int(math.log2(max(1.0, sample / 8)))))
+
+
+class Linked:
+    """The links among vectors: how many each has, and which are connected."""
+
+    def __init__(self, raw: np.ndarray, weight: np.ndarray, s: Settings):
+        """raw: as they came, a row each."""
+        self.raw, self.weight, self.s = raw, weight, s
+        self.n, self.parent = np.zeros(len(raw), np.int64), list(range(len(raw)))
+        self.x = np.empty(raw.shape, np.float32)
+        for at in range(0, len(raw), 10_000):
+            self.x[at : at + 10_000] = units(raw[at : at + 10_000].tobytes(), raw.shape[1], raw.dtype.str)
+        self.slack = 1.2e-7 * (raw.shape[1] + 16)  # of a cosine in single precision
+
+    def find(self, k: int) -> int:
+        p = self.parent
+        while p[k] != k:
+            p[k] = p[p[k]]
+            k = p[k]
+        return k
+
+    def compare(self, a: np.ndarray, b: np.ndarray | None, wanted) -> None:
+        """Links between the vectors a and b, or among a, of those pairs that are wanted(i, j)."""
+        t, kind, size = self.s.threshold, self.raw.dtype.str, self.raw.shape[1]
+        g = self.x[a] @ self.x[a if b is None else b].T
+        at = np.flatnonzero(g >= t - self.slack)
+        if b is None and len(at) <= len(a):  # each with itself
+            at = at[at // len(a) != at % len(a)]
+        if not len(at):
+            return
+        p, q = np.divmod(at, g.shape[1])
+        g = g.ravel()[at]
+        if b is None:
+            low = p < q
+            p, q, g = p[low], q[low], g[low]
+            b = a
+        ok = wanted(a[p], b[q])
+        p, q, g = p[ok], q[ok], g[ok]
+        unsure = np.flatnonzero(g < t + self.slack)
+        gone = np.zeros(len(g), bool)
+        for k in range(0, len(unsure), 50_000):
+            u = unsure[k : k + 50_000]
+            v, w = (units(self.raw[r].tobytes(), size, kind) for r in (a[p[u]], b[q[u]]))
+            gone[u] = (v * w).sum(axis=1) < t
+        p, q = p[~gone], q[~gone]
+        if not len(p):
+            return
+        self.n[a] += np.bincount(p, self.weight[b[q]], len(a)).astype(np.int64)
+        self.n[b] += np.bincount(q, self.weight[a[p]], len(b)).astype(np.int64)
+        root = [np.zeros(len(r), np.int64) for r in (a, b)]
+        for names, rows, hit in ((root[0], a, np.unique(p)), (root[1], b, np.unique(q))):
+            names[hit] = [self.find(k) for k in rows[hit].tolist()]
+        i, j = root[0][p], root[1][q]
+        for pair in np.unique((i * len(self.parent) + j)[i != j]).tolist():
+            i, j = (self.find(k) for k in divmod(pair, len(self.parent)))
+            self.parent[max(i, j)] = min(i, j)
+
+
+def links_within(raw: np.ndarray, weight: np.ndarray, s: Settings, seed: list[int], earlier: np.ndarray, side: np.ndarray | None = None) -> Linked:
+    """The links among the vectors of a part, by a forest, but for pairs that are equal in a column of `earlier`. With side, only links between the two sides."""
+    out, n = Linked(raw, weight, s), len(raw)
+    leaves: list[np.ndarray] = []
+    depth = max(0, math.ceil(math.log2(n / s.leaf)))
+    for k in range(s.inner):
+        own = Tree([*seed, k], raw.shape[1], depth, s).fit(out.x, s.leaf)
+        order = np.lexsort((leaves[0], own)) if leaves else np.argsort(own, kind="stable")
+        edges = np.r_[0, np.flatnonzero(np.diff(own[order])) + 1, n].tolist()
+
+        def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(i), bool) if side is None else side[i] != side[j]
+            for before in [*earlier.T, *leaves]:  # noqa: B023
+                ok &= before[i] != before[j]
+            return ok
+
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            tiles = [order[q : min(hi, q + s.tile)] for q in range(lo, hi, s.tile)]
+            for i, a in enumerate(tiles):
+                for b in tiles[i:]:
+                    if leaves and leaves[0][a[0]] == leaves[0][b[-1]] and leaves[0][a[0]] == leaves[0][a[-1]] == leaves[0][b[0]]:
+                        continue  # in order of their first leaves: all were compared there
+                    out.compare(a, None if b is a else b, wanted)
+        leaves.append(own)
+        if len(edges) == 2:  # one leaf held all
+            break
+    return out
 
 
 def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -149,90 +221,108 @@ def near(spark: SparkSession, vectors: DataFrame, s: Settings | None = None, id_
     s = s or Settings()
     scratch = Scratch(spark)
     key = vectors.schema[id_col].dataType.simpleString()
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # vectors move as they came
     base = vectors.select(F.col(id_col).cast("string").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            units = [unit(v) for v in b["_v"]]
-            rows = [None if u is None else (u + 0.0).tobytes() for u in units]
-            yield pd.DataFrame({"_id": b["_id"], "_unit": rows, "_digest": [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in rows]})
-
-    scaled = scratch.save(base.mapInPandas(scale, "_id string, _unit binary, _digest binary").withColumn("_id", F.col("_id").cast(key)))
-    classes = scaled.where("_digest is not null").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_unit").alias("_unit"))
-    classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()).withColumn("_d", (F.octet_length("_unit") / 8).cast("int")))
+            own = [unit(v) for v in b["_v"]]
+            raw = [None if u is None else np.asarray(v, kind).tobytes() for u, v in zip(own, b["_v"], strict=True)]
+            yield pd.DataFrame({"_id": b["_id"], "_raw": raw, "_digest": [None if u is None else hashlib.blake2b((u + 0.0).tobytes(), digest_size=16).digest() for u in own]})
+
+    scaled = scratch.save(base.mapInPandas(scale, "_id string, _raw binary, _digest binary").withColumn("_id", F.col("_id").cast(key)))
+    classes = scaled.where("_digest is not null").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_raw").alias("_raw"))
+    classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()).withColumn("_d", (F.octet_length("_raw") / int(kind[-1])).cast("int")))
+    ids = scratch.save(scaled.select("_id", "_digest"))
+    scratch.drop(scaled)
+    _let_go(spark)
     trees: dict[int, list[Tree]] = {}
-    first: dict[int, int] = {}  # of each length, the number of its first leaf
-    at = 0
     for r in classes.groupBy("_d").count().orderBy("_d").collect():  # a row for each length
         size, depth = r["_d"], fitted_depth(r["count"], min(r["count"], s.sample), s)
-        own = [Tree([s.seed, t], size, depth, _margin(size, s)) for t in range(s.trees)]
+        trees[size] = [Tree([s.seed, t], size, depth, s) for t in range(s.trees if depth else 1)]
         if depth:
-            sample = [x["_unit"] for x in classes.where(F.col("_d") == size).orderBy(F.xxhash64("_digest")).limit(s.sample).select("_unit").collect()]
-            sample = np.frombuffer(b"".join(sample), np.float64).reshape(-1, size)
-            for tree in own:
+            share = F.pmod(F.xxhash64("_digest"), F.lit(1 << 40)) < int(min(1.0, s.sample / r["count"]) * (1 << 40))  # each task sends its own few
+            sample = classes.where((F.col("_d") == size) & share).select("_raw").collect()
+            sample = units(b"".join(x["_raw"] for x in sample), size, kind)
+            for tree in trees[size]:
                 tree.fit(sample)
-        trees[size], first[size] = own, at
-        at += s.trees << depth + 1
+    if not trees:
+        return ids.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(size: int, raw: pd.Series, upto: int) -> np.ndarray:
+        x = units(b"".join(raw), size, kind)
+        return np.stack([t.leaf(x) for t in trees[size][:upto]], axis=1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for size, own in b.groupby("_d", sort=False):
-                x = np.frombuffer(b"".join(own["_unit"]), np.float64).reshape(-1, int(size))
-                rows, leaves = zip(*((r, l + first[size] + (t << tree.depth + 1)) for t, tree in enumerate(trees[size]) for r, l in [tree.leaves(x)]), strict=True)
-                row, leaf = np.concatenate(rows), np.concatenate(leaves)
-                order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order]
-                edge = np.searchsorted(row, np.arange(len(x) + 1))
-                yield own.assign(_leaves=[leaf[edge[k] : edge[k + 1]] for k in range(len(x))])
-
-    if not trees:
-        return scaled.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
-    placed = scratch.save(classes.select("_node", "_size", "_unit", "_d").mapInPandas(deal, "_node long, _size long, _unit binary, _d int, _leaves array<long>"))
-    while (again := _split_again(scratch, placed, s)) is not None:
-        scratch.drop(placed)
-        placed = again
-    held = placed.select("_node", "_d", F.explode("_leaves").alias("_leaf"))
-    large = scratch.save(held.groupBy("_leaf", "_d").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("_blocks")))
-    tiles = held.join(large, ["_leaf", "_d"]).withColumn("_mine", F.pmod(F.xxhash64("_node"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tiles = tiles.select("_node", "_leaf", "_mine", F.least("_mine", "_other").alias("_x"), F.greatest("_mine", "_other").alias("_y")).join(placed, "_node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, x, y = int(pdf["_leaf"].iloc[0]), int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
-        v = np.frombuffer(b"".join(pdf["_unit"]), np.float64).reshape(-1, int(pdf["_d"].iloc[0]))
-        mine = pdf["_mine"].to_numpy()
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        i, j = np.nonzero(v[left] @ v[right].T >= s.threshold - 1e-9)
-        i, j = left[i], right[j]
-        if x == y:
-            i, j = i[i < j], j[i < j]
-        near = (v[i] * v[j]).sum(axis=1) >= s.threshold
-        i, j = i[near], j[near]
-        if not len(i):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        names, where = np.unique(np.concatenate(pdf["_leaves"].to_list()), return_inverse=True)
-        owner = np.repeat(np.arange(len(pdf)), pdf["_leaves"].map(len))
-        earlier = names[where] < leaf
-        inside = np.zeros((len(pdf), int(np.searchsorted(names, leaf))), np.float32)
-        inside[owner[earlier], where[earlier]] = 1
-        own = np.ones(len(i), bool)
-        for at in range(0, len(i), 50_000):
-            own[at : at + 50_000] = (inside[i[at : at + 50_000]] * inside[j[at : at + 50_000]]).sum(axis=1) == 0
-        i, j = i[own], j[own]
-        n = np.zeros(len(pdf), np.int64)
-        weight, node = pdf["_size"].to_numpy(), pdf["_node"].to_numpy()
-        np.add.at(n, i, weight[j])
-        np.add.at(n, j, weight[i])
-        tree = forest(len(pdf), zip(i.tolist(), j.tolist(), strict=True))
-        one = pd.DataFrame({"a": node, "b": node, "n": n})
-        return pd.concat([one[one["n"] > 0], pd.DataFrame({"a": [node[p] for p, _ in tree], "b": [node[q] for _, q in tree], "n": 0})], ignore_index=True).astype("int64")
-
-    results = scratch.save(tiles.groupBy("_leaf", "_d", "_x", "_y").applyInPandas(compare, "a long, b long, n long"))
+                p = parts(int(size), own["_raw"], s.trees)
+                for t in range(p.shape[1]):
+                    part, n = np.unique(p[:, t], return_counts=True)
+                    yield pd.DataFrame({"_d": size, "_t": t, "_part": part, "_n": n})
+
+    sizes = classes.select("_raw", "_d").mapInPandas(count, "_d int, _t int, _part long, _n long").groupBy("_d", "_t", "_part").agg(F.sum("_n").alias("_n"))
+    blocks = {(r["_d"], r["_t"], r["_part"]): math.ceil(r["_n"] / s.block) for r in sizes.where(F.col("_n") > s.large).collect()}  # as many as parts at most
+    found = [_round(spark, scratch, classes, t, blocks, parts, kind, s) for t in range(max(map(len, trees.values())))]
+    results = found[0]
+    for other in found[1:]:
+        results = results.unionByName(other)
     roots = components(spark, scratch, results.where("a <> b").select("a", "b"))
     links = results.where("a = b").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_links"))
     named = classes.select("_node", "_digest", "_rep", "_size").join(links, "_node", "left").join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
     named = scratch.save(named.withColumn("root", F.coalesce("root", "_node")))
+    scratch.drop(classes)
     least = scratch.save(named.groupBy("root").agg(F.min("_rep").alias("_least")))
     per = scratch.save(named.join(least, "root").select("_digest", (F.coalesce("_links", F.lit(0)) + F.col("_size") - 1).alias("_links"), "_least"))
-    out = scaled.select("_id", "_digest").join(per, "_digest", "left")
+    out = ids.join(per, "_digest", "left")
     component = F.when(F.col("_links").isNull(), F.col("_id")).otherwise(F.col("_least"))
     return out.select(F.col("_id").alias(id_col), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _round(spark: SparkSession, scratch: Scratch, classes: DataFrame, t: int, blocks: dict, parts, kind: str, s: Settings) -> DataFrame:
+    """What the parts of the tree of number t show: (a, a, links of a) and (a, b, 0) for links that connect."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for size, own in b.groupby("_d", sort=False):
+                p = parts(int(size), own["_raw"], t + 1)
+                if p.shape[1] <= t:
+                    continue
+                own = own.assign(_part=p[:, t], _earlier=[r.tobytes() for r in p[:, :t].astype(np.int32)])
+                many = own["_part"].map(lambda part: blocks.get((int(size), t, int(part)), 1)).to_numpy()  # noqa: B023
+                mine = own["_node"].to_numpy() % many
+                other = [np.arange(m) for m in many]
+                copies = np.repeat(np.arange(len(own)), many)
+                mine, other = mine[copies], np.concatenate(other)
+                yield own.iloc[copies].assign(_x=np.minimum(mine, other), _y=np.maximum(mine, other), _mine=mine)
+
+    def compare(table: pa.Table) -> pa.Table:
+        cols = {c: table[c].combine_chunks() for c in ("_raw", "_earlier")}
+        size, x, y, part = (table[c][0].as_py() for c in ("_d", "_x", "_y", "_part"))
+
+        def body(c: str, dtype: str, width: int) -> np.ndarray:
+            a = cols[c].chunk(0) if isinstance(cols[c], pa.ChunkedArray) else cols[c]
+            first = a.buffers()[1]
+            at = np.frombuffer(first, np.int32 if pa.types.is_binary(a.type) else np.int64)[a.offset]
+            return np.frombuffer(a.buffers()[2] or b"", dtype, len(a) * width, int(at)).reshape(len(a), width) if width else np.zeros((len(a), 0), dtype)
+
+        node, weight, mine = (table[c].to_numpy() for c in ("_node", "_size", "_mine"))
+        got = links_within(body("_raw", kind, size), weight, s, [s.seed, t + 1, part], body("_earlier", "<i4", t), mine if x < y else None)
+        hit = np.flatnonzero(got.n)
+        roots = np.array([got.find(k) for k in hit.tolist()], np.int64)
+        tied = hit != roots
+        a = np.concatenate([node[hit], node[hit[tied]]])
+        b = np.concatenate([node[hit], node[roots[tied]]])
+        n = np.concatenate([got.n[hit], np.zeros(int(tied.sum()), np.int64)])
+        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": n})
+
+    dealt = classes.select("_node", "_size", "_raw", "_d").mapInPandas(deal, "_node long, _size long, _raw binary, _d int, _part long, _earlier binary, _x int, _y int, _mine int")
+    out = scratch.save(dealt.groupBy("_d", "_part", "_x", "_y").applyInArrow(compare, "a long, b long, n long"))
+    _let_go(spark)
+    return out

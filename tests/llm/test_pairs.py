@@ -308,3 +308,44 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = sorted((str(r["doc_id"]), r["text"] or "-") for r in corpus_pipeline.without_near_copies(spark, docs, "").collect())
     assert out == sorted([("7", base), ("9", third), ("None", other), ("None", "-"), ("None", "-"), ("9", "short")])
+
+
+def test_vectors_move_once_for_each_tree(spark, monkeypatch, tmp_path):
+    """What is dealt to tasks grows with the trees, not with leaves or bands around cuts."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((3000, 16)).astype(np.float32)
+    x[1500:] = x[:1500] + 0.1 * r.standard_normal((1500, 16)).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/v")
+    moved, save = [], Scratch.save
+
+    def counted(self, df):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        if "FlatMapGroups" in plan and "_part" in plan or "_leaf" in plan and "_mine" in plan:
+            moved.append(df)
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    out = neardup.near(spark, spark.read.parquet(f"{tmp_path}/v"), neardup.Settings(leaf=64, large=512, block=256)).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum() - 3000
+    assert 0.95 * links <= out["n_links"].sum() <= links
+    assert 1 < len(moved) == neardup.Settings().trees
+
+
+def test_linked_vectors_of_a_part_are_those_of_all_pairs():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((400, 16)).astype(np.float32)
+    x[300:] = x[0] + 0.15 * r.standard_normal((100, 16)).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    none = np.zeros((400, 0), np.int32)
+    for tile in (1024, 7):
+        out = neardup.links_within(x, np.ones(400, np.int64), neardup.Settings(leaf=50, tile=tile), [1], none)
+        assert 0.97 * near.sum() <= out.n.sum() and (out.n <= near.sum(axis=1)).all()
+    side = np.arange(400) % 2
+    out = neardup.links_within(x, np.ones(400, np.int64), neardup.Settings(), [1], none, side)
+    assert out.n.tolist() == (near & (side[:, None] != side)).sum(axis=1).tolist()
+    earlier = (np.arange(400) % 3)[:, None]
+    out = neardup.links_within(x, np.ones(400, np.int64), neardup.Settings(), [1], earlier)
+    assert out.n.tolist() == (near & (earlier != earlier.T)).sum(axis=1).tolist()
