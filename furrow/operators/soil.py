@@ -80,21 +80,40 @@ def sampling_design(scored: DataFrame, sites: int, components: int = 2, pool: in
 
 
 def property_fit(samples: DataFrame, channels: list[str], target: str, logs: bool = True) -> dict:
-    """Least squares of ln(property) on ln(EC): coefficients, R2, RMSE and that of leaving one sample out, by leverages. Samples are hundreds."""
-    ok = samples.dropna(subset=[*channels, target])
+    """Least squares of ln(property) on ln(EC): coefficients, R2, RMSE and that of leaving one sample out, by leverages. Two aggregates of one row: means and
+    covariances, which give the same normal equations as the samples do, then sums of squares."""
+    ok = samples.select(*channels, target).dropna()
     if logs:
         ok = ok.where(" and ".join(f"`{c}` > 0" for c in [*channels, target]))
-    rows = ok.select(*channels, target).collect()
-    f = np.log if logs else (lambda v: v)
-    a = np.c_[np.ones(len(rows)), *(f(np.array([r[c] for r in rows], float)) for c in channels)]
-    y = f(np.array([r[target] for r in rows], float))
-    if len(rows) <= a.shape[1] + 1:
+    k = len(channels)
+    names = [f"_{i}" for i in range(k + 1)]  # the target is the last
+    ok = ok.select(*[(F.ln(F.col(f"`{c}`").cast("double")) if logs else F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip([*channels, target], names, strict=True)])
+    r = ok.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in names], *[F.covar_pop(a, b).alias(f"c{a}{b}") for i, a in enumerate(names) for b in names[i:]]).first()
+    n = r["n"]
+    if n <= k + 2:
         raise ValueError("too few samples")
-    coef, *_ = np.linalg.lstsq(a, y, rcond=None)
-    e = y - a @ coef
-    lever = np.einsum("ij,jk,ik->i", a, np.linalg.pinv(a.T @ a), a)
-    loo = e / np.maximum(1 - lever, 1e-12)
-    return {"terms": ["1", *channels], "coef": coef.tolist(), "n": len(rows), "r2": float(1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))), "rmse": float(np.sqrt(np.mean(e**2))), "loo": float(np.sqrt(np.mean(loo**2))), "logs": logs}
+    mean = np.array([r[f"m{c}"] for c in names])
+    cov = np.array([[r[f"c{names[min(i, j)]}{names[max(i, j)]}"] for j in range(k + 1)] for i in range(k + 1)])
+    scale = np.sqrt(np.diag(cov)[:k])
+    scale[scale == 0] = 1.0
+    w, axes = np.linalg.eigh(cov[:k, :k] / np.outer(scale, scale))
+    w[w < 1e-12 * max(w.max(), 1e-300)] = 0.0  # channels that say the same
+    inverse = np.divide(1.0, w, out=np.zeros(k), where=w > 0)
+    # k + 1 rows with the normal equations of all samples.
+    a = np.r_[np.c_[1.0, mean[None, :k]], np.c_[np.zeros(k), (axes * np.sqrt(w)).T * scale]]
+    coef, *_ = np.linalg.lstsq(a, np.r_[mean[k], np.sqrt(inverse) * (axes.T @ (cov[:k, k] / scale))], rcond=None)
+    left = [F.col(c) - F.lit(float(m)) for c, m in zip(names, mean, strict=True)]
+    e = left[k] - F.lit(float(coef[0] + coef[1:] @ mean[:k] - mean[k]))
+    for c, v in zip(left, coef[1:], strict=False):
+        e = e - F.lit(float(v)) * c
+    within = (axes * inverse) @ axes.T / np.outer(scale, scale) / n
+    lever = F.lit(1.0 / n)
+    for i in range(k):
+        for j in range(k):
+            lever = lever + F.lit(float(within[i, j])) * left[i] * left[j]
+    loo = e / F.greatest(1 - lever, F.lit(1e-12))
+    s = ok.agg(F.sum(e * e).alias("e"), F.sum(loo * loo).alias("loo"), F.sum(left[k] * left[k]).alias("y")).first()
+    return {"terms": ["1", *channels], "coef": coef.tolist(), "n": n, "r2": float(1 - s["e"] / s["y"]) if s["y"] else float("nan"), "rmse": math.sqrt(s["e"] / n), "loo": math.sqrt(s["loo"] / n), "logs": logs}
 
 
 def predicted(df: DataFrame, model: dict, name: str = "predicted") -> DataFrame:

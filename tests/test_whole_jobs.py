@@ -140,3 +140,27 @@ def test_lags_of_one_plan_are_those_of_single_ones(spark):
         alone = R.cross_line_difference(K.shifted(df, lag).withColumn("lag", F.lit(lag)), 3.0).first()["cost"]
         assert got[lag] == pytest.approx(alone)
     assert sorted(got) == [-1.7, 0.4]
+
+
+def test_soil_fit_brings_no_samples_to_the_driver(spark, monkeypatch):
+    """The figures of a fit over all samples, from rows that don't grow with them."""
+    from pyspark.sql import DataFrame
+
+    from furrow.operators import soil as Z
+
+    r = np.random.default_rng(4)
+    ec = np.exp(r.normal(2, 0.5, (300, 3)))
+    ec[:, 2] = ec[:, 1] ** 2  # in logs the same channel twice
+    clay = np.exp(0.3 + 0.7 * np.log(ec[:, 0]) - 0.2 * np.log(ec[:, 1]) + r.normal(0, 0.1, 300))
+    df = spark.createDataFrame(pd.DataFrame(np.c_[ec, clay], columns=["a", "b", "c", "clay"]))
+    rows, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (rows.append(got := collect(self)), got)[1])
+    for channels in (["a"], ["a", "b"], ["a", "b", "c"]):
+        m = Z.property_fit(df, channels, "clay")
+        a, y = np.c_[np.ones(300), np.log(ec[:, : len(channels)])], np.log(clay)
+        coef, *_ = np.linalg.lstsq(a, y, rcond=None)
+        e = y - a @ coef
+        loo = e / (1 - np.einsum("ij,jk,ik->i", a, np.linalg.pinv(a.T @ a, rcond=1e-10), a))
+        assert m["coef"] == pytest.approx(coef.tolist(), abs=1e-7) and m["n"] == 300
+        assert (m["r2"], m["rmse"], m["loo"]) == pytest.approx((1 - e @ e / ((y - y.mean()) @ (y - y.mean())), np.sqrt(np.mean(e**2)), np.sqrt(np.mean(loo**2))), rel=1e-6)
+    assert all(len(x) <= 2 for x in rows)
