@@ -92,9 +92,29 @@ def nearest_within(points: DataFrame, readings: DataFrame, radius: float, key: s
     return within(points, readings, radius, strict).groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
+def wide_median(df: DataFrame, c: str) -> DataFrame:
+    """median: the exact median of a column of very many different values; n: the table's rows. percentile() holds all different values in one task: here a first
+    pass finds two values close around the median, and only what lies between them is kept apart in the second."""
+    near = df.agg(F.percentile_approx(c, [0.4995, 0.5005], 10_000).alias("_q"))  # each is right to a ten-thousandth of the rows
+    low, high = F.col("_q")[0], F.col("_q")[1]
+    v = F.when(F.col(c) < low, F.lit(-math.inf)).when(F.col(c) > high, F.lit(math.inf)).otherwise(F.col(c))
+    counts = df.select(c).crossJoin(F.broadcast(near)).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.percentile("_v", F.lit(0.5), F.col("_n")).alias("median"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+
+
+def nearest_differences(reference: DataFrame, survey: DataFrame, tolerance: float, v: str = "v") -> DataFrame:
+    """Per reading (rid) of the survey that has a reference reading nearer than the tolerance, the difference (d) of the nearest one, the first by rid among equals. Of reference
+    readings at one place only the first matters, and each place of the survey is looked at once, so that pairs grow with places, not with readings."""
+    first = reference.groupBy("x", "y").agg(F.min_by(F.struct("rid", v), "rid").alias("_f")).select("x", "y", "_f.*")
+    places = survey.select("x", "y").where("x is not null and y is not null").distinct().withColumn("_at", F.struct("x", "y"))
+    near = nearest_within(places, first, tolerance, "_at", "rid").select("x", "y", F.col(f"r_{v}").alias("_v"), F.struct("d2", "r_rid").alias("_o"))
+    both = survey.select("rid", "x", "y", v).join(near, ["x", "y"])
+    return both.groupBy("rid").agg(F.min_by(F.struct((F.col("_v") - F.col(v)).alias("d")), "_o").alias("_d")).select("rid", "_d.d")
+
+
 def edge_offset(reference: DataFrame, survey: DataFrame, tolerance: float, v: str = "v", least: int = 5) -> DataFrame:
     """The median difference of the reference from the survey over pairs nearer than the tolerance; 0 with under five pairs."""
-    pairs = nearest_within(survey, reference, tolerance, "rid", "rid").agg(F.percentile(F.col(f"r_{v}") - F.col(v), F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("pairs"))
+    pairs = wide_median(nearest_differences(reference, survey, tolerance, v), "d").withColumnsRenamed({"median": "m", "n": "pairs"})
     return pairs.select(F.when(F.col("pairs") >= least, F.col("m")).otherwise(0.0).alias("offset"), "pairs")
 
 

@@ -164,3 +164,43 @@ def test_soil_fit_brings_no_samples_to_the_driver(spark, monkeypatch):
         assert m["coef"] == pytest.approx(coef.tolist(), abs=1e-7) and m["n"] == 300
         assert (m["r2"], m["rmse"], m["loo"]) == pytest.approx((1 - e @ e / ((y - y.mean()) @ (y - y.mean())), np.sqrt(np.mean(e**2)), np.sqrt(np.mean(loo**2))), rel=1e-6)
     assert all(len(x) <= 2 for x in rows)
+
+
+def counted(monkeypatch):
+    """Counts the rows that come out of joins within a radius."""
+    from furrow.operators import spatial as S
+
+    rows, within = [], S.within
+    monkeypatch.setattr(S, "within", lambda *a, **k: (out := within(*a, **k), rows.append(out.count()))[0])
+    return rows
+
+
+def test_edges_are_matched_by_places(spark, monkeypatch):
+    from furrow.operators import spatial as S
+
+    rows = counted(monkeypatch)
+    r = np.random.default_rng(8)
+    a, b = ([(int(k), float(r.integers(0, 4)), float(r.integers(0, 3)), float(r.normal())) for k in r.permutation(600)] for _ in range(2))
+    b += [(5, 0.0, 0.0, 9.0), (700, None, 1.0, 1.0), (701, 1.0, 1.0, None)]
+    one, two = (spark.createDataFrame(t, "rid long, x double, y double, v double") for t in (a, b))
+    want = {}
+    for rid, x, y, v in b:
+        if x is None:
+            continue
+        near = min(((p - x) ** 2 + (q - y) ** 2, i, w) for i, p, q, w in a)
+        if near[0] < 1.5**2:
+            want.setdefault(rid, []).append((near[:2], None if v is None else near[2] - v))
+    want = {k: min(d, key=lambda x: x[0])[1] for k, d in want.items()}
+    got = S.edge_offset(one, two, 1.5).first()
+    assert got["pairs"] == len(want) and got["offset"] == pytest.approx(np.median([d for d in want.values() if d is not None]))
+    assert max(rows) <= 12 * 12
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [2.0] * 999 + [5.0], None])
+def test_median_of_many_values(spark, values):
+    from furrow.operators import spatial as S
+
+    values = np.random.default_rng(9).normal(size=30_001).tolist() + [None, 0.25] if values is None else values
+    got = S.wide_median(spark.createDataFrame([(v,) for v in values], "d double"), "d").first()
+    own = [v for v in values if v is not None]
+    assert got["n"] == len(values) and got["median"] == (float(np.median(own)) if own else None)
