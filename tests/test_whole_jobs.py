@@ -204,3 +204,20 @@ def test_median_of_many_values(spark, values):
     got = S.wide_median(spark.createDataFrame([(v,) for v in values], "d double"), "d").first()
     own = [v for v in values if v is not None]
     assert got["n"] == len(values) and got["median"] == (float(np.median(own)) if own else None)
+
+
+def test_surveys_are_merged_by_places(spark, monkeypatch):
+    from furrow.operators import spatial as S
+
+    rows = counted(monkeypatch)
+    r = np.random.default_rng(12)
+    surveys = [[(k, str(k % 3), float(r.integers(0, 4)), float(r.integers(0, 3)), float(r.normal()) + 10 * n) for k in range(300)] for n in range(3)]
+    out, offsets = S.merged([spark.createDataFrame(t, "rid long, line string, x double, y double, v double") for t in surveys], 1.5)
+    before, want = [], [0.0]
+    for n, t in enumerate(surveys):
+        if n:
+            near = [min(((p - x) ** 2 + (q - y) ** 2, name, i, w) for name, i, p, q, w in before)[3] - v for _, _, x, y, v in t]
+            want.append(float(np.median(near)))
+        before += [(f"{n}:{line}", k, x, y, v + want[n]) for k, line, x, y, v in t]
+    assert offsets == pytest.approx(want) and out.count() == 900
+    assert rows and max(rows) <= 12 * 12
