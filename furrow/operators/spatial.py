@@ -37,52 +37,86 @@ def within(points: DataFrame, readings: DataFrame, radius: float, strict: bool =
     return both.where(F.col("d2") < radius**2 if strict else F.col("d2") <= radius**2)
 
 
-#: Rows of a square that one task compares in memory; squares with more go through a join and an aggregate, which spill.
-SQUARE_ROWS = 400_000
+#: Rows of a square that one task compares in memory; squares with more are cut smaller, and then go through a join and an aggregate, which spill.
+SQUARE_ROWS = 2_000_000
+#: Sides of the squares in radii, the smaller ones for crowded squares of the larger.
+SIDES = (8, 2)
+
+
+def _set_medians(left: pd.DataFrame, right: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """For the points (_key, x, y), the median and number of the readings (x, y, v) within the radius. Readings at one place are found once, and points with the same places
+    around them share their median."""
+    out: dict[str, object] = {"_key": left["_key"], "value": None, "n": 0}
+    if not len(left) or not len(right):
+        return pd.DataFrame(out)[:0]
+    v = right["v"].to_numpy(float)
+    order = np.lexsort((right["x"].to_numpy(float), right["y"].to_numpy(float)))
+    x, y, v = right["x"].to_numpy(float)[order], right["y"].to_numpy(float)[order], v[order]
+    start = np.flatnonzero(np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)])
+    end, x, y = np.r_[start[1:], len(v)], x[start], y[start]
+    at, which = np.unique(np.c_[left["x"].to_numpy(float), left["y"].to_numpy(float)], axis=0, return_inverse=True)
+    y0 = min(y.min(), at[:, 1].min())
+    row, own = np.floor((y - y0) / radius).astype(np.int64), np.floor((at[:, 1] - y0) / radius).astype(np.int64)
+    order = np.lexsort((x, row))
+    x, y, row, start, end = x[order], y[order], row[order], start[order], end[order]
+    bands = {k: (int(np.searchsorted(row, k)), int(np.searchsorted(row, k + 1))) for k in np.unique(np.concatenate([own - 1, own, own + 1])).tolist()}
+    known: dict[bytes, tuple[float, int]] = {}
+    value, n = np.full(len(at), np.nan), np.zeros(len(at), np.int64)
+    for i, (k, (qx, qy)) in enumerate(zip(own.tolist(), at.tolist(), strict=True)):
+        near = []
+        for q in (k - 1, k, k + 1):
+            a, z = bands[q]
+            if a < z:
+                lo, hi = a + np.searchsorted(x[a:z], qx - radius * 1.001), a + np.searchsorted(x[a:z], qx + radius * 1.001, "right")
+                near.append(lo + np.flatnonzero((x[lo:hi] - qx) ** 2 + (y[lo:hi] - qy) ** 2 <= radius**2))
+        places = np.concatenate(near) if near else np.zeros(0, np.int64)
+        if not len(places):
+            continue
+        name = places.tobytes()
+        if name not in known:
+            got = np.concatenate([v[a:z] for a, z in zip(start[places].tolist(), end[places].tolist(), strict=True)])
+            present = got[~np.isnan(got)]
+            known[name] = float(np.median(present)) if len(present) else math.nan, len(got)
+        value[i], n[i] = known[name]
+    which = which.ravel()
+    hit = n[which] > 0
+    return pd.DataFrame({"_key": left["_key"].to_numpy()[hit], "value": value[which][hit], "n": n[which][hit]})
 
 
 def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: str = "id", v: str = "v", most: int = SQUARE_ROWS) -> DataFrame:
     """Per point, the median of the readings within the radius and their number; points without any aren't there.
 
     The field is cut into squares of eight radii. A square's points and all readings it may need, those up to a radius beyond its sides, meet in one task
-    where they are few enough; each point then looks at the cells around it."""
-    side, kind = 8 * radius, points.schema[key].dataType.simpleString()
-    squares = lambda df: _cells(df, side).withColumnsRenamed({"_cx": "_sx", "_cy": "_sy"})
-    p = squares(points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null"))
-    r = squares(readings.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(v).cast("double").alias("v")).where("x is not null and y is not null"))
-    reach = lambda c: F.transform(F.sequence(F.floor((F.col(c) - radius * 1.001) / side), F.floor((F.col(c) + radius * 1.001) / side)), lambda k: k.cast("long"))
-    r = r.withColumn("_sx", F.explode(reach("x"))).withColumn("_sy", F.explode(reach("y")))
-    rows = p.select("_sx", "_sy").unionByName(r.select("_sx", "_sy")).groupBy("_sx", "_sy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_sx", "_sy")
-    square = ["_sx", "_sy"]
+    where they are few enough. Crowded squares are cut into squares of two radii. What is crowded even then is joined: each place with points, once, with the
+    different readings around. One small action counts the rows of squares."""
+    spark, kind = points.sparkSession, points.schema[key].dataType.simpleString()
+    p = points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    r = readings.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(v).cast("double").alias("v")).where("x is not null and y is not null")
+    square, out = ["_sx", "_sy"], None
 
     def medians(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, y, value = (right[c].to_numpy(float) for c in ("x", "y", "v"))
-            px, py = left["x"].to_numpy(float), left["y"].to_numpy(float)
-            x0, y0 = min(x.min(), px.min()), min(y.min(), py.min())
-            row = np.floor((y - y0) / radius).astype(np.int64)
-            order = np.lexsort((x, row))
-            x, y, value, row = x[order], y[order], value[order], row[order]
-            own = np.floor((py - y0) / radius).astype(np.int64)
-            bands = {k: (int(np.searchsorted(row, k)), int(np.searchsorted(row, k + 1))) for k in np.unique(np.concatenate([own - 1, own, own + 1])).tolist()}
-            for i, (k, qx, qy) in enumerate(zip(own.tolist(), px.tolist(), py.tolist(), strict=True)):
-                near = []
-                for q in (k - 1, k, k + 1):
-                    a, z = bands[q]
-                    if a < z:
-                        lo, hi = a + np.searchsorted(x[a:z], qx - radius * 1.001), a + np.searchsorted(x[a:z], qx + radius * 1.001, "right")
-                        near.append(value[lo:hi][(x[lo:hi] - qx) ** 2 + (y[lo:hi] - qy) ** 2 <= radius**2])
-                got = np.concatenate(near) if near else np.zeros(0)
-                if len(got):
-                    present = got[~np.isnan(got)]
-                    out.append((left["_key"].iat[i], float(np.median(present)) if len(present) else None, len(got)))
-        return pd.DataFrame(out, columns=["_key", "value", "n"])
-
-    few = p.join(rows, square, "left_anti").groupBy(*square).cogroup(r.join(rows, square, "left_anti").groupBy(*square)).applyInPandas(medians, f"_key {kind}, value double, n long")
-    crowded = squares(points).join(rows, square, "left_semi").drop(*square)
-    many = within(crowded, readings, radius).groupBy(key).agg(F.percentile(f"r_{v}", F.lit(0.5)).alias("value"), F.count(F.lit(1)).alias("n"))
-    return few.withColumnRenamed("_key", key).unionByName(many)
+        got = _set_medians(left, right, radius)
+        return got.assign(value=got["value"].astype(object).where(got["value"].notna(), None))
+
+    for factor in SIDES:
+        side = factor * radius
+        reach = lambda c, side=side: F.transform(F.sequence(F.floor((F.col(c) - radius * 1.001) / side), F.floor((F.col(c) + radius * 1.001) / side)), lambda k: k.cast("long"))
+        own = _cells(p, side).withColumnsRenamed({"_cx": "_sx", "_cy": "_sy"})
+        there = r.withColumn("_sx", F.explode(reach("x"))).withColumn("_sy", F.explode(reach("y")))
+        if out is not None:
+            there = there.join(own.select(*square).distinct(), square, "left_semi")
+        rows = own.select(*square).unionByName(there.select(*square)).groupBy(*square).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*square).collect()  # a row for each `most` rows at most
+        crowded = spark.createDataFrame(rows, "_sx long, _sy long") if rows else None
+        keep = (lambda df, c=crowded: df if c is None else df.join(F.broadcast(c), square, "left_anti"))
+        few = keep(own).groupBy(*square).cogroup(keep(there).groupBy(*square)).applyInPandas(medians, f"_key {kind}, value double, n long")
+        out = few if out is None else out.unionByName(few)
+        if crowded is None:
+            return out.withColumnRenamed("_key", key)
+        p = own.join(F.broadcast(crowded), square, "left_semi").drop(*square)
+    values = r.groupBy("x", "y", "v").agg(F.count(F.lit(1)).alias("m"))
+    each = within(p.select("x", "y").distinct().withColumn("_at", F.struct("x", "y")), values, radius).groupBy("_at").agg(F.percentile("r_v", F.lit(0.5), F.col("r_m")).alias("value"), F.sum("r_m").alias("n"))
+    many = p.join(each.select("_at.x", "_at.y", "value", "n"), ["x", "y"]).select("_key", "value", "n")
+    return out.unionByName(many).withColumnRenamed("_key", key)
 
 
 def nearest_within(points: DataFrame, readings: DataFrame, radius: float, key: str, order: str, strict: bool = True) -> DataFrame:

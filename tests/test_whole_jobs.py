@@ -221,3 +221,19 @@ def test_surveys_are_merged_by_places(spark, monkeypatch):
         before += [(f"{n}:{line}", k, x, y, v + want[n]) for k, line, x, y, v in t]
     assert offsets == pytest.approx(want) and out.count() == 900
     assert rows and max(rows) <= 12 * 12
+
+
+
+@pytest.mark.parametrize("most", [2_000_000, 100, 0])
+def test_points_of_one_place_share_their_median(spark, monkeypatch, most):
+    from furrow.operators import spatial as S
+
+    rows = counted(monkeypatch)
+    r = np.random.default_rng(10)
+    a = [(float(r.integers(0, 3)), float(r.integers(0, 3)), float(r.integers(0, 50)) if k % 40 else None) for k in range(900)]
+    p = [(k, k % 5 / 2, 1.0) for k in range(300)]
+    got = {x["id"]: (x["value"], x["n"]) for x in S.radius_medians(spark.createDataFrame(p, "id long, x double, y double"), spark.createDataFrame(a, "x double, y double, v double"), 1.5, most=most).collect()}
+    for k, x, y in p:
+        near = [v for q, w, v in a if (q - x) ** 2 + (w - y) ** 2 <= 2.25]
+        assert got[k] == (np.median([v for v in near if v is not None]), len(near))
+    assert sum(rows) <= 5 * 9 * 51
