@@ -126,14 +126,17 @@ def nearest_within(points: DataFrame, readings: DataFrame, radius: float, key: s
     return within(points, readings, radius, strict).groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
-def wide_median(df: DataFrame, c: str) -> DataFrame:
-    """median: the exact median of a column of very many different values; n: the table's rows. percentile() holds all different values in one task: here a first
+def wide_median(df: DataFrame, c: str, by: list[str] | None = None) -> DataFrame:
+    """median: the exact median of a column of very many different values, of each group; n: the group's rows. percentile() holds all different values in one task: here a first
     pass finds two values close around the median, and only what lies between them is kept apart in the second."""
-    near = df.agg(F.percentile_approx(c, [0.4995, 0.5005], 10_000).alias("_q"))  # each is right to a ten-thousandth of the rows
+    by = by or []
+    near = df.groupBy(*by).agg(F.percentile_approx(c, [0.4995, 0.5005], 10_000).alias("_q"))  # each is right to a ten-thousandth of the rows
     low, high = F.col("_q")[0], F.col("_q")[1]
     v = F.when(F.col(c) < low, F.lit(-math.inf)).when(F.col(c) > high, F.lit(math.inf)).otherwise(F.col(c))
-    counts = df.select(c).crossJoin(F.broadcast(near)).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.percentile("_v", F.lit(0.5), F.col("_n")).alias("median"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    own = df.select(*by, c)
+    both = own.join(F.broadcast(near), by) if by else own.crossJoin(F.broadcast(near))
+    counts = both.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*by).agg(F.percentile("_v", F.lit(0.5), F.col("_n")).alias("median"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
 
 
 def nearest_differences(reference: DataFrame, survey: DataFrame, tolerance: float, v: str = "v") -> DataFrame:

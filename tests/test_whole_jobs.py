@@ -237,3 +237,27 @@ def test_points_of_one_place_share_their_median(spark, monkeypatch, most):
         near = [v for q, w, v in a if (q - x) ** 2 + (w - y) ** 2 <= 2.25]
         assert got[k] == (np.median([v for v in near if v is not None]), len(near))
     assert sum(rows) <= 5 * 9 * 51
+
+
+@pytest.mark.parametrize("spread", [0.02, 2.0, 40.0])
+def test_nearest_readings_of_other_lines(spark, spread):
+    """Crowded, even and thin fields, places that repeat, a line that stands still: as by comparing all pairs, and no pair leaves a task."""
+    from furrow.operators import prepare as R
+
+    r = np.random.default_rng(14)
+    n = 500
+    x, y = r.normal(0, spread, n).round(2) + 24, r.normal(0, spread, n).round(2)
+    line = r.integers(0, 4, n)
+    x[line == 3], y[line == 3] = 24.0, 0.5
+    value = r.normal(size=n)
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    d[line[:, None] == line] = np.inf
+    who = [min(range(n), key=lambda j: (d[i, j], j)) for i in range(n)]
+    got_d, got = R._other_line(x, y, line, np.arange(n), np.arange(n), 3.0)
+    for i in range(n):
+        assert got[i] == (who[i] if d[i, who[i]] <= 3 else -1)
+    own = np.array([d[i, w] for i, w in enumerate(who)])
+    ok = own <= 3
+    ok &= own <= 2 * np.median(own[ok])
+    df = spark.createDataFrame([(0.0, i, str(line[i]), float(x[i]), float(y[i]), float(value[i])) for i in range(n)], "lag double, rid long, line string, x double, y double, value double")
+    assert R.cross_line_difference(df, 3.0).first()["cost"] == pytest.approx(np.mean(np.abs(value - value[who])[ok]))
