@@ -107,8 +107,9 @@ def with_offsets(df: DataFrame, offsets: dict[str, float], key: str = "label", v
 
 
 def reference_fit(reference: DataFrame, readings: DataFrame, radius: float, moments: bool = False) -> DataFrame:
-    """Gain, offset, R2 and number of pairs of reference values (id, x, y, ref) against the medians of readings around them."""
-    pairs = reference.select("id", "ref").join(radius_medians(reference, readings, radius), "id")
+    """Gain, offset, R2 and number of pairs of reference values (x, y, ref) against the medians of readings around them. Each value goes along to its median as the point's
+    key, so nothing is joined by ids."""
+    pairs = radius_medians(reference.select(F.col("ref").cast("double").alias("ref"), "x", "y"), readings, radius, key="ref")
     gain = F.stddev_samp("ref") / F.stddev_samp("value") if moments else F.regr_slope("ref", "value")
     fit = pairs.agg(gain.alias("gain"), F.avg("ref").alias("mr"), F.avg("value").alias("mv"), F.pow(F.corr("ref", "value"), 2).alias("r2"), F.count(F.lit(1)).alias("pairs"))
     return fit.where("pairs >= 3 and gain is not null").select("gain", (F.col("mr") - F.col("gain") * F.col("mv")).alias("offset"), "r2", "pairs")

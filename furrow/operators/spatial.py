@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,35 @@ def within(points: DataFrame, readings: DataFrame, radius: float, strict: bool =
 SQUARE_ROWS = 2_000_000
 #: Sides of the squares in radii, the smaller ones for crowded squares of the larger.
 SIDES = (8, 2)
+#: Readings that a task packs by squares at once.
+PACKED_ROWS = 200_000
+
+
+def _pack_squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Readings (_sx, _sy, x, y, v), many to a row: those of a square, sorted by place, as compressed byte planes. Few and small rows are what is shuffled and sorted."""
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.lexsort([rows[c].to_numpy() for c in ("x", "y", "_sx", "_sy")])]
+        sx, sy, values = rows["_sx"].to_numpy(), rows["_sy"].to_numpy(), rows[["x", "y", "v"]].to_numpy(float)
+        start = np.flatnonzero(np.r_[True, (np.diff(sx) != 0) | (np.diff(sy) != 0)])
+        bodies = [zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values[a:z].T).view(np.uint8).reshape(-1, 8).T).tobytes(), 1) for a, z in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True)]
+        return pd.DataFrame({"_sx": sx[start], "_sy": sy[start], "_body": bodies})
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= PACKED_ROWS:
+            yield packed(pd.concat(held))
+            held = []
+    if sum(map(len, held)):
+        yield packed(pd.concat(held))
+
+
+def _unpacked(bodies: list[bytes]) -> pd.DataFrame:
+    """The readings (x, y, v) of packed rows."""
+    parts = [np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(np.float64).reshape(3, -1) for b in bodies]
+    values = np.concatenate([*parts, np.zeros((3, 0))], axis=1)
+    return pd.DataFrame({"x": values[0], "y": values[1], "v": values[2]})
 
 
 def _set_medians(left: pd.DataFrame, right: pd.DataFrame, radius: float) -> pd.DataFrame:
@@ -86,8 +116,8 @@ def _set_medians(left: pd.DataFrame, right: pd.DataFrame, radius: float) -> pd.D
 def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: str = "id", v: str = "v", most: int = SQUARE_ROWS) -> DataFrame:
     """Per point, the median of the readings within the radius and their number; points without any aren't there.
 
-    The field is cut into squares of eight radii. A square's points and all readings it may need, those up to a radius beyond its sides, meet in one task
-    where they are few enough. Crowded squares are cut into squares of two radii. What is crowded even then is joined: each place with points, once, with the
+    The field is cut into squares of eight radii. A square's points and all readings it may need, those up to a radius beyond its sides and many to a row, meet in one
+    task where they are few enough. Crowded squares are cut into squares of two radii. What is crowded even then is joined: each place with points, once, with the
     different readings around. One small action counts the rows of squares."""
     spark, kind = points.sparkSession, points.schema[key].dataType.simpleString()
     p = points.select(F.col(key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
@@ -95,7 +125,7 @@ def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: s
     square, out = ["_sx", "_sy"], None
 
     def medians(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = _set_medians(left, right, radius)
+        got = _set_medians(left, _unpacked(right["_body"].to_list()) if len(left) else right, radius)
         return got.assign(value=got["value"].astype(object).where(got["value"].notna(), None))
 
     for factor in SIDES:
@@ -108,7 +138,8 @@ def radius_medians(points: DataFrame, readings: DataFrame, radius: float, key: s
         rows = own.select(*square).unionByName(there.select(*square)).groupBy(*square).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*square).collect()  # a row for each `most` rows at most
         crowded = spark.createDataFrame(rows, "_sx long, _sy long") if rows else None
         keep = (lambda df, c=crowded: df if c is None else df.join(F.broadcast(c), square, "left_anti"))
-        few = keep(own).groupBy(*square).cogroup(keep(there).groupBy(*square)).applyInPandas(medians, f"_key {kind}, value double, n long")
+        bodies = keep(there).select(*square, "x", "y", "v").mapInPandas(_pack_squares, "_sx long, _sy long, _body binary")
+        few = keep(own).groupBy(*square).cogroup(bodies.groupBy(*square)).applyInPandas(medians, f"_key {kind}, value double, n long")
         out = few if out is None else out.unionByName(few)
         if crowded is None:
             return out.withColumnRenamed("_key", key)

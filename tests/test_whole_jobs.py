@@ -87,6 +87,28 @@ def test_fit_over_all_orders(spark, field):
     assert r["pairs"] == len(own) and (r["gain"], r["offset"], r["r2"]) == pytest.approx((gain, offset, np.corrcoef(v, own.ref)[0, 1] ** 2), rel=1e-4)
 
 
+def test_fit_takes_each_reference_value_once(spark):
+    """Also where ids repeat: nothing is joined by them."""
+    from furrow.operators import corrections as K
+
+    ref = spark.createDataFrame([(k // 2, float(k), 0.0, 3.0 * k + 1) for k in range(8)] + [(9, 50.0, 0.0, 1.0)], "id long, x double, y double, ref double")
+    r = spark.createDataFrame([(float(k), 0.0, float(k)) for k in range(8) for _ in range(3)], "x double, y double, v double")
+    got = K.reference_fit(ref, r, 0.4).first()
+    assert got["pairs"] == 8 and (got["gain"], got["offset"], got["r2"]) == pytest.approx((3, 1, 1))
+
+
+def test_readings_are_packed_by_squares():
+    from furrow.operators import spatial as S
+
+    r = np.random.default_rng(1)
+    rows = pd.DataFrame({"_sx": r.integers(-1, 2, 500), "_sy": r.integers(0, 3, 500), "x": r.normal(size=500), "y": r.normal(size=500), "v": np.where(r.random(500) < 0.1, np.nan, r.normal(size=500))})
+    packed = pd.concat(S._pack_squares(iter([rows[:200], rows[200:200], rows[200:]])))
+    assert len(packed) == 9
+    for (sx, sy), own in packed.groupby(["_sx", "_sy"]):
+        want = rows[(rows._sx == sx) & (rows._sy == sy)][["x", "y", "v"]].sort_values(["y", "x"], ignore_index=True)
+        pd.testing.assert_frame_equal(S._unpacked(own["_body"].to_list()), want)
+
+
 def test_bilinear_at_all_orders(spark, field):
     at, sites, area = field
     blocks = area.assign(iy=area.y // 5, ix=area.x // 5).groupby(["iy", "ix"]).v.median()
