@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 
-import numpy as np
+from furrow.llm.common import Generations, keeps, using
 
-from furrow.llm.common import keeps, using
-
-#: Bytes of pre-tokens and of what is made of them that a worker keeps, about; beyond it the cache starts anew, so that memory stays bounded.
-CACHED = 40 << 20
+#: Bytes of pre-tokens and of what is made of them that a worker keeps, about, in two generations.
+CACHED = 96 << 20
 
 
 #: Texts of these characters alone are split by the built-in module, which gives the same parts for them as the library: ASCII, letters
@@ -23,26 +22,15 @@ _OTHER = re.compile(f"[^\\x00-\\x7f{_LETTERS}\u00a1\u00bf\u2010-\u2027\u20ac]")
 _LATIN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\t-\\r {_LETTERS}0-9]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+")
 
 
-class _Cache(dict):
+class _Cache(Generations):
     """Pre-token -> what `of` makes of its ids. spelled: pre-tokens are in the vocabulary's letters already, as the library's split has them."""
 
     def __init__(self, tokenizer, of, proven: dict, spelled: bool = False):
-        super().__init__(proven)
-        self.of, self.proven, self.merge, self.spelled = of, proven, tokenizer.model.tokenize, spelled
-        self.letters, self.held = _byte_letters(), 0
-
-    def reset(self) -> None:
-        self.clear()
-        self.update(self.proven)
-        self.held = 0
+        super().__init__(CACHED // 2, proven)
+        self.of, self.merge, self.spelled, self.letters = of, tokenizer.model.tokenize, spelled, _byte_letters()
 
-    def __missing__(self, word: str):
-        if self.held > CACHED:
-            self.reset()
-        made = self.of([t.id for t in self.merge(word if self.spelled else word.encode().decode("latin-1").translate(self.letters))])
-        self.held += 160 + 2 * len(word) + (len(made) if isinstance(made, bytes) else 0)
-        self[word] = made
-        return made
+    def make(self, word: str):
+        return self.of([t.id for t in self.merge(word if self.spelled else word.encode().decode("latin-1").translate(self.letters))])
 
 
 class Encoder:
@@ -108,7 +96,7 @@ class Encoder:
     def id_bytes(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit numbers."""
         if self._ids is None:
-            of = lambda ids: np.array(ids, "<u4").tobytes()
+            of = packed_ids
             self._ids = keeps("bpe", _Cache(self.tokenizer, of, {})), keeps("bpe", _Cache(self.tokenizer, of, {}, True))
         using("bpe")
         plain, spelled = self._ids
@@ -137,6 +125,11 @@ class Encoder:
         return n
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
     """Which letter stands for which byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

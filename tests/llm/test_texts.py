@@ -49,6 +49,34 @@ def test_every_character_splits_as_in_the_library(library):
         assert encoder(BPE).count(text) == len(ids), text
 
 
+def test_frequent_words_are_made_once():
+    from furrow.llm.common import Generations
+
+    made = []
+
+    class Cache(Generations):
+        def make(self, word):
+            made.append(word)
+            return word.encode()
+
+    c = Cache(3000, {"fixed": b""})
+    for k in range(500):
+        assert [c[w] for w in ("often", f"once{k}", "fixed")] == [b"often", f"once{k}".encode(), b""]
+    assert made.count("often") == 1 and len(made) == 501 and len(c) + len(c.old) < 40
+    c.reset()
+    assert c["often"] == b"often" and made.count("often") == 2 and not c.old
+
+
+def test_ids_of_more_words_than_a_cache_holds(library, monkeypatch):
+    from furrow.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHED", 4000)
+    own = bpe.Encoder(BPE)
+    for text in [prose(k, 100) for k in range(20)]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.id_bytes(text) == np.array(ids, "<u4").tobytes() and own.count(text) == len(ids)
+
+
 def test_whole_tokens_are_proven(library):
     whole = encoder(BPE).whole_tokens()
     some = random.Random(0).sample(sorted(whole), 300)
