@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, keeps, using
+from furrow.llm.common import Generations, Scratch, keeps, using
 
-#: Characters of a chunk; longer texts are giant. Bytes that a worker's caches hold each, about; they start anew beyond.
+#: Characters of a chunk; longer texts are giant. Bytes that a worker's caches hold each, about.
 CHUNK, CACHED = 32_768, 100 << 20
 #: Neighbouring matrices that a task combines.
 FAN = 64
@@ -40,26 +40,19 @@ State = tuple[int, str]
 CLEAN: State = (0, "")
 
 
-class _Parts(dict):
+class _Parts(Generations):
     """The ids of parts between places where no piece can cross."""
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces, self.held = pieces, 0
+        super().__init__(CACHED // 2)
+        self.pieces = pieces
 
     def reset(self) -> None:
-        self.clear()
-        self.held = 0
+        super().reset()
         self.pieces.agreed.clear()
 
-    def __missing__(self, part: str) -> bytes:
-        if self.held > CACHED:
-            self.clear()
-            self.held = 0
-        p = self.pieces
-        self[part] = got = p.id_bytes(p.path(part))
-        self.held += 160 + 2 * len(part) + len(got)
-        return got
+    def make(self, part: str) -> bytes:
+        return self.pieces.id_bytes(self.pieces.path(part))
 
 
 class Pieces:
@@ -92,12 +85,24 @@ class Pieces:
         #: Pieces of several characters that are their own encoding, and the longest such by its last two characters.
         self.standing = {t for t in self.score if len(t) > 1 and self.merged(t) == [t]}
         self.reach: dict[str, int] = {}
-        self.ahead: dict[str, int] = {}  # and by its first four, of those that have so many; shorter ones by themselves
+        begins: dict[str, set[int]] = {}
         for t in self.standing:
             self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
-            self.ahead[t[:4]] = max(self.ahead.get(t[:4], 0), len(t))
+            begins.setdefault(t[:4], set()).add(len(t))
+        #: The lengths of those that begin with four, or are three or two, characters, and of those that such a string begins with itself; the longest first.
+        self.ahead = {k: tuple(sorted(own | {len(k[:x]) for x in (1, 2, 3) if x == 1 or k[:x] in self.standing}, reverse=True)) for k, own in begins.items()}
+        self.part = self._parting()
         self.parts = keeps("pieces", _Parts(self))
 
+    def _parting(self) -> re.Pattern:
+        """What splits a text at places where no piece can cross: before space marks and, if no piece holds a letter and another character than space marks before it, between
+        letters and others. Only letters of the vocabulary count; a character that isn't in it is a piece by itself."""
+        letters = {c for t in self.score for c in t if c.isalpha()}
+        if any(0 < sum(c in letters for c in t.lstrip(_SPACE)) < len(t.lstrip(_SPACE)) for t in self.score):
+            return _PART
+        a = "".join(map(re.escape, sorted(letters)))
+        return re.compile(f"{_SPACE}*[{a}]+|{_SPACE}*[^{_SPACE}{a}]+|{_SPACE}+")
+
     def merged(self, text: str) -> list[str]:
         """The merges themselves, for strings of two pieces at most: the best-scored pair first, the leftmost of equals."""
         s, score = list(text), self.score
@@ -162,35 +167,27 @@ class Pieces:
         """The one path of weight 0 over a whole part, the longest piece tried first. A place has only one such path to it, so one from
         which the end can't be reached is not tried again."""
         n, standing, ahead, agreed, out, dead = len(text), self.standing, self.ahead, self.agreed, [], set()
-        at, before, size = 0, "", 0
-        fresh = True
+        at, before, tried = 0, "", 0  # tried: the length of the piece that led nowhere from here, or 0
         while at < n:
-            if fresh:
-                four = text[at : at + 4]
-                size = ahead.get(four) or (len(four) > 3 and ahead.get(four[:3])) or ahead.get(four[:2]) or 1
-                if size > n - at:
-                    size = n - at
-            while size:
+            for size in ahead.get(text[at : at + 4]) or ahead.get(text[at : at + 3]) or ahead.get(text[at : at + 2]) or (1,):
                 t = text[at : at + size]
-                if (size == 1 or t in standing) and at + size not in dead:
-                    if not before:
-                        break
+                if len(t) < size or (tried and size >= tried) or (dead and at + size in dead) or (size > 1 and t not in standing):
+                    continue
+                if before:
                     yes = agreed.get((before, t))
                     if yes is None:
                         yes = self.agree(before, t)
-                    if yes:
-                        break
-                size -= 1
-            if size:
+                    if not yes:
+                        continue
                 out.append(t)
                 at += size
-                before, fresh = t, True
+                before, tried = t, 0
+                break
             else:
                 dead.add(at)
-                size = len(out.pop())
-                at -= size
-                size -= 1
-                before, fresh = out[-1] if out else "", False
+                tried = len(out.pop())
+                at -= tried
+                before = out[-1] if out else ""
         return out
 
     def id_bytes(self, pieces: list[str]) -> bytes:
@@ -203,7 +200,7 @@ class Pieces:
     def encode(self, text: str) -> bytes:
         """The ids of a text of one chunk."""
         using("pieces")
-        return b"".join(map(self.parts.__getitem__, _PART.findall(self.library.normalize(text))))
+        return b"".join(map(self.parts.__getitem__, self.part.findall(self.library.normalize(text))))
 
     def decode(self, ids: bytes) -> str:
         body = b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(_SPACE, " ")
@@ -280,7 +277,7 @@ class Pieces:
         if first < 0:
             return self.id_bytes(self.trace(text, self.last_pieces(text[:cut], a), end, reach) + final)
         head = self.trace(text, self.last_pieces(text[:first], a), first, reach)
-        middle = _PART.findall(text[first:tail])
+        middle = self.part.findall(text[first:tail])
         rest = self.trace(text[tail:cut], self.last_pieces(text[tail:cut]), end - tail, 0)
         return self.id_bytes(head) + b"".join(map(self.parts.__getitem__, middle)) + self.id_bytes(rest + final)
 

@@ -154,6 +154,17 @@ def test_scan_is_the_library(text, size):
     assert chunked(m, text, size) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="thndionge  ▁\n..,'’-_12½²(É日本ж", max_size=60))
+def test_parts_end_where_no_piece_crosses(text):
+    m = piece_scan.model(PIECES)
+    s = m.library.normalize(text)
+    parts = m.part.findall(s)
+    assert "".join(parts) == s and m.encode(text) == np.array(m.library.encode(text), "<u4").tobytes()
+    assert m.id_bytes(m.path(s)) == m.encode(text)  # as one part
+    assert all(p.isalpha() or not any(c in "thndiongeÉж" for c in p) for p in (p.lstrip("▁") for p in parts))
+
+
 def test_max_plus_product_is_associative():
     r = np.random.default_rng(0)
     a, b, c = (np.where(r.random(s) < 0.5, 0.0, -np.inf) for s in ((3, 4), (4, 2), (2, 5)))
