@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import jaccard, packing, pii, substrings, toxicity
-from furrow.llm.common import Scratch, fresh
+from furrow.llm import jaccard, packing, passages, pii, substrings, toxicity
+from furrow.llm.common import Scratch, forget, fresh
 from furrow.llm.queries import BYTE_BPE, PII_KEY, table
 
 
@@ -35,11 +35,23 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
+#: Words of a repeated passage. One of over 50 words holds so many even where its first and last words touch other characters.
+PASSAGE = 45
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that lie in a 400-byte string found elsewhere too; n_chars is that of what is left."""
+    """All documents, without the bytes that lie in a 400-byte string found elsewhere too, and then without the words that lie in PASSAGE words found elsewhere too, as passages
+    of short words have fewer bytes; n_chars is that of what is left."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("_row"), "text")
-    cut = substrings.repeated_bytes(spark, rows, id_col="_row", texts=True)
+    scratch = Scratch(spark)
+    cut = substrings.repeated_bytes(spark, rows, id_col="_row", texts=True, scratch=scratch).select("_row", "kept_text")
+
+    def read() -> None:
+        scratch.close()
+        forget(spark)
+
+    cut = passages.repeated_words(spark, cut, PASSAGE, id_col="_row", text_col="kept_text", texts=True, read=read)
     kept = cut.withColumn("_row", F.from_json("_row", docs.select(*others).schema))
     whole = kept.select("_row.*", F.col("kept_text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
     return whole.select(*docs.columns)

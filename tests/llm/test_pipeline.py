@@ -98,3 +98,17 @@ def linked_rows(data):
     """(links, the first row of its group) of each row, by comparing all pairs."""
     out = linked([(k, shingles(x[1])) for k, x in enumerate(data)], lambda a, b: a and b and 5 * len(a & b) >= 4 * len(a | b))
     return [out[k][0] for k in range(len(data))]
+
+
+def test_passages_of_short_words_are_cut(spark):
+    """Passages of over 50 words in under 400 bytes."""
+    r = random.Random(5)
+    short = lambda n: " ".join("".join(r.choice("abdeilnorstu") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passage = short(52)
+    assert len(passage.encode()) < 350
+    data = [(k, f"{short(20)}.{passage}{',;!'[k]}\n {short(9)}" if k < 3 else short(80)) for k in range(6)] + [(6, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["source"]: r for r in dict(corpus_pipeline.STAGES)["repeats"](spark, docs, "").collect()}
+    inner = " ".join(passage.split()[1:-1])
+    for k, (i, t) in enumerate(data):
+        assert out[f"s{k}"]["doc_id"] == i and out[f"s{k}"]["text"] == (t or "").replace(inner, "") and out[f"s{k}"]["n_chars"] == len(out[f"s{k}"]["text"])
