@@ -45,13 +45,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("_row"), "text")
     scratch = Scratch(spark)
-    cut = substrings.repeated_bytes(spark, rows, id_col="_row", texts=True, scratch=scratch).select("_row", "kept_text")
+    cut = substrings.repeated_bytes(spark, rows, id_col="_row", scratch=scratch, chunked=True)
 
     def read() -> None:
         scratch.close()
         forget(spark)
 
-    cut = passages.repeated_words(spark, cut, PASSAGE, id_col="_row", text_col="kept_text", texts=True, read=read)
+    cut = passages.repeated_words(spark, cut, PASSAGE, id_col="_row", texts=True, read=read, chunked=True)
     kept = cut.withColumn("_row", F.from_json("_row", docs.select(*others).schema))
     whole = kept.select("_row.*", F.col("kept_text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
     return whole.select(*docs.columns)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, keeps, mix64, partitions, using, window_hashes, word_hashes
+from furrow.llm.common import Scratch, keeps, lean, mix64, partitions, using, window_hashes, word_hashes
 from furrow.llm.graph import components, forest
 
 
@@ -167,7 +167,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
             made = pd.DataFrame(rows, columns=["_digest", "_n", "_sig"], index=b.index)
             yield pd.concat([b[["_id"]], made], axis=1)
 
-    signed = scratch.save(base.mapInPandas(sign, "_id string, _digest binary, _n int, _sig binary").withColumn("_id", F.col("_id").cast(key)))
+    signed = scratch.save(base.mapInPandas(lean(sign), "_id string, _digest binary, _n int, _sig binary").withColumn("_id", F.col("_id").cast(key)))
     classes = signed.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size"), F.first("_sig").alias("_sig"))
     classes = scratch.save(classes.withColumn("_node", F.monotonically_increasing_id()))
 
@@ -177,7 +177,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
             salted = mix64(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield pd.DataFrame({"_bucket": salted.view(np.int64).ravel(), "_band": np.tile(np.arange(bands, dtype=np.int32), len(b)), "_node": np.repeat(b["_node"].to_numpy(), bands)})
 
-    dealt = scratch.save(classes.select("_node", "_sig").mapInPandas(deal, "_bucket long, _band int, _node long"))
+    dealt = scratch.save(classes.select("_node", "_sig").mapInPandas(lean(deal), "_bucket long, _band int, _node long"))
     shared = scratch.save(dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"))
     members = dealt.join(shared, "_bucket").withColumn("_blocks", F.ceil(F.col("_m") / s.block).cast("int"))
     members = members.withColumn("_mine", F.pmod(F.xxhash64("_node"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -228,7 +228,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
             settle()
         return pd.concat(rows) if rows else pd.DataFrame({"_bucket": [], "_x": [], "_y": [], "_node": [], "_size": [], "_k": [], "_pairs": []})
 
-    found = scratch.save(tiles.groupBy(part.alias("_part")).applyInPandas(prune, "_bucket long, _x int, _y int, _k int, _node long, _size long, _pairs binary"))
+    found = scratch.save(tiles.groupBy(part.alias("_part")).applyInPandas(lean(prune), "_bucket long, _x int, _y int, _k int, _node long, _size long, _pairs binary"))
 
     texts = _texts(spark, scratch, base, classes, found, s, key)
     placed = found.join(texts, "_node")
@@ -258,7 +258,7 @@ def join(spark: SparkSession, docs: DataFrame, s: Settings | None = None, id_col
         a, b, n = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
-    results = scratch.save(placed.groupBy(part.alias("_part")).applyInPandas(verify, "a long, b long, n long"))
+    results = scratch.save(placed.groupBy(part.alias("_part")).applyInPandas(lean(verify), "a long, b long, n long"))
     roots = components(spark, scratch, results.where("a <> b").select("a", "b"))
     links = results.where("a = b").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_links"))
     named = classes.select("_node", "_digest", "_rep", "_size").join(links, "_node", "left").join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
@@ -292,5 +292,5 @@ def _texts(spark: SparkSession, scratch: Scratch, base: DataFrame, classes: Data
             digest = [hashlib.blake2b(shingles(t, s.n).tobytes(), digest_size=16).digest() for t in own["_text"]]
             yield pd.DataFrame({"_rep": own["_id"], "_digest": digest, "_text": own["_text"]})
 
-    some = base.withColumn("_place", F.pmod(F.xxhash64(F.col("_id").cast(key)), F.lit(MAP_BITS))).mapInPandas(pick, "_rep string, _digest binary, _text string").withColumn("_rep", F.col("_rep").cast(key))
+    some = base.withColumn("_place", F.pmod(F.xxhash64(F.col("_id").cast(key)), F.lit(MAP_BITS))).mapInPandas(lean(pick), "_rep string, _digest binary, _text string").withColumn("_rep", F.col("_rep").cast(key))
     return scratch.save(some.join(wanted, ["_digest"]).where(some["_rep"].eqNullSafe(wanted["_rep"])).select("_node", "_text"))

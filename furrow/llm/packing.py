@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.bpe import crc32, encoder
-from furrow.llm.common import Scratch
+from furrow.llm.common import Scratch, lean
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = rows.mapInPandas(cut, "_id string, piece int, start long, length long, ids_crc32 long, _rank long")
+    out = rows.mapInPandas(lean(cut), "_id string, piece int, start long, length long, ids_crc32 long, _rank long")
     return out.withColumn("_id", F.col("_id").cast(key)).withColumn("_chunk", F.spark_partition_id())
 
 

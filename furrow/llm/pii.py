@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.common import Scratch, fresh, using
+from furrow.llm.common import Scratch, fresh, lean, using
 
 # Given names by gender and script, family names by script, forms of address by gender.
 GIVEN = {
@@ -322,7 +322,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
             rows = dict.fromkeys((k, c) for t in b["text"] for _, _, k, c in entities(t))
             yield pd.DataFrame(list(rows), columns=["kind", "canon"])
 
-    exceptions = settle(spark, scratch, texts.mapInPandas(detect, "kind string, canon string").distinct(), key)
+    exceptions = settle(spark, scratch, texts.mapInPandas(lean(detect), "kind string, canon string").distinct(), key)
     schema = docs.withColumn(count_col, F.lit(0).cast("long")).schema
     place = docs.columns.index(text_col)
 
@@ -349,7 +349,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: bytes, text_col: str
             rows = [(h, k, c) for h, t in zip(b["_text"], b["text"], strict=True) for k, c in dict.fromkeys((x[2], x[3]) for x in entities(t))]
             yield pd.DataFrame(rows, columns=["_text", "kind", "canon"])
 
-    said = texts.select(F.sha2("text", 256).alias("_text"), "text").mapInPandas(mentions, "_text string, kind string, canon string").distinct()
+    said = texts.select(F.sha2("text", 256).alias("_text"), "text").mapInPandas(lean(mentions), "_text string, kind string, canon string").distinct()
     per = said.join(exceptions, ["kind", "canon"]).groupBy(F.col("_text").alias(hash_col)).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(tries_col))
     joined = docs.withColumn(hash_col, F.sha2(F.col(text_col), 256)).join(scratch.save(per), hash_col, "left").select(*docs.columns, tries_col)
     return joined.mapInArrow(apply({}), schema)

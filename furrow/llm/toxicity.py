@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD, bounded_batches, fresh, using
+from furrow.llm.common import WORD, bounded_batches, fresh, lean, using
 
 
 @dataclass(frozen=True)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = pa.array([scorer(t) for t in b.column(whole).to_pylist()], pa.float64())
             yield b.drop_columns([whole]).append_column(scored, scores)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def learns(id_col: str = "doc_id"):
