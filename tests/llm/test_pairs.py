@@ -143,6 +143,21 @@ def test_repeated_bytes(spark, chunk):
     assert substrings.repeated_bytes(spark, table(spark, [])).count() == 0
 
 
+def test_repeated_bytes_full_of_repeats(spark):
+    """Nearly every string is compared, in texts far longer than a chunk: hashes of too few bits made strings at the ends of repeats agree by chance."""
+    r = random.Random(0)
+
+    def said(n):
+        return "".join(r.choices("etaoinshrdlu ", k=n))
+
+    pool = [said(1200) for _ in range(160)] * 2
+    r.shuffle(pool)
+    rows = [(d, "".join(said(100) + p for p in pool[8 * d : 8 * d + 8])) for d in range(40)]
+    out = got(substrings.repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string"), chunk=500))
+    for i, w in removed_bytes(rows, 400).items():
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out[i]] == w, i
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(400):
@@ -222,6 +237,16 @@ def test_exchange_finds_what_occurs_twice():
             assert (m.answers(bits, replies, 2)[0] == np.isin(m.keys, every[times > 1])).all()
 
 
+def test_exchange_tells_equal_keys_by_their_checks():
+    keys, checks = np.array([5, 9, 5, 5, 9], np.uint64), np.array([2, 1, 1, 2, 1], np.uint16)
+    one, two = exchange.Keys(keys, checks), exchange.Keys(np.array([5, 9, 5], np.uint64), np.array([3, 4, 1], np.uint16))
+    assert list(zip(one.keys.tolist(), one.check.tolist(), one.times.tolist(), strict=True)) == [(5, 1, 1), (5, 2, 2), (9, 1, 2)]
+    assert one.inverse.tolist() == [1, 2, 0, 1, 2]
+    replies = exchange.compare([x for k in (one, two) for _, x in k.lists(0)])
+    assert [a.tolist() for a in one.answers(0, [(0, replies[0])], 2)] == [[True, True, True], [True, True, True]]
+    assert [a.tolist() for a in two.answers(0, [(0, replies[1])], 2)] == [[True, False, False], [False, True, True]]
+
+
 @pytest.mark.parametrize("checked", [False, True])
 def test_exchange_in_two_levels(spark, checked):
     """Lists of groups of chunks, merged and cut again, give the answers that all lists together give."""
