@@ -171,13 +171,15 @@ def wide_median(df: DataFrame, c: str, by: list[str] | None = None) -> DataFrame
 
 
 def nearest_differences(reference: DataFrame, survey: DataFrame, tolerance: float, v: str = "v") -> DataFrame:
-    """Per reading (rid) of the survey that has a reference reading nearer than the tolerance, the difference (d) of the nearest one, the first by rid among equals. Of reference
+    """Per reading (rid) of the survey that has a reference reading nearer than the tolerance, the difference (d) of the nearest one, the first by rid among equals. Where several
+    readings share a rid and that leaves more than one, the one with the smallest value is taken, of the reference and then of the survey, however rows are dealt to tasks. Of reference
     readings at one place only the first matters, and each place of the survey is looked at once, so that pairs grow with places, not with readings."""
-    first = reference.groupBy("x", "y").agg(F.min_by(F.struct("rid", v), "rid").alias("_f")).select("x", "y", "_f.*")
+    value = [F.col(v).isNull().alias("_u"), F.col(v).alias("v")]  # those without a value come last
+    first = reference.groupBy("x", "y").agg(F.min(F.struct(F.col("rid").isNull().alias("_w"), "rid", *value)).alias("first"))
     places = survey.select("x", "y").where("x is not null and y is not null").distinct().withColumn("_at", F.struct("x", "y"))
-    near = nearest_within(places, first, tolerance, "_at", "rid").select("x", "y", F.col(f"r_{v}").alias("_v"), F.struct("d2", "r_rid").alias("_o"))
+    near = nearest_within(places, first, tolerance, "_at", "first").select("x", "y", F.struct("d2", "r_first").alias("_o"))
     both = survey.select("rid", "x", "y", v).join(near, ["x", "y"])
-    return both.groupBy("rid").agg(F.min_by(F.struct((F.col("_v") - F.col(v)).alias("d")), "_o").alias("_d")).select("rid", "_d.d")
+    return both.groupBy("rid").agg(F.min(F.struct("_o", *value)).alias("_b")).select("rid", (F.col("_b._o.r_first.v") - F.col("_b.v")).alias("d"))
 
 
 def edge_offset(reference: DataFrame, survey: DataFrame, tolerance: float, v: str = "v", least: int = 5) -> DataFrame:

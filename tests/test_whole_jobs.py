@@ -218,6 +218,18 @@ def test_edges_are_matched_by_places(spark, monkeypatch):
     assert max(rows) <= 12 * 12
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_edges_of_readings_that_share_a_rid(spark, backwards):
+    from furrow.operators import spatial as S
+
+    # 1: twice at one place; 2: next to a reference twice there; 3: between two places of one reference; 4: like 1, one of them without a value; 5: like 2, one of them without a value
+    b = [(1, 0.0, 0.0, 7.0), (1, 0.0, 0.0, 2.0), (1, 0.0, 0.0, 5.0), (2, 10.0, 0.0, 1.0), (3, 20.0, 0.0, 1.0), (4, 0.0, 0.0, None), (4, 0.0, 0.0, 3.0), (5, 30.0, 0.0, 1.0)]
+    a = [(10, 0.0, 0.0, 100.0), (11, 10.0, 0.0, 300.0), (11, 10.0, 0.0, 200.0), (11, 10.0, 0.0, 400.0), (12, 19.0, 0.0, 60.0), (12, 21.0, 0.0, 50.0), (12, 20.0, 1.0, 70.0), (13, 30.0, 0.0, None), (13, 30.0, 0.0, 9.0), (None, 30.0, 0.0, 4.0)]
+    one, two = (spark.createDataFrame(t[::-1] if backwards else t, "rid long, x double, y double, v double").coalesce(1) for t in (a, b))
+    got = {r["rid"]: r["d"] for r in S.nearest_differences(one, two, 1.5).collect()}
+    assert got == {1: 98.0, 2: 199.0, 3: 49.0, 4: 97.0, 5: 8.0}
+
+
 @pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [2.0] * 999 + [5.0], None])
 def test_median_of_many_values(spark, values):
     from furrow.operators import spatial as S
